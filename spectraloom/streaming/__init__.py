@@ -1,0 +1 @@
+"""Reserved.  The workload is a closed set of files: there is no stream to read."""
