@@ -107,23 +107,23 @@ def squash(score: Column) -> Column:
 
 
 def fit_predict(
-    table: DataFrame, folds: DataFrame, features: Sequence[str], model: str = "logistic"
+    table: DataFrame, tests: DataFrame, features: Sequence[str], model: str = "logistic"
 ) -> DataFrame:
-    """M3-M7: one fit per split on its training units, predictions for its test units.
+    """M3-M7: one fit per split on the units it does not test, predictions for those it does.
 
     The unit table (one row per unit) is settled once; each fit is a Spark ML job
     over it, so this loop runs over the split list only.
     """
     base = settle(table, "features")
-    roles = settle(folds, "folds")
-    splits = [x.split_id for x in roles.select("split_id").distinct().orderBy("split_id").collect()]
+    tests = settle(tests, "tests")
+    splits = [x.split_id for x in tests.select("split_id").distinct().orderBy("split_id").collect()]
     out = None
     for split in splits:
-        here = roles.where(F.col("split_id") == split).select("unit_id", "role")
-        data = base.join(here, "unit_id")
-        train = balanced_weights(data.where("role = 'train'"))
+        held = tests.where(F.col("split_id") == split).select("unit_id")
+        train = balanced_weights(remaining_units(base, held))
         fitted = build_pipeline(features, model, train.count()).fit(train)
-        scored = positive_probability(fitted.transform(data.where("role = 'test'").withColumn("weight", F.lit(1.0))))
+        test = base.join(held, "unit_id", "left_semi").withColumn("weight", F.lit(1.0))
+        scored = positive_probability(fitted.transform(test))
         part = scored.select(
             F.lit(split).alias("split_id"), "unit_id", F.col("label").alias("y"), "prob",
             F.col("prediction").cast("int").alias("pred"),
@@ -161,14 +161,22 @@ def remaining_units(units: DataFrame, test: DataFrame, key: str = "unit_id") ->
 
 
 def leave_one_out(units: DataFrame) -> DataFrame:
-    """M7: one split per unit.  Units are samples or patches, and every split lists
-    them all, so this is for unit tables, never pixels."""
-    held = units.select(F.col("unit_id").alias("split_id"))
-    test = units.select(F.col("unit_id").alias("split_id"), "unit_id", F.lit("test").alias("role"))
-    train = held.join(units.select("unit_id"), F.col("split_id") != F.col("unit_id")).select(
-        "split_id", "unit_id", F.lit("train").alias("role")
+    """M7: test rows of one split per unit; what is not tested trains."""
+    return units.select(F.col("unit_id").alias("split_id"), "unit_id")
+
+
+def split_roles(units: DataFrame, tests: DataFrame) -> DataFrame:
+    """Every split's test and training units as (split_id, unit_id, role).
+
+    The unit list (samples, animals or patches, never pixels) is folded into one
+    row, and each split takes what its test set leaves over.
+    """
+    everyone = units.agg(F.collect_set("unit_id").alias("_all"))
+    left_out = tests.groupBy("split_id").agg(F.collect_set("unit_id").alias("_test"))
+    train = left_out.crossJoin(F.broadcast(everyone)).select(
+        "split_id", F.explode(F.array_except("_all", "_test")).alias("unit_id"), F.lit("train").alias("role")
     )
-    return test.unionByName(train)
+    return tests.select("split_id", "unit_id", F.lit("test").alias("role")).unionByName(train)
 
 
 def _dealt(units: DataFrame, salt: str) -> DataFrame:
@@ -212,12 +220,9 @@ def holdout_splits(units: DataFrame, n_test: int = 2, n_splits: int | None = Non
     return row_ordinals(both, [], ["a1", "a2", "b1", "b2"], "split_id")
 
 
-def holdout_roles(units: DataFrame, splits: DataFrame) -> DataFrame:
-    """(split_id, unit_id, role): listed animals test, all others train."""
-    test = splits.select("split_id", F.explode(F.array("a1", "a2", "b1", "b2")).alias("unit_id"))
-    every = splits.select("split_id").join(units.select("unit_id"))
-    train = every.join(test, ["split_id", "unit_id"], "left_anti").withColumn("role", F.lit("train"))
-    return test.withColumn("role", F.lit("test")).unionByName(train)
+def holdout_tests(splits: DataFrame) -> DataFrame:
+    """The test rows (split_id, unit_id) of numbered splits."""
+    return splits.select("split_id", F.explode(F.array("a1", "a2", "b1", "b2")).alias("unit_id"))
 
 
 def three_way_split(units: DataFrame, test: float = 0.1, val: float = 0.2, salt: str = "three") -> DataFrame:
