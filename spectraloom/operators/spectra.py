@@ -305,7 +305,8 @@ def gaussian_map(image: DataFrame, keys: Sequence[str], sigma: float = 3.0, valu
         (F.max("row") + 1).alias("_h"),
         (F.max("col") + 1).alias("_w"),
     )
-    scaled = image.join(shape, keys).select(
+    shaped = image.join(shape, keys) if keys else image.crossJoin(F.broadcast(shape))
+    scaled = shaped.select(
         *keys, "row", "col", "_h", "_w",
         F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value)).alias("_v"),
     )
@@ -343,7 +344,7 @@ def curve_table(long: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     """Long per-band statistics to one row of arrays per group."""
     listed = F.sort_array(F.collect_list(F.struct("k", *columns)))
     return long.groupBy(*keys).agg(listed.alias("_l")).select(
-        *keys, *[F.transform("_l", lambda e, c=c: e[c]).alias(c) for c in columns]
+        *keys, *[F.col(f"_l.{c}").alias(c) for c in columns]
     )
 
 
