@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.catalog import BAND_LIBRARY, bands_table, known_bands_table, ratio_list
+from spectraloom.catalog import BAND_LIBRARY, KNOWN_BANDS, bands_table, known_bands_table, ratio_list
 from spectraloom.operators import bands as B
+from spectraloom.operators.scale import exact_quantiles
 from spectraloom.operators.stats import two_group_stats
 from spectraloom.plans import fixtures as X
 from spectraloom.plans.fixtures import AXIS, r, rounded, sql
 from spectraloom.plans.registry import query
+from spectraloom.session import settle
 
 PIX = ["sample_id", "row", "col"]
 
@@ -94,9 +96,81 @@ def d4(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Cliff's delta per band ratio between the two groups."""
     keep = ["sample_id", "grp"]
-    ratios = B.sample_ratios(wide_bands(spark, sf_dir), ratio_list(), keep)
+    wide = settle(wide_bands(spark, sf_dir, keep), "bands")
+    ratios = settle(B.sample_ratios(wide, ratio_list(), keep), "ratios")
     out = two_group_stats(ratios, ["ratio"], F.col("value"), F.col("grp") == "A")
     return out.select(
         "ratio", "n_a", "n_b",
         *rounded("mean_a", "mean_b", "median_a", "median_b", "sd_a", "sd_b", "delta"),
     )
+
+
+@query("d5_ratio_catalogue", sql("ratios spectra", """SELECT ratio, num_band, den_band, n FROM ratios,
+    (SELECT count(*) AS n FROM spectra)"""))
+def d5(spark, sf_dir):
+    n = X.spectra(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return B.ratio_catalogue(bands_table(spark)).crossJoin(F.broadcast(n))
+
+
+@query(
+    "d6_ratio_overlay",
+    sql("ratiopx", f"""SELECT sample_id, ratio, {r('any_value(threshold)', 'threshold')}, count(*) AS n_valid, count(*) FILTER (value > threshold) AS n_above,
+        count(*) FILTER (value < threshold) AS n_below, {r('100.0 * count(*) FILTER (value > threshold) / count(*)', 'pct_above')},
+        {r('100.0 * count(*) FILTER (value < threshold) / count(*)', 'pct_below')} FROM ratiopx
+        JOIN (SELECT ratio, median(value) AS threshold FROM ratiopx WHERE grp = 'A' GROUP BY 1) USING (ratio) GROUP BY 1, 2"""),
+)
+def d6(spark, sf_dir):
+    keep = ["sample_id", "grp", "row", "col"]
+    ratios = settle(B.sample_ratios(wide_bands(spark, sf_dir), ratio_list(), keep), "ratios")
+    out = B.overlay_summary(B.overlay_states(ratios, "A"))
+    return out.select(
+        "sample_id", "ratio", *rounded("threshold"), "n_valid", "n_above", "n_below", *rounded("pct_above", "pct_below")
+    )
+
+
+@query(
+    "d7_extended_metrics",
+    sql("ratiopx", f"""SELECT sample_id, metric, count(*) AS n, {r('median(value)', 'value')} FROM (
+        SELECT sample_id, band AS metric, value FROM bandpx WHERE band IN ('1734', 'amideI', 'amideII') AND value > 0
+        UNION ALL SELECT sample_id, CASE ratio WHEN 'ch2/AmideI' THEN 'CH2/AmideI' WHEN 'ch3/AmideI' THEN 'CH3/AmideI' ELSE ratio END, value FROM ratiopx
+        WHERE ratio IN ('CH2/CH3', 'AmideI/AmideII', '1734/AmideI', '1734/AmideII', 'ch2/AmideI', 'ch3/AmideI')) GROUP BY 1, 2"""),
+)
+def d7(spark, sf_dir):
+    values = settle(B.extended_metrics(settle(wide_bands(spark, sf_dir)), ["sample_id"]), "metrics")
+    n = values.groupBy("sample_id", "metric").agg(F.count(F.lit(1)).alias("n"))
+    med = exact_quantiles(values, ["sample_id", "metric"], F.col("value"), {"value": 0.5})
+    return n.join(med, ["sample_id", "metric"]).select("sample_id", "metric", "n", *rounded("value"))
+
+
+@query(
+    "d8_lifetime_ratio",
+    sql("flim", f"""SELECT grp, sample_id, count(*) FILTER (a2 <> 25) AS n, {r('sum(a1 / nullif(a2 - 25, 0))', 'dropped', 3)}, count(*) AS n_kept,
+        {r('avg(coalesce(a1 / nullif(a2 - 25, 0), 0))', 'kept_mean', 3)} FROM flim GROUP BY 1, 2"""),
+)
+def d8(spark, sf_dir):
+    shifted = X.flim(spark, sf_dir).withColumn("a2", F.col("a2") - 25.0)
+    a1, a2 = F.col("a1"), F.col("a2")
+    return shifted.groupBy("grp", "sample_id").agg(
+        F.count(B.lifetime_ratio(a1, a2)).alias("n"),
+        F.sum(B.lifetime_ratio(a1, a2)).alias("dropped"),
+        F.count(F.lit(1)).alias("n_kept"),
+        F.avg(B.lifetime_ratio(a1, a2, keep_zero=True)).alias("kept_mean"),
+    ).select("grp", "sample_id", "n", *rounded("dropped", digits=3), "n_kept", *rounded("kept_mean", digits=3))
+
+
+_KNOWN = ", ".join(f"('{n}', {c}::DOUBLE, '{k}')" for n, c, k in KNOWN_BANDS)
+
+
+@query(
+    "d9_nearest_band",
+    sql("spectra", f"""SELECT sample_id, row, col, CASE WHEN d <= 15 THEN name END AS name, CASE WHEN d <= 15 THEN category END AS category, {r('CASE WHEN d <= 15 THEN d END', 'distance')}
+        FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, row, col ORDER BY d, center) AS rn FROM (SELECT sample_id, row, col, name, category, center, abs(center - wn) AS d
+        FROM (SELECT *, 960.0::DOUBLE + (list_position(spectrum, list_max(spectrum)) - 1) * (840.0::DOUBLE / 63) AS wn FROM spectra),
+        (VALUES {_KNOWN}) k(name, center, category))) WHERE rn = 1"""),
+)
+def d9(spark, sf_dir):
+    peak = F.array_position("spectrum", F.array_max("spectrum")) - 1
+    points = X.spectra(spark, sf_dir).select(
+        *PIX, (F.lit(AXIS.wn[0]) + peak * ((AXIS.wn[-1] - AXIS.wn[0]) / (len(AXIS) - 1))).alias("wn")
+    )
+    return B.nearest_band(points, known_bands_table(spark)).select(*PIX, "name", "category", *rounded("distance"))

@@ -23,6 +23,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from spectraloom.plans import (  # noqa: F401
+        q_aggregate,
         q_bands,
         q_spectra,
         q_select,
