@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.arrays import dot, hash_key, hex_to_long, l2_norm
-from spectraloom.operators.sampling import draw_pairs
-from spectraloom.operators.scale import exact_quantiles
-from spectraloom.operators.spectra import gathered, normalise
 from spectraloom.operators.aggregate import mean_spectrum, median_spectrum
+from spectraloom.operators.scale import exact_quantiles, row_ordinals
+from spectraloom.operators.select import PIXEL
+from spectraloom.operators.spectra import gathered, normalise
+from spectraloom.session import settle
 
 
 def pair_class(ga: Column, gb: Column, first: str = "A", second: str = "B") -> Column:
@@ -111,16 +112,30 @@ def mean_cosines(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def sampled_cosines(pixels: DataFrame, pairs: DataFrame, max_pairs: int, salt: str = "cosine") -> DataFrame:
-    """I4: cosines of randomly drawn pixel pairs per sample pair."""
-    unit = normalise(pixels, "l2").select("sample_id", "row", "col", "spectrum")
-    keyed = pairs.select("a", "b", F.concat_ws("|", "a", "b").alias("pair"))
-    left = keyed.join(unit, keyed.a == unit.sample_id).select("pair", "row", "col", "spectrum")
-    right = keyed.join(unit, keyed.b == unit.sample_id).select("pair", "row", "col", "spectrum")
-    drawn = draw_pairs(left, right, ["pair"], ["row", "col"], ["spectrum"], max_pairs, salt)
-    labelled = pairs.withColumn("pair", F.concat_ws("|", "a", "b"))
-    return drawn.join(labelled, "pair").select(
-        "a", "b", "pair_class", "draw", dot(F.col("spectrum_l"), F.col("spectrum_r")).alias("cos")
+    """I4: cosines of randomly drawn pixel pairs per sample pair.
+
+    Draws are made on pixel ordinals, which carry keys only; spectra are fetched
+    just for the pixels some draw asked for.
+    """
+    placed = settle(row_ordinals(pixels.select(*PIXEL), ["sample_id"], ["row", "col"], "at"), "ordinals")
+    sizes = settle(placed.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    counted = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+    wanted = F.least(F.lit(max_pairs).cast("double"), F.col("n_a").cast("double") * F.col("n_b"))
+    draws = counted.select(
+        "a", "b", "pair_class", "n_a", "n_b", F.explode(F.sequence(F.lit(1), wanted.cast("int"))).alias("draw")
+    )
+    pick = lambda side, n: F.pmod(hex_to_long(hash_key(f"{salt}-{side}", "a", "b", "draw")), F.col(n)) + 1
+    draws = settle(draws.withColumn("at_a", pick("a", "n_a")).withColumn("at_b", pick("b", "n_b")).drop("n_a", "n_b"), "draws")
+    asked = draws.select(F.col("a").alias("sample_id"), F.col("at_a").alias("at")).unionByName(
+        draws.select(F.col("b").alias("sample_id"), F.col("at_b").alias("at"))
+    ).distinct()
+    keys = settle(placed.join(asked, ["sample_id", "at"]), "asked")
+    unit = normalise(pixels.select(*PIXEL, "spectrum").join(keys, PIXEL), "l2")
+    side = lambda s, v: unit.select(
+        F.col("sample_id").alias(s), F.col("at").alias(f"at_{s}"), F.col("spectrum").alias(v)
     )
+    met = draws.join(side("a", "_x"), ["a", "at_a"]).join(side("b", "_y"), ["b", "at_b"])
+    return met.select("a", "b", "pair_class", "draw", dot(F.col("_x"), F.col("_y")).alias("cos"))
 
 
 def median_matrix(cosines: DataFrame, samples: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def bootstrap_draws(
     """Every replicate's draws with replacement, ``(keys..., rep, is_a, value)``.
 
     A draw is a hashed ordinal, so drawing is an equi-join on ordinals; no group
-    is held in one place.
+    is held in one place.  ``ids`` must identify a row within its group.
     """
     keys = list(keys)
     base = rows.where(is_finite(value)).select(
@@ -154,7 +154,7 @@ def bootstrap_draws(
     )
     group = [*keys, "_is_a"]
     placed = settle(
-        row_ordinals(base, group, ["_v", *[f"_id_{j}" for j in range(len(ids))]], "_at"), "ordinals"
+        row_ordinals(base, group, [f"_id_{j}" for j in range(len(ids))], "_at"), "ordinals"
     )
     sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
