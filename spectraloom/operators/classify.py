@@ -21,20 +21,69 @@ from spectraloom.session import settle
 
 
 # ---- thresholds and features ------------------------------------------------
-def training_thresholds(bands: DataFrame, folds: DataFrame) -> DataFrame:
-    """M1: guard thresholds per (split, band) from that split's training units only.
+def training_thresholds(bands: DataFrame, tests: DataFrame, cells: int = 64) -> DataFrame:
+    """M1: guard thresholds per (split, band) from the units a split does not test.
 
-    ``bands`` is (unit_id, band, value); ``folds`` is (split_id, unit_id, role).
+    ``bands`` is (unit_id, band, value), ``tests`` is (split_id, unit_id).  Hundreds
+    of splits share nearly all their pixels, so the pixels are not copied per split:
+    every band is cut at fixed values into cells, a split's cell counts are the sums
+    of its units' counts, and only the cells that hold a wanted rank are opened.
     """
-    train = folds.where(F.col("role") == "train").select("split_id", "unit_id")
-    joined = bands.join(train, "unit_id")
-    q = exact_quantiles(
-        joined, ["split_id", "band"], F.col("value"), {"_n": NUM_PERCENTILE, "_d": DEN_PERCENTILE}
+    values = bands.where(is_finite(F.col("value"))).select("unit_id", "band", F.col("value").alias("_v"))
+    marks = [i / cells for i in range(1, cells)]
+    edges = settle(values.groupBy("band").agg(F.percentile_approx("_v", marks, 10 * cells).alias("_edge")), "edges")
+    at = F.size(F.filter("_edge", lambda e: e < F.col("_v")))
+    placed = values.join(edges, "band").select("unit_id", "band", at.alias("_cell"), "_v")
+    counts = settle(placed.groupBy("band", "unit_id", "_cell").agg(F.count(F.lit(1)).alias("_c")), "cells")
+    roles = settle(split_roles(counts.select("unit_id").distinct(), tests).where("role = 'train'").drop("role"), "train")
+    order = Window.partitionBy("split_id", "band").orderBy("_cell")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = (
+        counts.join(roles, "unit_id")
+        .groupBy("split_id", "band", "_cell")
+        .agg(F.sum("_c").alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(upto))
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy("split_id", "band")))
     )
-    return q.select(
-        "split_id", "band",
-        F.greatest("_n", F.lit(NUM_FLOOR)).alias("num_thr"),
-        F.greatest("_d", F.lit(DEN_FLOOR)).alias("den_thr"),
+    asks = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_n") - 1)).alias("at"))
+            for name, p in (("num", NUM_PERCENTILE), ("den", DEN_PERCENTILE))
+        ]
+    )
+    wanted = (
+        summed.withColumn("_ask", F.explode(asks))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_ask.at"), F.ceil("_ask.at")))))
+        .where((F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto")))
+        .select(
+            "split_id", "band", "_cell", F.col("_ask.name").alias("_name"),
+            (F.col("_ask.at") - F.floor("_ask.at")).alias("_frac"), "_rank",
+            (F.col("_upto") - F.col("_c")).alias("_before"),
+        )
+    )
+    wanted = settle(wanted, "ranks")
+    # values of an opened cell as counts per unit, so a split reads each value once
+    opened = placed.join(wanted.select("band", "_cell").distinct(), ["band", "_cell"], "left_semi").groupBy(
+        "band", "_cell", "unit_id", "_v"
+    ).agg(F.count(F.lit(1)).alias("_c"))
+    needed = wanted.select("split_id", "band", "_cell").distinct()
+    inside = (
+        opened.join(needed, ["band", "_cell"])
+        .join(roles, ["split_id", "unit_id"], "left_semi")
+        .groupBy("split_id", "band", "_cell", "_v")
+        .agg(F.sum("_c").alias("_c"))
+    )
+    run = Window.partitionBy("split_id", "band", "_cell").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    hits = inside.withColumn("_run", F.sum("_c").over(run)).join(wanted, ["split_id", "band", "_cell"]).where(
+        (F.col("_rank") >= F.col("_before") + F.col("_run") - F.col("_c")) & (F.col("_rank") < F.col("_before") + F.col("_run"))
+    )
+    lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    blended = hits.groupBy("split_id", "band", "_name").agg((lo + (hi - lo) * F.first("_frac")).alias("_q"))
+    of = lambda name: F.max(F.when(F.col("_name") == name, F.col("_q")))
+    return blended.groupBy("split_id", "band").agg(
+        F.greatest(of("num"), F.lit(NUM_FLOOR)).alias("num_thr"), F.greatest(of("den"), F.lit(DEN_FLOOR)).alias("den_thr")
     )
 
 

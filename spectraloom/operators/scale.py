@@ -158,8 +158,9 @@ def take_hashed(
         )
     )
     within = Window.partitionBy(*keys, "_cell").orderBy("_hash", *tie)
+    last = settle(cut, "cut")  # one row per group
     return (
-        digested.join(settle(cut, "cut"), keys)
+        (digested.join(last, keys) if keys else digested.crossJoin(F.broadcast(last)))
         .where(F.col("_cell") <= F.col("_last"))
         .withColumn("_at", F.row_number().over(within))
         .where((F.col("_cell") < F.col("_last")) | (F.col("_at") <= F.col("_need")))

@@ -25,6 +25,8 @@ def load_all() -> None:
     from spectraloom.plans import (  # noqa: F401
         q_aggregate,
         q_bands,
+        q_classify,
+        q_patches,
         q_spectra,
         q_select,
         q_stats,
