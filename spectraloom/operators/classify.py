@@ -133,7 +133,7 @@ def build_pipeline(features: Sequence[str], model: str = "logistic", n_train: in
     stages.append(
         {
             "logistic": lambda: LogisticRegression(regParam=reg, weightCol="weight", standardization=False, maxIter=200),
-            "svm": lambda: LinearSVC(regParam=reg, weightCol="weight", standardization=False, maxIter=200),
+            "svm": lambda: LinearSVC(regParam=reg, weightCol="weight", standardization=False, maxIter=40),
             "forest": lambda: RandomForestClassifier(numTrees=100, seed=seed),
         }[model]()
     )
@@ -169,7 +169,7 @@ def fit_predict(
     out = None
     for split in splits:
         held = tests.where(F.col("split_id") == split).select("unit_id")
-        train = balanced_weights(remaining_units(base, held))
+        train = settle(balanced_weights(remaining_units(base, held)), "train")
         fitted = build_pipeline(features, model, train.count()).fit(train)
         test = base.join(held, "unit_id", "left_semi").withColumn("weight", F.lit(1.0))
         scored = positive_probability(fitted.transform(test))
@@ -382,8 +382,8 @@ def mean_roc(preds: DataFrame, fold: str = "fold", grid: int = 201, min_folds: i
     Each segment between two ROC points covers a run of grid points, so a segment
     emits exactly those: the as-of join becomes an explode of the segment.
     """
-    valid = roc_auc(preds, [fold]).where(F.col("auc").isNotNull()).select(fold)
-    steps = score_steps(preds.join(settle(valid, "folds"), fold, "left_semi"), [fold])
+    steps = settle(score_steps(preds, [fold]), "steps")
+    steps = steps.where((F.col("pos") > 0) & (F.col("neg") > 0) & (F.col("pos") + F.col("neg") >= 3))
     last = grid - 1
     f1, t1 = F.col("fp") / F.col("neg"), F.col("tp") / F.col("pos")
     f0 = (F.col("fp") - F.col("_n")) / F.col("neg")
@@ -403,9 +403,7 @@ def mean_roc(preds: DataFrame, fold: str = "fold", grid: int = 201, min_folds: i
     vertical = segments.where(F.col("f1") == F.col("f0")).select(
         fold, F.round(F.col("f1") * last, 9).alias("_x"), F.col("t1").alias("tpr")
     ).where(F.col("_x") == F.floor("_x")).select(fold, F.col("_x").cast("bigint").alias("g"), "tpr")
-    start = preds.join(settle(valid, "folds"), fold, "left_semi").select(fold).distinct().select(
-        fold, F.lit(0).cast("bigint").alias("g"), F.lit(0.0).alias("tpr")
-    )
+    start = steps.select(fold).distinct().select(fold, F.lit(0).cast("bigint").alias("g"), F.lit(0.0).alias("tpr"))
     per_fold = (
         rise.unionByName(vertical).where(F.col("g") > 0).groupBy(fold, "g").agg(F.max("tpr").alias("tpr")).unionByName(start)
     )
@@ -421,8 +419,12 @@ def mean_roc(preds: DataFrame, fold: str = "fold", grid: int = 201, min_folds: i
     )
 
 
-def thresholds(n: int = 181, lo: float = 0.05, hi: float = 0.95) -> list[float]:
-    return [lo + (hi - lo) * i / (n - 1) for i in range(n)]
+def mean_auc(preds: DataFrame, fold: str = "fold") -> DataFrame:
+    """Mean and SD of the fold AUCs."""
+    return roc_auc(preds, [fold]).agg(
+        F.avg("auc").alias("mean_auc"), F.coalesce(F.stddev_samp("auc"), F.lit(0.0)).alias("sd_auc"),
+        F.count("auc").alias("n_folds"),
+    )
 
 
 def threshold_table(preds: DataFrame, n: int = 181, lo: float = 0.05, hi: float = 0.95) -> DataFrame:

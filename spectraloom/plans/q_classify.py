@@ -259,6 +259,16 @@ def m16(spark, sf_dir):
     return out.select(*rounded("fpr", "mean_tpr", "sd_tpr"), "n_folds")
 
 
+@query(
+    "m16_mean_auc",
+    sql("predictions", f"""SELECT {r('avg(auc)', 'mean_auc')}, {r('stddev_samp(auc)', 'sd_auc')}, count(*) AS n_folds FROM
+        (SELECT fold, sum(n / neg * (tp - p / 2.0)) / any_value(pos) AS auc FROM run GROUP BY 1)""", **_STEPS),
+)
+def m16b(spark, sf_dir):
+    out = M.mean_auc(X.predictions(spark, sf_dir))
+    return out.select(*rounded("mean_auc", "sd_auc"), "n_folds")
+
+
 _THR = {
     "c": """SELECT thr AS threshold, count(*) FILTER (y = 1 AND prob >= thr) AS tp, count(*) FILTER (y = 0 AND prob >= thr) AS fp, count(*) FILTER (y = 0 AND prob < thr) AS tn,
         count(*) FILTER (y = 1 AND prob < thr) AS fn FROM predictions, (SELECT 0.05::DOUBLE + i * (0.9::DOUBLE / 180) AS thr FROM range(181) t(i)) GROUP BY 1""",

@@ -27,7 +27,9 @@ def load_all() -> None:
         q_bands,
         q_classify,
         q_patches,
+        q_reduction,
         q_spectra,
         q_select,
+        q_sources,
         q_stats,
     )

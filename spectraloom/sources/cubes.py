@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,18 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     )
 
 
+def filesystem_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path inside it."""
+    scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(quote(path, safe="/:@?=&"))
+
+
 def open_path(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+    fs, inner = filesystem_of(path)
     return fs.open_input_file(inner)
 
 

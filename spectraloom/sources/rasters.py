@@ -79,21 +79,21 @@ POSITION_JSON = (
 
 
 def scan_positions(
-    spark: SparkSession, path: str, xy_stage: str = "XYStage", z_stage: str = "ZStage", strict: bool = False
+    spark: SparkSession, path: str, xy_stage: str = "XYStage", z_stage: str = "ZStage", strict: bool = False,
+    keep_file: bool = False,
 ) -> DataFrame:
     """Stage positions of nested JSON files, one row per position.
 
     A missing Z gives NULL, or drops the position when ``strict``.
     """
     raw = spark.read.schema(POSITION_JSON).option("multiLine", "true").json(path)
-    return flatten_positions(raw, xy_stage, z_stage, strict)
-
-
-def flatten_positions(raw: DataFrame, xy_stage: str = "XYStage", z_stage: str = "ZStage", strict: bool = False) -> DataFrame:
-    listed = raw.select(F.posexplode("map.StagePositions.array").alias("idx", "p"))
+    kept = ["file"] if keep_file else []
+    raw = raw.withColumn("file", F.col("_metadata.file_name"))
+    listed = raw.select(*kept, F.posexplode("map.StagePositions.array").alias("idx", "p"))
     xy = _device(F.col("p.DevicePositions.array"), xy_stage)
     z = _device(F.col("p.DevicePositions.array"), z_stage)
     out = listed.select(
+        *kept,
         "idx",
         F.get(xy, F.lit(0)).alias("x"),
         F.get(xy, F.lit(1)).alias("y"),
