@@ -58,23 +58,42 @@ def mean_of(values: Column) -> Column:
 
 
 def literal_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array, parsed from one SQL text rather than built element by element."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
-def pick(spectrum: Column, indices: Sequence[int]) -> Column:
-    """Elements at 0-based ``indices``; consecutive runs become one ``slice``."""
+def _runs(indices: Sequence[int]) -> list[list[int]]:
+    """[start, length] of consecutive indices."""
     runs: list[list[int]] = []
     for i in indices:
         if runs and i == runs[-1][0] + runs[-1][1]:
             runs[-1][1] += 1
         else:
             runs.append([i, 1])
-    parts = [F.slice(spectrum, start + 1, length) for start, length in runs]
+    return runs
+
+
+def pick(spectrum: Column, indices: Sequence[int]) -> Column:
+    """Elements at 0-based ``indices``; consecutive runs become one ``slice``."""
+    parts = [F.slice(spectrum, start + 1, length) for start, length in _runs(indices)]
     if not parts:
         return F.array().cast("array<double>")
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def pick_text(column: str, indices: Sequence[int]) -> str:
+    """``pick`` as SQL text over a named column: one call where many bands are read."""
+    parts = [f"slice({column}, {start + 1}, {length})" for start, length in _runs(indices)]
+    if not parts:
+        return "CAST(array() AS array<double>)"
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+
+
+def finite_text(values: str) -> str:
+    """SQL text for the finite entries of an array."""
+    return f"filter({values}, x -> NOT isnan(x) AND abs(x) < double('infinity'))"
+
+
 def matrix_product(spectrum: Column, rows: Sequence[Sequence[float]]) -> Column:
     """Constant linear map, skipping the zeros of each matrix row."""
     out = []

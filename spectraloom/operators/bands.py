@@ -8,81 +8,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.catalog import AMIDE_LABELS, BAND_LIBRARY, BASE_RATIOS, EPS, RATIO_CAP, Axis, inline_table
-from spectraloom.functions.arrays import is_finite, mean_of, null_if_not_finite, pick, total
+from spectraloom.functions.arrays import finite_text, is_finite, null_if_not_finite, pick_text
 from spectraloom.operators.scale import exact_quantiles
 from spectraloom.operators.select import guard_thresholds
 
 DEFAULT_HALFWIDTH = 10.0
 
 
-def band_topk_mean(spectrum: Column, axis: Axis, center: float, halfwidth: float, k: int = 1) -> Column:
+def _topk_text(window: str, k: int) -> str:
+    if k <= 1:
+        return f"array_max({window})"
+    top = f"slice(sort_array({window}, false), 1, {k})"
+    return f"try_divide(aggregate({top}, 0D, (a, x) -> a + x), CAST(size({top}) AS double))"
+
+
+def _window(axis: Axis, center: float, halfwidth: float | None) -> list[int]:
+    if halfwidth is None or halfwidth <= 0:
+        halfwidth = DEFAULT_HALFWIDTH
+    return axis.window(center, halfwidth)
+
+
+def band_topk_mean(axis: Axis, center: float, halfwidth: float, k: int = 1, column: str = "spectrum") -> Column:
     """Mean of the k largest values in the window; NULL for an empty window.
 
     The window is resolved on the axis when the plan is built, so each pixel only
     pays for one slice.
     """
-    if halfwidth is None or halfwidth <= 0:
-        halfwidth = DEFAULT_HALFWIDTH
-    indices = axis.window(center, halfwidth)
+    indices = _window(axis, center, halfwidth)
     if not indices:
         return F.lit(None).cast("double")
-    window = F.filter(pick(spectrum, indices), is_finite)
-    if k <= 1:
-        return F.array_max(window)
-    largest = F.slice(F.sort_array(window, asc=False), 1, min(k, len(indices)))
-    return F.try_divide(total(largest), F.size(largest).cast("double"))
+    return F.expr(_topk_text(finite_text(pick_text(column, indices)), min(k, len(indices))))
+
 
+def spectrum_floor(column: str = "spectrum") -> Column:
+    """Lowest finite value of a spectrum."""
+    return F.expr(f"array_min({finite_text(column)})")
 
-def band_amplitude(spectrum: Column, axis: Axis, center: float, halfwidth: float, k: int = 1) -> Column:
+
+def band_amplitude(axis: Axis, center: float, halfwidth: float, k: int = 1, column: str = "spectrum") -> Column:
     """Band value above the lowest point of the spectrum."""
-    return band_topk_mean(spectrum, axis, center, halfwidth, k) - F.array_min(
-        F.filter(spectrum, is_finite)
-    )
+    return band_topk_mean(axis, center, halfwidth, k, column) - spectrum_floor(column)
 
 
 def band_mean(
-    spectrum: Column, axis: Axis, center: float, halfwidth: float, non_negative: bool = True
+    axis: Axis, center: float, halfwidth: float, non_negative: bool = True, column: str = "spectrum"
 ) -> Column:
     """D3: mean over the window, clipped at zero on request."""
     indices = axis.window(center, halfwidth)
     if not indices:
         return F.lit(None).cast("double")
-    value = mean_of(pick(spectrum, indices))
-    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))) if non_negative else value
+    kept = finite_text(pick_text(column, indices))
+    mean = f"try_divide(aggregate({kept}, 0D, (a, x) -> a + x), CAST(size({kept}) AS double))"
+    return F.expr(f"if({mean} < 0, 0D, {mean})" if non_negative else mean)
 
 
 def band_topk_mean_non_negative(
-    spectrum: Column, axis: Axis, center: float, halfwidth: float, k: int = 1
+    axis: Axis, center: float, halfwidth: float, k: int = 1, column: str = "spectrum"
 ) -> Column:
     """D3 variant: values clipped at zero before the top-k mean."""
-    clipped = F.transform(spectrum, lambda x: F.when(is_finite(x), F.greatest(x, F.lit(0.0))))
-    return band_topk_mean(clipped, axis, center, halfwidth, k)
+    indices = _window(axis, center, halfwidth)
+    if not indices:
+        return F.lit(None).cast("double")
+    clipped = f"transform({finite_text(pick_text(column, indices))}, x -> greatest(x, 0D))"
+    return F.expr(_topk_text(clipped, min(k, len(indices))))
 
 
 def band_columns(
     pixels: DataFrame, axis: Axis, keep: Sequence[str], amplitude: bool = True, k: int = 1
 ) -> DataFrame:
     """One wide row per pixel: the nine library bands, read in a single pass."""
-    low = F.array_min(F.filter("spectrum", is_finite)) if amplitude else F.lit(0.0)
+    low = spectrum_floor() if amplitude else F.lit(0.0)
     based = pixels.select(*keep, "spectrum", low.alias("_low"))
     return based.select(
         *keep,
-        *[
-            (band_topk_mean(F.col("spectrum"), axis, c, hw, k) - F.col("_low")).alias(f"b_{name}")
-            for name, c, hw, _ in BAND_LIBRARY
-        ],
+        *[(band_topk_mean(axis, c, hw, k) - F.col("_low")).alias(f"b_{name}") for name, c, hw, _ in BAND_LIBRARY],
     )
 
 
 def bands_long(wide: DataFrame, keep: Sequence[str]) -> DataFrame:
     """G3 in long form: (keep..., band, value)."""
-    names = [c for c in wide.columns if c.startswith("b_")]
-    entries = F.array(
-        *[F.struct(F.lit(n[2:]).alias("band"), F.col(n).alias("value")) for n in names]
-    )
-    return wide.select(*keep, F.explode(entries).alias("_e")).select(
-        *keep, F.col("_e.band").alias("band"), F.col("_e.value").alias("value")
-    )
+    names = [c[2:] for c in wide.columns if c.startswith("b_")]
+    entries = ", ".join(f"struct('{n}' AS band, `b_{n}` AS value)" for n in names)
+    return wide.select(*keep, F.expr(f"inline(array({entries}))"))
 
 
 def ratio_catalogue(bands: DataFrame) -> DataFrame:
@@ -135,33 +142,27 @@ def sample_ratios(
     keys = list(threshold_keys)
     if thresholds is None:
         thresholds = guard_thresholds(bands_long(wide, keys), [*keys, "band"])
-    folded = thresholds.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("band", F.struct("num_thr", "den_thr")))
-        ).alias("_thr")
-    )
-    joined = wide.join(folded, keys)
-    thr = F.col("_thr")
-    entries = F.array(
+    names = [c[2:] for c in wide.columns if c.startswith("b_")]
+    by_band = F.map_from_entries(F.collect_list(F.struct("band", F.struct("num_thr", "den_thr"))))
+    folded = thresholds.groupBy(*keys).agg(by_band.alias("_m")).select(
+        *keys,
         *[
-            F.struct(
-                F.lit(name).alias("ratio"),
-                guarded_ratio(
-                    F.col(f"b_{n}"),
-                    F.col(f"b_{d}"),
-                    F.element_at(thr, n)["num_thr"],
-                    F.element_at(thr, d)["den_thr"],
-                    cap,
-                ).alias("value"),
-            )
-            for name, n, d in ratios
-        ]
+            F.expr("array(" + ", ".join(f"try_element_at(_m, '{n}').{t}" for n in names) + ")").alias(f"_{t}")
+            for t in ("num_thr", "den_thr")
+        ],
+    )
+    # one literal list of (ratio, numerator, denominator) positions keeps the plan small
+    entries = ", ".join(
+        f"struct('{name}' AS ratio, {names.index(n)} AS _n, {names.index(d)} AS _d)" for name, n, d in ratios
+    )
+    fanned = wide.join(folded, keys).select(
+        *keep, F.array(*[f"b_{n}" for n in names]).alias("_b"), "_num_thr", "_den_thr", F.expr(f"inline(array({entries}))")
     )
-    return (
-        joined.select(*keep, F.explode(entries).alias("_e"))
-        .select(*keep, F.col("_e.ratio").alias("ratio"), F.col("_e.value").alias("value"))
-        .where(F.col("value").isNotNull())
+    at = lambda column, i: F.get(column, F.col(i))
+    value = guarded_ratio(
+        at("_b", "_n"), at("_b", "_d"), at("_num_thr", "_n"), at("_den_thr", "_d"), cap
     )
+    return fanned.select(*keep, "ratio", value.alias("value")).where(F.col("value").isNotNull())
 
 
 def overlay_states(ratios: DataFrame, reference_group: str, percentile: float = 0.5) -> DataFrame:

@@ -32,22 +32,35 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of the finite values per group, exact at any size.
 
-    The largest group is counted first.  While it is small, Spark's ``percentile``
-    is used: its per-group map of values is bounded by that count.  Beyond, a
-    quantile sketch brackets each wanted rank, one aggregation keeps only the
-    values inside the brackets (counts elsewhere), and the rank is read off there.
-    A rank the sketch failed to bracket gets its bucket in a further pass.
+    The largest group is counted first.  While it is small, values are ranked by a
+    sort inside each group, which that count bounds.  Beyond, a quantile sketch
+    brackets each wanted rank, one aggregation keeps only the values inside the
+    brackets (counts elsewhere), and the rank is read off there.  A rank the sketch
+    failed to bracket gets its bucket in a further pass.
     """
     keys = list(keys)
     values = df.where(is_finite(value)).select(*keys, value.cast("double").alias("_v"))
     biggest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if biggest is None or biggest <= small_group_rows:
-        wanted = [F.lit(float(p)) for p in probs.values()]
-        found = values.groupBy(*keys).agg(F.percentile("_v", F.array(*wanted)).alias("_q"))
-        return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+        return _sorted_quantiles(values, keys, probs)
     return _bracketed_quantiles(values, keys, probs)
 
 
+def _sorted_quantiles(values: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    ranked = values.withColumn("_at", F.row_number().over(group.orderBy("_v")) - 1).withColumn(
+        "_top", F.count(F.lit(1)).over(group) - 1
+    )
+    found = []
+    for name, p in probs.items():
+        at = f"({float(p)!r}D * _top)"
+        lo = f"max(if(_at = floor{at}, _v, NULL))"
+        hi = f"max(if(_at = ceil{at}, _v, NULL))"
+        frac = f"max({at} - floor{at})"
+        found.append(F.expr(f"{lo} + ({hi} - {lo}) * {frac}").alias(name))
+    return ranked.groupBy(*keys).agg(*found)
+
+
 def _bracketed_quantiles(
     values: DataFrame, keys: list[str], probs: Mapping[str, float], accuracy: int = SKETCH_ACCURACY
 ) -> DataFrame:

@@ -21,7 +21,6 @@ SELECTION = {f"T{i}": [0, 1, 2, 3, 4.5, 5, 9, -1] if i % 2 == 0 else [1, 2, 4, 5
 SAMPLES = [
     (f"T{i}", f"M{5 if i == 6 else 12 if i == 13 else i}", "A" if i < 7 else "B", i % 2) for i in range(N_SAMPLES)
 ]
-FLIM_FLAGS = {"A": "A", "R": "B"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,23 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("T"), (v % N_SAMPLES).cast("string")).alias("sample_id"),
-        F.when(F.floor(v / N_SAMPLES) % 2 == 0, "RIGHT").otherwise("LEFT").alias("side"),
-        F.floor(v / 25).cast("int").alias("row"),
-        (v % 25).cast("int").alias("col"),
-        F.col("embedding").cast("array<double>").alias("spectrum"),
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "concat('T', CAST(vec_id % 14 AS string)) AS sample_id",
+        "if(vec_id DIV 14 % 2 = 0, 'RIGHT', 'LEFT') AS side",
+        "CAST(vec_id DIV 25 AS int) AS row",
+        "CAST(vec_id % 25 AS int) AS col",
+        "CAST(embedding AS array<double>) AS spectrum",
     )
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("T"), (v % N_SAMPLES).cast("string")).alias("sample_id"),
-        F.floor(v / 25).cast("int").alias("row"),
-        (v % 25).cast("int").alias("col"),
-        F.col("label").alias("cluster"),
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "concat('T', CAST(vec_id % 14 AS string)) AS sample_id",
+        "CAST(vec_id DIV 25 AS int) AS row",
+        "CAST(vec_id % 25 AS int) AS col",
+        "label AS cluster",
     )
 
 
@@ -67,27 +64,19 @@ def selected_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifetime-like pixels: one lineitem row is one pixel of a sample."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_returnflag").isin(*FLIM_FLAGS))
-        .select(
-            F.when(F.col("l_returnflag") == "A", "A").otherwise("B").alias("grp"),
-            F.concat(F.lit("S_"), F.col("l_suppkey").cast("string")).alias("sample_id"),
-            F.col("l_linenumber").alias("file_ord"),
-            F.col("l_extendedprice").alias("a1"),
-            F.col("l_quantity").alias("a2"),
-            F.col("l_discount").alias("tm"),
-        )
+    return table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").selectExpr(
+        "if(l_returnflag = 'A', 'A', 'B') AS grp",
+        "concat('S_', CAST(l_suppkey AS string)) AS sample_id",
+        "l_linenumber AS file_ord",
+        "l_extendedprice AS a1",
+        "l_quantity AS a2",
+        "l_discount AS tm",
     )
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("sample_id"),
-        F.floor(e / 100).cast("int").alias("row"),
-        (e % 100).cast("int").alias("col"),
-        F.col("value").alias("v"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_type AS sample_id", "CAST(event_id DIV 100 AS int) AS row", "CAST(event_id % 100 AS int) AS col", "value AS v"
     )
 
 
@@ -106,7 +95,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(*names: str, digits: int = 6) -> list[Column]:
     """Result columns rounded for comparison; adding zero folds -0.0 into 0.0."""
-    return [(F.round(F.col(n), digits) + F.lit(0.0)).alias(n) for n in names]
+    return [F.expr(f"round(`{n}`, {digits}) + 0D AS `{n}`") for n in names]
 
 
 # ---- the same views as SQL --------------------------------------------------

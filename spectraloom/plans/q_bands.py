@@ -51,13 +51,12 @@ def d2(spark, sf_dir):
     ),
 )
 def d3(spark, sf_dir):
-    s = F.col("spectrum")
     entries = F.array(
         *[
             F.struct(
                 F.lit(n).alias("band"),
-                B.band_mean(s, AXIS, c, hw).alias("mean_value"),
-                B.band_topk_mean_non_negative(s, AXIS, c, hw).alias("top_value"),
+                B.band_mean(AXIS, c, hw).alias("mean_value"),
+                B.band_topk_mean_non_negative(AXIS, c, hw).alias("top_value"),
             )
             for n, c, hw, _ in BAND_LIBRARY
         ]
