@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions.arrays import hash_key, is_finite, null_if_not_finite
 from spectraloom.operators.scale import exact_quantiles
 from spectraloom.operators.spectra import band_long
+from spectraloom.session import settle
 
 
 def mean_spectrum(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,7 +151,7 @@ def scale_image(image: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     The bounds are a plain aggregate joined back, not a window over a whole sample.
     """
     v = null_if_not_finite(F.col(value))
-    bounds = image.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    bounds = settle(image.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")), "bounds")
     scaled = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return image.join(bounds, list(keys)).withColumn("scaled", F.coalesce(scaled, F.lit(0.0))).drop("_lo", "_hi")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.operators.scale import row_ordinals
+from spectraloom.session import settle
 
 
 def place_tiles(
@@ -50,7 +51,8 @@ def project_photons(photons: DataFrame, how: str = "max", scale: str = "linear")
     collapsed = photons.groupBy("file", "row", "col").agg(
         (F.max("n") if how == "max" else F.sum("n")).cast("double").alias("_v")
     )
-    bounds = collapsed.groupBy("file").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    collapsed = settle(collapsed, "collapsed")  # one value per pixel, read for the bounds and for the stretch
+    bounds = settle(collapsed.groupBy("file").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "bounds")
     v = F.col("_v") - F.col("_lo")
     span = F.col("_hi") - F.col("_lo")
     stretched = F.pow(v, F.lit(0.75)) * 2500.0 if scale == "gamma" else F.coalesce(F.try_divide(v, span) * 65535.0, F.lit(0.0))

@@ -37,13 +37,16 @@ def exact_quantiles(
     brackets each wanted rank, one aggregation keeps only the values inside the
     brackets (counts elsewhere), and the rank is read off there.  A rank the sketch
     failed to bracket gets its bucket in a further pass.
+
+    The result (one row per group) is settled: its true size decides whether a
+    join with it broadcasts, so the pixels it is joined to need not be shuffled.
     """
     keys = list(keys)
     values = df.where(is_finite(value)).select(*keys, value.cast("double").alias("_v"))
     biggest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if biggest is None or biggest <= small_group_rows:
-        return _sorted_quantiles(values, keys, probs)
-    return _bracketed_quantiles(values, keys, probs)
+        return settle(_sorted_quantiles(values, keys, probs), "quantiles")
+    return settle(_bracketed_quantiles(values, keys, probs), "quantiles")
 
 
 def _sorted_quantiles(values: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:

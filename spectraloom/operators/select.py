@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spectraloom.catalog import DEN_FLOOR, DEN_PERCENTILE, N_CLUSTERS, NUM_FLOOR, NUM_PERCENTILE, Axis
 from spectraloom.functions.arrays import all_finite, is_finite, l2_norm, max_abs, pick
 from spectraloom.operators.scale import exact_quantiles
+from spectraloom.session import settle
 
 PIXEL = ["sample_id", "row", "col"]
 
@@ -139,6 +140,7 @@ def quality_filter(
     )
     judged = pixels.withColumn("_good", good)
     counts = judged.groupBy(*keys).agg(F.count_if("_good").alias("_n_good"))
+    counts = settle(counts, "counts")  # small, so the spectra stay where they are
     return (
         judged.join(counts, list(keys))
         .where(F.col("_good") | (F.col("_n_good") < min_keep))

@@ -23,6 +23,7 @@ from spectraloom.functions.arrays import (
     total,
 )
 from spectraloom.operators.scale import exact_quantiles
+from spectraloom.session import settle
 
 S = "spectrum"
 
@@ -58,7 +59,8 @@ def subtract_background(
     zero_fill: bool = False,
 ) -> DataFrame:
     """Pixel minus its sample's aligned background; a missing one is skipped or an error."""
-    joined = pixels.join(choose_backgrounds(backgrounds), "sample_id", "left")
+    # one vector per sample; settled, so it is broadcast exactly when it is small enough
+    joined = pixels.join(settle(choose_backgrounds(backgrounds), "backgrounds"), "sample_id", "left")
     bg = F.col("bg")
     if strict:
         bg = F.when(bg.isNotNull(), bg).otherwise(F.raise_error(F.lit("background missing for a sample")))
@@ -268,7 +270,7 @@ def anchor_first(spectrum: Column) -> Column:
 def anchor_min(pixels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """C17: subtract the smallest value of the whole table, or of each subset."""
     low = pixels.groupBy(*keys).agg(F.min(F.array_min(F.filter(S, is_finite))).alias("_low"))
-    joined = pixels.join(low, list(keys)) if keys else pixels.crossJoin(F.broadcast(low))
+    joined = pixels.join(settle(low, "low"), list(keys)) if keys else pixels.crossJoin(F.broadcast(low))
     return joined.withColumn(S, add_all(F.col(S), -F.col("_low"))).drop("_low")
 
 
@@ -305,7 +307,7 @@ def gaussian_map(image: DataFrame, keys: Sequence[str], sigma: float = 3.0, valu
         (F.max("row") + 1).alias("_h"),
         (F.max("col") + 1).alias("_w"),
     )
-    shaped = image.join(shape, keys) if keys else image.crossJoin(F.broadcast(shape))
+    shaped = image.join(settle(shape, "shape"), keys) if keys else image.crossJoin(F.broadcast(shape))
     scaled = shaped.select(
         *keys, "row", "col", "_h", "_w",
         F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value)).alias("_v"),

@@ -17,7 +17,9 @@ PIX = ["sample_id", "row", "col"]
 
 
 def wide_bands(spark, sf_dir, keep=("sample_id", "grp", "row", "col")):
-    return B.band_columns(X.selected_pixels(spark, sf_dir), AXIS, list(keep))
+    """The band-feature table: nine numbers per pixel instead of a spectrum, written once
+    because thresholds, ratios and statistics all read it again."""
+    return settle(B.band_columns(X.selected_pixels(spark, sf_dir), AXIS, list(keep)), "bands")
 
 
 @query(
@@ -95,7 +97,7 @@ def d4(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Cliff's delta per band ratio between the two groups."""
     keep = ["sample_id", "grp"]
-    wide = settle(wide_bands(spark, sf_dir, keep), "bands")
+    wide = wide_bands(spark, sf_dir, keep)
     ratios = settle(B.sample_ratios(wide, ratio_list(), keep), "ratios")
     out = two_group_stats(ratios, ["ratio"], F.col("value"), F.col("grp") == "A")
     return out.select(
@@ -135,7 +137,7 @@ def d6(spark, sf_dir):
         WHERE ratio IN ('CH2/CH3', 'AmideI/AmideII', '1734/AmideI', '1734/AmideII', 'ch2/AmideI', 'ch3/AmideI')) GROUP BY 1, 2"""),
 )
 def d7(spark, sf_dir):
-    values = settle(B.extended_metrics(settle(wide_bands(spark, sf_dir)), ["sample_id"]), "metrics")
+    values = settle(B.extended_metrics(wide_bands(spark, sf_dir), ["sample_id"]), "metrics")
     n = values.groupBy("sample_id", "metric").agg(F.count(F.lit(1)).alias("n"))
     med = exact_quantiles(values, ["sample_id", "metric"], F.col("value"), {"value": 0.5})
     return n.join(med, ["sample_id", "metric"]).select("sample_id", "metric", "n", *rounded("value"))

@@ -49,7 +49,7 @@ _SPLITS = {
 )
 def m1(spark, sf_dir):
     tests = M.holdout_tests(M.holdout_splits(animals(spark, sf_dir)))
-    out = M.training_thresholds(settle(band_values(spark, sf_dir), "bands"), settle(tests, "tests"))
+    out = M.training_thresholds(band_values(spark, sf_dir), settle(tests, "tests"))
     return out.select("split_id", "band", *rounded("num_thr", "den_thr"))
 
 

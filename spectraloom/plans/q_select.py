@@ -255,9 +255,10 @@ def b9(spark, sf_dir):
 
 @query("b10_ratio_guards", sql("thr", f"SELECT sample_id, band, {r('num_thr', 'num_thr')}, {r('den_thr', 'den_thr')} FROM thr"))
 def b10(spark, sf_dir):
-    from spectraloom.operators.bands import band_columns, bands_long
+    from spectraloom.operators.bands import bands_long
+    from spectraloom.plans.q_bands import wide_bands
 
-    wide = band_columns(X.selected_pixels(spark, sf_dir), AXIS, ["sample_id"])
+    wide = wide_bands(spark, sf_dir, ["sample_id"])
     thr = S.guard_thresholds(bands_long(wide, ["sample_id"]), ["sample_id", "band"])
     return thr.select("sample_id", "band", *rounded("num_thr", "den_thr"))
 

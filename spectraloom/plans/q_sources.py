@@ -172,7 +172,7 @@ def a9(spark, sf_dir):
         JOIN thr ON thr.sample_id = ratiopx.sample_id AND thr.band = num_band""").replace("SELECT sample_id, ratio, row, col, CASE", "SELECT ratiopx.sample_id AS sample_id, ratio, row, col, CASE"),
 )
 def a10(spark, sf_dir):
-    wide = settle(wide_bands(spark, sf_dir), "bands")
+    wide = wide_bands(spark, sf_dir)
     thr = settle(guard_thresholds(B.bands_long(wide, ["sample_id"]), ["sample_id", "band"]), "thr")
     ratios = settle(B.sample_ratios(wide, ratio_list(), ["sample_id", "grp", "row", "col"], thresholds=thr), "ratios")
     from spectraloom.catalog import bands_table

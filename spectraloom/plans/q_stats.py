@@ -274,7 +274,7 @@ _BIN = """CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33
 )
 def j7(spark, sf_dir):
     keep = ["sample_id", "grp"]
-    ratios = B.sample_ratios(settle(wide_bands(spark, sf_dir, keep), "bands"), ratio_list(), keep)
+    ratios = B.sample_ratios(wide_bands(spark, sf_dir, keep), ratio_list(), keep)
     d = J.cliffs_delta(ratios, ["ratio"], F.col("value"), F.col("grp") == "A")
     return d.select("ratio", *rounded("delta"), J.effect_bin(F.col("delta")).alias("effect"))
 
