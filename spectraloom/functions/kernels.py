@@ -123,6 +123,27 @@ def apply_emsc(spectrum: Column, reference: np.ndarray, degree: int, iterations:
     return correct(spectrum)
 
 
+def blur_lines(places: Column, values: Column, length: Column, weights: list[float]) -> Column:
+    """Convolve image lines with a centred kernel, mirroring at both ends.
+
+    A line comes as its pixel places and values; a missing pixel leaves NaN at
+    every place it would reach.
+    """
+    kernel = np.asarray(weights)[::-1].copy()
+    radius = len(weights) // 2
+
+    @F.arrow_udf("array<double>")
+    def blur(at: pa.Array, v: pa.Array, n: pa.Array) -> pa.Array:
+        lines = []
+        for places, line, size in zip(at, v, n):
+            dense = np.full(size.as_py(), np.nan)
+            dense[places.values.to_numpy()] = line.values.to_numpy(zero_copy_only=False)
+            lines.append(np.convolve(np.pad(dense, radius, mode="symmetric"), kernel, mode="valid"))
+        return pa.array(lines, pa.list_(pa.float64()))
+
+    return blur(places, values, length)
+
+
 def als_baselines(y: np.ndarray, lam: float, p: float, rounds: int) -> np.ndarray:
     """Asymmetric least squares for a batch of spectra.
 

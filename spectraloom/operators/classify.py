@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.catalog import DEN_FLOOR, DEN_PERCENTILE, NUM_FLOOR, NUM_PERCENTILE
 from spectraloom.functions.arrays import hash_key, is_finite, null_if_not_finite
+from spectraloom.functions.text import safe_label
 from spectraloom.operators.aggregate import summarise
 from spectraloom.operators.scale import exact_quantiles, row_ordinals, running_totals
 from spectraloom.operators.spectra import gathered
@@ -87,11 +88,6 @@ def training_thresholds(bands: DataFrame, tests: DataFrame, cells: int = 64) ->
     )
 
 
-def safe_name(text: Column) -> Column:
-    """Feature names without separators."""
-    return F.regexp_replace(text, "[^A-Za-z0-9_]+", "_")
-
-
 def feature_table(
     values: DataFrame, ids: Sequence[str], item: str, items: Sequence[str], value: str = "value"
 ) -> DataFrame:
@@ -103,7 +99,7 @@ def feature_table(
     cols = []
     for name in items:
         at = F.col(item) == name
-        stem = "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in name)
+        stem = safe_label(name)
         cols += [
             F.max(F.when(at, F.col(src))).alias(f"{stem}_{tag}")
             for src, tag in (("med", "med"), ("iqr", "iqr"), ("mean", "mean"), ("std", "std"))
@@ -438,9 +434,10 @@ def threshold_table(preds: DataFrame, n: int = 181, lo: float = 0.05, hi: float
     # correct the floor where division and grid round differently
     grid = lambda i: F.lit(lo) + i * F.lit(step)
     spot = F.when(F.col("prob") >= grid(spot + 1), spot + 1).when(F.col("prob") < grid(spot), spot - 1).otherwise(spot)
-    cell = F.greatest(F.lit(-1), F.least(spot, F.lit(n - 1))).cast("int")
+    inside = F.greatest(F.lit(-1), F.least(spot, F.lit(n - 1))).cast("int")
+    cell = F.when(is_finite(F.col("prob")), inside).otherwise(-1)  # no score is a negative decision
     y = F.col("y").cast("bigint")
-    counted = preds.where(F.col("prob").isNotNull()).groupBy(cell.alias("i")).agg(
+    counted = preds.groupBy(cell.alias("i")).agg(
         F.sum(y).alias("_p"), F.sum(1 - y).alias("_n")
     )
     every = preds.sparkSession.range(-1, n).select(F.col("id").cast("int").alias("i")).join(counted, "i", "left").fillna(0)

@@ -16,6 +16,7 @@ from spectraloom.functions.arrays import is_finite
 from spectraloom.session import settle
 
 SMALL_GROUP_ROWS = 1_000_000
+SMALL_TOTAL_ROWS = 100_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -32,9 +33,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of the finite values per group, exact at any size.
 
-    The largest group is counted first.  While it is small, values are ranked by a
-    sort inside each group, which that count bounds.  Beyond, a quantile sketch
-    brackets each wanted rank, one aggregation keeps only the values inside the
+    Groups are counted first.  While the largest and their total are small, values
+    are ranked by a sort inside each group.  Beyond, shuffling every value would be
+    the bottleneck, and a hot group would sort in one task: a quantile sketch brackets each wanted rank, one aggregation keeps only the values inside the
     brackets (counts elsewhere), and the rank is read off there.  A rank the sketch
     failed to bracket gets its bucket in a further pass.
 
@@ -43,8 +44,9 @@ def exact_quantiles(
     """
     keys = list(keys)
     values = df.where(is_finite(value)).select(*keys, value.cast("double").alias("_v"))
-    biggest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if biggest is None or biggest <= small_group_rows:
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    biggest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if biggest is None or (biggest <= small_group_rows and total <= SMALL_TOTAL_ROWS):
         return settle(_sorted_quantiles(values, keys, probs), "quantiles")
     return settle(_bracketed_quantiles(values, keys, probs), "quantiles")
 

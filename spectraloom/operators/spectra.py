@@ -295,11 +295,11 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def gaussian_map(image: DataFrame, keys: Sequence[str], sigma: float = 3.0, value: str = "v") -> DataFrame:
-    """Scale by the largest magnitude, then blur rows and columns in turn.
+    """Scale by the largest magnitude, then blur along columns and rows in turn.
 
-    Each pixel sends its weighted value to the pixels it reaches, and mirrored
-    copies stand in beyond the border, so the blur is two groupBys keyed by pixel.
-    A missing pixel leaves every pixel it reaches undefined (absent).
+    The kernel is separable, so each pass gathers one line of the image (bounded by
+    the detector, whatever the table holds) and moves every pixel once.  A missing
+    pixel leaves every pixel it reaches undefined (absent).
     """
     keys = list(keys)
     shape = image.groupBy(*keys).agg(
@@ -313,31 +313,13 @@ def gaussian_map(image: DataFrame, keys: Sequence[str], sigma: float = 3.0, valu
         F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value)).alias("_v"),
     )
     weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    for along, extent in (("row", "_h"), ("col", "_w")):
-        # a source reaches target t when t + d, mirrored into the image, is the source
-        x, n = F.col(along), F.col(extent)
-        taps = F.array(*[F.struct(F.lit(d - radius).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(weights)])
-        folds = F.ceil(F.lit(radius) / (n * 2.0)).cast("int")
-        images_of_source = F.flatten(
-            F.transform(
-                F.sequence(-folds, folds), lambda j: F.array(x + j * n * 2, j * n * 2 - x - 1)
-            )
-        )
-        targets = F.flatten(
-            F.transform(
-                images_of_source,
-                lambda p: F.transform(taps, lambda e: F.struct((p - e["d"]).cast("int").alias("t"), e["w"].alias("w"))),
-            )
-        )
-        reach = F.filter(targets, lambda e: (e["t"] >= 0) & (e["t"] < n))
-        others = [c for c in ("row", "col") if c != along]
+    for along, across, extent in (("row", "col", "_h"), ("col", "row", "_w")):
+        lines = scaled.groupBy(*keys, across, "_h", "_w").agg(F.collect_list(F.struct(along, "_v")).alias("_l"))
+        blurred = kernels.blur_lines(F.col(f"_l.{along}"), F.col("_l._v"), F.col(extent), weights)
         scaled = (
-            scaled.select(*keys, *others, "_h", "_w", "_v", F.inline(reach))
-            .groupBy(*keys, *others, F.col("t").alias(along), "_h", "_w")
-            .agg(F.sum(F.col("_v") * F.col("w")).alias("_v"), F.sum("w").alias("_sum"))
-            .where(F.col("_sum") > 1 - 1e-9)
-            .drop("_sum")
+            lines.select(*keys, across, "_h", "_w", blurred.alias("_b"))
+            .select(*keys, across, "_h", "_w", F.posexplode("_b").alias(along, "_v"))
+            .where(~F.isnan("_v"))
         )
     return scaled.select(*keys, "row", "col", F.col("_v").alias(value))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.catalog import BAND_LIBRARY, KNOWN_BANDS, bands_table, known_bands_table, ratio_list
+from spectraloom.functions.text import format_delta, format_percent, safe_name
 from spectraloom.operators import bands as B
 from spectraloom.operators.scale import exact_quantiles
 from spectraloom.operators.stats import two_group_stats
@@ -175,3 +176,17 @@ def d9(spark, sf_dir):
         *PIX, (F.lit(AXIS.wn[0]) + peak * ((AXIS.wn[-1] - AXIS.wn[0]) / (len(AXIS) - 1))).alias("wn")
     )
     return B.nearest_band(points, known_bands_table(spark)).select(*PIX, "name", "category", *rounded("distance"))
+
+
+@query(
+    "d4_ratio_labels",
+    sql("ratiopx", """SELECT replace(ratio, '/', '_over_') AS name, 'δ=' || printf('%+.2f', median(value) - 1) AS delta, printf('%.1f%%', 100 * avg((value > 1)::INT)) AS share
+        FROM ratiopx GROUP BY ratio"""),
+)
+def d4_labels(spark, sf_dir):
+    ratios = settle(B.sample_ratios(wide_bands(spark, sf_dir), ratio_list(), ["sample_id"]), "ratios")
+    med = exact_quantiles(ratios, ["ratio"], F.col("value"), {"m": 0.5})
+    share = ratios.groupBy("ratio").agg(F.avg((F.col("value") > 1).cast("int")).alias("s"))
+    return med.join(share, "ratio").select(
+        safe_name(F.col("ratio")).alias("name"), format_delta(F.col("m") - 1).alias("delta"), format_percent(F.col("s")).alias("share")
+    )

@@ -28,3 +28,14 @@ def write_overlay(states: DataFrame, path: str) -> None:
 
 def read_overlay(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Pixel tables bucketed alike (by sample, row and column) join without a shuffle.
+
+    Spectra and their cluster labels are joined again and again; written this way
+    once, the spectra never move for it.
+    """
+    keys = ["sample_id", "row", "col"]
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -131,13 +131,13 @@ def test_auc_and_mean_roc(preds):
 
 def test_threshold_table_equals_counting(preds):
     df, pdf = preds
-    ok = pdf[np.isfinite(pdf.prob)]
-    table = M.threshold_table(df.where("NOT isnan(prob)")).toPandas()
+    table = M.threshold_table(df).toPandas().sort_values("threshold", ignore_index=True)
     assert len(table) == 181
     for r in table.itertuples():
-        pred = ok.prob >= r.threshold
-        assert (r.tp, r.fp) == ((pred & (ok.y == 1)).sum(), (pred & (ok.y == 0)).sum())
-    best = M.best_threshold(M.threshold_table(df.where("NOT isnan(prob)"))).first()
+        pred = pdf.prob >= r.threshold  # an undefined score counts as a negative decision
+        assert (r.tp, r.fp) == ((pred & (pdf.y == 1)).sum(), (pred & (pdf.y == 0)).sum())
+        assert r.tn + r.fn == (~pred).sum()
+    best = M.best_threshold(M.threshold_table(df)).first()
     assert best.threshold == pytest.approx(table.loc[table.balanced_accuracy.round(12).idxmax(), "threshold"])
     flipped = df.where("NOT isnan(prob)").withColumn("prob", 1 - F.col("prob"))
     assert M.tuned_threshold(flipped).first().threshold == 0.5
