@@ -247,19 +247,21 @@ def grouped_folds(units: DataFrame, k: int, group: str = "sample_id", salt: str
 def holdout_splits(units: DataFrame, n_test: int = 2, n_splits: int | None = None, salt: str = "split") -> DataFrame:
     """All choices of ``n_test`` animals per class as test sets, numbered; optionally a subset.
 
-    Works on the animal table; two test animals per class are pairs a<b, and the
-    combinations of the two classes number the splits.
+    The animals of a class are folded into one list; a test set takes one animal
+    and, from the list, each later one.  No table is crossed with another.
     """
     if n_test != 2:
         raise ValueError("two test animals per class")
 
     def pairs(label: int, tag: str) -> DataFrame:
-        u = units.where(F.col("label") == label).select("unit_id")
-        first = u.withColumnRenamed("unit_id", f"{tag}1")
-        second = u.withColumnRenamed("unit_id", f"{tag}2")
-        return first.join(second, F.col(f"{tag}1") < F.col(f"{tag}2")).withColumn("_one", F.lit(1))
+        u = units.where(F.col("label") == label).select(F.col("unit_id").alias(f"{tag}1"))
+        listed = u.agg(F.collect_set(f"{tag}1").alias("_all"))
+        return u.crossJoin(F.broadcast(listed)).select(
+            f"{tag}1", F.explode(F.filter("_all", lambda x: x > F.col(f"{tag}1"))).alias(f"{tag}2")
+        )
 
-    both = pairs(0, "a").join(pairs(1, "b"), "_one").drop("_one")
+    second = pairs(1, "b").agg(F.collect_list(F.struct("b1", "b2")).alias("_b"))
+    both = pairs(0, "a").crossJoin(F.broadcast(second)).select("a1", "a2", F.inline("_b"))
     if n_splits is not None:
         both = both.orderBy(hash_key(salt, "a1", "a2", "b1", "b2")).limit(n_splits)
     return row_ordinals(both, [], ["a1", "a2", "b1", "b2"], "split_id")

@@ -84,8 +84,9 @@ def _crosses(x: Column, y: Column, a: Column, b: Column) -> Column:
 def inside_polygons(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
     """Pixels whose (col, row) lies inside a polygon, one row per (pixel, roi).
 
-    ``polygons`` is ``(roi, verts array<struct<x,y>>)``: hand-drawn regions, so few.
-    Its bounding boxes prune before the crossing test.
+    ``polygons`` is ``(roi, verts array<struct<x,y>>)``: regions drawn by hand, so
+    few.  They are folded into one row; a pixel first drops those whose bounding box
+    it misses, then counts edge crossings for the rest.
     """
     verts = F.col("verts")
     n = F.size(verts)
@@ -93,20 +94,23 @@ def inside_polygons(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), n - 1),
         lambda i: F.struct(F.get(verts, i).alias("a"), F.get(verts, F.pmod(i + 1, n)).alias("b")),
     )
-    prepared = polygons.select(
-        "roi",
-        edges.alias("_edges"),
-        F.array_min(F.transform(verts, lambda v: v["x"])).alias("_x0"),
-        F.array_max(F.transform(verts, lambda v: v["x"])).alias("_x1"),
-        F.array_min(F.transform(verts, lambda v: v["y"])).alias("_y0"),
-        F.array_max(F.transform(verts, lambda v: v["y"])).alias("_y1"),
+    box = [
+        fold(F.col(f"verts.{axis}")).alias(f"{axis}{tag}")
+        for axis in ("x", "y")
+        for tag, fold in (("0", F.array_min), ("1", F.array_max))
+    ]
+    listed = polygons.select("roi", edges.alias("edges"), *box).agg(
+        F.collect_list(F.struct("roi", "edges", "x0", "x1", "y0", "y1")).alias("_rois")
     )
     x, y = F.col("col").cast("double"), F.col("row").cast("double")
-    crossings = F.size(F.filter(F.col("_edges"), lambda e: _crosses(x, y, e["a"], e["b"])))
+    near = F.filter("_rois", lambda p: x.between(p["x0"], p["x1"]) & y.between(p["y0"], p["y1"]))
+    crossings = F.size(F.filter(F.col("_roi.edges"), lambda e: _crosses(x, y, e["a"], e["b"])))
     return (
-        pixels.join(prepared, x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1")))
+        pixels.crossJoin(F.broadcast(listed))
+        .withColumn("_roi", F.explode(near))
         .where(crossings % 2 == 1)
-        .drop("_edges", "_x0", "_x1", "_y0", "_y1")
+        .withColumn("roi", F.col("_roi.roi"))
+        .drop("_rois", "_roi")
     )
 
 

@@ -23,16 +23,26 @@ def pair_class(ga: Column, gb: Column, first: str = "A", second: str = "B") -> C
 
 
 def sample_pairs(samples: DataFrame, ordered: bool = False, with_self: bool = False) -> DataFrame:
-    """Sample pairs, i<j by default; the samples table is one row per sample."""
-    a = samples.select(F.col("sample_id").alias("a"), F.col("grp").alias("grp_a"))
-    b = samples.select(F.col("sample_id").alias("b"), F.col("grp").alias("grp_b"))
-    # two inequality branches instead of one OR, so each stays a plain theta join on the small table
-    pairs = a.join(b, F.col("a") < F.col("b"))
-    if ordered:
-        pairs = pairs.unionByName(a.join(b, F.col("a") > F.col("b")))
-    if with_self:
-        pairs = pairs.unionByName(a.join(b, F.col("a") == F.col("b")))
-    return pairs.withColumn("pair_class", pair_class(F.col("grp_a"), F.col("grp_b")))
+    """Sample pairs, i<j by default.
+
+    The sample list is one row; each sample picks its partners from it, so the pairs
+    exist before any pixel is touched and no table is crossed with another.
+    """
+    listed = samples.agg(F.collect_set(F.struct("sample_id", "grp")).alias("_all"))
+    a = F.col("a")
+
+    def partner(e: Column) -> Column:
+        b = e["sample_id"]
+        wanted = (b != a) if ordered else (b > a)
+        return (wanted | (b == a)) if with_self else wanted
+
+    return (
+        samples.select(F.col("sample_id").alias("a"), F.col("grp").alias("grp_a"))
+        .crossJoin(F.broadcast(listed))
+        .select("a", "grp_a", F.explode(F.filter("_all", partner)).alias("_p"))
+        .select("a", "grp_a", F.col("_p.sample_id").alias("b"), F.col("_p.grp").alias("grp_b"))
+        .withColumn("pair_class", pair_class(F.col("grp_a"), F.col("grp_b")))
+    )
 
 
 def cosine(x: Column, y: Column) -> Column:
