@@ -20,10 +20,6 @@ SMALL_TOTAL_ROWS = 100_000_000
 SKETCH_ACCURACY = 10_000
 
 
-def slices(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -187,10 +183,12 @@ def take_hashed(
 
 
 def range_sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Range-partition by (keys, order) and number the slices; equal rows share a slice."""
-    return df.repartitionByRange(slices(df), *keys, *order).withColumn(
-        "_slice", F.spark_partition_id()
-    )
+    """Range-partition by (keys, order) and number the slices; equal rows share a slice.
+
+    The slice count is left to the session, so adaptive execution may merge small
+    neighbours, which keeps the order.
+    """
+    return df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
 
 
 def running_totals(
