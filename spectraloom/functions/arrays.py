@@ -51,12 +51,6 @@ def add_all(spectrum: Column, offset: Column) -> Column:
     return F.transform(spectrum, lambda x: x + offset)
 
 
-def mean_of(values: Column) -> Column:
-    """Mean of the finite entries, NULL when there is none."""
-    kept = F.filter(values, is_finite)
-    return F.try_divide(total(kept), F.size(kept).cast("double"))
-
-
 def literal_array(values: Sequence[float]) -> Column:
     """A constant array, parsed from one SQL text rather than built element by element."""
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
@@ -94,20 +88,6 @@ def finite_text(values: str) -> str:
     return f"filter({values}, x -> NOT isnan(x) AND abs(x) < double('infinity'))"
 
 
-def matrix_product(spectrum: Column, rows: Sequence[Sequence[float]]) -> Column:
-    """Constant linear map, skipping the zeros of each matrix row."""
-    out = []
-    for row in rows:
-        used = [i for i, w in enumerate(row) if w != 0.0]
-        if not used:
-            out.append(F.lit(0.0))
-            continue
-        lo, hi = used[0], used[-1]
-        weights = literal_array(row[lo : hi + 1])
-        out.append(dot(F.slice(spectrum, lo + 1, hi - lo + 1), weights))
-    return F.array(*out)
-
-
 def hex_to_long(text: Column, start: int = 1, length: int = 8) -> Column:
     """Integer value of ``length`` hex digits (at most 15)."""
     return F.conv(F.substring(text, start, length), 16, 10).cast("bigint")

@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +100,33 @@ def apply_matrix(spectrum: Column, matrix: np.ndarray) -> Column:
     return product(spectrum)
 
 
+def apply_matrix_filled(spectrum: Column, matrix: np.ndarray, min_good: int) -> Column:
+    """``apply_matrix`` after filling undefined bands from their neighbours.
+
+    Only incomplete spectra are touched one by one; those with fewer than
+    ``min_good`` finite bands give NULL.
+    """
+    turned = np.ascontiguousarray(matrix.T)
+
+    @F.arrow_udf("array<double>")
+    def product(spectra: pa.Array) -> pa.Array:
+        x = np.array(_to_matrix(spectra))
+        if not len(x):
+            return _to_lists(np.zeros((0, turned.shape[1])))
+        good = np.isfinite(x)
+        bands = np.arange(x.shape[1])
+        hopeless = good.sum(axis=1) < min_good
+        for i in np.nonzero(~good.all(axis=1) & ~hopeless)[0]:
+            x[i] = np.interp(bands, bands[good[i]], x[i][good[i]])
+        x[hopeless] = 0.0
+        lists = _to_lists(x @ turned)
+        if not hopeless.any():
+            return lists
+        return pc.if_else(pa.array(hopeless), pa.scalar(None, lists.type), lists)
+
+    return product(spectrum)
+
+
 def emsc_solver(reference: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
     """Model columns (offset, reference, powers) and their pseudo-inverse."""
     x = np.linspace(0.0, 1.0, len(reference))

@@ -434,7 +434,7 @@ def threshold_table(preds: DataFrame, n: int = 181, lo: float = 0.05, hi: float
     step = (hi - lo) / (n - 1)
     spot = F.floor((F.col("prob") - lo) / step)
     # correct the floor where division and grid round differently
-    grid = lambda i: F.lit(lo) + i * F.lit(step)
+    grid = lambda i: F.when(i == n - 1, F.lit(hi)).otherwise(F.lit(lo) + i * F.lit(step))
     spot = F.when(F.col("prob") >= grid(spot + 1), spot + 1).when(F.col("prob") < grid(spot), spot - 1).otherwise(spot)
     inside = F.greatest(F.lit(-1), F.least(spot, F.lit(n - 1))).cast("int")
     cell = F.when(is_finite(F.col("prob")), inside).otherwise(-1)  # no score is a negative decision
@@ -452,7 +452,7 @@ def threshold_table(preds: DataFrame, n: int = 181, lo: float = 0.05, hi: float
         F.sum("_p").over(all_rows).alias("_tp"), F.sum("_n").over(all_rows).alias("_tn"),
     ).where(F.col("i") >= 0)
     counts = summed.select(
-        (F.lit(lo) + F.col("i") * step).alias("threshold"), "tp", "fp",
+        grid(F.col("i")).alias("threshold"), "tp", "fp",
         (F.col("_tn") - F.col("fp")).alias("tn"), (F.col("_tp") - F.col("tp")).alias("fn"),
     )
     return add_scores(counts)

@@ -28,6 +28,15 @@ from spectraloom.session import settle
 S = "spectrum"
 
 
+def _own_step(pixels: DataFrame) -> DataFrame:
+    """Keep the spectrum a computed column of its own before an Arrow kernel reads it.
+
+    The optimiser would otherwise merge the expression behind it into the kernel's
+    argument, where conditional array lambdas cannot be evaluated.
+    """
+    return pixels.withColumn(S, F.explode(F.array(S)))
+
+
 def align_bands(spectrum: Column, bands: int = FULL_BANDS, pad_nan: bool = False) -> Column:
     """Pad at the front with the first band (or NaN), or keep the last ``bands``."""
     size = F.size(spectrum)
@@ -137,35 +146,35 @@ def normalise_area(
 def detrend(pixels: DataFrame, axis: Axis, degree: int = 2, floor: float | None = None) -> DataFrame:
     """Remove the fitted polynomial; optionally lift to the floor again."""
     m = kernels.detrend_matrix(np.array(axis.wn), degree)
-    out = pixels.withColumn(S, kernels.apply_matrix(F.col(S), m))
+    out = _own_step(pixels).withColumn(S, kernels.apply_matrix(F.col(S), m))
     return out if floor is None else shift_floor(out, floor)
 
 
 def als_correct(pixels: DataFrame, lam: float = 1e6, p: float = 0.01, rounds: int = 10) -> DataFrame:
     """Subtract the asymmetric-least-squares baseline."""
-    return pixels.withColumn(S, kernels.apply_als(F.col(S), lam, p, rounds))
+    return _own_step(pixels).withColumn(S, kernels.apply_als(F.col(S), lam, p, rounds))
 
 
 def emsc(pixels: DataFrame, reference: Sequence[float], degree: int = 4, iterations: int = 1) -> DataFrame:
     """C11: scatter correction against one reference spectrum, repeated on request."""
     ref = np.asarray(reference, float)
-    return pixels.withColumn(S, kernels.apply_emsc(F.col(S), ref, degree, iterations))
+    return _own_step(pixels).withColumn(S, kernels.apply_emsc(F.col(S), ref, degree, iterations))
 
 
 def savgol(pixels: DataFrame, z: int, window: int, order: int, deriv: int = 0) -> DataFrame:
     """Local polynomial smoothing or derivative of complete spectra."""
     m = kernels.savgol_matrix(z, window, order, deriv)
-    return pixels.withColumn(S, kernels.apply_matrix(F.col(S), m))
+    return _own_step(pixels).withColumn(S, kernels.apply_matrix(F.col(S), m))
 
 
 def second_derivative(pixels: DataFrame, z: int, window: int = 15, order: int = 2) -> DataFrame:
-    """C12 after C16: NaN gaps are filled first; the window shrinks to the spectrum."""
+    """C12 after C16: gaps are filled in the same batch pass; the window shrinks to the spectrum."""
     window = min(window, z - (z + 1) % 2)
     window -= 1 - window % 2
     if window < 5:
         return pixels.withColumn(S, F.lit(None).cast("array<double>"))
-    filled = fill_gaps(pixels).where(F.col(S).isNotNull())
-    return savgol(filled, z, window, order, 2)
+    m = kernels.savgol_matrix(z, window, order, 2)
+    return _own_step(pixels).withColumn(S, kernels.apply_matrix_filled(F.col(S), m, 5))
 
 
 def gradient(spectrum: Column, axis: Axis) -> Column:
@@ -202,7 +211,7 @@ def smooth_second_derivative(
     step = float(np.median(np.diff(np.array(axis.wn))))
     g = kernels.gradient_matrix(np.arange(z) * step)
     m = g @ g @ kernels.moving_average_matrix(z, window)
-    return pixels.withColumn(S, kernels.apply_matrix(F.col(S), -m if flip else m))
+    return _own_step(pixels).withColumn(S, kernels.apply_matrix(F.col(S), -m if flip else m))
 
 
 def band_long(pixels: DataFrame, keep: Sequence[str]) -> DataFrame:

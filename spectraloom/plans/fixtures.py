@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.catalog import AXIS_MAX, AXIS_MIN, BAND_LIBRARY, Axis, inline_table
 from spectraloom.operators.select import clean_clusters, keep_clusters, label_pixels
+from spectraloom.schemas import SAMPLES as SAMPLES_SCHEMA
+from spectraloom.schemas import SELECTION as SELECTION_SCHEMA
 
 N_BANDS = 64
 N_SAMPLES = 14
@@ -48,11 +50,11 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selection_raw(spark: SparkSession) -> DataFrame:
     rows = [(s, float(x)) for s, xs in SELECTION.items() for x in xs]
-    return inline_table(spark, rows, "sample_id string, raw double")
+    return inline_table(spark, rows, SELECTION_SCHEMA)
 
 
 def samples(spark: SparkSession) -> DataFrame:
-    return inline_table(spark, SAMPLES, "sample_id string, animal_id string, grp string, batch int")
+    return inline_table(spark, SAMPLES, SAMPLES_SCHEMA)
 
 
 def selected_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,7 +271,7 @@ def m16b(spark, sf_dir):
 
 _THR = {
     "c": """SELECT thr AS threshold, count(*) FILTER (y = 1 AND prob >= thr) AS tp, count(*) FILTER (y = 0 AND prob >= thr) AS fp, count(*) FILTER (y = 0 AND prob < thr) AS tn,
-        count(*) FILTER (y = 1 AND prob < thr) AS fn FROM predictions, (SELECT 0.05::DOUBLE + i * (0.9::DOUBLE / 180) AS thr FROM range(181) t(i)) GROUP BY 1""",
+        count(*) FILTER (y = 1 AND prob < thr) AS fn FROM predictions, (SELECT CASE WHEN i = 180 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 180) END AS thr FROM range(181) t(i)) GROUP BY 1""",
 }
 
 

@@ -11,6 +11,7 @@ from spectraloom.operators import spectra as C
 from spectraloom.plans import fixtures as X
 from spectraloom.plans.fixtures import AXIS, r, rounded, sql
 from spectraloom.plans.registry import query
+from spectraloom.schemas import RECTS as RECTS_SCHEMA
 from spectraloom.sources.cubes import checked_clusters
 
 PIX = ["sample_id", "row", "col"]
@@ -204,7 +205,7 @@ RECTS = [(f"region{i % 3}", f"T{i}", i % 4, 400 + i, i % 5, 12 + i % 9) for i in
           ON s.sample_id = sid AND row >= r0 AND row < r1 AND col >= c0 AND col < c1) GROUP BY 1, 2"""),
 )
 def b6(spark, sf_dir):
-    rects = inline_table(spark, RECTS, "region string, sample_id string, r0 int, r1 int, c0 int, c1 int")
+    rects = inline_table(spark, RECTS, RECTS_SCHEMA)
     inside = S.inside_rectangles(X.spectra(spark, sf_dir), rects)
     long = C.band_long(inside, ["region"])
     return long.groupBy("region", "k").agg(

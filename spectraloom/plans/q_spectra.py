@@ -261,20 +261,31 @@ def c15(spark, sf_dir):
     return probes(C.orient(base, C.sign_reference(base)))
 
 
-@query(
-    "c16_gap_interpolation",
-    sql("spectra", _pivot_probe("""(SELECT sample_id, row, col, k, CASE WHEN isfinite(v) THEN v ELSE coalesce(pv + (nv - pv) * (k - pk) / (nk - pk), pv, nv) END AS v FROM
+_FILLED = """(SELECT sample_id, row, col, k, CASE WHEN isfinite(v) THEN v ELSE coalesce(pv + (nv - pv) * (k - pk) / (nk - pk), pv, nv) END AS v FROM
         (SELECT *, last_value(g IGNORE NULLS) OVER p AS pk, first_value(g IGNORE NULLS) OVER n AS nk,
           last_value(gv IGNORE NULLS) OVER p AS pv, first_value(gv IGNORE NULLS) OVER n AS nv
         FROM (SELECT sample_id, row, col, k, v, CASE WHEN isfinite(v) THEN k END AS g, CASE WHEN isfinite(v) THEN v END AS gv FROM
           (SELECT sample_id, row, col, unnest(range(64)) AS k, unnest(spectrum) AS v FROM holed))
         WINDOW p AS (PARTITION BY sample_id, row, col ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-               n AS (PARTITION BY sample_id, row, col ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"""), holed=HOLED),
+               n AS (PARTITION BY sample_id, row, col ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"""
+
+
+@query(
+    "c16_gap_interpolation",
+    sql("spectra", _pivot_probe(_FILLED), holed=HOLED),
 )
 def c16(spark, sf_dir):
     return probes(C.fill_gaps(holed(spark, sf_dir)))
 
 
+@query(
+    "c12_gap_filled_derivative",
+    sql("spectra", _matrix_oracle(kernels.savgol_matrix(N_BANDS, 15, 2, 2), "filled"), holed=HOLED, filled="SELECT * FROM " + _FILLED),
+)
+def c12c(spark, sf_dir):
+    return probes(C.second_derivative(holed(spark, sf_dir), N_BANDS, 15, 2))
+
+
 @query(
     "c17_offset_anchoring",
     sql("spectra", f"""({probed('list_transform(spectrum, lambda x: x - spectrum[1])', 'spectra', ", 'first' AS mode")})

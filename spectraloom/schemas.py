@@ -1,12 +1,9 @@
 """Fixed schemas of the tables the operators exchange."""
 
+# one row per pixel; absent rows are masked pixels
 SPECTRA = "sample_id string, side string, row int, col int, spectrum array<double>"
 CLUSTERS = "sample_id string, row int, col int, cluster int"
-SELECTION_RAW = "sample_id string, raw double"
+SELECTION = "sample_id string, raw double"
 SAMPLES = "sample_id string, animal_id string, grp string, batch int"
 BACKGROUNDS = "sample_id string, priority int, spectrum array<double>"
-FLIM_FILES = "grp string, sample_id string, channel string, file_ord int, path string"
-FLIM = "grp string, sample_id string, file_ord int, pix int, a1 double, a2 double, tm double"
-POSITIONS = "idx int, x double, y double, z double, grid_row int, grid_col int, label string"
-PHOTONS = "file string, row int, col int, t int, n int"
 RECTS = "region string, sample_id string, r0 int, r1 int, c0 int, c1 int"

@@ -13,9 +13,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.schemas import SPECTRA
-
-CUBE_NAME = r"masked_cube_(.+)\.npz$"
+from spectraloom.schemas import BACKGROUNDS, SPECTRA
+
+# fixed values: file names and arrays of the published inputs
+CUBE_FILES, CUBE_NAME, CUBE_ARRAY = "masked_cube_*.npz", r"masked_cube_(.+)\.npz$", "data"
+LABEL_FILES, LABEL_NAME = "*_umap_kmeans.npz", r"([^/]+)_umap_kmeans\.npz$"
+LABEL_ARRAY, INDEX_ARRAY = "cluster_labels", "pixel_indices"
+BACKGROUND_FILES = [
+    "bg_first300_mean_spectrum_{sid}.npz",
+    "bg_first30_mean_spectrum_{sid}.npz",
+    "bg_mean_spectrum_{sid}.npz",
+    "bg_{sid}.npz",
+]
 BLOCK_VALUES = 4_000_000
 
 
@@ -95,14 +104,14 @@ def _pixels(sample: str, side: str, blocks: Iterator[tuple[int, np.ndarray]]) ->
 
 
 def scan_cubes(
-    spark: SparkSession, folder: str, side: str = "RIGHT", key: str = "data", wanted: DataFrame | None = None
+    spark: SparkSession, folder: str, side: str = "RIGHT", key: str = CUBE_ARRAY, wanted: DataFrame | None = None
 ) -> DataFrame:
     """A1: one row per pixel of every ``masked_cube_{sample}.npz``; fully masked pixels are dropped.
 
     One task per file streams blocks of image rows.  Samples without a file simply
     do not appear; a file without the key or with the wrong rank is an error.
     """
-    files = list_files(spark, folder, "masked_cube_*.npz").select(
+    files = list_files(spark, folder, CUBE_FILES).select(
         "path", F.regexp_extract("path", CUBE_NAME, 1).alias("sample_id")
     )
     if wanted is not None:
@@ -186,15 +195,15 @@ def checked_clusters(raw: DataFrame, width: int, height: int | None = None) -> D
 def scan_clusters(spark: SparkSession, folder: str, shape: tuple[int, int]) -> DataFrame:
     """A3: ``{sample}_umap_kmeans.npz`` with indices as (n, 2), (2, n) or flat."""
     h, w = shape
-    files = list_files(spark, folder, "*_umap_kmeans.npz").select(
-        "path", F.regexp_extract("path", r"([^/]+)_umap_kmeans\.npz$", 1).alias("sample_id")
+    files = list_files(spark, folder, LABEL_FILES).select(
+        "path", F.regexp_extract("path", LABEL_NAME, 1).alias("sample_id")
     )
 
     def read(batches):
         for pdf in batches:
             for path, sample in zip(pdf.path, pdf.sample_id):
                 with open_path(path) as raw, np.load(raw) as z:
-                    labels, at = z["cluster_labels"].ravel(), z["pixel_indices"]
+                    labels, at = z[LABEL_ARRAY].ravel(), z[INDEX_ARRAY]
                     if at.ndim == 2 and at.shape == (len(labels), 2):
                         at = at[:, 0] * w + at[:, 1]
                     elif at.ndim == 2 and at.shape == (2, len(labels)):
@@ -211,7 +220,7 @@ def scan_clusters(spark: SparkSession, folder: str, shape: tuple[int, int]) -> D
     return checked_clusters(raw, w, h)
 
 
-def scan_backgrounds(spark: SparkSession, folder: str, patterns: list[str]) -> DataFrame:
+def scan_backgrounds(spark: SparkSession, folder: str, patterns: list[str] = BACKGROUND_FILES) -> DataFrame:
     """A4: background vectors of each sample, numbered by file-name pattern.
 
     ``patterns`` hold ``{sid}``, best first.  Inside a file the first 1-D numeric
@@ -237,4 +246,4 @@ def scan_backgrounds(spark: SparkSession, folder: str, patterns: list[str]) -> D
                     raise ValueError(f"{path}: no 1-D numeric vector")
                 yield pd.DataFrame({"sample_id": [sid], "priority": [rank], "spectrum": [usable[0].astype("float64")]})
 
-    return listed.repartition("path").mapInPandas(read, "sample_id string, priority int, spectrum array<double>")
+    return listed.repartition("path").mapInPandas(read, BACKGROUNDS)

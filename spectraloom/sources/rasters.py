@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.arrays import null_if_not_finite
 
+# fixed values: layout of the exported text matrices
 HEADER_LINES = 6
 UNPARSABLE = 9999
 SUFFIXES = {"a1": "_740_a1.asc", "a2": "_740_a2.asc", "tm": "_740_color coded value.asc"}

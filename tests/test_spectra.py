@@ -151,3 +151,26 @@ def test_ratio_guards_are_strict(spark):
     ).first()
     assert (one.at_limit, one.capped, one.nan) == (None, 10.0, None)
     assert len(ratio_list()) == 26 and len({r for r, _, _ in ratio_list()}) == 26
+
+
+def test_derivative_of_gappy_spectra(spark, noise):
+    gappy = noise.copy()
+    gappy[0, 4:7] = np.nan
+    gappy[1, :-3] = np.nan
+    out = back(C.second_derivative(frame(spark, gappy), Z, 15, 2))
+    filled = gappy[0].copy()
+    ok = np.isfinite(filled)
+    filled = np.interp(np.arange(Z), np.arange(Z)[ok], filled[ok])
+    m = kernels.savgol_matrix(Z, 15, 2, 2)
+    assert np.allclose(out[0], m @ filled) and out[1] is None and np.allclose(out[2], m @ noise[2])
+
+
+def test_kernels_follow_any_other_step(spark, noise):
+    """Conditional array steps ahead of an Arrow kernel, as the full cleaning chain has them."""
+    df = frame(spark, noise)
+    bg = spark.createDataFrame([("s0", 1, [1.0] * 60)], "sample_id string, priority int, spectrum array<double>")
+    cleaned = C.subtract_background(C.fill_gaps(df), bg)
+    chain = C.normalise_area(C.shift_floor(C.als_correct(cleaned), 0.1), AXIS, [(1655.0, 30.0)])
+    assert len(back(chain)) == len(noise)
+    oriented = C.orient(df, C.sign_reference(df))
+    assert len(back(C.savgol(oriented, Z, 9, 2, 2))) == len(noise)
