@@ -287,16 +287,19 @@ def significance(tested: DataFrame, keys: Sequence[str], alpha: float = 0.05) ->
     )
 
 
-def three_way(sims: DataFrame, value: Column, classes: Sequence[tuple[str, str]]) -> DataFrame:
+def three_way(
+    sims: DataFrame, value: Column, classes: Sequence[tuple[str, str]], keep: Sequence[str] = ()
+) -> DataFrame:
     """J10 input: each class pair as one comparison, rows flagged by side."""
     entries = F.array(
         *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in classes]
     )
-    fanned = sims.select("pair_class", value.alias("value"), F.explode(entries).alias("_c"))
+    fanned = sims.select("pair_class", *keep, value.alias("value"), F.explode(entries).alias("_c"))
     return fanned.where(
         (F.col("pair_class") == F.col("_c.a")) | (F.col("pair_class") == F.col("_c.b"))
     ).select(
         F.concat_ws(" vs ", "_c.a", "_c.b").alias("comparison"),
         (F.col("pair_class") == F.col("_c.a")).alias("is_a"),
+        *keep,
         "value",
     )

@@ -334,7 +334,7 @@ _THREE = {
 def three(spark, sf_dir, n):
     cos = settle(I.sampled_cosines(X.selected_pixels(spark, sf_dir), pairs(spark), n), "cosines")
     kept = E.balance(cos, "pair_class", ["a", "b", "draw"], F.col("cos"))
-    return J.three_way(kept, I.log_distance(F.col("cos")), _CLASSES)
+    return J.three_way(kept, I.log_distance(F.col("cos")), _CLASSES, keep=["a", "b", "draw"])
 
 
 @query(
@@ -349,9 +349,9 @@ def j10(spark, sf_dir):
 
 @query("j10_three_way_interval")
 def j10b(spark, sf_dir):
-    rows = settle(three(spark, sf_dir, 25).withColumn("id", F.monotonically_increasing_id()), "comparisons")
+    rows = settle(three(spark, sf_dir, 25), "comparisons")
     d = J.mann_whitney(rows, ["comparison"], F.col("value"), F.col("is_a"))
-    draws = J.bootstrap_draws(rows, ["comparison"], F.col("value"), F.col("is_a"), ["id"], 50)
+    draws = J.bootstrap_draws(rows, ["comparison"], F.col("value"), F.col("is_a"), ["a", "b", "draw"], 50)
     ci = J.bootstrap_interval(draws, ["comparison"], J.delta_statistic)
     note = F.when((F.col("n_a") < 2) | (F.col("n_b") < 2), "too few values").otherwise("")
     return d.join(ci, "comparison").select(
