@@ -10,6 +10,7 @@ task remembers the ids of those it has met, up to a fixed number.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from spectraloom.llm.common import slices
 
-FRAGMENTS_KEPT = 250_000
+FRAGMENTS_KEPT = 600_000
 _SPACES = (9, 10, 11, 12, 13, 32)
 
 
@@ -68,6 +69,7 @@ def _encoder(spec_text: str) -> Encoder:
 
 class Encoder:
     def __init__(self, spec_text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         spec = json.loads(spec_text)
@@ -85,10 +87,10 @@ class Encoder:
         for text in texts:
             careful = any(u in text for u in self.unsure)
             cut.append((self.careful if careful else self.plain).findall(text))
-        new = [f for f in set().union(*cut) if f not in self.known]
-        if len(self.known) + len(new) > FRAGMENTS_KEPT:
-            self.known.clear()
-            new = list(set().union(*cut))
+        now = set().union(*cut)
+        new = [f for f in now if f not in self.known]
+        if len(self.known) + len(new) > FRAGMENTS_KEPT:  # keep what is in use at the moment
+            self.known = {f: self.known[f] for f in now if f in self.known}
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             fragments = [f.decode() for f in part]
