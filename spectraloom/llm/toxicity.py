@@ -2,8 +2,9 @@
 
 score = sigmoid(b + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed words of a text.
 The pairwise part learns what additive weights cannot, such as an insult next to a group's name.
-Fitting runs on a bounded sample of labelled rows (``SAMPLE_ROWS``) in one task; L1 on the
-weights and a small number of sweeps leave most terms at zero, so the model is a short table.
+Fitting runs on a bounded sample of labelled rows (``SAMPLE_ROWS``) in one task.  Only terms
+whose share of label 1 is far from chance enter, so that the many terms of a long text do not
+drown the few that matter, and the model is a short table.
 Scoring is one pass over the documents without a shuffle.
 """
 
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from spectraloom.llm.common import remainder, slices
 
 SAMPLE_ROWS = 20_000
-LEAST_DOCS = 3
+LEAST_DOCS = 4
+DEVIATIONS = 5.0  # how far from chance a term's share of label 1 must be to enter the machine
 FACTORS = 4
-SWEEPS = 12
-BATCH = 256
+STEPS = 300
+RATE = 0.05
+DECAY = 0.1
 TERMS_KEPT = 300_000
 _TERM = re.compile(r"[^\W_]+")
 
@@ -54,9 +57,8 @@ class Model:
     factor: np.ndarray
 
     def score(self, hashes: np.ndarray) -> float:
-        at = np.searchsorted(self.term, hashes)
-        at = at[at < len(self.term)] if len(self.term) else at[:0]
-        hit = at[np.isin(self.term[at], hashes, assume_unique=True)] if len(at) else at
+        at = np.minimum(np.searchsorted(self.term, hashes), max(0, len(self.term) - 1))
+        hit = at[self.term[at] == hashes] if len(self.term) else at[:0]
         v = self.factor[hit]
         pairs = 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum()) if len(hit) else 0.0
         z = self.bias + float(self.weight[hit].sum()) + pairs
@@ -64,10 +66,10 @@ class Model:
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Mini-batch AdaGrad on log loss; soft-thresholded weights, decayed factors.
+    """Adam on log loss over all rows, weights and factors decayed.
 
-    Terms in fewer than LEAST_DOCS texts are left out.  With one class or no rows at all the
-    model is the smoothed share of label 1.
+    Terms in fewer than LEAST_DOCS texts, or with a share of label 1 that chance may give, are
+    left out.  With one class or no rows at all the model is the smoothed share of label 1.
     """
     y = np.array(labels, np.float64)
     positive = float(y.sum())
@@ -78,55 +80,42 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         return empty
     known = _Terms()
     found = [terms(t, known) for t in texts]
-    vocabulary, count = np.unique(np.concatenate(found), return_counts=True)
-    vocabulary = vocabulary[count >= LEAST_DOCS]
+    every, back = np.unique(np.concatenate(found), return_inverse=True)
+    label_of = np.repeat(y, [len(f) for f in found])
+    count, toxic = np.bincount(back), np.bincount(back, label_of)
+    share = positive / len(y)
+    apart = np.abs(toxic - count * share) / np.sqrt(count * share * (1 - share))
+    vocabulary = every[(count >= LEAST_DOCS) & (apart >= DEVIATIONS)]
     if not len(vocabulary):
         return empty
     cols, size = [], []
     for hashes in found:
-        at = np.searchsorted(vocabulary, hashes)
-        at = at[at < len(vocabulary)]
-        hit = at[np.isin(vocabulary[at], hashes, assume_unique=True)]
-        cols.append(hit)
-        size.append(len(hit))
+        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        cols.append(at[vocabulary[at] == hashes])
+        size.append(len(cols[-1]))
+    flat = np.concatenate(cols).astype(np.int64)
+    owner = np.repeat(np.arange(len(y)), size)
     rng = np.random.default_rng(seed)
-    w, gw = np.zeros(len(vocabulary)), np.full(len(vocabulary), 1e-6)
-    v = rng.normal(0, 0.01, (len(vocabulary), FACTORS))
-    gv = np.full((len(vocabulary), FACTORS), 1e-6)
-    bias, gb = empty.bias, 1e-6
-    l1, l2, rate = 2e-4, 1e-4, 0.2
-    for _ in range(SWEEPS):
-        order = rng.permutation(len(y))
-        for start in range(0, len(order), BATCH):
-            rows = order[start : start + BATCH]
-            flat = np.concatenate([cols[r] for r in rows]).astype(np.int64)
-            owner = np.repeat(np.arange(len(rows)), [size[r] for r in rows])
-            vf = v[flat]
-            total = np.stack(
-                [np.bincount(owner, vf[:, f], len(rows)) for f in range(FACTORS)], axis=1
-            )
-            squares = np.bincount(owner, (vf**2).sum(axis=1), len(rows))
-            z = bias + np.bincount(owner, w[flat], len(rows)) + 0.5 * ((total**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[rows]) / len(rows)
-            touched, back = np.unique(flat, return_inverse=True)
-            grad = np.bincount(back, error[owner], len(touched))
-            gw[touched] += grad**2
-            step = rate / np.sqrt(gw[touched])
-            moved = w[touched] - step * grad
-            w[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            pull = error[owner][:, None] * (total[owner] - vf)
-            grad_v = np.stack(
-                [np.bincount(back, pull[:, f], len(touched)) for f in range(FACTORS)], axis=1
-            )
-            grad_v += l2 * v[touched]
-            gv[touched] += grad_v**2
-            v[touched] -= rate * 0.25 * grad_v / np.sqrt(gv[touched])
-            g = float(error.sum())
-            gb += g * g
-            bias -= rate * g / np.sqrt(gb)
-    v[np.abs(w) < 1e-9] *= 0.0  # terms without weight of their own take no part in pairs
-    used = np.abs(w) >= 1e-9
-    return Model(float(bias), vocabulary[used], w[used], v[used])
+    n, m = len(y), len(vocabulary)
+    # bias, weights, factors in one vector; factors start small and are decayed more
+    x = np.concatenate([[empty.bias], np.zeros(m), rng.normal(0, 0.05, m * FACTORS)])
+    decay = np.concatenate([[0.0], np.full(m, DECAY), np.full(m * FACTORS, 5 * DECAY)])
+    first, second = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, STEPS + 1):
+        bias, w, v = x[0], x[1 : m + 1], x[m + 1 :].reshape(m, FACTORS)
+        vf = v[flat]
+        total = np.stack([np.bincount(owner, vf[:, f], n) for f in range(FACTORS)], axis=1)
+        squares = np.bincount(owner, (vf**2).sum(axis=1), n)
+        z = bias + np.bincount(owner, w[flat], n) + 0.5 * ((total**2).sum(axis=1) - squares)
+        error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
+        pull = error[owner][:, None] * (total[owner] - vf)
+        grad_v = np.stack([np.bincount(flat, pull[:, f], m) for f in range(FACTORS)], axis=1)
+        grad = np.concatenate([[error.sum()], np.bincount(flat, error[owner], m), grad_v.ravel()]) + decay * x
+        first = 0.9 * first + 0.1 * grad
+        second = 0.99 * second + 0.01 * grad**2
+        pace = RATE * min(1.0, 3 * (1 - step / (STEPS + 1)))
+        x = x - pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return Model(float(x[0]), vocabulary, x[1 : m + 1], x[m + 1 :].reshape(m, FACTORS))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
