@@ -25,7 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import slices, words_of
@@ -36,6 +36,7 @@ WORDS_KEPT = 300_000
 SKETCH_BITS = 2048
 LIST_BLOCK = 4096
 CLUSTER_BLOCK = 1024
+SIEVE_BITS = 1 << 24
 
 
 class _WordHashes(dict):
@@ -121,25 +122,51 @@ def _shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
-def _contents(df: DataFrame, k: int) -> DataFrame:
-    """Whole token arrays of the given rows (rep, key, text)."""
+def _sieve(ids: DataFrame, name: str) -> tuple[list[Column], np.ndarray]:
+    """Bloom filter of a column: where to look for a row, and a bitmap of fixed size.
+
+    A full bitmap lets everything pass; it only spares work, a join decides.
+    """
+    places = [F.pmod(F.xxhash64(name, F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)]
+    set_bits = (
+        ids.select(F.explode(F.array(*places)).alias("p"))
+        .groupBy(F.expr("p div 64").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+        .toArrow()  # at most SIEVE_BITS / 64 rows
+    )
+    bitmap = np.zeros(SIEVE_BITS // 64, np.int64)
+    bitmap[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy()
+    return places, np.unpackbits(bitmap.view(np.uint8), bitorder="little").view(bool)
+
+
+def _contents(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``(rep, tokens)``: whole token arrays of the wanted documents (rep, key).
+
+    Texts are sieved by doc_id where they are read, so that only the wanted ones' tokens move.
+    """
+    places, bitmap = _sieve(wanted, "rep")
+    ship, tries = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap)), len(places)
+    rows = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
+    rows = rows.where("rep IS NOT NULL").select("rep", "text", *[p.alias(f"p{i}") for i, p in enumerate(places)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in slices(batches, 200):
-            tokens = [shingle_hashes(words_of(t), k, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([xxhash.xxh3_128_digest(t.tobytes()) for t in tokens], pa.binary()),
-                    pa.array([t.tobytes() for t in tokens], pa.binary()),
-                ],
-                names=["rep", "key", "tokens"],
-            )
-
-    return df.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "rep bigint, key binary, tokens binary"
-    )
+        bits = np.unpackbits(ship.value).view(bool)
+        for batch in batches:
+            hit = np.logical_and.reduce([bits[batch.column(f"p{i}").to_numpy()] for i in range(tries)])
+            for part in slices([batch.filter(pa.array(hit))], 200):
+                tokens = [shingle_hashes(words_of(t), k, known) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("rep"),
+                        pa.array([xxhash.xxh3_128_digest(t.tobytes()) for t in tokens], pa.binary()),
+                        pa.array([t.tobytes() for t in tokens], pa.binary()),
+                    ],
+                    names=["rep", "key", "tokens"],
+                )
+
+    found = rows.mapInArrow(run, "rep bigint, key binary, tokens binary")
+    return found.join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep"]).select("rep", "tokens")
 
 
 def _ties_of_list(rep, n, pos, side, sketch, percent: int) -> Iterator[tuple[int, int]]:
@@ -342,10 +369,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # entries that only one set holds say nothing; sets left with too few can have no link
     least = f"(({percent} * n + 99) div 100)"  # the smallest partner decides how many it must share
     share = F.expr(f"greatest(1, ({least} - ({percent} * {least} + 99) div 100) div 2)")
-    entry = reps.select("rep", share.alias("share"), F.explode("lead").alias("token"))
+    entry = reps.select("rep", F.explode("lead").alias("token"))
     shared = entry.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    busy = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("hits"), F.max("share").alias("share"))
-    busy = settle(busy.where("hits >= share").select("rep"), "busy")
+    hits = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
+    busy = settle(hits.join(reps.select("rep", "n"), "rep").where(F.col("hits") >= share).select("rep"), "busy")
 
     lead = F.expr(f"slice(lead, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
     rows = reps.join(busy, "rep", "left_semi").select(
@@ -378,11 +405,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     wanted = clusters.join(reps.select(F.col("rep").alias("node"), "key"), "node").select(
         F.col("node").alias("rep"), "key"
     )
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    held = settle(
-        _contents(texts, k).join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep"]).drop("key"),
-        "contents",
-    )
+    held = settle(_contents(docs, settle(wanted, "wanted"), k), "contents")
     pairs = ties.join(held.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(
         held.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b"
     )
