@@ -8,15 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, jaccard, lm, mixing, pii, quality, shards, topk, toxicity
+from spectraloom.llm import bpe, chat, jaccard, lm, mixing, oracles, pii, quality, shards, topk, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def levels() -> dict:
-    """Domain (from the source's name), language, source."""
-    name = F.coalesce("source", F.lit("")).cast("binary")
-    domain = F.concat(F.lit("d"), F.pmod(F.crc32(name), F.lit(3)).cast("string"))
+    """Domain (the number that ends the source's name, modulo 3), language, source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "[0-9]+$", 0).try_cast("bigint")
+    domain = F.concat(F.lit("d"), F.pmod(F.coalesce(number, F.lit(0)), F.lit(3)).cast("string"))
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
@@ -103,4 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": oracles.CHAT,
+    "op2_exact_top_k": oracles.TOP_K,
+    "op6_source_mixing": oracles.mixing(WEIGHTS, percent=80, epochs=2, seed=0),
+    "op8_jaccard_join": oracles.jaccard(k=3, percent=90),
+}
