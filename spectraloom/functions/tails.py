@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -13,25 +14,51 @@ from pyspark.sql import functions as F
 EXACT_LIMIT = 8
 
 
-@lru_cache(maxsize=256)
-def _u_distribution(n_a: int, n_b: int) -> np.ndarray:
-    """Number of arrangements for each U, from the product of Gaussian binomials."""
-    ways = np.zeros(n_a * n_b + 1)
-    ways[0] = 1.0
-    for i in range(1, n_a + 1):
-        up = n_b + i
-        for u in range(len(ways) - 1, up - 1, -1):
-            ways[u] -= ways[u - up]
-        for u in range(i, len(ways)):
-            ways[u] += ways[u - i]
-    return ways
+@lru_cache(maxsize=16)
+def _part_table(parts: int) -> tuple[int, list[int]]:
+    """(period, counts): ways to fill up to y with parts 1..n, for the first periods.
+
+    Within one residue of the period the count is a polynomial of degree ``parts`` in y.
+    """
+    period = math.lcm(*range(1, parts + 1))
+    ways = [1] * (period * (parts + 1))  # a slack of any size
+    for part in range(1, parts + 1):
+        for y in range(part, len(ways)):
+            ways[y] += ways[y - part]
+    return period, ways
+
+
+def _filled(parts: int, y: int) -> int:
+    """Ways to fill up to y with parts 1..n, exact for any y."""
+    period, ways = _part_table(parts)
+    if y < len(ways):
+        return ways[y] if y >= 0 else 0
+    step, rest = divmod(y, period)
+    total = Fraction(0)
+    for j in range(parts + 1):  # Lagrange through the first periods
+        term = Fraction(ways[rest + j * period])
+        for i in range(parts + 1):
+            if i != j:
+                term *= Fraction(step - i, j - i)
+        total += term
+    return int(total)
 
 
 def exact_u_p(u: float, n_a: int, n_b: int) -> float:
-    ways = _u_distribution(min(n_a, n_b), max(n_a, n_b))
+    """Two-sided exact p; the cost depends on the smaller group only.
+
+    Arrangements by U are the coefficients of prod (1 - q^(n+i)) / (1 - q^i); their sum up to
+    a limit follows by inclusion and exclusion over the numerator's factors.
+    """
+    small, large = sorted((n_a, n_b))
     extreme = max(u, n_a * n_b - u)
-    tail = ways[int(math.ceil(extreme)) :].sum() / ways.sum()
-    return float(min(1.0, 2.0 * tail))
+    limit = n_a * n_b - math.ceil(extreme)  # the distribution is symmetric
+    count = 0
+    for chosen in range(1 << small):
+        used = sum(large + i + 1 for i in range(small) if chosen >> i & 1)
+        if used <= limit:
+            count += (-1) ** chosen.bit_count() * _filled(small, limit - used)
+    return float(min(Fraction(1), Fraction(2 * count, math.comb(small + large, small))))
 
 
 def normal_u_p(u: float, n_a: float, n_b: float, ties: float) -> float:
@@ -43,14 +70,16 @@ def normal_u_p(u: float, n_a: float, n_b: float, ties: float) -> float:
     return float(min(1.0, math.erfc(z / math.sqrt(2.0))))
 
 
-def mann_whitney_p(u: str, n_a: str, n_b: str, ties: str) -> Column:
+def mann_whitney_p(u: str, n_a: str, n_b: str, ties: str, exact: bool = True) -> Column:
+    """Two-sided p: exact for tie-free groups of which one is small, if wanted, else normal."""
+
     @F.pandas_udf("double")
     def p(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series) -> pd.Series:
         out = []
         for s, a, b, t in zip(u, n_a, n_b, ties):
             if a == 0 or b == 0:
                 out.append(None)
-            elif min(a, b) <= EXACT_LIMIT and max(a, b) <= 1000 and t == 0:
+            elif exact and min(a, b) <= EXACT_LIMIT and t == 0:
                 out.append(exact_u_p(s, int(a), int(b)))
             else:
                 out.append(normal_u_p(s, float(a), float(b), float(t)))

@@ -93,10 +93,13 @@ def two_group_stats(
     return cliffs_delta(base, keys, F.col("_v"), F.col("_is_a")).join(moments, keys).join(medians, keys)
 
 
-def mann_whitney(rows: DataFrame, keys: Sequence[str], value: Column, is_a: Column) -> DataFrame:
-    """U with its two-sided p-value: exact for small tie-free groups, else normal."""
+def mann_whitney(
+    rows: DataFrame, keys: Sequence[str], value: Column, is_a: Column, exact: bool = True
+) -> DataFrame:
+    """U with its two-sided p-value: exact for small tie-free groups, else (or if not
+    ``exact``) normal."""
     counted = rank_counts(rows, keys, value, is_a)
-    return counted.withColumn("p", mann_whitney_p("u", "n_a", "n_b", "ties"))
+    return counted.withColumn("p", mann_whitney_p("u", "n_a", "n_b", "ties", exact))
 
 
 def stars(p: Column) -> Column:
@@ -261,11 +264,11 @@ def max_t(
     if statistic == "welch":
         noise = F.sqrt(F.var_samp(va) / F.count(va) + F.var_samp(vb) / F.count(vb))
         gap = F.try_divide(gap, noise)
-    # fixed digits, so that equal statistics stay equal however their sums were ordered
-    stat = settle(both.groupBy("rep", "band").agg(F.round(gap, 9).alias("obs")), "perm")
+    stat = settle(both.groupBy("rep", "band").agg(gap.alias("obs")), "perm")
     obs = stat.where("rep = 0").select("band", "obs")
     maxima = stat.where("rep > 0").groupBy("rep").agg(F.max(F.abs("obs")).alias("_m"))
-    steps = obs.select(F.abs("obs").alias("_v"), F.lit(0).alias("_hit"), "band", "obs").unionByName(
+    # a relative slack, so that equal statistics count as equal however their sums were ordered
+    steps = obs.select((F.abs("obs") * (1 - 1e-12)).alias("_v"), F.lit(0).alias("_hit"), "band", "obs").unionByName(
         maxima.select(
             F.col("_m").alias("_v"), F.lit(1).alias("_hit"),
             F.lit(None).cast("int").alias("band"), F.lit(None).cast("double").alias("obs"),

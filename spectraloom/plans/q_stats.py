@@ -17,6 +17,9 @@ from spectraloom.plans.q_bands import wide_bands
 from spectraloom.plans.registry import query
 from spectraloom.session import settle
 
+#: Draws per sample pair, preference pairs and permutations, as in the workflow.
+N_DRAWS, N_PREFERENCES, N_PERMUTATIONS = 20_000, 200_000, 5_000
+
 UNIT = """SELECT sample_id, grp, row, col, list_transform(spectrum, lambda x: x / (sqrt(list_sum(list_transform(spectrum, lambda y: y * y))) + 1e-12)) AS u FROM selected"""
 CLASS = "CASE WHEN a.grp = b.grp THEN a.grp || '-' || b.grp ELSE 'A-B' END"
 
@@ -36,18 +39,6 @@ def i1(spark, sf_dir):
     return out.select("pair_class", *rounded("mean_cos"), "n_cosines", "n_pairs")
 
 
-@query(
-    "i1_cosine_distribution",
-    sql("selected", f"""SELECT pair_class, CAST(floor((list_dot_product(a.u, b.u) + 1.0) / 2.0 * 50) AS INT) AS bin, count(*) AS n
-        FROM (SELECT a.u AS u, a.sample_id, a.grp FROM unit a) a JOIN unit b ON a.sample_id < b.sample_id, LATERAL (SELECT {CLASS} AS pair_class) GROUP BY 1, 2""",
-        unit=UNIT + " WHERE true").replace("FROM selected WHERE true", """FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5(concat_ws('|', 'cap', sample_id, row, col)), row, col) AS rn FROM selected) WHERE rn <= 2000"""),
-)
-def i1b(spark, sf_dir):
-    ids = ["sample_id", "row", "col"]
-    capped = E.cap_rows(X.selected_pixels(spark, sf_dir), ["sample_id"], ids, 2000)
-    return I.cosine_histogram(capped, pairs(spark), 50)
-
-
 @query(
     "i2_mean_spectrum_cosines",
     sql("long", f"""SELECT a, b, pair_class, {r('dp / sqrt(na * nb)', 'cos')} FROM (SELECT a.sample_id AS a, b.sample_id AS b, any_value({CLASS}) AS pair_class, sum(a.m * b.m) AS dp,
@@ -83,19 +74,30 @@ def sampled(body: str, n: int, **extra: str) -> str:
     return sql("selected", body, **_SAMPLED, **extra).replace("PAIRS", str(n))
 
 
-@query("i4_sampled_cosines", sampled(f"SELECT a, b, pair_class, CAST(draw AS INT) AS draw, {r('cos', 'cos')} FROM cs", 100))
+@query(
+    "i1_cosine_distribution",
+    sampled("SELECT pair_class, CAST(floor((cos + 1.0) / 2.0 * 50) AS INT) AS bin, count(*) AS n FROM cs GROUP BY 1, 2", N_DRAWS),
+)
+def i1b(spark, sf_dir):
+    """The distribution of all cosines, estimated on I4's draws."""
+    cos = I.sampled_cosines(X.selected_pixels(spark, sf_dir), pairs(spark), N_DRAWS)
+    spot = F.floor((F.col("cos") + 1.0) / 2.0 * 50).cast("int")
+    return cos.groupBy("pair_class", spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i4_sampled_cosines", sampled(f"SELECT a, b, pair_class, CAST(draw AS INT) AS draw, {r('cos', 'cos')} FROM cs", N_DRAWS))
 def i4(spark, sf_dir):
-    out = I.sampled_cosines(X.selected_pixels(spark, sf_dir), pairs(spark), 100)
+    out = I.sampled_cosines(X.selected_pixels(spark, sf_dir), pairs(spark), N_DRAWS)
     return out.select("a", "b", "pair_class", "draw", *rounded("cos"))
 
 
 @query(
     "i5_pair_median_matrix",
     sampled(f"""SELECT a, b, {r('cos', 'cos')} FROM (SELECT a, b, cos FROM md UNION ALL SELECT b, a, cos FROM md UNION ALL SELECT sample_id, sample_id, 1.0 FROM samples)""",
-            100, md="SELECT a, b, median(cos) AS cos FROM cs GROUP BY 1, 2"),
+            N_DRAWS, md="SELECT a, b, median(cos) AS cos FROM cs GROUP BY 1, 2"),
 )
 def i5(spark, sf_dir):
-    cos = settle(I.sampled_cosines(X.selected_pixels(spark, sf_dir), pairs(spark), 100), "cosines")
+    cos = settle(I.sampled_cosines(X.selected_pixels(spark, sf_dir), pairs(spark), N_DRAWS), "cosines")
     return I.median_matrix(cos, X.samples(spark)).select("a", "b", *rounded("cos"))
 
 
@@ -250,7 +252,7 @@ def j6(spark, sf_dir):
     "j6_sampled_preference",
     f"""WITH o AS (SELECT event_type, user_id % 2 AS g, value, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY event_id) - 1 AS pos FROM events),
     n AS (SELECT event_type, count(*) FILTER (g = 0) AS nl, count(*) FILTER (g = 1) AS nr FROM o GROUP BY 1),
-    d AS (SELECT event_type, nl, nr, unnest(range(1, least(5000, nl * nr) + 1)) AS draw FROM n)
+    d AS (SELECT event_type, nl, nr, unnest(range(1, least({N_PREFERENCES}, nl * nr) + 1)) AS draw FROM n)
     SELECT d.event_type, round(avg((l.value > r.value)::INT), 9) + 0.0 AS p_a, round(avg((l.value < r.value)::INT), 9) + 0.0 AS p_b, round(avg((l.value = r.value)::INT), 9) + 0.0 AS p_tie FROM d
     JOIN o l ON l.event_type = d.event_type AND l.g = 0 AND l.pos = {HASH.format(parts="'pairs-l', d.event_type, draw")} % nl
     JOIN o r ON r.event_type = d.event_type AND r.g = 1 AND r.pos = {HASH.format(parts="'pairs-r', d.event_type, draw")} % nr GROUP BY 1""",
@@ -258,7 +260,7 @@ def j6(spark, sf_dir):
 def j6b(spark, sf_dir):
     ev = X.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value")
     left, right = ev.where(F.col("user_id") % 2 == 0), ev.where(F.col("user_id") % 2 == 1)
-    drawn = E.draw_pairs(left, right, ["event_type"], ["event_id"], ["value"], 5000)
+    drawn = E.draw_pairs(left, right, ["event_type"], ["event_id"], ["value"], N_PREFERENCES)
     out = J.preference(drawn, ["event_type"], "value_l", "value_r")
     return out.select("event_type", *rounded("p_a", "p_b", "p_tie", digits=9))
 
@@ -288,9 +290,9 @@ def _max_t(n: int, stat: str) -> dict[str, str]:
         "u": "SELECT DISTINCT sample_id, grp_a, batch FROM m",
         "dealt": f"""SELECT sample_id, rep, row_number() OVER (PARTITION BY rep, batch ORDER BY md5(concat_ws('|', 'perm', rep, sample_id)), sample_id) <= need AS in_a
             FROM u JOIN (SELECT batch, count(*) FILTER (grp_a) AS need FROM u GROUP BY 1) USING (batch), (SELECT unnest(range(1, {n + 1})) AS rep)""",
-        "st": f"""SELECT rep, k, round({gap}, 9) AS s FROM (SELECT 0 AS rep, k, m, grp_a AS in_a FROM m UNION ALL SELECT rep, k, m, in_a FROM dealt JOIN m USING (sample_id)) GROUP BY 1, 2""",
+        "st": f"""SELECT rep, k, {gap} AS s FROM (SELECT 0 AS rep, k, m, grp_a AS in_a FROM m UNION ALL SELECT rep, k, m, in_a FROM dealt JOIN m USING (sample_id)) GROUP BY 1, 2""",
         "mx": "SELECT rep, max(abs(s)) AS t FROM st WHERE rep > 0 GROUP BY 1",
-        "res": f"SELECT k, s AS obs, ((SELECT count(*) FROM mx WHERE t >= abs(s)) + 1) / {n + 1}.0::DOUBLE AS p FROM st WHERE rep = 0",
+        "res": f"SELECT k, s AS obs, ((SELECT count(*) FROM mx WHERE t >= abs(s) * (1 - 1e-12::DOUBLE)) + 1) / {n + 1}.0::DOUBLE AS p FROM st WHERE rep = 0",
     }
 
 
@@ -302,21 +304,21 @@ def curves(spark, sf_dir):
     )
 
 
-@query("j8_max_t_difference", sql("selected", f"SELECT CAST(k AS INT) AS band, {r('obs', 'obs')}, {r('p', 'p')} FROM res", **_max_t(200, "diff")))
+@query("j8_max_t_difference", sql("selected", f"SELECT CAST(k AS INT) AS band, {r('obs', 'obs')}, {r('p', 'p')} FROM res", **_max_t(N_PERMUTATIONS, "diff")))
 def j8(spark, sf_dir):
-    out = J.max_t(settle(curves(spark, sf_dir), "curves"), 200)
+    out = J.max_t(settle(curves(spark, sf_dir), "curves"), N_PERMUTATIONS)
     return out.select("band", *rounded("obs", "p"))
 
 
-@query("j8_max_t_welch", sql("selected", f"SELECT CAST(k AS INT) AS band, {r('obs', 'obs')}, {r('p', 'p')} FROM res", **_max_t(100, "welch")))
+@query("j8_max_t_welch", sql("selected", f"SELECT CAST(k AS INT) AS band, {r('obs', 'obs')}, {r('p', 'p')} FROM res", **_max_t(N_PERMUTATIONS, "welch")))
 def j8b(spark, sf_dir):
-    out = J.max_t(settle(curves(spark, sf_dir), "curves"), 100, "welch")
+    out = J.max_t(settle(curves(spark, sf_dir), "curves"), N_PERMUTATIONS, "welch")
     return out.select("band", *rounded("obs", "p"))
 
 
-@query("j9_significant_bands", sql("selected", "SELECT count(*) FILTER (p < 0.9) AS n_sig, count(*) AS n_bands FROM res", **_max_t(100, "diff")))
+@query("j9_significant_bands", sql("selected", "SELECT count(*) FILTER (p < 0.9) AS n_sig, count(*) AS n_bands FROM res", **_max_t(N_PERMUTATIONS, "diff")))
 def j9(spark, sf_dir):
-    return J.significance(J.max_t(settle(curves(spark, sf_dir), "curves"), 100), [], alpha=0.9)
+    return J.significance(J.max_t(settle(curves(spark, sf_dir), "curves"), N_PERMUTATIONS), [], alpha=0.9)
 
 
 _CLASSES = [("A-A", "B-B"), ("A-A", "A-B"), ("B-B", "A-B")]
@@ -350,13 +352,14 @@ def j10(spark, sf_dir):
 @query("j10_three_way_interval")
 def j10b(spark, sf_dir):
     rows = settle(three(spark, sf_dir, 25), "comparisons")
-    d = J.mann_whitney(rows, ["comparison"], F.col("value"), F.col("is_a"))
+    d = J.mann_whitney(rows, ["comparison"], F.col("value"), F.col("is_a"), exact=False)
     draws = J.bootstrap_draws(rows, ["comparison"], F.col("value"), F.col("is_a"), ["a", "b", "draw"], 50)
     ci = J.bootstrap_interval(draws, ["comparison"], J.delta_statistic)
-    note = F.when((F.col("n_a") < 2) | (F.col("n_b") < 2), "too few values").otherwise("")
-    return d.join(ci, "comparison").select(
-        "comparison", "n_a", "n_b", J.delta_of(F.col("u"), F.col("n_a"), F.col("n_b")).alias("delta"), "p", "lo", "hi",
-        note.alias("note"),
+    few = (F.col("n_a") < 2) | (F.col("n_b") < 2)  # such comparisons are skipped, with a note
+    found = d.join(ci, "comparison").withColumn("delta", J.delta_of(F.col("u"), F.col("n_a"), F.col("n_b")))
+    return found.select(
+        "comparison", "n_a", "n_b", *[F.when(~few, F.col(c)).alias(c) for c in ("delta", "p", "lo", "hi")],
+        F.when(few, "too few values").otherwise("").alias("note"),
     )
 
 
