@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from spectraloom.functions.arrays import is_finite
 from spectraloom.session import settle
 
-SMALL_GROUP_ROWS = 1_000_000
-SMALL_TOTAL_ROWS = 100_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -25,41 +23,21 @@ def exact_quantiles(
     keys: Sequence[str],
     value: Column,
     probs: Mapping[str, float],
-    small_group_rows: int = SMALL_GROUP_ROWS,
+    accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Linearly interpolated quantiles of the finite values per group, exact at any size.
 
-    Groups are counted first.  While the largest and their total are small, values
-    are ranked by a sort inside each group.  Beyond, shuffling every value would be
-    the bottleneck, and a hot group would sort in one task: a quantile sketch brackets each wanted rank, one aggregation keeps only the values inside the
-    brackets (counts elsewhere), and the rank is read off there.  A rank the sketch
-    failed to bracket gets its bucket in a further pass.
+    Count and a quantile sketch are taken in one aggregation.  The sketch brackets each
+    wanted rank, a second aggregation keeps only the values inside the brackets (counts
+    elsewhere), and the rank is read off there.  A rank the sketch failed to bracket gets
+    its bucket in a further pass.
 
     The result (one row per group) is settled: its true size decides whether a
     join with it broadcasts, so the pixels it is joined to need not be shuffled.
     """
     keys = list(keys)
     values = df.where(is_finite(value)).select(*keys, value.cast("double").alias("_v"))
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    biggest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    if biggest is None or (biggest <= small_group_rows and total <= SMALL_TOTAL_ROWS):
-        return settle(_sorted_quantiles(values, keys, probs), "quantiles")
-    return settle(_bracketed_quantiles(values, keys, probs), "quantiles")
-
-
-def _sorted_quantiles(values: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
-    group = Window.partitionBy(*keys)
-    ranked = values.withColumn("_at", F.row_number().over(group.orderBy("_v")) - 1).withColumn(
-        "_top", F.count(F.lit(1)).over(group) - 1
-    )
-    found = []
-    for name, p in probs.items():
-        at = f"({float(p)!r}D * _top)"
-        lo = f"max(if(_at = floor{at}, _v, NULL))"
-        hi = f"max(if(_at = ceil{at}, _v, NULL))"
-        frac = f"max({at} - floor{at})"
-        found.append(F.expr(f"{lo} + ({hi} - {lo}) * {frac}").alias(name))
-    return ranked.groupBy(*keys).agg(*found)
+    return settle(_bracketed_quantiles(values, keys, probs, accuracy), "quantiles")
 
 
 def _bracketed_quantiles(
@@ -87,15 +65,15 @@ def _bracketed_quantiles(
     )
     counted = settle(
         tagged.groupBy(*keys, "_bucket", F.when(F.col("_inside"), F.col("_v")).alias("_v")).agg(
-            F.count(F.lit(1)).alias("_c")
+            F.count(F.lit(1)).alias("_rows")
         ),
         "brackets",
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
         counted.groupBy(*keys, "_bucket")
-        .agg(F.sum("_c").alias("_c"), F.bool_or(F.col("_v").isNull()).alias("_collapsed"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        .agg(F.sum("_rows").alias("_rows"), F.bool_or(F.col("_v").isNull()).alias("_collapsed"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     )
     asks = [
         F.struct(
@@ -112,19 +90,16 @@ def _bracketed_quantiles(
             F.array_distinct(F.array(F.floor("_ask.at"), F.ceil("_ask.at")))
         ).alias("_rank"),
     )
-    wanted = settle(
-        ranks.join(buckets, keys).where(
-            (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
-        ).drop("_c"),
-        "ranks",
-    )
+    wanted = ranks.join(buckets, keys).where(
+        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows"))
+    ).drop("_rows")
     kept = counted.where(F.col("_v").isNotNull())
     missed = wanted.where("_collapsed").select(*keys, "_bucket").distinct()
     if missed.take(1):
         kept = kept.unionByName(
             tagged.join(missed, [*keys, "_bucket"], "left_semi")
             .groupBy(*keys, "_bucket", "_v")
-            .agg(F.count(F.lit(1)).alias("_c"))
+            .agg(F.count(F.lit(1)).alias("_rows"))
         )
     upto = (
         Window.partitionBy(*keys, "_bucket")
@@ -133,9 +108,9 @@ def _bracketed_quantiles(
     )
     placed = kept.join(
         wanted.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi"
-    ).withColumn("_upto", F.sum("_c").over(upto))
+    ).withColumn("_upto", F.sum("_rows").over(upto))
     hits = placed.join(wanted, [*keys, "_bucket"]).where(
-        (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_c"))
+        (F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_rows"))
         & (F.col("_rank") < F.col("_before") + F.col("_upto"))
     )
     lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,8 +34,8 @@ def build_session(cores: str = "*", app: str = "spectraloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back on a folder of its own: on a cluster a
-    machine-local folder would be lost with its machine.
+    Where it is unset, a local session sets a folder of its own, removed when Python
+    ends; on a cluster a machine-local folder would be lost with its machine.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spectraloom-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", _own_folder)
     return _own_folder
 
 
