@@ -175,9 +175,8 @@ def a10(spark, sf_dir):
     wide = wide_bands(spark, sf_dir)
     thr = settle(guard_thresholds(B.bands_long(wide, ["sample_id"]), ["sample_id", "band"]), "thr")
     ratios = settle(B.sample_ratios(wide, ratio_list(), ["sample_id", "grp", "row", "col"], thresholds=thr), "ratios")
-    from spectraloom.catalog import bands_table
 
-    catalogue = B.ratio_catalogue(bands_table(spark))
+    catalogue = B.ratio_catalogue(spark)
     num = thr.select("sample_id", F.col("band").alias("num_band"), "num_thr")
     den = thr.select("sample_id", F.col("band").alias("den_band"), "den_thr")
     states = (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from urllib.parse import quote
 
 import numpy as np
@@ -192,9 +192,14 @@ def checked_clusters(raw: DataFrame, width: int, height: int | None = None) -> D
     )
 
 
-def scan_clusters(spark: SparkSession, folder: str, shape: tuple[int, int]) -> DataFrame:
-    """A3: ``{sample}_umap_kmeans.npz`` with indices as (n, 2), (2, n) or flat."""
-    h, w = shape
+def scan_clusters(
+    spark: SparkSession, folder: str, shape: tuple[int, int] | Mapping[str, tuple[int, int]]
+) -> DataFrame:
+    """A3: ``{sample}_umap_kmeans.npz`` with indices as (n, 2), (2, n) or flat.
+
+    ``shape`` is the image's (rows, columns), one for all or one per sample.
+    """
+    shapes = dict(shape) if isinstance(shape, Mapping) else None
     files = list_files(spark, folder, LABEL_FILES).select(
         "path", F.regexp_extract("path", LABEL_NAME, 1).alias("sample_id")
     )
@@ -202,22 +207,25 @@ def scan_clusters(spark: SparkSession, folder: str, shape: tuple[int, int]) -> D
     def read(batches):
         for pdf in batches:
             for path, sample in zip(pdf.path, pdf.sample_id):
+                h, w = shapes[sample] if shapes is not None else shape
                 with open_path(path) as raw, np.load(raw) as z:
-                    labels, at = z[LABEL_ARRAY].ravel(), z[INDEX_ARRAY]
+                    labels, at = z[LABEL_ARRAY].ravel(), z[INDEX_ARRAY].astype(np.int64)
                     if at.ndim == 2 and at.shape == (len(labels), 2):
                         at = at[:, 0] * w + at[:, 1]
                     elif at.ndim == 2 and at.shape == (2, len(labels)):
                         at = at[0] * w + at[1]
                     if at.ndim != 1 or len(at) != len(labels):
                         raise ValueError(f"{path}: {len(labels)} labels but indices of shape {at.shape}")
+                    if len(at) and (at.min() < 0 or at.max() >= h * w):
+                        raise ValueError(f"{path}: pixel index out of bounds of {h} x {w}")
                     for i in range(0, len(labels), 100_000):
                         s = slice(i, i + 100_000)
                         yield pd.DataFrame({
-                            "sample_id": sample, "flat": at[s].astype(np.int64), "cluster": labels[s].astype(np.int32)
+                            "sample_id": sample, "row": (at[s] // w).astype(np.int32),
+                            "col": (at[s] % w).astype(np.int32), "cluster": labels[s].astype(np.int32),
                         })
 
-    raw = files.repartition("path").mapInPandas(read, "sample_id string, flat long, cluster int")
-    return checked_clusters(raw, w, h)
+    return files.repartition("path").mapInPandas(read, "sample_id string, row int, col int, cluster int")
 
 
 def scan_backgrounds(spark: SparkSession, folder: str, patterns: list[str] = BACKGROUND_FILES) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.arrays import null_if_not_finite
+from spectraloom.sources.cubes import list_files
 
 # fixed values: layout of the exported text matrices
 HEADER_LINES = 6
@@ -23,9 +24,18 @@ def folder_number(path: Column) -> Column:
 def scan_rasters(spark: SparkSession, folder: str, suffix: str, header: int = HEADER_LINES) -> DataFrame:
     """A5: text matrices under ``{sample}/S_<n>/*{suffix}`` as (sample_id, file_ord, pix, v).
 
-    Pixels are numbered row by row, NaN becomes NULL.  One file is one field of view,
-    so a file is read as one record to keep its line order.
+    ``file_ord`` counts a sample's files from 0 by folder number, folders without one last,
+    then by path.  Pixels are numbered row by row, NaN becomes NULL.  One file is one field
+    of view, so a file is read as one record to keep its line order.
     """
+    listed = (
+        list_files(spark, folder, f"*{suffix}")
+        .select(F.url_decode("path").alias("path"))
+        .where(F.col("path").rlike(r"/S_[^/]*/[^/]+$"))
+        .withColumn("sample_id", F.regexp_extract("path", r"([^/]+)/S_[^/]*/[^/]+$", 1))
+    )
+    place = Window.partitionBy("sample_id").orderBy(folder_number(F.col("path")), "path")
+    listed = listed.withColumn("file_ord", F.row_number().over(place) - 1)
     raw = (
         spark.read.option("pathGlobFilter", f"*{suffix}")
         .option("recursiveFileLookup", "true")
@@ -35,16 +45,22 @@ def scan_rasters(spark: SparkSession, folder: str, suffix: str, header: int = HE
     )
     lines = F.slice(F.split(F.rtrim("value"), r"\r?\n"), F.lit(header + 1), F.greatest(F.size(F.split(F.rtrim("value"), r"\r?\n")) - header, F.lit(0)))
     numbers = F.flatten(F.transform(lines, lambda x: F.split(F.trim(x), r"\s+")))
-    pixels = raw.select(
-        F.regexp_extract("path", r"([^/]+)/S_[^/]*/[^/]+$", 1).alias("sample_id"),
-        folder_number(F.col("path")).alias("file_ord"),
+    bare = F.regexp_replace("path", "^file:/*", "file:/")
+    named = raw.withColumn("_at", bare).join(
+        listed.select("sample_id", "file_ord", bare.alias("_at")), "_at"
+    )
+    pixels = named.select(
+        "sample_id",
+        "file_ord",
         F.posexplode(F.filter(numbers, lambda x: x != "")).alias("pix", "_t"),
     )
     return pixels.select("sample_id", "file_ord", "pix", null_if_not_finite(F.col("_t").try_cast("double")).alias("v"))
 
 
 def zip_rasters(channels: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Pixel i of every channel side by side, per file ordinal.
+    """Pixel i of every channel side by side, k-th file of each channel with k-th.
+
+    Files beyond the shortest list are left out.
 
     A file set whose channels differ in pixel count is dropped whole, as is one
     that lacks a channel.

@@ -75,10 +75,31 @@ def test_raster_scan_and_zip(spark, tmp_path):
         write(folder, "_740_color coded value.asc", "9 9\n9 9\n" if folder != "S_10" else "9 9 9\n")
     ch = {c: rasters.scan_rasters(spark, str(tmp_path), s) for c, s in rasters.SUFFIXES.items()}
     a1 = ch["a1"].orderBy("file_ord", "pix").collect()
-    assert [r.file_ord for r in a1] == [2] * 4 + [10] * 4 + [9999] * 4
+    assert [r.file_ord for r in a1] == [0] * 4 + [1] * 4 + [2] * 4
     assert [r.v for r in a1[:4]] == [1.0, 2.0, 3.0, None] and {r.sample_id for r in a1} == {"Sample1"}
     zipped = rasters.zip_rasters(ch, ["sample_id"]).collect()
-    assert {r.file_ord for r in zipped} == {2, 9999} and len(zipped) == 8
+    assert {r.file_ord for r in zipped} == {0, 2} and len(zipped) == 8
+
+
+def test_raster_folders_without_a_number_do_not_collide(spark, tmp_path):
+    for folder in ("S_x", "S_y"):
+        path = tmp_path / "wt" / "Sample1" / folder
+        path.mkdir(parents=True)
+        for suffix in rasters.SUFFIXES.values():
+            (path / f"f{suffix}").write_text("h\n" * 6 + "1 2 3\n")
+    ch = {c: rasters.scan_rasters(spark, str(tmp_path), s) for c, s in rasters.SUFFIXES.items()}
+    zipped = rasters.zip_rasters(ch, ["sample_id"]).collect()
+    assert len(zipped) == 6 and {r.file_ord for r in zipped} == {0, 1}
+
+
+def test_cluster_indices_in_narrow_integers(spark, tmp_path):
+    at = np.array([[100, 7], [399, 1199]], dtype=np.uint16)
+    np.savez(tmp_path / "a_umap_kmeans.npz", cluster_labels=np.array([1, 2], np.uint8), pixel_indices=at)
+    np.savez(tmp_path / "b_umap_kmeans.npz", cluster_labels=np.array([1, 2, 3], np.uint8), pixel_indices=np.array([[1, 2], [3, 0], [0, 0]], np.uint8))
+    rows = cubes.scan_clusters(spark, str(tmp_path), {"a": (400, 1200), "b": (4, 3)}).collect()
+    assert sorted((r.sample_id, r.row, r.col, r.cluster) for r in rows) == [
+        ("a", 100, 7, 1), ("a", 399, 1199, 2), ("b", 0, 0, 3), ("b", 1, 2, 1), ("b", 3, 0, 2),
+    ]
 
 
 def position(label, row, col, x, y, z=None):
