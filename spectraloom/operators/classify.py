@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,23 +116,47 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(w, label)
 
 
-def build_pipeline(features: Sequence[str], model: str = "logistic", n_train: int = 100, seed: int = 123) -> Pipeline:
-    """M3-M5: median imputation, standardising, then the classifier."""
-    filled = [f"{f}__filled" for f in features]
-    stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-    ]
-    reg = 1.0 / max(n_train, 1)
-    stages.append(
-        {
-            "logistic": lambda: LogisticRegression(regParam=reg, weightCol="weight", standardization=False, maxIter=200),
-            "svm": lambda: LinearSVC(regParam=reg, weightCol="weight", standardization=False, maxIter=40),
-            "forest": lambda: RandomForestClassifier(numTrees=100, seed=seed),
-        }[model]()
+def standardiser(train: DataFrame, features: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """M3: the training rows' median fills gaps, then each feature is centred and divided by
+    its population deviation (one where it is zero).  Three numbers per feature are kept.
+    """
+    med = exact_quantiles(
+        train.select(F.explode(F.array(*[
+            F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features
+        ])).alias("e")).select("e.f", "e.v"),
+        ["f"], F.col("v"), {"med": 0.5},
     )
-    return Pipeline(stages=stages)
+    median = {r.f: r.med for r in med.collect()}
+
+    def filled(df: DataFrame, f: str) -> Column:
+        return F.coalesce(null_if_not_finite(F.col(f).cast("double")), F.lit(median.get(f, 0.0)))
+
+    moments = train.agg(
+        *[F.avg(filled(train, f)).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev_pop(filled(train, f)).alias(f"s{i}") for i, f in enumerate(features)],
+    ).first()
+    n = len(features)
+
+    def apply(df: DataFrame) -> DataFrame:
+        scaled = [
+            ((filled(df, f) - F.lit(moments[i])) / F.lit(moments[n + i] or 1.0)).alias(f"{f}__scaled")
+            for i, f in enumerate(features)
+        ]
+        columns = df.select("*", *scaled)
+        return VectorAssembler(inputCols=[f"{f}__scaled" for f in features], outputCol="features").transform(columns)
+
+    return apply
+
+
+def classifier(model: str = "logistic", n_train: int = 100, seed: int = 123, max_iter: int = 5000):
+    """M3-M5: the estimator, with the iteration limit of the workflow."""
+    reg = 1.0 / max(n_train, 1)
+    common = {"regParam": reg, "weightCol": "weight", "standardization": False, "maxIter": max_iter}
+    return {
+        "logistic": lambda: LogisticRegression(**common),
+        "svm": lambda: LinearSVC(**common),
+        "forest": lambda: RandomForestClassifier(numTrees=100, seed=seed),
+    }[model]()
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:
@@ -166,9 +189,10 @@ def fit_predict(
     for split in splits:
         held = tests.where(F.col("split_id") == split).select("unit_id")
         train = settle(balanced_weights(remaining_units(base, held)), "train")
-        fitted = build_pipeline(features, model, train.count()).fit(train)
+        prepared = standardiser(train, features)
+        fitted = classifier(model, train.count()).fit(prepared(train))
         test = base.join(held, "unit_id", "left_semi").withColumn("weight", F.lit(1.0))
-        scored = positive_probability(fitted.transform(test))
+        scored = positive_probability(fitted.transform(prepared(test)))
         part = scored.select(
             F.lit(split).alias("split_id"), "unit_id", F.col("label").alias("y"), "prob",
             F.col("prediction").cast("int").alias("pred"),
@@ -187,9 +211,10 @@ def cross_domain(
     )
     kept = table.join(common, "sample_id", "left_semi")
     train = balanced_weights(kept.where(F.col("side") == train_side))
-    fitted = build_pipeline(features, model, train.count()).fit(train)
+    prepared = standardiser(train, features)
+    fitted = classifier(model, train.count()).fit(prepared(train))
     test = kept.where(F.col("side") == test_side).withColumn("weight", F.lit(1.0))
-    return positive_probability(fitted.transform(test)).select(
+    return positive_probability(fitted.transform(prepared(test))).select(
         "sample_id", F.col("label").alias("y"), "prob", F.col("prediction").cast("int").alias("pred")
     )
 
@@ -230,10 +255,15 @@ def _dealt(units: DataFrame, salt: str) -> DataFrame:
 
 
 def stratified_folds(units: DataFrame, k: int, clip: bool = True, salt: str = "kfold") -> DataFrame:
-    """M8: fold number per unit, classes dealt in turn; k shrinks to the smallest class."""
+    """M8: fold number per unit, classes dealt in turn; k shrinks to the smallest class.
+
+    A class of one unit cannot be split and is an error.
+    """
     if clip:
         smallest = units.groupBy("label").count().agg(F.min("count")).first()[0]
-        k = max(2, min(k, int(smallest)))
+        if smallest is None or smallest < 2:
+            raise ValueError(f"a class has {smallest or 0} units: folds need two at least")
+        k = min(k, int(smallest))
     return _dealt(units, salt).withColumn("fold", F.pmod(F.col("_at") - 1, F.lit(k)).cast("int")).drop("_at")
 
 
@@ -244,32 +274,42 @@ def grouped_folds(units: DataFrame, k: int, group: str = "sample_id", salt: str
     return units.join(folds, group)
 
 
-def holdout_splits(units: DataFrame, n_test: int = 2, n_splits: int | None = None, salt: str = "split") -> DataFrame:
+def holdout_splits(
+    units: DataFrame, n_test: int = 2, n_splits: int | None = None, salt: str = "split", n_train: int = 0
+) -> DataFrame:
     """All choices of ``n_test`` animals per class as test sets, numbered; optionally a subset.
 
-    The animals of a class are folded into one list; a test set takes one animal
-    and, from the list, each later one.  No table is crossed with another.
+    A test set grows by the later animals of its class, from a list of the class's animals.
+    Each class must leave ``n_train`` animals for training.
     """
-    if n_test != 2:
-        raise ValueError("two test animals per class")
-
-    def pairs(label: int, tag: str) -> DataFrame:
-        u = units.where(F.col("label") == label).select(F.col("unit_id").alias(f"{tag}1"))
-        listed = u.agg(F.collect_set(f"{tag}1").alias("_all"))
-        return u.crossJoin(F.broadcast(listed)).select(
-            f"{tag}1", F.explode(F.filter("_all", lambda x: x > F.col(f"{tag}1"))).alias(f"{tag}2")
-        )
-
-    second = pairs(1, "b").agg(F.collect_list(F.struct("b1", "b2")).alias("_b"))
-    both = pairs(0, "a").crossJoin(F.broadcast(second)).select("a1", "a2", F.inline("_b"))
+    sizes = {r.label: r.n for r in units.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for label in (0, 1):
+        if sizes.get(label, 0) < n_test + n_train:
+            raise ValueError(f"class {label} has {sizes.get(label, 0)} units; {n_test} + {n_train} are needed")
+
+    def choices(label: int, tag: str) -> DataFrame:
+        u = units.where(F.col("label") == label).select(F.col("unit_id").alias("_u"))
+        listed = u.agg(F.collect_set("_u").alias("_all"))
+        sets = u.crossJoin(F.broadcast(listed)).select("_all", F.array("_u").alias("_set"))
+        for _ in range(n_test - 1):
+            last = F.element_at("_set", -1)
+            sets = sets.select("_all", "_set", F.explode(F.filter("_all", lambda x: x > last)).alias("_u")).select(
+                "_all", F.concat("_set", F.array("_u")).alias("_set")
+            )
+        return sets.select(*[F.col("_set")[i].alias(f"{tag}{i + 1}") for i in range(n_test)])
+
+    names = [f"{tag}{i + 1}" for tag in "ab" for i in range(n_test)]
+    second = choices(1, "b").agg(F.collect_list(F.struct(*names[n_test:])).alias("_b"))
+    both = choices(0, "a").crossJoin(F.broadcast(second)).select(*names[:n_test], F.inline("_b"))
     if n_splits is not None:
-        both = both.orderBy(hash_key(salt, "a1", "a2", "b1", "b2")).limit(n_splits)
-    return row_ordinals(both, [], ["a1", "a2", "b1", "b2"], "split_id")
+        both = both.orderBy(hash_key(salt, *names)).limit(n_splits)
+    return row_ordinals(both, [], names, "split_id")
 
 
 def holdout_tests(splits: DataFrame) -> DataFrame:
     """The test rows (split_id, unit_id) of numbered splits."""
-    return splits.select("split_id", F.explode(F.array("a1", "a2", "b1", "b2")).alias("unit_id"))
+    names = [c for c in splits.columns if c != "split_id"]
+    return splits.select("split_id", F.explode(F.array(*names)).alias("unit_id"))
 
 
 def three_way_split(units: DataFrame, test: float = 0.1, val: float = 0.2, salt: str = "three") -> DataFrame:
@@ -458,32 +498,36 @@ def threshold_table(preds: DataFrame, n: int = 181, lo: float = 0.05, hi: float
     return add_scores(counts)
 
 
-def best_threshold(table: DataFrame, metric: str = "balanced_accuracy") -> DataFrame:
-    """The smallest threshold with the best score."""
-    best = F.max_by(F.col("threshold"), F.struct(F.round(metric, 12), -F.col("threshold")))
+def best_threshold(table: DataFrame, metric: str = "balanced_accuracy", default: float = 0.5) -> DataFrame:
+    """The smallest threshold with the best score; ``default`` where no score is defined."""
+    known = F.when(is_finite(F.col(metric)), F.struct(F.round(metric, 12), -F.col("threshold")))
+    best = F.coalesce(F.max_by(F.when(known.isNotNull(), F.col("threshold")), known), F.lit(default))
     return table.agg(best.alias("threshold"), F.max(metric).alias("score"))
 
 
 def tuned_threshold(val: DataFrame, metric: str = "balanced_accuracy", min_auc: float = 0.5, fallback: float = 0.5) -> DataFrame:
     """The best threshold, or the fallback when validation ranks no better than chance."""
-    best = best_threshold(threshold_table(val), metric)
+    best = best_threshold(threshold_table(val), metric, fallback)
     auc = roc_auc(val, [])
     return best.crossJoin(auc.select("auc")).select(
         F.when(F.col("auc") >= min_auc, F.col("threshold")).otherwise(fallback).alias("threshold"), "score", "auc"
     )
 
 
-def heat_table(long: DataFrame, top: int = 40) -> DataFrame:
-    """Median-filled z-scores of (unit, feature, value), for the most variable features.
+def heat_table(long: DataFrame, top: int = 40, ranking: DataFrame | None = None) -> DataFrame:
+    """Median-filled z-scores of (unit, feature, value), for the leading features.
 
-    The population moments are plain aggregates joined back per feature.
+    ``ranking`` holds (feature, coefficient): the largest by size lead, ties by name.
+    Without it the most variable features do.  Population moments are joined back per feature.
     """
     med = exact_quantiles(long, ["feature"], F.col("value"), {"_med": 0.5})
     filled = long.join(med, "feature").withColumn("_v", F.coalesce(null_if_not_finite(F.col("value")), "_med"))
     m = filled.groupBy("feature").agg(F.avg("_v").alias("_mu"), F.stddev_pop("_v").alias("_sd"))
-    # z-scores of a varying feature have variance (sd / (sd + eps))^2
-    ranked = m.withColumn("_var", F.pow(F.col("_sd") / (F.col("_sd") + 1e-12), F.lit(2.0)))
-    chosen = ranked.orderBy(F.desc(F.round("_var", 9)), "feature").limit(top)
+    if ranking is None:
+        m = m.withColumn("_lead", F.round(F.col("_sd") * F.col("_sd"), 15))
+    else:
+        m = m.join(ranking.select("feature", F.abs("coefficient").alias("_lead")), "feature")
+    chosen = m.orderBy(F.desc("_lead"), "feature").limit(top)
     return filled.join(chosen, "feature").select(
         "unit_id", "feature", ((F.col("_v") - F.col("_mu")) / (F.col("_sd") + 1e-12)).alias("z")
     )

@@ -332,7 +332,7 @@ def m19b(spark, sf_dir):
 @query("h3_coefficient_ranking")
 def h3(spark, sf_dir):
     table = M.balanced_weights(settle(unit_table(spark, sf_dir), "units"))
-    model = M.build_pipeline(FEATURES, "logistic", 14).fit(table).stages[-1]
+    model = M.classifier("logistic", 14).fit(M.standardiser(table, FEATURES)(table))
     # one number per feature
     rows = [(f, float(c)) for f, c in zip(FEATURES, model.coefficients)]
     return G.rank_by_magnitude(spark.createDataFrame(rows, "feature string, coefficient double"), "coefficient", 12)

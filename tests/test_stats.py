@@ -29,6 +29,23 @@ def test_student_tail():
     assert incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248)
 
 
+def test_exact_p_has_no_jump_with_the_larger_group():
+    """The exact tail depends on the smaller group's arrangements, whatever the other's size."""
+    assert exact_u_p(0, 1, 1000) == pytest.approx(2 / 1001)
+    assert exact_u_p(0, 1, 1001) == pytest.approx(2 / 1002)
+    assert exact_u_p(3, 2, 5000) == pytest.approx(2 * 6 / math.comb(5002, 2))
+    for n_a, n_b in ((3, 4), (5, 9), (8, 30)):
+        ways = [1] + [0] * (n_a * n_b)
+        for i in range(1, n_a + 1):  # q-binomial by plain polynomial steps
+            for u in range(len(ways) - 1, n_b + i - 1, -1):
+                ways[u] -= ways[u - n_b - i]
+            for u in range(i, len(ways)):
+                ways[u] += ways[u - i]
+        for u in range(0, n_a * n_b + 1, 3):
+            top = max(u, n_a * n_b - u)
+            assert exact_u_p(u, n_a, n_b) == pytest.approx(min(1, 2 * sum(ways[top:]) / sum(ways)))
+
+
 def test_delta_is_antisymmetric_and_binned(spark):
     df = spark.createDataFrame(
         [("m", g, float(v)) for g, vs in (("A", [1, 2, 2, 9]), ("B", [2, 3, 4])) for v in vs], "m string, g string, v double"
@@ -80,6 +97,45 @@ def test_max_t_finds_the_shifted_band(spark):
     assert len(out) == 6 and out.p.idxmin() == 3 and out.p.between(0.01, 1.0).all() and out.p[3] < 0.1
 
 
+def test_max_t_does_not_depend_on_the_scale(spark):
+    rng = np.random.default_rng(0)
+    base = [(f"u{u}", u < 6, u % 2, k, float(rng.normal() + (8 if u < 6 and k == 3 else 0))) for u in range(12) for k in range(6)]
+    schema = "unit string, grp_a boolean, stratum int, band int, value double"
+    found = []
+    for scale in (1.0, 1e-10):
+        out = J.max_t(spark.createDataFrame([(*x[:4], x[4] * scale) for x in base], schema), 99)
+        found.append([r.p for r in out.orderBy("band").collect()])
+    assert found[0] == found[1] and min(found[0]) < 0.1
+
+
+def test_folds_refuse_a_class_of_one(spark):
+    units = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "unit_id string, label int")
+    with pytest.raises(ValueError, match="two at least"):
+        M.stratified_folds(units, 3)
+
+
+def test_best_threshold_without_any_score(spark):
+    none = spark.createDataFrame([(0.1, 1, 0.7), (0.2, 1, 0.9)], "prob double, y int, other double").where("y = 0")
+    assert M.best_threshold(M.threshold_table(none)).first().threshold == 0.5
+
+
+def test_standardiser_uses_true_median_and_population_deviation(spark):
+    rows = [(1.0,), (2.0,), (None,), (10.0,), (3.0,)]
+    df = spark.createDataFrame(rows, "f double")
+    got = sorted(r.features[0] for r in M.standardiser(df, ["f"])(df).collect())
+    v = np.array([1.0, 2.0, 2.5, 10.0, 3.0])
+    assert got == pytest.approx(sorted((v - v.mean()) / v.std()))
+
+
+def test_holdout_splits_of_any_size(spark):
+    units = spark.createDataFrame([(f"a{i}", 0) for i in range(5)] + [(f"b{i}", 1) for i in range(4)], "unit_id string, label int")
+    splits = M.holdout_splits(units, n_test=3)
+    assert splits.count() == math.comb(5, 3) * math.comb(4, 3)
+    assert {r["count"] for r in M.holdout_tests(splits).groupBy("split_id").count().collect()} == {6}
+    with pytest.raises(ValueError, match="are needed"):
+        M.holdout_splits(units, n_test=2, n_train=3)
+
+
 def test_folds_partition_and_keep_groups_together(spark):
     units = spark.createDataFrame([(f"u{i}", f"s{i % 9}", int(i % 9 > 3)) for i in range(90)], "unit_id string, sample_id string, label int")
     f = M.stratified_folds(units, 5).toPandas()
