@@ -42,10 +42,10 @@ KNOWN_BANDS = [
     ("Lipid CH2 bend", 1464.0, "Lipid"),
     ("Lipid CH3", 1375.0, "Lipid"),
     ("Ester C=O", 1740.0, "Lipid"),
-    ("PO2- asym", 1235.0, "Phosphate"),
-    ("PO2- sym", 1080.0, "Phosphate"),
-    ("C-O stretch", 1045.0, "Carbohydrate"),
-    ("C-O-C", 1155.0, "Carbohydrate"),
+    ("PO2− asym", 1235.0, "Phosphate"),
+    ("PO2− sym", 1080.0, "Phosphate"),
+    ("C–O stretch", 1045.0, "Carbohydrate"),
+    ("C–O–C", 1155.0, "Carbohydrate"),
 ]
 EFFECT_CUTS = [(0.147, "negligible"), (0.33, "small"), (0.474, "medium")]
 STAR_CUTS = [(0.001, "***"), (0.01, "**"), (0.1, "*")]

@@ -21,10 +21,11 @@ def savgol_matrix(z: int, window: int, order: int, deriv: int = 0) -> np.ndarray
     """Z x Z map of local polynomial filtering on index spacing.
 
     The first and last half-windows are read off the polynomial fitted to the
-    first and last full window.
+    first and last full window.  An even window reaches one point further to the
+    right, and its fit is read at its middle, half a step off the point.
     """
-    if window % 2 == 0 or window > z or order >= window:
-        raise ValueError("window must be odd, at most the spectrum length, and above the order")
+    if window > z or order >= window:
+        raise ValueError("window must be at most the spectrum length, and above the order")
     half = window // 2
     x = np.arange(window) - half
     fit = np.linalg.pinv(np.vander(x, order + 1, increasing=True))
@@ -37,8 +38,13 @@ def savgol_matrix(z: int, window: int, order: int, deriv: int = 0) -> np.ndarray
 
     m = np.zeros((z, z))
     for k in range(z):
-        start = min(max(k - half, 0), z - window)
-        m[k, start : start + window] = row_at(float(k - start - half))
+        if k < half or k >= z - half:
+            start = 0 if k < half else z - window
+            position = float(k - start)
+        else:
+            start = k - (window - 1) // 2
+            position = (window - 1) / 2
+        m[k, start : start + window] = row_at(position - half)
     return m
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.catalog import AMIDE_LABELS, BAND_LIBRARY, BASE_RATIOS, EPS, RATIO_CAP, Axis, inline_table
+from spectraloom.catalog import BAND_LIBRARY, EPS, RATIO_CAP, Axis, inline_table, ratio_list
 from spectraloom.functions.arrays import finite_text, is_finite, null_if_not_finite, pick_text
 from spectraloom.operators.scale import exact_quantiles
 from spectraloom.operators.select import guard_thresholds
@@ -92,26 +92,9 @@ def bands_long(wide: DataFrame, keep: Sequence[str]) -> DataFrame:
     return wide.select(*keep, F.expr(f"inline(array({entries}))"))
 
 
-def ratio_catalogue(bands: DataFrame) -> DataFrame:
-    """The ratio table from the band table by category rules."""
-    num, den = bands.alias("n"), bands.alias("d")
-    n, d = F.col("n.category"), F.col("d.category")
-    label = F.col("d.band")
-    for band, shown in AMIDE_LABELS.items():
-        label = F.when(F.col("d.band") == band, F.lit(shown)).otherwise(label)
-    pairs = num.join(
-        den,
-        ((n != "amide") & (d == "amide"))
-        | ((n == "phosphate") & d.isin("carbohydrate", "lipid")),
-    ).select(
-        F.concat_ws("/", F.col("n.band"), label).alias("ratio"),
-        F.col("n.band").alias("num_band"),
-        F.col("d.band").alias("den_band"),
-    )
-    base = inline_table(
-        bands.sparkSession, BASE_RATIOS, "ratio string, num_band string, den_band string"
-    )
-    return base.unionByName(pairs)
+def ratio_catalogue(spark: SparkSession) -> DataFrame:
+    """The ratio table, one row per entry of ``ratio_list``."""
+    return inline_table(spark, ratio_list(), "ratio string, num_band string, den_band string")
 
 
 def guarded_ratio(

@@ -66,8 +66,8 @@ def selected_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifetime-like pixels: one lineitem row is one pixel of a sample."""
-    return table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").selectExpr(
-        "if(l_returnflag = 'A', 'A', 'B') AS grp",
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "if(l_orderkey % 2 = 0, 'A', 'B') AS grp",
         "concat('S_', CAST(l_suppkey AS string)) AS sample_id",
         "l_linenumber AS file_ord",
         "l_extendedprice AS a1",
@@ -119,9 +119,9 @@ VIEWS = {
     "samples": f"SELECT * FROM (VALUES {_values(SAMPLES)}) v(sample_id, animal_id, grp, batch)",
     "selected": """SELECT s.*, cluster, animal_id, grp, batch FROM spectra s JOIN clusters c USING (sample_id, row, col)
         JOIN selection USING (sample_id, cluster) JOIN samples USING (sample_id)""",
-    "flim": """SELECT CASE WHEN l_returnflag = 'A' THEN 'A' ELSE 'B' END AS grp, 'S_' || l_suppkey AS sample_id,
+    "flim": """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS grp, 'S_' || l_suppkey AS sample_id,
         l_linenumber AS file_ord, l_extendedprice AS a1, l_quantity AS a2, l_discount AS tm
-        FROM lineitem WHERE l_returnflag IN ('A', 'R')""",
+        FROM lineitem""",
     "raster": """SELECT event_type AS sample_id, CAST(event_id // 100 AS INT) AS row,
         CAST(event_id % 100 AS INT) AS col, value AS v FROM events""",
     "predictions": """SELECT CAST(doc_id AS VARCHAR) AS unit_id, 'T' || (doc_id % 14) AS sample_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectraloom.catalog import inline_table
+from spectraloom.functions.arrays import is_finite
 from spectraloom.operators import aggregate as G
 from spectraloom.operators import bands as B
 from spectraloom.operators import patches as P
@@ -185,7 +186,7 @@ def f7(spark, sf_dir):
 @query(
     "f8_lifetime_summary",
     sql("flim", f"""SELECT grp, sample_id, {r('avg(a1 / a2)', 'ratio_mean', 6)}, {r('avg(tm)', 'tm_mean')}, count(*) AS n_pixels,
-        {r('median(a1 / a2)', 'ratio_median', 6)}, {r('median(tm)', 'tm_median')} FROM flim WHERE a2 <> 0 GROUP BY 1, 2"""),
+        {r('median(a1 / a2)', 'ratio_median', 4)}, {r('median(tm)', 'tm_median')} FROM flim WHERE a2 <> 0 GROUP BY 1, 2"""),
 )
 def f8(spark, sf_dir):
     px = X.flim(spark, sf_dir).withColumn("ratio", B.lifetime_ratio(F.col("a1"), F.col("a2")))
@@ -196,6 +197,24 @@ def f8(spark, sf_dir):
     )
 
 
+@query(
+    "w4_lifetime_workflow",
+    sql("flim", f"""SELECT grp, sample_id, {r('avg(a1 / a2)', 'ratio_mean', 6)}, {r('avg(tm)', 'tm_mean')}, count(*) AS n_pixels,
+        {r('median(a1 / a2)', 'ratio_median', 4)}, {r('median(tm)', 'tm_median')} FROM flim JOIN q USING (grp, sample_id)
+        WHERE a1 BETWEEN l1 AND h1 AND a2 BETWEEN l2 AND h2 AND tm BETWEEN l3 AND h3 AND a2 <> 0 GROUP BY 1, 2""",
+        q="""SELECT grp, sample_id, quantile_cont(a1, 0.025) AS l1, quantile_cont(a1, 0.975) AS h1, quantile_cont(a2, 0.025) AS l2,
+        quantile_cont(a2, 0.975) AS h2, quantile_cont(tm, 0.025) AS l3, quantile_cont(tm, 0.975) AS h3 FROM flim GROUP BY 1, 2"""),
+)
+def w4(spark, sf_dir):
+    """Lifetime workflow: finite pixels, joint trim, ratio, summary per sample."""
+    px = X.flim(spark, sf_dir).where(is_finite(F.col("a1")) & is_finite(F.col("a2")) & is_finite(F.col("tm")))
+    kept = S.trim_joint(px, ["a1", "a2", "tm"], ["grp", "sample_id"])
+    out = G.lifetime_summary(kept.withColumn("ratio", B.lifetime_ratio(F.col("a1"), F.col("a2"))), ["grp", "sample_id"])
+    return out.select(
+        "grp", "sample_id", *rounded("ratio_mean", "tm_mean"), "n_pixels", *rounded("ratio_median", "tm_median")
+    )
+
+
 @query(
     "f8_file_ratio",
     sql("flim", f"SELECT grp, sample_id, file_ord, {r('avg(a1 / nullif(a2, 0))', 'ratio_mean', 3)}, count(*) AS n FROM flim GROUP BY 1, 2, 3"),

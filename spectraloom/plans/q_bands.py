@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.catalog import BAND_LIBRARY, KNOWN_BANDS, bands_table, known_bands_table, ratio_list
+from spectraloom.catalog import BAND_LIBRARY, KNOWN_BANDS, known_bands_table, ratio_list
 from spectraloom.functions.text import format_delta, format_percent, safe_name
 from spectraloom.operators import bands as B
 from spectraloom.operators.scale import exact_quantiles
@@ -107,11 +107,12 @@ def flagship(spark, sf_dir):
     )
 
 
-@query("d5_ratio_catalogue", sql("ratios spectra", """SELECT ratio, num_band, den_band, n FROM ratios,
-    (SELECT count(*) AS n FROM spectra)"""))
+@query("d5_ratio_catalogue", sql("ratiopx", "SELECT ratio, num_band, den_band, count(*) AS n FROM ratios JOIN ratiopx USING (ratio) GROUP BY ALL"))
 def d5(spark, sf_dir):
-    n = X.spectra(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return B.ratio_catalogue(bands_table(spark)).crossJoin(F.broadcast(n))
+    """The ratios that have guarded values, and how many."""
+    keep = ["sample_id"]
+    found = B.sample_ratios(wide_bands(spark, sf_dir, keep), ratio_list(), keep).where(F.col("value").isNotNull())
+    return B.ratio_catalogue(spark).join(found.groupBy("ratio").agg(F.count(F.lit(1)).alias("n")), "ratio")
 
 
 @query(

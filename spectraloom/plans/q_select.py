@@ -312,19 +312,23 @@ def g2(spark, sf_dir):
 
 @query(
     "c5_axis_synthesis",
-    sql("", f"""SELECT CAST(z AS INT) AS z, CAST(k AS INT) AS k, {r("CASE z WHEN 426 THEN 950.0 + 2 * k WHEN 421 THEN 960.0 + 2 * k ELSE k END", 'wn')}, n
-        FROM (SELECT z, unnest(range(z)) AS k, n FROM (SELECT unnest([426, 421, len(embedding)]) AS z, count(*) AS n FROM embeddings GROUP BY 1))"""),
+    sql("spectra", f"""SELECT sample_id, row, col, z, {r('CASE z WHEN 426 THEN 950.0 + 2 * k WHEN 421 THEN 960.0 + 2 * k ELSE k END', 'peak_wn')}
+        FROM (SELECT sample_id, row, col, CAST(CASE (row + col) % 3 WHEN 0 THEN 64 WHEN 1 THEN 421 ELSE 426 END AS INT) AS z,
+        list_position(spectrum, list_max(spectrum)) - 1 AS k FROM spectra)"""),
 )
 def c5(spark, sf_dir):
+    """Peak wavenumber of spectra of three lengths, each on the axis its own length implies."""
     from spectraloom.catalog import axis_table
 
-    sizes = (
-        X.table(spark, sf_dir, "embeddings")
-        .select(F.explode(F.array(F.lit(426), F.lit(421), F.size("embedding"))).alias("z"))
-        .groupBy("z")
-        .agg(F.count(F.lit(1)).alias("n"))
+    lengths = F.when((F.col("row") + F.col("col")) % 3 == 0, 64).when((F.col("row") + F.col("col")) % 3 == 1, 421).otherwise(426)
+    px = X.spectra(spark, sf_dir).withColumn("z", lengths)
+    px = px.withColumn("spectrum", F.expr("transform(sequence(0, z - 1), k -> spectrum[k % 64])"))
+    peaks = px.select(
+        "sample_id", "row", "col", F.size("spectrum").alias("z"),
+        (F.array_position("spectrum", F.array_max("spectrum")) - 1).cast("int").alias("k"),
     )
-    return axis_table(spark, [64, 421, 426]).join(sizes, "z").select("z", "k", *rounded("wn"), "n")
+    axis = axis_table(spark, [64, 421, 426]).withColumnRenamed("wn", "peak_wn")
+    return peaks.join(axis, ["z", "k"]).select("sample_id", "row", "col", "z", *rounded("peak_wn"))
 
 
 assert Axis.linspace(AXIS_MIN, 1800.0, 64) == AXIS

@@ -194,16 +194,16 @@ def _matrix_oracle(m, source: str = "l") -> str:
 _SG_SQUARES = float(sum((j * j - 56.0 / 3) ** 2 for j in range(-7, 8)))
 
 
-# interior coefficients in closed form (quadratic second derivative over 2h+1 points); ends by the fitted matrix
+# coefficients in closed form (quadratic second derivative over 2h+1 points), constant within the end windows
 @query(
     "c12_savgol_derivative",
-    sql("spectra", f"""SELECT sample_id, row, col, CAST(k AS INT) AS k, {r(f'''CASE WHEN k BETWEEN 7 AND 56 THEN list_sum(list_transform(range(-7, 8),
-        lambda j: s[k + j + 1] * (j * j - 56.0::DOUBLE / 3) * 2 / {_SG_SQUARES!r}::DOUBLE)) END''', 'd2')}
-        FROM (SELECT sample_id, row, col, unnest(range(64)) AS k, spectrum AS s FROM spectra) WHERE k BETWEEN 7 AND 56"""),
+    sql("spectra", f"""SELECT sample_id, row, col, CAST(k AS INT) AS k, {r(f'''list_sum(list_transform(range(-7, 8),
+        lambda j: s[c + j + 1] * (j * j - 56.0::DOUBLE / 3) * 2 / {_SG_SQUARES!r}::DOUBLE))''', 'd2')}
+        FROM (SELECT *, greatest(7, least(56, k)) AS c FROM (SELECT sample_id, row, col, unnest(range(64)) AS k, spectrum AS s FROM spectra))"""),
 )
 def c12(spark, sf_dir):
     d = C.savgol(X.spectra(spark, sf_dir), N_BANDS, 15, 2, 2)
-    long = d.select(*PIX, F.posexplode("spectrum").alias("k", "d2")).where(F.col("k").between(7, 56))
+    long = d.select(*PIX, F.posexplode("spectrum").alias("k", "d2"))
     return long.select(*PIX, "k", *rounded("d2"))
 
 

@@ -34,7 +34,16 @@ def test_savgol_reproduces_polynomials_at_every_point():
     assert np.allclose(kernels.savgol_matrix(Z, 11, 2, 2) @ y, 1.0)
     assert np.allclose(kernels.savgol_matrix(Z, 11, 3, 0) @ (y + 0.01 * x**3), y + 0.01 * x**3)
     with pytest.raises(ValueError):
-        kernels.savgol_matrix(Z, 10, 2)
+        kernels.savgol_matrix(Z, Z + 1, 2)
+
+
+def test_even_savgol_window_is_read_half_a_step_off():
+    x = np.arange(Z, dtype=float)
+    line = 3.0 * x + 1
+    m = kernels.savgol_matrix(Z, 10, 2, 0) @ line
+    assert np.allclose(m[5 : Z - 5], line[5 : Z - 5] + 1.5)
+    assert np.allclose(m[:5], line[:5]) and np.allclose(m[Z - 5 :], line[Z - 5 :])
+    assert np.allclose(kernels.savgol_matrix(Z, 10, 2, 1) @ line, 3.0)
 
 
 def test_linear_operators_match_numpy(spark, noise):
