@@ -25,8 +25,9 @@ CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "other")
 WINDOW = 8
 LEAST_CHARS = 200
 LEAST_WORDS = 50
-CHAR_LIMIT = 0.35
-WORD_LIMIT = 0.75
+#: Limit of a distance: a constant plus a share of 1 / sqrt(words), as short texts scatter more.
+CHAR_LIMIT, CHAR_SCATTER = 0.25, 0.5
+WORD_LIMIT, WORD_SCATTER = 0.24, 1.5
 
 
 def _lines() -> str:
@@ -134,7 +135,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """Base counts, distances and verdict of every row of ``docs`` (doc_id, lang, text, ...).
 
     ``base_failed``: fewer than 20 words, or over 30 % of them repeated.  ``kept`` is false
-    for those, else true unless a distance exceeds its limit.  Null text has no words and
+    for those, else true unless a distance exceeds its limit, which widens for short texts.  Null text has no words and
     fails; a null language is a language of its own; a language without sound documents has
     no failing rows to judge; short texts (under LEAST_CHARS, LEAST_WORDS) are not measured.
     Repeated rows stay; an empty table gives an empty table.
@@ -146,6 +147,7 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = measured.withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(
         settle(references(measured), "references"), "lang_key", "left"
     )
+    root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     long = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS)
     return judged.withColumns(
         {
@@ -162,8 +164,8 @@ def judge(docs: DataFrame) -> DataFrame:
         "base_failed",
         (
             ~F.col("base_failed")
-            & (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_LIMIT)
-            & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
+            & (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_LIMIT + CHAR_SCATTER / root)
+            & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT + WORD_SCATTER / root)
         ).alias("kept"),
         "char_distance",
         "word_distance",
