@@ -71,7 +71,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         big = big | (F.col(c) >= cut)
     most = F.greatest(*[F.col(c) * shards / max(1, t) for c, t in zip(dims, total)])
     tagged = groups.withColumn("big", big).withColumn(
-        "pieces", F.when(most > 1, F.ceil(most * 4)).otherwise(1).cast("int")
+        "pieces", F.when(most > 1, F.ceil(most * 16)).otherwise(1).cast("int")
     )
     # at most 3 * shards * BIG_SHARE groups and BUNDLES bundles
     large = tagged.where("big").select(*key, "pieces", *dims).collect()
@@ -81,26 +81,36 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in dims])
         .collect()
     )
+    spark = docs.sparkSession
+    known = spark.createDataFrame(
+        [(*(g[c] for c in key), i, g.pieces) for i, g in enumerate(large)],
+        "h bigint, text_crc32 bigint, size bigint, g int, pieces int",
+    )
+    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+    # how many rows each piece of a split group really has; few groups exceed a shard
+    split = {
+        (r.g, r.piece): r.n
+        for r in measured.join(F.broadcast(known.where("pieces > 1")), key)
+        .groupBy("g", piece.alias("piece"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    }
     names, items = [], []
     for i, g in enumerate(large):
-        for piece in range(g.pieces):
-            names.append(f"g{i}.{piece}")
-            items.append([g[c] / g.pieces for c in dims])
+        for at in range(g.pieces):
+            part = split.get((i, at), 0) / g.rows if g.pieces > 1 else 1
+            names.append(f"g{i}.{at}")
+            items.append([g[c] * part for c in dims])
     for b in bundles:
         names.append(f"b{b.bundle}")
         items.append([float(b[c]) for c in dims])
     placed = place(np.array(items, float).reshape(-1, 3), shards)
-    spark = docs.sparkSession
     plan = spark.createDataFrame(
         [(n, int(s)) for n, s in zip(names, placed)], "item string, shard int"
     )
-    known = spark.createDataFrame(
-        [(*(g[c] for c in key), i, g.pieces) for i, g in enumerate(large)],
-        "h bigint, text_crc32 bigint, size bigint, g int, pieces int",
-    )
     item = F.when(
         F.col("g").isNotNull(),
-        F.concat(F.lit("g"), "g", F.lit("."), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))),
+        F.concat(F.lit("g"), "g", F.lit("."), piece),
     ).otherwise(F.concat(F.lit("b"), F.pmod("h", F.lit(BUNDLES))))
     cells = max(1, -(-int(total[2]) // CELL_ROWS))
     dealt = settle(

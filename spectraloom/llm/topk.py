@@ -53,7 +53,7 @@ class SliceIndex:
             packed = np.packbits(((kept >> b) & 1).astype(np.uint8).T, axis=1, bitorder="little")
             pad[0, :, b, : packed.shape[1]] = packed
         pad[1] = ~pad[0]
-        self.slices = pad.reshape(2 * d * self.bits, -1).view(np.uint64)
+        self.slices = pad.reshape(2 * d * self.bits, self.words * 8).view(np.uint64)
         full = np.zeros(self.words * 64, np.uint8)
         full[:m] = 1
         self.all = np.packbits(full, bitorder="little").view(np.uint64)

@@ -145,11 +145,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             }
         )
 
-    fitted = (
+    fitted = sorted(
         sample.withColumn("one", F.lit(1))
         .groupBy("one")
         .applyInArrow(run, "term bigint, weight double, factor array<double>")
-        .orderBy("term")
         .collect()  # at most the terms of the bounded sample
     )
     if not fitted:
