@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spectraloom.catalog import ratio_list
+from spectraloom.catalog import STAR_CUTS, ratio_list
 from spectraloom.operators import aggregate as G
 from spectraloom.operators import bands as B
 from spectraloom.operators import sampling as E
@@ -165,10 +165,29 @@ def j2(spark, sf_dir):
     return out.select("file_ord", "n_a", "n_b", *rounded("delta", digits=9))
 
 
-@query("j3_mann_whitney")
+def _simpson(term: str, steps: int) -> str:
+    """Simpson's sum of ``term`` over i = 0..steps, without the step width."""
+    return f"list_sum(list_transform(range({steps + 1}), lambda i: ({term}) * CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)) / 3"
+
+
+# two-sided tails as integrals of the densities
+_RANK_Z = """(greatest(u, n_a * n_b - u) - n_a * n_b / 2.0::DOUBLE - 0.5::DOUBLE) / sqrt(n_a * n_b / 12.0::DOUBLE
+    * ((n_a + n_b + 1) - ties / ((n_a + n_b)::DOUBLE * (n_a + n_b - 1))))"""
+_NORMAL_P = "least(1, 2 / sqrt(pi()) * 0.01::DOUBLE * " + _simpson("exp(-(((z / sqrt(2)) + i * 0.01::DOUBLE) ** 2))", 1000) + ")"
+_STUDENT_P = (
+    "2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * (pi() / 2 - atan(abs(t) / sqrt(df))) / 4000 * "
+    + _simpson("cos(atan(abs(t) / sqrt(df)) + i * (pi() / 2 - atan(abs(t) / sqrt(df))) / 4000) ** (df - 1)", 4000)
+)
+_STARS = "CASE " + " ".join(f"WHEN p < {cut} THEN '{mark}'" for cut, mark in STAR_CUTS) + " ELSE 'ns' END"
+
+
+@query(
+    "j3_mann_whitney",
+    sql("flim", f"SELECT file_ord, n_a, n_b, {r('u', 'u', 1)}, {r(_NORMAL_P, 'p')} FROM (SELECT *, {_RANK_Z} AS z FROM ranked)", ranked=_RANKED.replace("VALUE", "a1")),
+)
 def j3(spark, sf_dir):
     out = J.mann_whitney(X.flim(spark, sf_dir), ["file_ord"], F.col("a1"), F.col("grp") == "A")
-    return out.select("file_ord", "n_a", "n_b", "u", "p")
+    return out.select("file_ord", "n_a", "n_b", *rounded("u", digits=1), *rounded("p"))
 
 
 @query(
@@ -196,10 +215,13 @@ def j4(spark, sf_dir):
     return out.select("file_ord", *rounded("t"), *rounded("df", digits=3))
 
 
-@query("j4_welch_stars")
+@query(
+    "j4_welch_stars",
+    sql("flim", f"SELECT file_ord, {r('t', 't')}, {r('p', 'p')}, {_STARS} AS stars FROM (SELECT *, {_STUDENT_P} AS p FROM w)", w=_WELCH),
+)
 def j4b(spark, sf_dir):
     out = J.welch(X.flim(spark, sf_dir), ["file_ord"], F.col("a1"), F.col("grp") == "A")
-    return out.select("file_ord", "t", "df", "p", "stars")
+    return out.select("file_ord", *rounded("t", "p"), "stars")
 
 
 # bootstrap on a band's pixels: rank-based delta per replicate
@@ -349,7 +371,27 @@ def j10(spark, sf_dir):
     return d.select("comparison", "n_a", "n_b", *rounded("delta", digits=4), J.effect_bin(F.col("delta")).alias("effect"))
 
 
-@query("j10_three_way_interval")
+_INTERVAL = {
+    "cmpx": " UNION ALL ".join(
+        f"SELECT '{x} vs {y}' AS comparison, pair_class = '{x}' AS is_a, y AS value, a, b, draw FROM bal WHERE pair_class IN ('{x}', '{y}')" for x, y in _CLASSES
+    ),
+    "tested": """SELECT comparison, n_a, n_b, ra - n_a * (n_a + 1) / 2.0::DOUBLE AS u, ties FROM (SELECT comparison, count(*) FILTER (is_a) AS n_a, count(*) FILTER (NOT is_a) AS n_b,
+        sum(rk) FILTER (is_a) AS ra FROM (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY value) + (count(*) OVER (PARTITION BY comparison, value) - 1) / 2.0::DOUBLE AS rk FROM cmpx) GROUP BY 1)
+        JOIN (SELECT comparison, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT comparison, value, count(*)::DOUBLE AS c FROM cmpx GROUP BY 1, 2) GROUP BY 1) USING (comparison)""",
+    "px": "SELECT comparison, is_a, value, row_number() OVER (PARTITION BY comparison, is_a ORDER BY a, b, draw) AS pos, count(*) OVER (PARTITION BY comparison, is_a) AS n FROM cmpx",
+    "asks": f"SELECT comparison, is_a, rep, {HASH.format(parts=chr(39) + 'boot' + chr(39) + ', comparison, is_a, rep, pos')} % n + 1 AS pos FROM px, (SELECT unnest(range(1, 51)) AS rep)",
+    "draws": "SELECT comparison, is_a, rep, value FROM asks JOIN px USING (comparison, is_a, pos)",
+    "reps": """SELECT comparison, rep, 2 * (sum(rk) FILTER (is_a) - count(*) FILTER (is_a) * (count(*) FILTER (is_a) + 1) / 2.0::DOUBLE) / (count(*) FILTER (is_a) * count(*) FILTER (NOT is_a)) - 1 AS delta FROM
+        (SELECT *, rank() OVER (PARTITION BY comparison, rep ORDER BY value) + (count(*) OVER (PARTITION BY comparison, rep, value) - 1) / 2.0::DOUBLE AS rk FROM draws) GROUP BY 1, 2""",
+}
+
+
+@query(
+    "j10_three_way_interval",
+    sampled(f"""SELECT comparison, n_a, n_b, {r('2 * u / (n_a * n_b) - 1', 'delta', 4)}, {r(_NORMAL_P, 'p', 4)}, {r('lo', 'lo', 4)}, {r('hi', 'hi', 4)}, '' AS note
+        FROM (SELECT *, {_RANK_Z} AS z FROM tested) JOIN (SELECT comparison, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM reps GROUP BY 1) USING (comparison)""",
+        25, **_THREE, **_INTERVAL),
+)
 def j10b(spark, sf_dir):
     rows = settle(three(spark, sf_dir, 25), "comparisons")
     d = J.mann_whitney(rows, ["comparison"], F.col("value"), F.col("is_a"), exact=False)
@@ -358,7 +400,8 @@ def j10b(spark, sf_dir):
     few = (F.col("n_a") < 2) | (F.col("n_b") < 2)  # such comparisons are skipped, with a note
     found = d.join(ci, "comparison").withColumn("delta", J.delta_of(F.col("u"), F.col("n_a"), F.col("n_b")))
     return found.select(
-        "comparison", "n_a", "n_b", *[F.when(~few, F.col(c)).alias(c) for c in ("delta", "p", "lo", "hi")],
+        "comparison", "n_a", "n_b",
+        *[F.when(~few, F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("delta", "p", "lo", "hi")],
         F.when(few, "too few values").otherwise("").alias("note"),
     )
 
