@@ -90,3 +90,47 @@ SELECT doc_id, domain, lang, source, tokens, CAST(budget AS BIGINT) AS budget, C
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < remainder AS INT) AS copies
     FROM d JOIN plan USING (domain, lang, source)) WHERE copies > 0"""
     )
+
+
+def quality(
+    common: tuple[str, ...], char_limit: tuple[float, float], word_limit: tuple[float, float], least: tuple[int, int]
+) -> str:
+    def count(pattern: str) -> str:
+        return f"length(regexp_replace(t, '[^{pattern}]', '', 'g'))"
+
+    classes = ["a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r".,;:!?''\"()\-", r"#*$%&|<>"]
+    chars = ", ".join(f"c{i}::DOUBLE" for i in range(6)) + ", (length(t) - c0 - c1 - c2 - c3 - c4 - c5)::DOUBLE"
+    spoken = ", ".join(f"len(list_filter(bare, lambda x: x = '{w}'))::DOUBLE" for w in common)
+    listed = ", ".join(f"'{w}'" for w in common)
+
+    def sums(name: str, n: int) -> str:
+        return "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
+
+    def distance(hist: str, ref: str) -> str:
+        part = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+        p, q = f"{hist}[i] / list_sum({hist})", f"{ref}[i] / list_sum({ref})"
+        term = f"{part.format(f'({p})', f'({q})')} + {part.format(f'({q})', f'({p})')}"
+        return f"sqrt(greatest(0, 0.5 * list_sum(list_transform(range(1, len({hist}) + 1), lambda i: {term}))))"
+
+    def kept(name: str, limit: tuple[float, float]) -> str:
+        return f"coalesce({name}, 0) <= {limit[0]} + {limit[1]} / sqrt(greatest(n_words, 1))"
+
+    counted = ", ".join(f"{count(c)} AS c{i}" for i, c in enumerate(classes))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {WORDS.format(text='t')} AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+    {counted} FROM d),
+b AS (SELECT *, list_transform(words, lambda x: lower(regexp_replace(x, '[.,;:!?]+$', ''))) AS bare FROM w),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS x FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS at FROM
+    (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1) GROUP BY 1),
+f AS (SELECT doc_id, lang, len(words)::BIGINT AS n_words, (length(t) - c3)::BIGINT AS word_chars, c5::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    [{chars}] AS ch, [{spoken}, (len(words) - len(list_filter(bare, lambda x: x IN ({listed}))))::DOUBLE] AS wh
+    FROM b LEFT JOIN rep USING (doc_id)),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+r AS (SELECT lang, {sums('ch', 7)} AS cr, {sums('wh', len(common) + 1)} AS wr FROM g WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT *, CASE WHEN n_words >= {least[0]} AND word_chars >= {least[1]} THEN {distance('ch', 'cr')} END AS cd,
+    CASE WHEN n_words >= {least[0]} AND word_chars >= {least[1]} THEN {distance('wh', 'wr')} END AS wd FROM g LEFT JOIN r USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND {kept('cd', char_limit)} AND {kept('wd', word_limit)} AS kept,
+    round(cd, 6) + 0.0 AS char_distance, round(wd, 6) + 0.0 AS word_distance FROM j"""

@@ -85,7 +85,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    shown = {c: F.round(c, 6) + F.lit(0.0) for c in ("char_distance", "word_distance")}
+    return judged.withColumns(shown)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -108,4 +110,10 @@ ORACLES: dict[str, str] = {
     "op2_exact_top_k": oracles.TOP_K,
     "op6_source_mixing": oracles.mixing(WEIGHTS, percent=80, epochs=2, seed=0),
     "op8_jaccard_join": oracles.jaccard(k=3, percent=90),
+    "op10_quality_rules": oracles.quality(
+        quality.COMMON_WORDS,
+        (quality.CHAR_LIMIT, quality.CHAR_SCATTER),
+        (quality.WORD_LIMIT, quality.WORD_SCATTER),
+        (quality.LEAST_WORDS, quality.LEAST_CHARS),
+    ),
 }
