@@ -66,10 +66,13 @@ def shingle_hashes(words: list[bytes], k: int, known: dict) -> np.ndarray:
     return np.unique(mixed.view(np.int64))
 
 
-def parity_sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of a power of two of cells, about one cell per token."""
+def parity_sketch(tokens: np.ndarray, percent: int = 80) -> bytes:
+    """Parity of the tokens in each of a power of two of cells.
+
+    One cell per token at 80 percent, fewer the fewer differences a link may have.
+    """
     bits = 64
-    while bits < len(tokens) and bits < SKETCH_BITS:
+    while 20 * bits < len(tokens) * (100 - percent) and bits < SKETCH_BITS:
         bits *= 2
     cells = (tokens & (bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).tobytes()
@@ -105,7 +108,7 @@ def _shingled(df: DataFrame, k: int, percent: int) -> DataFrame:
                 n.append(len(tokens))
                 key.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 lead.append(tokens[: _lead(len(tokens), percent)])
-                sketch.append(parity_sketch(tokens))
+                sketch.append(parity_sketch(tokens, percent))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -139,6 +142,22 @@ def _sieve(ids: DataFrame, name: str) -> tuple[list[Column], np.ndarray]:
     return places, np.unpackbits(bitmap.view(np.uint8), bitorder="little").view(bool)
 
 
+def _passed(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``sets`` whose rep may be among ``chosen``; wide rows stay where they are."""
+    places, bitmap = _sieve(chosen, "rep")
+    ship, tries = sets.sparkSession.sparkContext.broadcast(np.packbits(bitmap)), len(places)
+
+    columns, schema = sets.columns, sets.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(ship.value).view(bool)
+        for batch in batches:
+            hit = np.logical_and.reduce([bits[batch.column(f"p{i}").to_numpy()] for i in range(tries)])
+            yield batch.filter(pa.array(hit)).select(columns)
+
+    return sets.select("*", *[p.alias(f"p{i}") for i, p in enumerate(places)]).mapInArrow(run, schema)
+
+
 def _contents(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``(rep, tokens)``: whole token arrays of the wanted documents (rep, key).
 
@@ -319,7 +338,7 @@ def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
         cross = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         tokens = [np.frombuffer(t, np.int64) for t in table.column("tokens").to_pylist()]
         n = np.array([len(t) for t in tokens])
-        sketch = [parity_sketch(t) for t in tokens]
+        sketch = [parity_sketch(t, percent) for t in tokens]
         order = np.argsort(n, kind="stable")
         found: list[tuple[int, int]] = []
         for x, i in enumerate(order):
@@ -375,9 +394,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     busy = settle(hits.join(reps.select("rep", "n"), "rep").where(F.col("hits") >= share).select("rep"), "busy")
 
     lead = F.expr(f"slice(lead, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
-    rows = reps.join(busy, "rep", "left_semi").select(
-        "rep", "n", "sketch", F.posexplode(lead).alias("pos", "token")
-    )
+    near = settle(_passed(reps, busy), "near")
+    rows = near.select("rep", "n", F.posexplode(lead).alias("pos", "token"))
     by_token = Window.partitionBy("token")
     rows = (
         rows.withColumn("_m", F.count(F.lit(1)).over(by_token))
@@ -394,8 +412,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             F.col("n").cast("bigint").alias("n"),
             F.col("pos").cast("bigint").alias("pos"),
             "rep",
-            "sketch",
         )
+        .join(near.select("rep", "sketch"), "rep")
         .repartition("token", "lo", "hi")
         .sortWithinPartitions("token", "lo", "hi", "n", "rep")
     )
