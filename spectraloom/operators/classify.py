@@ -148,10 +148,10 @@ def standardiser(train: DataFrame, features: Sequence[str]) -> Callable[[DataFra
     return apply
 
 
-def classifier(model: str = "logistic", n_train: int = 100, seed: int = 123, max_iter: int = 5000):
-    """M3-M5: the estimator, with the iteration limit of the workflow."""
+def classifier(model: str = "logistic", n_train: int = 100, seed: int = 123, max_iter: int = 5000, tol: float = 1e-4):
+    """M3-M5: the estimator, with the iteration limit and tolerance of the workflow."""
     reg = 1.0 / max(n_train, 1)
-    common = {"regParam": reg, "weightCol": "weight", "standardization": False, "maxIter": max_iter}
+    common = {"regParam": reg, "weightCol": "weight", "standardization": False, "maxIter": max_iter, "tol": tol}
     return {
         "logistic": lambda: LogisticRegression(**common),
         "svm": lambda: LinearSVC(**common),
