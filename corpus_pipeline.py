@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, jaccard, mixing, pii, quality
 from spectraloom.llm.queries import TOKENIZER, WEIGHTS, levels
-from spectraloom.session import new_path
+from spectraloom.session import new_path, settle
 
 #: Near-duplicate stage: words of a shingle and similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -27,12 +27,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without an id are in no group and stay.
+    """
     classes = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    first = settle(classes.where("doc_id = component_id").groupBy("doc_id").count(), "first")
+    once = settle(first.where("count = 1").select("doc_id"), "once")
+    more = settle(first.where("count > 1").select("doc_id"), "more")  # as a rule none: whole rows move once
+    return (
+        docs.join(once, "doc_id", "left_semi")
+        .unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        .unionByName(docs.where("doc_id IS NULL"))
+    )
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
