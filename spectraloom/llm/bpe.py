@@ -80,6 +80,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.unsure, self.plain, self.careful = cutter(spec)
         self.known: dict[bytes, bytes] = {}
+        self.recent: set[bytes] = set()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
@@ -97,8 +98,14 @@ class Encoder:
             encoded = self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)
             for fragment, got in zip(part, encoded):
                 self.known[fragment] = np.array(got.ids, "<u4").tobytes()
+        self.recent = now
         return [b"".join(map(self.known.__getitem__, fragments)) for fragments in cut]
 
+    def forget(self) -> None:
+        """Keeps only the last batch's fragments."""
+        self.known = {f: self.known[f] for f in self.recent}
+        self.recent = set()
+
 
 @lru_cache(maxsize=2)
 def decoder_table(spec_text: str) -> list[bytes]:
@@ -120,7 +127,10 @@ def _schema(df: DataFrame, *more: StructField) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in names] + list(more))
 
 
-def _with_column(df: DataFrame, field: StructField, kind: pa.DataType, compute, rows: int) -> DataFrame:
+def _with_column(
+    df: DataFrame, field: StructField, kind: pa.DataType, compute, rows: int, done=lambda: None
+) -> DataFrame:
+    """``df`` with a computed column; ``done`` is called at the end of each task."""
     kept = [c for c in df.columns if c != field.name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +139,7 @@ def _with_column(df: DataFrame, field: StructField, kind: pa.DataType, compute,
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), made], names=[*kept, field.name]
             )
+        done()
 
     return df.mapInArrow(run, _schema(df, field))
 
@@ -146,7 +157,10 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "i
         texts = batch.column(text).cast(pa.binary()).to_pylist()
         return _encoder(spec_text).encode([t or b"" for t in texts])
 
-    return _with_column(df, StructField(ids, BinaryType()), pa.binary(), compute, 500)
+    def done() -> None:  # the worker goes on to other stages, which need the memory
+        _encoder(spec_text).forget()
+
+    return _with_column(df, StructField(ids, BinaryType()), pa.binary(), compute, 500, done)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
