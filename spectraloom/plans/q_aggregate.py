@@ -193,7 +193,7 @@ def f8(spark, sf_dir):
     out = G.lifetime_summary(px, ["grp", "sample_id"])
     return out.select(
         "grp", "sample_id", *rounded("ratio_mean"), *rounded("tm_mean"), "n_pixels",
-        *rounded("ratio_median"), *rounded("tm_median"),
+        *rounded("ratio_median", digits=4), *rounded("tm_median"),
     )
 
 
@@ -211,7 +211,7 @@ def w4(spark, sf_dir):
     kept = S.trim_joint(px, ["a1", "a2", "tm"], ["grp", "sample_id"])
     out = G.lifetime_summary(kept.withColumn("ratio", B.lifetime_ratio(F.col("a1"), F.col("a2"))), ["grp", "sample_id"])
     return out.select(
-        "grp", "sample_id", *rounded("ratio_mean", "tm_mean"), "n_pixels", *rounded("ratio_median", "tm_median")
+        "grp", "sample_id", *rounded("ratio_mean", "tm_mean"), "n_pixels", *rounded("ratio_median", digits=4), *rounded("tm_median")
     )
 
 
