@@ -186,21 +186,21 @@ def f7(spark, sf_dir):
 @query(
     "f8_lifetime_summary",
     sql("flim", f"""SELECT grp, sample_id, {r('avg(a1 / a2)', 'ratio_mean', 6)}, {r('avg(tm)', 'tm_mean')}, count(*) AS n_pixels,
-        {r('median(a1 / a2)', 'ratio_median', 4)}, {r('median(tm)', 'tm_median')} FROM flim WHERE a2 <> 0 GROUP BY 1, 2"""),
+        {r('median(a1 / a2)', 'ratio_median', 8)}, {r('median(tm)', 'tm_median')} FROM flim WHERE a2 <> 0 GROUP BY 1, 2"""),
 )
 def f8(spark, sf_dir):
     px = X.flim(spark, sf_dir).withColumn("ratio", B.lifetime_ratio(F.col("a1"), F.col("a2")))
     out = G.lifetime_summary(px, ["grp", "sample_id"])
     return out.select(
         "grp", "sample_id", *rounded("ratio_mean"), *rounded("tm_mean"), "n_pixels",
-        *rounded("ratio_median", digits=4), *rounded("tm_median"),
+        *rounded("ratio_median", digits=8), *rounded("tm_median"),
     )
 
 
 @query(
     "w4_lifetime_workflow",
     sql("flim", f"""SELECT grp, sample_id, {r('avg(a1 / a2)', 'ratio_mean', 6)}, {r('avg(tm)', 'tm_mean')}, count(*) AS n_pixels,
-        {r('median(a1 / a2)', 'ratio_median', 4)}, {r('median(tm)', 'tm_median')} FROM flim JOIN q USING (grp, sample_id)
+        {r('median(a1 / a2)', 'ratio_median', 8)}, {r('median(tm)', 'tm_median')} FROM flim JOIN q USING (grp, sample_id)
         WHERE a1 BETWEEN l1 AND h1 AND a2 BETWEEN l2 AND h2 AND tm BETWEEN l3 AND h3 AND a2 <> 0 GROUP BY 1, 2""",
         q="""SELECT grp, sample_id, quantile_cont(a1, 0.025) AS l1, quantile_cont(a1, 0.975) AS h1, quantile_cont(a2, 0.025) AS l2,
         quantile_cont(a2, 0.975) AS h2, quantile_cont(tm, 0.025) AS l3, quantile_cont(tm, 0.975) AS h3 FROM flim GROUP BY 1, 2"""),
@@ -211,7 +211,7 @@ def w4(spark, sf_dir):
     kept = S.trim_joint(px, ["a1", "a2", "tm"], ["grp", "sample_id"])
     out = G.lifetime_summary(kept.withColumn("ratio", B.lifetime_ratio(F.col("a1"), F.col("a2"))), ["grp", "sample_id"])
     return out.select(
-        "grp", "sample_id", *rounded("ratio_mean", "tm_mean"), "n_pixels", *rounded("ratio_median", digits=4), *rounded("tm_median")
+        "grp", "sample_id", *rounded("ratio_mean", "tm_mean"), "n_pixels", *rounded("ratio_median", digits=8), *rounded("tm_median")
     )
 
 
