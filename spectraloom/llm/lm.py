@@ -8,9 +8,11 @@ power of two, learned by expectation-maximisation on the deleted part's counts:
 
     P(w | h) = P1(w) * (lambda * P2(class w | class h) / P1(class w) + 1 - lambda)
 
-P1 is the additive unigram over all known words and one unknown, so P sums to at most 1.  Only
-pairs, contexts and words above a relative frequency are sent to the tasks; at most 1 / RELATIVE
-of each can exist, whatever the size of the corpus.  All other words' counts are joined.
+P1 is the additive unigram over all known words and one unknown, so P sums to at most 1.  All
+counted pairs are in the model.  Pairs, contexts and words above a relative frequency are sent
+to the tasks; at most RELATIVE of each can exist, whatever the size of the corpus.  All others
+are joined: the log of the factor is a part of the context plus a part of the pair, so a row
+needs sums over its keys only.
 """
 
 from __future__ import annotations
@@ -146,9 +148,9 @@ class Model:
     words: int  # V
     common: dict[bytes, int]  # counts of words above the relative frequency
     contexts: np.ndarray
-    context_log: np.ndarray  # log10(1 - lambda) of each context
+    context_log: np.ndarray  # log10(1 - lambda) of each frequent context
     pairs: np.ndarray
-    pair_log: np.ndarray  # log10 of the mixture's factor of each pair
+    pair_log: np.ndarray  # log10 of the mixture's factor of each frequent pair
 
 
 def weights(histogram: list[tuple[int, float | None, int]]) -> dict[int, float]:
@@ -166,8 +168,16 @@ def weights(histogram: list[tuple[int, float | None, int]]) -> dict[int, float]:
     return found
 
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """Model and the table ``(word, c)`` of all word counts, from all given documents."""
+def context_key(h):
+    """Key of a context among the keys of pairs, which are not negative."""
+    return -h - 1
+
+
+def _learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """Model, ``(word, c)`` of all words and ``(key, value)`` of the pairs and contexts not in the model.
+
+    A pair's value is added to its context's, which unseen pairs get alone.
+    """
     spark = docs.sparkSession
     counts = settle(
         count_tokens(docs.select("text", (remainder(F.col("doc_id"), HELD_MODULUS) == 0).alias("deleted"))),
@@ -185,25 +195,19 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
         "pair",
         "main",
         "held",
-        ((F.col("main") + F.col("held")) * RELATIVE >= n).alias("stored"),
     )
-    stored = F.when(F.col("stored"), F.col("main")), F.when(F.col("stored"), F.col("main") + F.col("held"))
     contexts = settle(
-        kept.groupBy("h").agg(
-            F.coalesce(F.sum(stored[0]), F.lit(0)).alias("h_main"),
-            F.coalesce(F.sum(stored[1]), F.lit(0)).alias("h_all"),
-        ),
+        kept.groupBy("h").agg(F.sum("main").alias("h_main"), F.sum(F.col("main") + F.col("held")).alias("h_all")),
         "contexts",
     )
     bucket = F.least(F.lit(40), F.floor(F.log2(F.col("h_all") + 1))).cast("int").alias("bucket")
     joined = settle(
-        kept.where("stored OR held > 0")
-        .join(contexts, "h")
+        kept.join(contexts, "h")
         .join(settle(classes, "classes"), "cls")
-        .select("h", "pair", "main", "held", "stored", "h_main", "h_all", "q", bucket),
+        .select("h", "pair", "main", "held", "h_main", "h_all", "q", bucket),
         "pairs",
     )
-    ratio = F.when(F.col("stored") & (F.col("main") > 0), F.col("main") / F.col("h_main") / F.col("q"))
+    ratio = F.when(F.col("main") > 0, F.col("main") / F.col("h_main") / F.col("q"))
     histogram = (
         joined.where("held > 0")
         .groupBy("bucket", F.round(F.log(ratio) * 20).alias("step"))
@@ -212,21 +216,17 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     )
     share = weights([(r[0], None if r[1] is None else float(np.exp(r[1] / 20)), r[2]) for r in histogram])
     shares = spark.createDataFrame([(b, share.get(b, 0.0)) for b in range(41)], "bucket int, share double")
-    factors = (
-        joined.where("stored")
-        .join(F.broadcast(shares), "bucket")
-        .select(
-            "pair",
-            F.log10(
-                F.col("share") * (F.col("main") + F.col("held")) / F.col("h_all") / F.col("q") + 1 - F.col("share")
-            ).alias("factor"),
-        )
-        .toArrow()
+    total = F.col("main") + F.col("held")
+    rest = F.log10(1 - F.col("share"))
+    factors = joined.join(F.broadcast(shares), "bucket").select(
+        F.col("pair").alias("key"),
+        F.log10(F.col("share") * total / F.col("h_all") / F.col("q") + 1 - F.col("share")).alias("factor"),
+        rest.alias("rest"),
+        (total * RELATIVE >= n).alias("sent"),
     )
     seen = (
-        contexts.where("h_all > 0").select("h", bucket).join(F.broadcast(shares), "bucket")
-        .select("h", F.log10(1 - F.col("share")).alias("rest"))
-        .toArrow()
+        contexts.select("h", "h_all", bucket).join(F.broadcast(shares), "bucket")
+        .select("h", rest.alias("rest"), (F.col("h_all") * RELATIVE >= n).alias("sent"))
     )
 
     def by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +234,19 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
         order = np.argsort(key)
         return key[order].astype(np.int64), value[order].astype(np.float64)
 
-    return Model(int(n), int(v), common, *by_key(seen), *by_key(factors)), words.select("word", "c")
+    others = (
+        factors.where("NOT sent").select("key", (F.col("factor") - F.col("rest")).alias("value"))
+        .unionByName(seen.where("NOT sent").select(context_key(F.col("h")).alias("key"), F.col("rest").alias("value")))
+    )
+    sent = by_key(seen.where("sent").select("h", "rest").toArrow()), by_key(
+        factors.where("sent").select("key", "factor").toArrow()
+    )
+    return Model(int(n), int(v), common, *sent[0], *sent[1]), words.select("word", "c"), others
+
+
+def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """Model and the table ``(word, c)`` of all word counts, from all given documents."""
+    return _learn(docs)[:2]
 
 
 def _looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -245,8 +257,19 @@ def _looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.nd
     return np.where(table[at] == keys, values[at], np.nan)
 
 
+def _key_lists(keys: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """Each row's keys with their counts in it, as lists."""
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])][: len(keys)])
+    tf = np.diff(np.append(first, len(keys)))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=rows))])
+    pairs = pa.StructArray.from_arrays([pa.array(keys[first], pa.int64()), pa.array(tf, pa.int64())], ["key", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
 def _known_part(docs: DataFrame, model: Model) -> DataFrame:
-    """What the shipped tables can tell of every row, and the words they do not hold."""
+    """What the shipped tables can tell of every row, and the words and keys they do not hold."""
     ship = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +282,13 @@ def _known_part(docs: DataFrame, model: Model) -> DataFrame:
             keys, size = pair_keys(texts, known)
             factor = _looked_up(keys, m.pairs, m.pair_log)
             lacking = np.isnan(factor)
-            factor[lacking] = np.nan_to_num(
-                _looked_up(keys[lacking] >> CLASS_BITS, m.contexts, m.context_log), nan=0.0
-            )
-            gain = np.add.reduceat(factor, np.cumsum(size) - size)
+            before = keys[lacking] >> CLASS_BITS
+            factor[lacking] = _looked_up(before, m.contexts, m.context_log)
+            unsent = np.isnan(factor[lacking])
+            at = np.repeat(np.arange(len(size)), size)[lacking]
+            asked = np.concatenate([keys[lacking], context_key(before[unsent])])
+            at = np.concatenate([at, at[unsent]])
+            gain = np.add.reduceat(np.nan_to_num(factor, nan=0.0), np.cumsum(size) - size)
             base, seen, rare = [], [], []
             for words in texts:
                 found = np.fromiter(map(logs.get, words, repeat(np.nan)), np.float64, len(words))
@@ -283,17 +309,18 @@ def _known_part(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(base, pa.float64()),
                     pa.array(gain, pa.float64()),
                     pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
+                    _key_lists(asked, at, len(size)),
                 ],
-                names=["row", "doc_id", "held_out", "n_tokens", "seen", "base", "gain", "rare"],
+                names=["row", "doc_id", "held_out", "n_tokens", "seen", "base", "gain", "rare", "asked"],
             )
 
     return docs.mapInArrow(
         run,
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, seen bigint, base double, gain double, rare array<struct<word:binary,tf:bigint>>",
+        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, seen bigint, base double, gain double, rare array<struct<word:binary,tf:bigint>>, asked array<struct<key:bigint,tf:bigint>>",
     )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, others: DataFrame) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, held_out)."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.col("text").cast("binary").alias("text")
@@ -310,15 +337,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rest_seen"),
         )
     )
+    more = (
+        part.select("row", F.explode("asked").alias("a"))
+        .select("row", "a.key", "a.tf")
+        .join(others, "key")
+        .groupBy("row")
+        .agg(F.sum(F.col("tf") * F.col("value")).alias("more"))
+    )
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return part.drop("rare").join(rest, "row", "left").select(
+    return part.drop("rare", "asked").join(rest, "row", "left").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("seen") + F.coalesce("rest_seen", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
+        (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
@@ -330,5 +364,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     base score is 0; an empty table gives an empty table.
     """
     split = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
-    model, counts = learn(split.where("NOT held_out"))
-    return score(split, model, counts)
+    return score(split, *_learn(split.where("NOT held_out")))

@@ -97,6 +97,16 @@ def test_lm_probabilities_sum_to_one(spark):
         assert 0.5 < mass <= 1 + 1e-9
 
 
+def test_lm_pairs_below_the_sent_frequency_count(spark, monkeypatch):
+    """Scores do not depend on which pairs and contexts are sent and which are joined."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    want = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "RELATIVE", 100)
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    assert want.keys() == got.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(1)
     true, rows = 0.7, []
