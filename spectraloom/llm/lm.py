@@ -1,18 +1,20 @@
 """Language-model scores by deleted interpolation.
 
-Training tokens are counted once: words exactly, and pairs of word classes (a word of up to
-four bytes is its own class, longer ones share a class by ending and length), apart for a
-deleted part of the training documents.  A pair's maximum-likelihood estimate is mixed with the
-smoothed unigram; the mixture weight depends on how often the context was seen, one weight per
-power of two, learned by expectation-maximisation on the deleted part's counts:
+Words, pairs of word classes (a word of up to four bytes is its own class, longer ones share a
+class by ending and length) and word bigrams and trigrams (as 64-bit hashes) are counted, apart
+for a deleted part of the training documents.  Each order's maximum-likelihood estimate is mixed
+with the next lower one; the mixture weight depends on how often the context was seen, one
+weight per power of two, learned by expectation-maximisation on the deleted part's counts:
 
-    P(w | h) = P1(w) * (lambda * P2(class w | class h) / P1(class w) + 1 - lambda)
+    PC(w | h)   = P1(w) * (lambda * C(class w | class h) / P1(class w) + 1 - lambda)
+    P2(w | h)   = lambda2 * c(h w) / c(h) + (1 - lambda2) * PC(w | h)
+    P3(w | g h) = lambda3 * c(g h w) / c(g h) + (1 - lambda3) * P2(w | h)
 
 P1 is the additive unigram over all known words and one unknown, so P sums to at most 1.  All
-counted pairs are in the model.  Pairs, contexts and words above a relative frequency are sent
+counts are in the model.  Words, pairs, contexts and n-grams above a relative frequency are sent
 to the tasks; at most RELATIVE of each can exist, whatever the size of the corpus.  All others
-are joined: the log of the factor is a part of the context plus a part of the pair, so a row
-needs sums over its keys only.
+are joined: the log of an estimate over the lower one is a part of the context plus a part of
+the n-gram, zero where unseen, so a row needs sums over its keys only.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import remainder, slices, words_of
@@ -39,7 +42,9 @@ END_WORD = b"\n"  # no word holds white space
 WORDS_KEPT = 300_000
 PAIRS_KEPT = 2_000_000
 STEPS = 200
+BUCKETS = 41
 _MASK = (1 << CLASS_BITS) - 1
+_START_HASH, _END_HASH, _TRIGRAM = 1, 2, 3
 
 
 class _Classes(dict):
@@ -68,6 +73,88 @@ def pair_keys(texts: list[list[bytes]], known: dict) -> tuple[np.ndarray, np.nda
     return (before << CLASS_BITS) | now, size
 
 
+class _Hashes(dict):
+    """64-bit hash of a word, remembered; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order (uint64)."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def ngram_keys(texts: list[list[bytes]], known: dict) -> tuple[np.ndarray, ...]:
+    """(context, word, bigram, trigram, first) of every token, laid out as in ``pair_keys``.
+
+    ``first`` marks the first token of a text, which has no trigram.
+    """
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    now = np.empty(int(size.sum()), np.uint64)
+    at = 0
+    for words, n in zip(texts, size.tolist()):
+        now[at : at + n - 1] = np.fromiter(map(known.__getitem__, words), np.uint64, n - 1)
+        now[at + n - 1] = _END_HASH
+        at += n
+    first = np.zeros(len(now), bool)
+    first[np.cumsum(size) - size] = True
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[first] = _START_HASH
+    two = _mixed(before, now)
+    three = np.zeros_like(two)
+    three[1:] = _mixed(two[:-1] + np.uint64(_TRIGRAM), now[1:])
+    return before.view(np.int64), now.view(np.int64), two.view(np.int64), three.view(np.int64), first
+
+
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """``(key, left, right, pair, main, held)`` of every word bigram and trigram of ``docs``.
+
+    A bigram's left and right are its words, pair its classes; a trigram's are its bigrams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, known = _Classes(), _Hashes()
+        for batch in slices(batches):
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            pair, size = pair_keys(texts, classes)
+            before, now, two, three, first = ngram_keys(texts, known)
+            held = np.repeat(np.array(batch.column("deleted").to_pylist(), bool), size)
+            later = np.flatnonzero(~first)
+            for key, left, right, pairs, part in (
+                (two, before, now, pair, held),
+                (three[later], two[later - 1], two[later], None, held[later]),
+            ):
+                keys, at, back = np.unique(key, return_index=True, return_inverse=True)
+                both = np.bincount(back, minlength=len(keys)).astype(np.int64)
+                apart = np.bincount(back, part, len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys, pa.int64()),
+                        pa.array(left[at], pa.int64()),
+                        pa.array(right[at], pa.int64()),
+                        pa.nulls(len(keys), pa.int64()) if pairs is None else pa.array(pairs[at], pa.int64()),
+                        pa.array(both - apart),
+                        pa.array(apart),
+                    ],
+                    names=["key", "left", "right", "pair", "main", "held"],
+                )
+
+    counted = docs.select(F.col("text").cast("binary").alias("text"), "deleted").mapInArrow(
+        run, "key bigint, left bigint, right bigint, pair bigint, main bigint, held bigint"
+    )
+    return counted.groupBy("key").agg(
+        *[F.min(c).alias(c) for c in ("left", "right", "pair")], F.sum("main").alias("main"), F.sum("held").alias("held")
+    )
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """``(word, cls, pair, main, held)``: counts of words (pair null) and class pairs (word null).
 
@@ -151,6 +238,13 @@ class Model:
     context_log: np.ndarray  # log10(1 - lambda) of each frequent context
     pairs: np.ndarray
     pair_log: np.ndarray  # log10 of the mixture's factor of each frequent pair
+    grams: np.ndarray
+    gram_log: np.ndarray  # part of each frequent word bigram and trigram
+    context_rest: list[float]  # log10(1 - lambda2) of a word by the bucket of its count
+    starts: int  # training texts
+
+    def rest(self, count: int) -> float:
+        return self.context_rest[min(BUCKETS - 1, (count + 1).bit_length() - 1)]
 
 
 def weights(histogram: list[tuple[int, float | None, int]]) -> dict[int, float]:
@@ -168,21 +262,92 @@ def weights(histogram: list[tuple[int, float | None, int]]) -> dict[int, float]:
     return found
 
 
+def _bucket(count) -> Column:
+    return F.least(F.lit(BUCKETS - 1), F.floor(F.log2(count + 1))).cast("int")
+
+
+def _by_bucket(values: list[float], count) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), _bucket(count) + 1)
+
+
+def _steps(table: DataFrame, context: Column, ratio: Column) -> list[float]:
+    """Mixture weight of every bucket of ``context`` from the deleted part's counts."""
+    histogram = (
+        table.where("held > 0")
+        .groupBy(_bucket(context).alias("bucket"), F.round(F.log(ratio) * 20).alias("step"))
+        .agg(F.sum("held").alias("n"))
+        .collect()  # buckets x steps of a logarithm: bounded
+    )
+    found = weights([(r[0], None if r[1] is None else float(np.exp(r[1] / 20)), r[2]) for r in histogram])
+    share = [found.get(0, 0.0)]
+    for b in range(1, BUCKETS):  # a context seen more often than any of the main part: as the next lower
+        share.append(found.get(b, share[-1]))
+    return share
+
+
+def _ngrams(docs: DataFrame, pairs: DataFrame, n: int, v: int) -> tuple[DataFrame, list[float]]:
+    """``(key, value, sent)`` of all word bigrams and trigrams, and the weights lambda2.
+
+    ``pairs`` has the factor of every class pair, with and without the deleted part.  A bigram's
+    value holds its part as the context of the next word.
+    """
+    counts = settle(count_ngrams(docs), "ngrams")
+    both = F.col("main") + F.col("held")
+    two = counts.where("pair IS NOT NULL").select("key", "left", "right", "pair", "main", "held", both.alias("both"))
+    left = two.groupBy("left").agg(F.sum("main").alias("l_main"), F.sum("both").alias("l_both"))
+    right = two.groupBy("right").agg(((F.sum("both") + 1) / (n + v + 1)).alias("p1"))
+    bigrams = settle(
+        two.join(settle(left, "left"), "left")
+        .join(settle(right, "right"), "right")
+        .join(pairs, "pair")
+        .select(
+            "key", "right", "main", "held", "both", "l_main", "l_both",
+            (F.col("p1") * F.col("factor")).alias("pc"), (F.col("p1") * F.col("factor_main")).alias("pc_main"),
+        ),
+        "bigrams",
+    )
+    ratio = F.when(F.col("main") > 0, F.col("main") / F.col("l_main"))
+    second = _steps(bigrams, F.col("l_main"), ratio / F.col("pc_main"))
+    share, share_main = _by_bucket(second, F.col("l_both")), _by_bucket(second, F.col("l_main"))
+    low = (1 - share) * F.col("pc")
+    known = bigrams.select(
+        "key", "right", "main", "both",
+        (share * F.col("both") / F.col("l_both") + low).alias("p2"),
+        (share_main * F.coalesce(ratio, F.lit(0.0)) + (1 - share_main) * F.col("pc_main")).alias("p2_main"),
+        F.log10(share * F.col("both") / F.col("l_both") / low + 1).alias("part"),
+    )
+    three = settle(
+        counts.where("pair IS NULL").select("key", "left", "right", "main", "held", both.alias("both"))
+        .join(known.select(F.col("key").alias("left"), F.col("main").alias("l_main"), F.col("both").alias("l_both")), "left")
+        .join(known.select(F.col("key").alias("right"), "p2", "p2_main"), "right")
+        .select("key", "main", "held", "both", "l_main", "l_both", "p2", "p2_main"),
+        "trigrams",
+    )
+    third = _steps(three, F.col("l_main"), ratio / F.col("p2_main"))
+    share = _by_bucket(third, F.col("l_both"))
+    following = F.when(F.col("right") == _END_HASH, 0.0).otherwise(F.log10(1 - _by_bucket(third, F.col("both"))))
+    sent = (F.col("both") * RELATIVE >= n).alias("sent")
+    parts = known.select("key", (F.col("part") + following).alias("value"), sent).unionByName(
+        three.select(
+            "key", F.log10(share * F.col("both") / F.col("l_both") / (1 - share) / F.col("p2") + 1).alias("value"), sent
+        )
+    )
+    return parts, second
+
+
 def context_key(h):
     """Key of a context among the keys of pairs, which are not negative."""
     return -h - 1
 
 
 def _learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """Model, ``(word, c)`` of all words and ``(key, value)`` of the pairs and contexts not in the model.
+    """Model, ``(word, c)`` of all words and ``(key, value)`` of all keys that are not sent.
 
     A pair's value is added to its context's, which unseen pairs get alone.
     """
     spark = docs.sparkSession
-    counts = settle(
-        count_tokens(docs.select("text", (remainder(F.col("doc_id"), HELD_MODULUS) == 0).alias("deleted"))),
-        "counts",
-    )
+    parted = docs.select("text", (remainder(F.col("doc_id"), HELD_MODULUS) == 0).alias("deleted"))
+    counts = settle(count_tokens(parted), "counts")
     words = counts.where("word IS NOT NULL").select("word", "cls", F.col("main").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     often = words.where(F.col("c") * RELATIVE >= n).select("word", "c").toArrow()
@@ -217,10 +382,25 @@ def _learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     share = weights([(r[0], None if r[1] is None else float(np.exp(r[1] / 20)), r[2]) for r in histogram])
     shares = spark.createDataFrame([(b, share.get(b, 0.0)) for b in range(41)], "bucket int, share double")
     total = F.col("main") + F.col("held")
+
+    def mixed(count: Column, of: str) -> Column:
+        return F.col("share") * count / F.col(of) / F.col("q") + 1 - F.col("share")
+
+    shared = joined.join(F.broadcast(shares), "bucket")
+    grams, second = _ngrams(
+        parted,
+        shared.select(
+            "pair",
+            mixed(total, "h_all").alias("factor"),
+            F.coalesce(F.when(F.col("h_main") > 0, mixed(F.col("main"), "h_main")), 1 - F.col("share")).alias("factor_main"),
+        ),
+        n,
+        v,
+    )
     rest = F.log10(1 - F.col("share"))
-    factors = joined.join(F.broadcast(shares), "bucket").select(
+    factors = shared.select(
         F.col("pair").alias("key"),
-        F.log10(F.col("share") * total / F.col("h_all") / F.col("q") + 1 - F.col("share")).alias("factor"),
+        F.log10(mixed(total, "h_all")).alias("factor"),
         rest.alias("rest"),
         (total * RELATIVE >= n).alias("sent"),
     )
@@ -237,11 +417,14 @@ def _learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     others = (
         factors.where("NOT sent").select("key", (F.col("factor") - F.col("rest")).alias("value"))
         .unionByName(seen.where("NOT sent").select(context_key(F.col("h")).alias("key"), F.col("rest").alias("value")))
+        .unionByName(grams.where("NOT sent").select("key", "value"))
     )
     sent = by_key(seen.where("sent").select("h", "rest").toArrow()), by_key(
         factors.where("sent").select("key", "factor").toArrow()
-    )
-    return Model(int(n), int(v), common, *sent[0], *sent[1]), words.select("word", "c"), others
+    ), by_key(grams.where("sent").select("key", "value").toArrow())
+    starts = words.where(F.col("word") == F.lit(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    left = [float(np.log10(1 - x)) for x in second]
+    return Model(int(n), int(v), common, *sent[0], *sent[1], *sent[2], left, starts), words.select("word", "c"), others
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -273,10 +456,11 @@ def _known_part(docs: DataFrame, model: Model) -> DataFrame:
     ship = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = ship.value, _Classes()
+        m, known, hashes = ship.value, _Classes(), _Hashes()
         total = np.log10(m.tokens + m.words + 1)
         logs = {w: float(np.log10(c + 1) - total) for w, c in m.common.items()}
-        end = logs.get(END_WORD)
+        rests = {w: m.rest(c) for w, c in m.common.items()}
+        end, start = logs.get(END_WORD), m.rest(m.starts) if m.starts else 0.0
         for batch in slices(batches, 500):
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             keys, size = pair_keys(texts, known)
@@ -286,9 +470,16 @@ def _known_part(docs: DataFrame, model: Model) -> DataFrame:
             factor[lacking] = _looked_up(before, m.contexts, m.context_log)
             unsent = np.isnan(factor[lacking])
             at = np.repeat(np.arange(len(size)), size)[lacking]
-            asked = np.concatenate([keys[lacking], context_key(before[unsent])])
-            at = np.concatenate([at, at[unsent]])
+            *_, two, three, first = ngram_keys(texts, hashes)
+            row = np.repeat(np.arange(len(size)), size)
+            grams, owner = np.concatenate([two, three[~first]]), np.concatenate([row, row[~first]])
+            part = _looked_up(grams, m.grams, m.gram_log)
+            other = np.isnan(part)
+            asked = np.concatenate([keys[lacking], context_key(before[unsent]), grams[other]])
+            at = np.concatenate([at, at[unsent], owner[other]])
             gain = np.add.reduceat(np.nan_to_num(factor, nan=0.0), np.cumsum(size) - size)
+            gain += start + np.bincount(owner[~other], part[~other], len(size))
+            gain += [sum(map(rests.get, words, repeat(0.0))) for words in texts]
             base, seen, rare = [], [], []
             for words in texts:
                 found = np.fromiter(map(logs.get, words, repeat(np.nan)), np.float64, len(words))
@@ -335,6 +526,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, others: DataFrame) -
         .agg(
             F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(total))).alias("rest"),
             F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rest_seen"),
+            F.sum(
+                F.when((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD)), F.col("tf") * _by_bucket(model.context_rest, F.col("c")))
+            ).alias("rest_gain"),
         )
     )
     more = (
@@ -352,7 +546,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, others: DataFrame) -
         (F.col("seen") + F.coalesce("rest_seen", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (base + F.col("gain") + F.coalesce("rest_gain", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -107,6 +107,30 @@ def test_lm_pairs_below_the_sent_frequency_count(spark, monkeypatch):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_lm_tells_words_of_one_class_apart_by_their_neighbours(spark):
+    train = [(i, "xx aaaaaing yy" if i % 2 else "zz bbbbbing qq") for i in range(200)]
+    texts = ["xx aaaaaing yy", "xx bbbbbing yy", "zz aaaaaing qq", "zz bbbbbing qq"]
+    free = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    asked = dict(zip(free, texts))
+    docs = spark.createDataFrame([*train, *asked.items()], "doc_id bigint, text string")
+    got = {asked[r.doc_id]: r.score - r.base_score for r in lm.lm_scores(docs).collect() if r.doc_id in asked}
+    assert got[texts[0]] > got[texts[1]] + 1 and got[texts[3]] > got[texts[2]] + 1
+
+
+def test_lm_texts_sum_to_at_most_one(spark):
+    """Over all texts of up to three words, one of them unknown, the scores are probabilities."""
+    train = [(i, ("a b longerword", "a b", "b a", "longerword", "a")[i % 5]) for i in range(300)]
+    words, texts = ["a", "b", "longerword", "never"], [""]
+    for _ in range(3):
+        texts += [f"{t} {w}".strip() for t in texts for w in words]
+    held = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    asked = dict(zip(held, sorted(set(texts))))
+    assert len(asked) == 1 + 4 + 16 + 64
+    docs = spark.createDataFrame([*train, *asked.items()], "doc_id bigint, text string")
+    mass = sum(10**r.score for r in lm.lm_scores(docs).collect() if r.doc_id in asked)
+    assert 0.9 < mass <= 1 + 1e-9
+
+
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(1)
     true, rows = 0.7, []
