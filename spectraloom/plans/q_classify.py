@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectraloom.catalog import BAND_LIBRARY
 from spectraloom.operators import aggregate as G
 from spectraloom.operators import bands as B
 from spectraloom.operators import classify as M
@@ -13,7 +14,10 @@ from spectraloom.plans.q_bands import wide_bands
 from spectraloom.plans.registry import query
 from spectraloom.session import settle
 
+#: Bands of the feature table with SQL; models take all bands and, as in the workflow, five folds.
 SHOWN = ["amideI", "ch2", "po2_1080"]
+BANDS = [band for band, *_ in BAND_LIBRARY]
+N_FOLDS = 5
 
 
 def units(spark, sf_dir):
@@ -68,11 +72,11 @@ def m2(spark, sf_dir):
 
 def unit_table(spark, sf_dir):
     """One row per sample: label and band features."""
-    f = M.feature_table(band_values(spark, sf_dir), ["unit_id"], "band", SHOWN)
+    f = M.feature_table(band_values(spark, sf_dir), ["unit_id"], "band", BANDS)
     return f.join(animals(spark, sf_dir), "unit_id")
 
 
-FEATURES = [f"{b}_{t}" for b in SHOWN for t in ("med", "iqr", "mean", "std")]
+FEATURES = [f"{b}_{t}" for b in BANDS for t in ("med", "iqr", "mean", "std")]
 
 
 def document_table(spark, sf_dir):
@@ -93,7 +97,7 @@ def document_table(spark, sf_dir):
 DOC_FEATURES = ["f_len", "f_digits", "f_word", "f_words"]
 
 
-def fold_tests(spark, sf_dir, k=3):
+def fold_tests(spark, sf_dir, k=N_FOLDS):
     return M.stratified_folds(units(spark, sf_dir), k).select(F.col("fold").alias("split_id"), "unit_id")
 
 
@@ -104,7 +108,7 @@ def m3(spark, sf_dir):
 
 @query("m4_linear_svm_predictions")
 def m4(spark, sf_dir):
-    return M.fit_predict(document_table(spark, sf_dir), fold_tests(spark, sf_dir, 2), DOC_FEATURES, "svm")
+    return M.fit_predict(document_table(spark, sf_dir), fold_tests(spark, sf_dir), DOC_FEATURES, "svm")
 
 
 @query("m5_forest_predictions")
@@ -175,7 +179,7 @@ def m11(spark, sf_dir):
 def m12(spark, sf_dir):
     keep = ["side", "sample_id"]
     wide = B.band_columns(X.selected_pixels(spark, sf_dir), AXIS, keep)
-    table = M.feature_table(B.bands_long(wide, keep), keep, "band", SHOWN)
+    table = M.feature_table(B.bands_long(wide, keep), keep, "band", BANDS)
     labelled = settle(table.join(animals(spark, sf_dir).withColumnRenamed("unit_id", "sample_id"), "sample_id"), "sides")
     return M.cross_domain(labelled, "RIGHT", "LEFT", FEATURES)
 

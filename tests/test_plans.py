@@ -59,3 +59,19 @@ def test_labels():
     from spectraloom.functions.text import safe_label
 
     assert safe_label("CH2 / CH3: *x*") == "CH2_over_CH3x"
+
+
+def test_models_take_all_bands_and_folds(spark, monkeypatch):
+    from spectraloom.catalog import BAND_LIBRARY
+    from spectraloom.plans import q_classify as Q
+
+    sf, bands = "/root/testdata/sf0.001", {b for b, *_ in BAND_LIBRARY}
+    assert {c.rsplit("_", 1)[0] for c in Q.unit_table(spark, sf).columns if c not in ("unit_id", "label")} == bands
+    asked = []
+    fit = Q.M.standardiser
+    monkeypatch.setattr(Q.M, "standardiser", lambda table, features: (asked.append(set(features)), fit(table, features))[1])
+    assert Q.m12(spark, sf).columns and Q.h3(spark, sf).count() == 12
+    assert len(asked) == 2 and all({f.rsplit("_", 1)[0] for f in fs} == bands for fs in asked)
+    monkeypatch.setattr(Q.M, "fit_predict", lambda table, tests, *rest: tests)
+    for query in (Q.m3, Q.m4):
+        assert query(spark, sf).select("split_id").distinct().count() == 5
