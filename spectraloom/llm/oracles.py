@@ -134,3 +134,46 @@ j AS (SELECT *, CASE WHEN n_words >= {least[0]} AND word_chars >= {least[1]} THE
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND {kept('cd', char_limit)} AND {kept('wd', word_limit)} AS kept,
     round(cd, 6) + 0.0 AS char_distance, round(wd, 6) + 0.0 AS word_distance FROM j"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 bit by bit: every eighth step takes in a character of the decimal id.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(CAST(doc_id AS VARCHAR))),
+    lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1))::BIGINT ELSE 0::BIGINT END)),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384::BIGINT * (xor(a, b) & 1))), 4294967295::BIGINT)"""
+
+#: A lone node has no sibling: '' adds nothing to a digest.
+MERKLE = f"""WITH RECURSIVE d AS (SELECT *, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")}
+        ELSE {_leaf("n_chars")} END AS altered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+tree AS (SELECT 0 AS level, lang, pos AS spot, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM p
+    UNION ALL SELECT level + 1, lang, spot // 2, sha256(digest || coalesce(other, '')), (n + 1) // 2 FROM (
+        SELECT *, lead(digest) OVER (PARTITION BY lang ORDER BY spot) AS other FROM tree WHERE n > 1) WHERE spot % 2 = 0),
+langs AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, pos AS spot, subroot AS digest, count(*) OVER () AS n FROM langs
+    UNION ALL SELECT level + 1, spot // 2, sha256(digest || coalesce(other, '')), (n + 1) // 2 FROM (
+        SELECT *, lead(digest) OVER (ORDER BY spot) AS other FROM top WHERE n > 1) WHERE spot % 2 = 0),
+root AS (SELECT digest AS root FROM top WHERE n = 1),
+fold AS (SELECT doc_id, lang, pos, 0 AS level, altered AS node, '' AS proof FROM p
+    UNION ALL SELECT f.doc_id, f.lang, f.pos, f.level + 1,
+        sha256(CASE WHEN (f.pos >> f.level) % 2 = 1 THEN s.digest || f.node ELSE f.node || coalesce(s.digest, '') END),
+        f.proof || coalesce(s.digest, '') FROM fold f
+    JOIN tree t ON t.level = f.level AND t.lang IS NOT DISTINCT FROM f.lang AND t.spot = f.pos >> f.level AND t.n > 1
+    LEFT JOIN tree s ON s.level = f.level AND s.lang IS NOT DISTINCT FROM f.lang AND s.spot = xor(f.pos >> f.level, 1)),
+own AS (SELECT * FROM (SELECT *, max(level) OVER (PARTITION BY lang, pos) AS height FROM fold) WHERE level = height),
+up AS (SELECT o.doc_id, o.lang, o.pos, l.pos AS place, 0 AS level, o.node, o.proof FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang
+    UNION ALL SELECT f.doc_id, f.lang, f.pos, f.place, f.level + 1,
+        sha256(CASE WHEN (f.place >> f.level) % 2 = 1 THEN s.digest || f.node ELSE f.node || coalesce(s.digest, '') END),
+        f.proof || coalesce(s.digest, '') FROM up f
+    JOIN top t ON t.level = f.level AND t.spot = f.place >> f.level AND t.n > 1
+    LEFT JOIN top s ON s.level = f.level AND s.spot = xor(f.place >> f.level, 1)),
+done AS (SELECT * FROM (SELECT *, max(level) OVER (PARTITION BY lang, pos) AS height FROM up) WHERE level = height)
+SELECT p.doc_id, p.leaf, l.subroot, root, sha256(u.proof) AS proof_sha256, u.node AS folded_root, u.node = root AS verified
+FROM p JOIN langs l ON p.lang IS NOT DISTINCT FROM l.lang JOIN done u ON u.lang IS NOT DISTINCT FROM p.lang AND u.pos = p.pos, root"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, jaccard, lm, mixing, oracles, pii, quality, shards, topk, toxicity
+from spectraloom.llm import bpe, chat, jaccard, lm, merkle, mixing, oracles, pii, quality, repeats, shards, topk, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -90,6 +90,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns(shown)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.summary(repeats.without_repeats(_table(spark, sf_dir, "documents"), 400))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.tampered(docs, 7))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_sharding,
         op10_quality_rules,
+        op11_suffix_dedup,
+        op12_merkle_manifest,
     )
 }
 ORACLES: dict[str, str] = {
@@ -110,6 +121,7 @@ ORACLES: dict[str, str] = {
     "op2_exact_top_k": oracles.TOP_K,
     "op6_source_mixing": oracles.mixing(WEIGHTS, percent=80, epochs=2, seed=0),
     "op8_jaccard_join": oracles.jaccard(k=3, percent=90),
+    "op12_merkle_manifest": oracles.MERKLE,
     "op10_quality_rules": oracles.quality(
         quality.COMMON_WORDS,
         (quality.CHAR_LIMIT, quality.CHAR_SCATTER),
