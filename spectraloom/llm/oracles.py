@@ -177,3 +177,23 @@ up AS (SELECT o.doc_id, o.lang, o.pos, l.pos AS place, 0 AS level, o.node, o.pro
 done AS (SELECT * FROM (SELECT *, max(level) OVER (PARTITION BY lang, pos) AS height FROM up) WHERE level = height)
 SELECT p.doc_id, p.leaf, l.subroot, root, sha256(u.proof) AS proof_sha256, u.node AS folded_root, u.node = root AS verified
 FROM p JOIN langs l ON p.lang IS NOT DISTINCT FROM l.lang JOIN done u ON u.lang IS NOT DISTINCT FROM p.lang AND u.pos = p.pos, root"""
+
+
+def collocations(least: int, percent: int, top: int) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, unnest(flatten(list_transform(range(1, least(len(w), 4) + 1),
+    lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])))) AS g FROM p WHERE len(w) > 0),
+f AS (SELECT lang, g, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND a >= {least}),
+cut AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score FROM c
+    JOIN f x ON x.lang = c.lang AND x.g = c.g[:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a AS longer, unnest(flatten(list_transform(range(2, len(g)), lambda m:
+    list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) AS g FROM f WHERE len(g) > 2 AND a >= {least}),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN
+    (SELECT lang, g, max(longer) AS longer FROM inner_ GROUP BY ALL) USING (lang, g) WHERE longer IS NULL OR 100 * longer < {percent} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= {top}"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, jaccard, lm, merkle, mixing, oracles, pii, quality, repeats, shards, topk, toxicity
+from spectraloom.llm import bpe, chat, collocations, jaccard, lm, merkle, mixing, oracles, pii, quality, repeats, shards, topk, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -99,6 +99,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.tampered(docs, 7))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, percent=80, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_rules,
         op11_suffix_dedup,
         op12_merkle_manifest,
+        op13_collocations,
     )
 }
 ORACLES: dict[str, str] = {
@@ -122,6 +127,7 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": oracles.mixing(WEIGHTS, percent=80, epochs=2, seed=0),
     "op8_jaccard_join": oracles.jaccard(k=3, percent=90),
     "op12_merkle_manifest": oracles.MERKLE,
+    "op13_collocations": oracles.collocations(least=30, percent=80, top=2000),
     "op10_quality_rules": oracles.quality(
         quality.COMMON_WORDS,
         (quality.CHAR_LIMIT, quality.CHAR_SCATTER),
