@@ -4,7 +4,8 @@ One level of the recursion works on a string of integers that ends in a unique s
 
 * A suffix is of kind S if it is smaller than its successor, else of kind L; a leftmost S after
   an L is a seed.  The pieces between seeds are named by rank, and the string of names (at most
-  half as long) is sorted by the next level, unless all names differ already.
+  half as long) is sorted by the next level, unless all names differ already; a string of names
+  that fits into memory with all it takes is sorted there.
 * From the sorted seeds a queue yields all L suffixes: whoever leaves the queue (or the list of
   seeds) pushes its left neighbour, if that is L, with key (symbol, rank of the leaver).  A second
   queue in descending order yields the S suffixes from the L ones.
@@ -28,6 +29,7 @@ import numpy as np
 SLICE = 1 << 18
 BATCH = 1 << 15
 BLOCK = 32
+INTERNAL_BYTES = 160  # a symbol of a string of names that is sorted in memory
 
 
 class Scratch:
@@ -290,6 +292,37 @@ def _agree(text: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _internal(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``suffixes``, in memory: ranks by 1, 2, 4, ... symbols, refined where still equal.
+
+    The ranks of all steps together tell how many symbols two neighbours share.
+    """
+    n = len(text)
+    steps: list[np.ndarray] = []
+    rank, active, size = np.zeros(n, np.int64), np.arange(n), 0
+    while len(active):
+        second = np.asarray(text).astype(np.int64) if not size else rank[active + size]
+        key = rank[active] * n + second if size else second
+        order = np.argsort(key, kind="stable")
+        active, key = active[order], key[order]
+        old = rank[active]
+        at = np.arange(len(active))
+        group = np.append(True, old[1:] != old[:-1])
+        new = np.append(True, key[1:] != key[:-1])
+        own = np.maximum.accumulate(np.where(new, at, 0))
+        rank[active] = old + own - np.maximum.accumulate(np.where(group, at, 0))
+        active = active[~(new & np.append(new[1:], True))]
+        steps.append(rank.astype(np.int32))
+        size = max(1, 2 * size)
+    place = np.empty(n, np.int64)
+    place[rank] = np.arange(n)
+    a, b = place[1:-1], place[2:]
+    shared = np.zeros(len(b), np.int64)
+    for k in range(len(steps) - 1, -1, -1):
+        shared += (steps[k][a + shared] == steps[k][b + shared]) * np.int64(1 << k)
+    return place[:0:-1], np.append(0, shared[::-1]) if n > 1 else shared
+
+
 class _Level:
     """Induction over one string, in ascending or (``down``) descending order."""
 
@@ -402,7 +435,7 @@ class _Level:
             self.leave(all_key, seed, all_rank, all_at, shares, push, left)
 
 
-def suffixes(text: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+def suffixes(text: np.ndarray, scratch: Scratch, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` without its last symbol, descending, and what each shares with the one before.
 
     ``text`` holds integers from 0 on and ends in a 0 that occurs nowhere else.
@@ -410,6 +443,8 @@ def suffixes(text: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray
     n = len(text)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    if inner and n * INTERNAL_BYTES <= scratch.memory:
+        return _internal(text)
     small, run = _kinds(text, scratch)
     parts = []
     for lo in range(0, n - 1, SLICE):
@@ -422,7 +457,7 @@ def suffixes(text: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray
         order[names] = np.arange(kinds)
         equal = np.zeros(kinds, np.int64)
     else:
-        down, between = suffixes(names, scratch)
+        down, between = suffixes(names, scratch, inner=True)
         order = np.append(len(seeds) - 1, down[::-1])  # the last seed is the least suffix
         equal = np.concatenate([[0, 0], between[1:][::-1]])
     del names

@@ -76,49 +76,65 @@ def _least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:count], least[width - span : width - span + count])
 
 
-def stretches(text: bytes, length: int, powers: _Powers) -> Iterator[tuple[int, int, int, bool]]:
-    """(anchor, first window, windows, whether the anchor occurs again) of every stretch of a text."""
+def stretches(text: bytes, length: int, powers: _Powers) -> tuple[np.ndarray, ...]:
+    """Anchor, first window, windows, and whether the anchor occurs again, of all stretches of a text."""
     if len(text) < length:
-        return
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
     gram = max(1, length // 2)
     width = length - gram + 1
     h = gram_hashes(np.frombuffer(text, np.uint8), gram, powers)
     least = _least_of(h, width)
-    cuts = (np.flatnonzero(least[1:] != least[:-1]) + 1).tolist()
-    for start, stop in zip([0, *cuts], [*cuts, len(least)]):
-        anchor = least[start]
-        again = int(np.count_nonzero(h[start : stop + width - 1] == anchor)) > 1
-        for at in range(start, stop, STRETCH_WINDOWS):
-            yield int(anchor.view(np.int64)), at, min(STRETCH_WINDOWS, stop - at), again or stop - start > STRETCH_WINDOWS
-
-
-def _sieve(df: DataFrame, *names: str):
-    """Bloom filter of some columns, of fixed size; full, it lets everything pass and a join decides."""
-    first = F.xxhash64(*names)
-    places = [F.pmod(first, F.lit(SIEVE_BITS)), F.pmod(F.xxhash64(first), F.lit(SIEVE_BITS))]
-    bits = (
-        df.select(F.explode(F.array(*places)).alias("_p"))
-        .groupBy(F.expr("_p div 64").alias("_w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
-        .toArrow()  # at most SIEVE_BITS / 64 rows
-    )
-    bitmap = np.zeros(SIEVE_BITS // 64, np.int64)
-    bitmap[bits.column("_w").to_numpy()] = bits.column("_bits").to_numpy()
-    return places, df.sparkSession.sparkContext.broadcast(bitmap)
-
+    start = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
+    anchor = least[start]
+    enters = np.append(False, h[width:] == least[:-1])  # the window's last gram equals the anchor before
+    enters[start] = False
+    again = np.add.reduceat(enters, start, dtype=np.int64) > 0
+    for lo in range(0, len(start), 4096):
+        part = slice(lo, lo + 4096)
+        first = np.lib.stride_tricks.sliding_window_view(h, width)[start[part]]
+        again[part] |= (first == anchor[part, None]).sum(axis=1) > 1
+    windows = np.diff(np.append(start, len(least)))
+    if (windows > STRETCH_WINDOWS).any():  # long stretches are cut; their parts may repeat one another
+        pieces = -(-windows // STRETCH_WINDOWS)
+        again = np.repeat(again | (pieces > 1), pieces)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        left = np.repeat(windows, pieces) - nth * STRETCH_WINDOWS
+        anchor, start = np.repeat(anchor, pieces), np.repeat(start, pieces) + nth * STRETCH_WINDOWS
+        windows = np.minimum(left, STRETCH_WINDOWS)
+    return anchor.view(np.int64), start, windows, again
+
+
+def _digests(text: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    view = memoryview(text)
+    found = [xxhash.xxh3_64_intdigest(view[a : a + n]) for a, n in zip(start.tolist(), size.tolist())]
+    return np.array(found, np.uint64).view(np.int64)
+
+
+class _Sieve:
+    """Bloom filter of 64-bit hashes, of fixed size; full, it lets everything pass and a join decides."""
+
+    def __init__(self, df: DataFrame, name: str):
+        low, high = F.col(name).bitwiseAND(SIEVE_BITS - 1), F.shiftrightunsigned(name, 32).bitwiseAND(SIEVE_BITS - 1)
+        bits = (
+            df.select(F.explode(F.array(low, high)).alias("_p"))
+            .groupBy(F.expr("_p div 64").alias("_w"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+            .toArrow()  # at most SIEVE_BITS / 64 rows
+        )
+        bitmap = np.zeros(SIEVE_BITS // 64, np.int64)
+        bitmap[bits.column("_w").to_numpy()] = bits.column("_bits").to_numpy()
+        self.ship = df.sparkSession.sparkContext.broadcast(bitmap)
 
-def _sifted(df: DataFrame, places, ship) -> DataFrame:
-    """Rows that the filter lets through."""
-    columns, schema, tries = df.columns, df.schema, len(places)
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        bits, out = self.ship.value, np.ones(len(hashes), bool)
+        for p in (hashes & (SIEVE_BITS - 1), (hashes.view(np.uint64) >> np.uint64(32)).astype(np.int64) & (SIEVE_BITS - 1)):
+            out &= (bits[p >> 6] >> (p & 63)) & 1 == 1
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = ship.value
-        for batch in batches:
-            places = [batch.column(f"_p{i}").to_numpy() for i in range(tries)]
-            hit = np.logical_and.reduce([(bits[p >> 6] >> (p & 63)) & 1 == 1 for p in places])
-            yield batch.filter(pa.array(hit)).select(columns)
 
-    return df.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(places)]).mapInArrow(run, schema)
+_FOUND = pa.struct(
+    [("anchor", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("again", pa.bool_())]
+)
 
 
 def _stretch_table(texts: DataFrame, length: int) -> DataFrame:
@@ -126,23 +142,20 @@ def _stretch_table(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        found_type = pa.list_(
-            pa.struct(
-                [("anchor", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("again", pa.bool_())]
-            )
-        )
         for batch in slices(batches, 200):
-            key, found = [], []
+            key, parts = [], []
             for text in batch.column("text").to_pylist():
-                own = []
-                for anchor, at, windows, again in stretches(text, length, powers):
-                    size = windows + length - 1
-                    digest = xxhash.xxh3_64_intdigest(text[at : at + size])
-                    own.append((anchor, digest - (digest >> 63 << 64), at, size, again))
-                if own:
-                    key.append(xxhash.xxh3_128_digest(text))
-                    found.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(found, found_type)], names=["text_key", "found"])
+                anchor, start, windows, again = stretches(text, length, powers)
+                size = windows + length - 1
+                key.append(xxhash.xxh3_128_digest(text))
+                parts.append((anchor, _digests(text, start, size), start, size, again))
+            ends = np.cumsum([0] + [len(p[0]) for p in parts])
+            columns = [np.concatenate([p[c] for p in parts]) if parts else np.empty(0, np.int64) for c in range(5)]
+            fields = [pa.array(c, f.type) for c, f in zip(columns, _FOUND)]
+            found = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_FOUND))
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), found], names=["text_key", "found"])
 
     return texts.mapInArrow(
         run,
@@ -150,9 +163,20 @@ def _stretch_table(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _shared(each: DataFrame, sieve: _Sieve) -> DataFrame:
+    """Stretches whose anchor the filter lets through."""
+    columns, schema = each.columns, each.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.passes(batch.column("anchor").to_numpy()))).select(columns)
+
+    return each.mapInArrow(run, schema)
+
+
 def _fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(anchor, digest, content)`` of the wanted (anchor, digest), read from the texts again."""
-    places, ship = _sieve(wanted, "anchor", "digest")
+    """``(anchor, digest, content)`` of what may be wanted, read from the texts again."""
+    anchors, digests = _Sieve(wanted, "anchor"), _Sieve(wanted, "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
@@ -160,25 +184,24 @@ def _fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in slices(batches, 200):
             rows: list[tuple[int, int, bytes]] = []
             for text in batch.column("text").to_pylist():
-                for anchor, at, windows, _ in stretches(text, length, powers):
-                    content = text[at : at + windows + length - 1]
-                    digest = xxhash.xxh3_64_intdigest(content)
-                    digest -= digest >> 63 << 64
-                    if (anchor, digest) not in seen:
+                anchor, start, windows, _ = stretches(text, length, powers)
+                some = np.flatnonzero(anchors.passes(anchor))
+                anchor, start, size = anchor[some], start[some], windows[some] + length - 1
+                digest = _digests(text, start, size)
+                some = digests.passes(digest)
+                for a, d, at, n in zip(*(x[some].tolist() for x in (anchor, digest, start, size))):
+                    if (a, d) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add((anchor, digest))
-                        rows.append((anchor, digest, content))
+                        seen.add((a, d))
+                        rows.append((a, d, text[at : at + n]))
+            columns = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.binary()),
-                ],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))],
                 names=["anchor", "digest", "content"],
             )
 
-    return _sifted(texts.mapInArrow(run, "anchor bigint, digest bigint, content binary"), places, ship)
+    return texts.mapInArrow(run, "anchor bigint, digest bigint, content binary")
 
 
 def repeated_windows(contents: list[bytes], length: int, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
@@ -272,10 +295,22 @@ def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
     once = rows.dropDuplicates(["anchor", "digest"])
     windows = settle(once.mapInArrow(run, "anchor bigint, digest bigint, at int, window binary"), "windows")
     often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window")
-    return (
-        windows.join(often, "window", "left_semi")
-        .groupBy("anchor", "digest")
-        .agg(F.collect_list(F.struct(F.col("at").cast("bigint").alias("lo"), (F.col("at") + length).cast("bigint").alias("hi"))).alias("spans"))
+    marked = windows.join(often, "window", "left_semi").groupBy("anchor", "digest")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for found in batch.column("at").to_pylist():
+                at = np.sort(np.array(found, np.int64))
+                ends = np.flatnonzero(np.diff(at) > length)
+                lo, hi = at[np.append(0, ends + 1)], at[np.append(ends, len(at) - 1)] + length
+                spans.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("anchor"), batch.column("digest"), pa.array(spans, _SPANS)], names=["anchor", "digest", "spans"]
+            )
+
+    return marked.agg(F.collect_list("at").alias("at")).mapInArrow(
+        ranges, "anchor bigint, digest bigint, spans array<struct<lo:bigint,hi:bigint>>"
     )
 
 
@@ -290,9 +325,9 @@ def repeated_spans(
     table = settle(_stretch_table(texts, length), "stretches")
     each = table.select("text_key", F.explode("found").alias("f")).select("text_key", "f.*")
     shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("again"))
-    places, ship = _sieve(shared.where("times > 1 OR again"), "anchor")
+    sieve = _Sieve(shared.where("times > 1 OR again"), "anchor")
     rows = settle(
-        _sifted(each, places, ship)
+        _shared(each, sieve)
         .groupBy("text_key", "start", "size", "anchor", "digest", "again")
         .agg(F.count(F.lit(1)).alias("copies")),
         "repeated",
