@@ -26,6 +26,7 @@ def load_all() -> None:
         q_aggregate,
         q_bands,
         q_classify,
+        q_holdout,
         q_patches,
         q_reduction,
         q_spectra,
