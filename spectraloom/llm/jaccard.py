@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by set relations: skipped list blocks and inherited answers.
+"""N-gram Jaccard self-join by set relations: skipped stretches of lists and shared answers.
 
 Order of work:
 
@@ -159,14 +159,14 @@ def _passed(sets: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(rep, tokens)``: whole token arrays of the wanted documents (rep, key).
+    """``(rep, tokens)``: whole token arrays of the wanted sets (rep, doc, key).
 
     Texts are sieved by doc_id where they are read, so that only the wanted ones' tokens move.
     """
-    places, bitmap = _sieve(wanted, "rep")
+    places, bitmap = _sieve(wanted, "doc")
     ship, tries = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap)), len(places)
-    rows = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
-    rows = rows.where("rep IS NOT NULL").select("rep", "text", *[p.alias(f"p{i}") for i, p in enumerate(places)])
+    rows = docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
+    rows = rows.where("doc IS NOT NULL").select("doc", "text", *[p.alias(f"p{i}") for i, p in enumerate(places)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -177,15 +177,15 @@ def _contents(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 tokens = [shingle_hashes(words_of(t), k, known) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("rep"),
+                        part.column("doc"),
                         pa.array([xxhash.xxh3_128_digest(t.tobytes()) for t in tokens], pa.binary()),
                         pa.array([t.tobytes() for t in tokens], pa.binary()),
                     ],
-                    names=["rep", "key", "tokens"],
+                    names=["doc", "key", "tokens"],
                 )
 
-    found = rows.mapInArrow(run, "rep bigint, key binary, tokens binary")
-    return found.join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep"]).select("rep", "tokens")
+    found = rows.mapInArrow(run, "doc bigint, key binary, tokens binary")
+    return found.join(wanted, ["doc", "key"]).dropDuplicates(["rep"]).select("rep", "tokens")
 
 
 def _ties_of_list(rep, n, pos, side, sketch, percent: int) -> Iterator[tuple[int, int]]:
@@ -369,19 +369,19 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     their common shingles reach ``percent`` times their union; ``component_id`` is the smallest
     doc_id reachable.  Null and word-less texts have an empty set and link with nothing, so
     they stand for themselves.  Repeated rows come back as often as they came; rows that share
-    a doc_id count as one document; a null doc_id links with nothing and has a null component.
+    a doc_id count as one document, which links where any of its texts does; a null doc_id links
+    with nothing and has a null component.
     Other columns of ``docs`` are ignored.  An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
     sets = settle(_shingled(docs, k, percent), "sets")
-    classes = settle(
-        sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")),
-        "classes",
-    )
+    named = sets.where("n > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("key").agg(F.min("doc_id").alias("doc"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a number for each set
     reps = (
-        sets.join(classes, (sets.key == classes.key) & (sets.doc_id == classes.rep), "left_semi")
-        .dropDuplicates(["doc_id", "key"])
-        .withColumnRenamed("doc_id", "rep")
+        sets.join(classes, (sets.key == classes.key) & (sets.doc_id == classes.doc))
+        .select("rep", "doc", sets.key, "n", "lead", "sketch")
+        .dropDuplicates(["rep"])
     )
     reps = settle(reps, "reps")
 
@@ -420,8 +420,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ties = settle(_list_ties(rows, percent), "ties")
 
     clusters = settle(components(ties), "clusters")
-    wanted = clusters.join(reps.select(F.col("rep").alias("node"), "key"), "node").select(
-        F.col("node").alias("rep"), "key"
+    wanted = clusters.join(reps.select(F.col("rep").alias("node"), "doc", "key"), "node").select(
+        F.col("node").alias("rep"), "doc", "key"
     )
     held = settle(_contents(docs, settle(wanted, "wanted"), k), "contents")
     pairs = ties.join(held.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(
@@ -433,17 +433,27 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     open_ = open_.where("p <> q").select("cluster")
     unresolved = pieces.join(open_, "cluster", "left_semi").join(held, "rep")
     more = settle(_cluster_links(unresolved, percent), "links")
-    final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(final, "rep", "left").select(
-        "key", F.coalesce("component", "rep").alias("component")
-    )
+    # rows of one id with different texts (as a rule none) tie their sets together
+    several = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("p"), F.max("key").alias("q"))
+    several = settle(several.where("p <> q").select("doc_id"), "several")
+    own = named.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct()
+    own = settle(own.join(classes.select("key", "rep"), "key"), "own")
+    same = own.groupBy("doc_id").agg(F.min("rep").alias("a")).join(own, "doc_id").select("a", F.col("rep").alias("b"))
+    final = settle(components(links.unionByName(more).unionByName(same)), "final")
+    linked = classes.join(final.withColumnRenamed("node", "rep"), "rep")
+    lowest = linked.groupBy("component").agg(F.min("doc").alias("low"))
+    linked = linked.join(lowest, "component").select("key", "low")
+    of_class = classes.join(linked, "key", "left").select("key", F.coalesce("low", "doc").alias("component"))
+    of_several = own.join(of_class, "key").groupBy("doc_id").agg(F.min("component").alias("joint"))
     return (
         sets.select("doc_id", "n", "key")
         .join(of_class, "key", "left")
+        .join(settle(of_several, "joint"), "doc_id", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
-            F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
+            F.when(F.col("joint").isNotNull(), F.col("joint"))
+            .when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component"))
             .otherwise(F.col("doc_id"))
             .alias("component_id"),
         )

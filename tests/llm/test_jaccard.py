@@ -102,3 +102,13 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)}
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_one_id_with_several_texts(spark, turn):
+    """Whatever the order of rows, an id ties its texts, and each of them keeps its links."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (0, b + " other"), (5, ""), (5, c), (4, c), (6, ""), (6, "x y")]
+    docs = spark.createDataFrame(rows[::turn], "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_join(docs, 3, 90).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 4), (5, 4), (6, 6), (6, 6)]
