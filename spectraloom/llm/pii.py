@@ -95,16 +95,18 @@ def find_spans(text: str | None) -> list[Span]:
         for m in PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 spans.append(("phone", m.start(), m.end(), _score("phone", text, m.start(), False)))
-    taken = sorted((s, e) for _, s, e, _ in spans)
+    taken = bytearray(len(text))  # code points inside a span
+    for _, s, e, _ in spans:
+        taken[s:e] = b"\x01" * (e - s)
     for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("local_phone", LOCAL_PHONE)):
         for m in pattern.finditer(text):
             checked = kind == "iban" and mod_97(m[0].replace(" ", ""))
             if kind == "iban" and not checked:
                 continue
             score = _score(kind, text, m.start(), checked)
-            if score >= ENOUGH and not any(s < m.end() and m.start() < e for s, e in taken):
+            if score >= ENOUGH and taken.find(1, m.start(), m.end()) < 0:
                 spans.append((kind, m.start(), m.end(), score))
-                taken.append((m.start(), m.end()))
+                taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     return sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -278,3 +279,11 @@ def test_pipeline_stages_take_awkward_rows(spark):
         if name != "bpe_tokens":
             assert out.columns == docs.columns
         assert stage(spark, nothing(spark), SF).collect() == []
+
+
+def test_very_many_spans_in_one_text():
+    """Time grows with the text: each candidate looks at its own code points only."""
+    text = " ".join(f"call 555-{i % 9000 + 1000} now" for i in range(50_000))
+    start = time.time()
+    spans = pii.find_spans(text)
+    assert len(spans) == 50_000 and time.time() - start < 20
