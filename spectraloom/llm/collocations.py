@@ -19,35 +19,39 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import slices
 from spectraloom.session import settle
 
-NGRAMS_KEPT = 600_000
-WORDS_KEPT = 400_000
-ARCS_AT_ONCE = 1_000_000
+NGRAMS_KEPT = 400_000
+WORDS_KEPT = 300_000
+ARCS_AT_ONCE = 300_000
 SIEVE_BITS = 1 << 24
 MOST_RANGES = 4096
 RANGE_TOKENS = 500_000
 SAMPLED_WORDS = 4096
 BOUND_BYTES = 64
 REQUESTS = 100_000
+#: Ends a piece; UTF-8 text has no such byte.
+BREAK = b"\xff"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
-    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_BREAKS)
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(_BREAKS)
 )
-_MACHINE = "words array<binary>, first binary, label binary, weight binary, target binary"
+_MACHINE = "machine binary"
 
 
-def pieces_of(text: bytes | None) -> list[list[bytes]]:
-    """Words of every piece of a text, A-Z lower-cased."""
-    return [p.split() for p in text.translate(_TABLE).split(b"\n")] if text else []
+def tokens_of(texts: list[bytes | None]) -> list[bytes]:
+    """Words of all texts, A-Z lower-cased, with a break between pieces and between texts."""
+    return BREAK.join(t for t in texts if t).translate(_TABLE).replace(BREAK, b" \xff ").split()
 
 
 class Machine:
@@ -59,21 +63,30 @@ class Machine:
 
     @classmethod
     def of_states(cls, words: list[bytes], states: list[tuple]) -> Machine:
-        arcs = [a for s in states for a in s]
         first = np.cumsum([0] + [len(s) for s in states])
-        label, weight, target = (np.array([a[i] for a in arcs], np.int64) for i in range(3))
-        return cls(words, first, label, weight, target)
+        arcs = np.fromiter(chain.from_iterable(chain.from_iterable(states)), np.int64, 3 * int(first[-1])).reshape(-1, 3)
+        return cls(words, first, *arcs.T)
 
-    def row(self) -> dict:
-        packed = {"first": self.first, "label": self.label, "target": self.target}
-        return {"words": self.words, "weight": self.weight.astype(np.int64).tobytes()} | {
-            k: v.astype(np.int32).tobytes() for k, v in packed.items()
-        }
+    def packed(self) -> bytes:
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        head = np.array([len(sizes), len(self.first), len(self.label)], np.int64)
+        ints = [x.astype(np.int32).tobytes() for x in (sizes, np.diff(self.first, prepend=0), self.label, self.target)]
+        whole = b"".join([head.tobytes(), self.weight.astype(np.int64).tobytes(), *ints, *self.words])
+        return zstandard.ZstdCompressor(level=1).compress(whole)
 
     @classmethod
-    def of_row(cls, row: dict) -> Machine:
-        ints = [np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("first", "label", "target")]
-        return cls(row["words"], ints[0], ints[1], np.frombuffer(row["weight"], np.int64), ints[2])
+    def unpacked(cls, data: bytes) -> Machine:
+        data = zstandard.ZstdDecompressor().decompress(data)
+        n_words, n_first, n_arcs = np.frombuffer(data, np.int64, 3).tolist()
+        weight, at = np.frombuffer(data, np.int64, n_arcs, 24), 24 + 8 * n_arcs
+        parts = []
+        for n in (n_words, n_first, n_arcs, n_arcs):
+            parts.append(np.frombuffer(data, np.int32, n, at).astype(np.int64))
+            at += 4 * n
+        sizes, first, label, target = parts
+        ends = (at + np.cumsum(sizes)).tolist()
+        words = [data[a:b] for a, b in zip([at, *ends], ends)]
+        return cls(words, np.cumsum(first), label, weight, target)
 
     def paths(self) -> Iterator[tuple[tuple[bytes, ...], int]]:
         """Every n-gram with its weight, in order."""
@@ -114,25 +127,30 @@ def build(words: list[bytes], columns: list[np.ndarray], weight: np.ndarray) ->
     with the one before it can get no more arcs and goes to the register.
     """
     register, depth = _Register(), len(columns)
+    if not len(weight):
+        return Machine.of_states(words, [])
+    inner = columns[:-1]
     shared = np.zeros(len(weight), np.int64)  # leading words in common with the n-gram before
-    same = np.ones(max(0, len(weight) - 1), bool)
-    for c in columns:
+    same = np.ones(len(weight) - 1, bool)
+    for c in inner:
         same = same & (c[1:] == c[:-1])
         shared[1:] += same
-    open_: list[list[tuple]] = [[] for _ in range(depth)]
-    rows = list(zip(*(c.tolist() for c in columns)))
+    starts = np.append(0, np.flatnonzero(shared[1:] < depth - 1) + 1)
+    last, count = columns[-1].tolist(), weight.tolist()
+    open_: list[list[tuple]] = [[] for _ in inner]
     before: tuple | None = None
-    for row, count, keep in zip(rows, weight.tolist(), shared.tolist()):
+    prefixes = zip(*(c[starts].tolist() for c in inner))
+    for row, keep, lo, hi in zip(prefixes, shared[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(last)]):
         if before is not None:
-            for d in range(depth - 1, keep, -1):
+            for d in range(depth - 2, keep, -1):
                 open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
                 open_[d] = []
-        open_[depth - 1].append((row[-1], count, -1))
+        arcs = list(zip(last[lo:hi], count[lo:hi], repeat(-1)))  # all n-grams that differ in the last word only
+        open_[-1].append((row[-1], 0, register.state(arcs)))
         before = row
-    if before is not None:
-        for d in range(depth - 1, 0, -1):
-            open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
-        register.states.append(tuple(open_[0]))
+    for d in range(depth - 2, 0, -1):
+        open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
+    register.states.append(tuple(open_[0]))
     return Machine.of_states(words, register.states)
 
 
@@ -152,11 +170,16 @@ def unite(machines: list[Machine], least: int = 1) -> tuple[Machine, int]:
         below: dict[int, list[tuple[int, int]]] = {}
         for m, s in states:
             first, label, weight, target = flat[m]
-            for k in range(first[s], first[s + 1]):
-                if target[k] < 0:
-                    sums[label[k]] = sums.get(label[k], 0) + weight[k]
+            lo, hi = first[s], first[s + 1]
+            if lo < hi and target[lo] < 0:  # all paths have one length
+                if sums:
+                    for x, w in zip(label[lo:hi], weight[lo:hi]):
+                        sums[x] = sums.get(x, 0) + w
                 else:
-                    below.setdefault(label[k], []).append((m, target[k]))
+                    sums = dict(zip(label[lo:hi], weight[lo:hi]))
+            else:
+                for x, t in zip(label[lo:hi], target[lo:hi]):
+                    below.setdefault(x, []).append((m, t))
         total += sum(sums.values())
         arcs = [(x, w, -1) for x, w in sums.items() if w >= least]
         for x, kids in below.items():
@@ -243,6 +266,13 @@ def _sieve(counts: DataFrame, order: int):
     return counts.sparkSession.sparkContext.broadcast(bitmap)
 
 
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes | None]]]:
+    found: dict[bytes, list] = {}
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        found.setdefault(lang, []).append(text)
+    yield from found.items()
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, f)`` of all words."""
 
@@ -265,10 +295,10 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             counts.clear()
 
         for batch in slices(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, texts in _by_lang(batch):
                 own = counts.setdefault(lang, Counter())
-                for piece in pieces_of(text):
-                    own.update(piece)
+                own.update(tokens_of(texts))
+                own.pop(BREAK, None)
             if sum(map(len, counts.values())) > WORDS_KEPT:
                 yield from flush()
         yield from flush()
@@ -313,6 +343,19 @@ def _unique_rows(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np
     return [c[at] for c in columns], np.bincount(back, weight, len(at)).astype(np.int64)
 
 
+class _Ids(dict):
+    """Number of a word, given when it is first met; 0 is the break."""
+
+    def __init__(self):
+        super().__init__({BREAK: 0})
+        self.words = [BREAK]
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self.words)
+        self.words.append(word)
+        return found
+
+
 class _Shard:
     """Counts of one shard's n-grams of some orders."""
 
@@ -321,42 +364,30 @@ class _Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.words: list[bytes] = []
-        self.ids: dict[bytes, int] = {}
+        self.ids = _Ids()
         self.hashes = np.empty(0, np.uint64)
         self.found: dict[int, list[tuple[list[np.ndarray], np.ndarray]]] = {n: [] for n in self.orders}
 
-    def id(self, word: bytes) -> int:
-        found = self.ids.get(word)
-        if found is None:
-            found = self.ids[word] = len(self.words)
-            self.words.append(word)
-        return found
-
     def add(self, lang: bytes, texts: list[bytes | None]) -> None:
-        pieces = [p for t in texts for p in pieces_of(t) if len(p) > 1]
-        own = np.fromiter((self.id(w) for p in pieces for w in p), np.int64)
-        if not len(own):
-            return
-        code = self.id(lang)
-        if len(self.hashes) < len(self.words):
-            more = [_hash(w) for w in self.words[len(self.hashes) :]]
+        words = tokens_of(texts)
+        own = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        code, known = self.ids[lang], self.ids.words
+        if len(self.hashes) < len(known):
+            more = [_hash(w) for w in known[len(self.hashes) :]]
             self.hashes = np.concatenate([self.hashes, np.array(more, np.uint64)])
-        of = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
         h = self.hashes[own]
         single = _mixed(np.full(len(h), self.hashes[code], np.uint64), h)
-        together = of[1:] == of[:-1]
+        together = (own[1:] > 0) & (own[:-1] > 0)
+        at = np.flatnonzero(together)
         if self.orders == (2,):
             often = _hit(self.bits, single)
-            pair = together & often[1:] & often[:-1]
+            together[at] = often[at] & often[at + 1]
         else:
-            pair = together.copy()
-            at = np.flatnonzero(together)
-            pair[at] = _hit(self.bits, _mixed(single[at], h[at + 1]))
+            together[at] = _hit(self.bits, _mixed(single[at], h[at + 1]))
         for n in self.orders:
-            fits = pair[: max(0, len(own) - n + 1)].copy()
+            fits = together[: max(0, len(own) - n + 1)].copy()
             for j in range(1, n - 1):
-                fits &= pair[j : j + len(fits)]
+                fits &= together[j : j + len(fits)]
             at = np.flatnonzero(fits)
             if len(at):
                 columns = [np.full(len(at), code, np.int64)] + [own[at + j] for j in range(n)]
@@ -364,10 +395,9 @@ class _Shard:
 
     def full(self) -> bool:
         for n, parts in self.found.items():
-            if sum(len(p[1]) for p in parts) > 2 * NGRAMS_KEPT:
+            if len(parts) > 1 and sum(len(p[1]) for p in parts) > 2 * NGRAMS_KEPT:
                 self.found[n] = [self._joined(n)]
-        held = sum(len(p[1]) for parts in self.found.values() for p in parts)
-        return len(self.words) > WORDS_KEPT or any(len(p[0][1]) > NGRAMS_KEPT for p in self.found.values() if p) and held > NGRAMS_KEPT
+        return len(self.ids) > WORDS_KEPT or sum(len(p[0][1]) for p in self.found.values() if p) > NGRAMS_KEPT
 
     def _joined(self, n: int) -> tuple[list[np.ndarray], np.ndarray]:
         parts = self.found[n]
@@ -376,7 +406,8 @@ class _Shard:
 
     def machines(self) -> Iterator[tuple[int, int, Machine]]:
         """(order, prefix range, transducer) of what was counted; then the shard is empty."""
-        order = sorted(range(len(self.words)), key=self.words.__getitem__)
+        words = self.ids.words
+        order = sorted(range(len(words)), key=words.__getitem__)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         for n in self.orders:
@@ -386,7 +417,7 @@ class _Shard:
             columns = [rank[c] for c in columns]
             by = np.lexsort(columns[::-1])
             columns, weight = [c[by] for c in columns], weight[by]
-            word = lambda r: self.words[order[r]]
+            word = lambda r: words[order[r]]
             key = lambda i: tuple(word(c[i]) for c in columns[:3])
             cuts = [bisect.bisect_left(range(len(weight)), b, key=key) for b in self.bounds]
             edges = [0, *cuts, len(weight)]
@@ -399,12 +430,9 @@ class _Shard:
         self.clear()
 
 
-def _machine_batch(rows: list[tuple[int, int, Machine]]) -> pa.RecordBatch:
-    shape = pa.schema(
-        [("n", pa.int32()), ("range", pa.int32()), ("words", pa.list_(pa.binary()))]
-        + [(c, pa.binary()) for c in ("first", "label", "weight", "target")]
-    )
-    return pa.RecordBatch.from_pylist([{"n": n, "range": r} | m.row() for n, r, m in rows], schema=shape)
+def _machine_batch(n: int, at: int, machine: Machine) -> pa.RecordBatch:
+    columns = [pa.array([n], pa.int32()), pa.array([at], pa.int32()), pa.array([machine.packed()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["n", "range", "machine"])
 
 
 def _ngram_machines(docs: DataFrame, orders: tuple[int, ...], bits, bounds) -> DataFrame:
@@ -413,16 +441,13 @@ def _ngram_machines(docs: DataFrame, orders: tuple[int, ...], bits, bounds) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(orders, bits.value, bounds.value)
         for batch in slices(batches, 500):
-            by_lang: dict[bytes, list] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
+            for lang, texts in _by_lang(batch):
                 shard.add(lang, texts)
             if shard.full():
                 for row in shard.machines():
-                    yield _machine_batch([row])
+                    yield _machine_batch(*row)
         for row in shard.machines():
-            yield _machine_batch([row])
+            yield _machine_batch(*row)
 
     return docs.mapInArrow(run, f"n int, range int, {_MACHINE}")
 
@@ -439,7 +464,7 @@ def _word_machines(words: DataFrame, bounds) -> DataFrame:
                 known = sorted({w for row in part for w in row[:2]})
                 place = {w: i for i, w in enumerate(known)}
                 columns = [np.array([place[row[j]] for row in part]) for j in (0, 1)]
-                yield _machine_batch([(1, r, build(known, columns, np.array([row[2] for row in part], np.int64)))])
+                yield _machine_batch(1, r, build(known, columns, np.array([row[2] for row in part], np.int64)))
 
     return words.mapInArrow(run, f"n int, range int, {_MACHINE}")
 
@@ -451,19 +476,19 @@ def _united(machines: DataFrame, least: int) -> DataFrame:
         held: list[Machine] = []
         arcs, now = 0, None
         for batch in batches:
-            for row in batch.to_pylist():
-                key = row["n"], row["range"]
+            for n, at, packed in zip(*(batch.column(c) for c in ("n", "range", "machine"))):
+                key = n.as_py(), at.as_py()
                 if key != now:
                     if held:
-                        yield _machine_batch([(*now, unite(held, least)[0])])
+                        yield _machine_batch(*now, unite(held, least)[0])
                     held, arcs, now = [], 0, key
-                held.append(Machine.of_row(row))
+                held.append(Machine.unpacked(packed.as_py()))
                 arcs += len(held[-1].label)
                 if arcs > ARCS_AT_ONCE and len(held) > 1:
                     held = [unite(held)[0]]
                     arcs = len(held[0].label) // 2  # grows until as much has come again
         if held:
-            yield _machine_batch([(*now, unite(held, least)[0])])
+            yield _machine_batch(*now, unite(held, least)[0])
 
     dealt = machines.repartition("n", "range").sortWithinPartitions("n", "range")
     return dealt.mapInArrow(run, f"n int, range int, {_MACHINE}")
@@ -474,8 +499,8 @@ def _grams(machines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                paths = list(Machine.of_row(row).paths())
+            for packed in batch.column("machine"):
+                paths = list(Machine.unpacked(packed.as_py()).paths())
                 for lo in range(0, len(paths), 10_000):
                     part = paths[lo : lo + 10_000]
                     yield pa.RecordBatch.from_arrays(
@@ -528,7 +553,7 @@ def _looked_up(asked: DataFrame, machines: DataFrame) -> DataFrame:
             place = {w: i for i, w in enumerate(words)}
             columns = [np.array([place[p[j]] for p in asked_for]) for j in range(len(asked_for[0]))]
             acceptor = build(words, columns, np.ones(len(asked_for), np.int64))
-            found = dict(compose(acceptor, Machine.of_row(counts.to_pylist()[0])))
+            found = dict(compose(acceptor, Machine.unpacked(counts.column("machine")[0].as_py())))
         return rows.select(["gram", "k", "side"]).append_column("f", pa.array([found.get(p) for p in parts], pa.int64()))
 
     keys = ["n", "range", "salt"]

@@ -29,7 +29,7 @@ def test_transducers():
         parts = [_counts(rng, n, rng.randrange(1, 40)) for _ in range(5)]
         machines = [_machine(p) for p in parts]
         for p, m in zip(parts, machines):
-            assert list(Machine.of_row(m.row()).paths()) == sorted(p.items())
+            assert list(Machine.unpacked(m.packed()).paths()) == sorted(p.items())
         total = Counter()
         for p in parts:
             total.update(p)
