@@ -6,10 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+#: Paths settled inside each open block of ``intermediates``, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def build_session(cores: str = "*", app: str = "spectraloom") -> SparkSession:
@@ -60,9 +65,45 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     Cuts lineage (a lost executor re-reads files instead of recomputing), pins
     non-deterministic columns, and gives Catalyst the true size in bytes, so that
     a later join broadcasts this side only if it really is below
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``.  Inside a block of ``intermediates`` the
+    table lives until the block ends.
     """
+    return _settled(df, label, _scopes.get()[-1:])
+
+
+def settle_outside(df: DataFrame, label: str = "settled", blocks: int = 1) -> DataFrame:
+    """Like ``settle``, but the table outlives the ``blocks`` innermost blocks of ``intermediates``."""
+    scopes = _scopes.get()
+    return _settled(df, label, scopes[: max(0, len(scopes) - blocks)][-1:])
+
+
+def _settled(df: DataFrame, label: str, owner: tuple[list[str], ...]) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
+    for paths in owner:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables settled inside the block when it ends, also by an error.
+
+    Blocks nest.  A DataFrame that leaves a block must read none of its tables: it is
+    written with ``settle_outside`` first.
+    """
+    paths: list[str] = []
+    outer = _scopes.get()
+    _scopes.set((*outer, paths))
+    try:
+        yield
+    finally:
+        _scopes.set(outer)
+        for path in paths:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

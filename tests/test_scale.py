@@ -1,10 +1,13 @@
 """Distributed order statistics, samples and running sums against plain computation."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spectraloom import session
 from spectraloom.functions.arrays import hash_key
 from spectraloom.operators import scale
 from spectraloom.operators.classify import holdout_splits, holdout_tests, training_thresholds
@@ -113,3 +116,21 @@ def test_shared_folder_is_taken_from_the_session(spark):
 
     out = settle(spark.range(3))
     assert all(shared_folder(spark) in f for f in out.inputFiles())
+
+
+def test_intermediates_end_with_their_block(spark):
+    def there(df):
+        return os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+
+    rows = spark.range(3)
+    with session.intermediates(spark):
+        with session.intermediates(spark):
+            first = session.settle(rows, "first")
+            second = session.settle_outside(rows, "second")
+            third = session.settle_outside(rows, "third", blocks=2)
+        assert not there(first) and there(second) and third.count() == 3
+    assert not there(second) and there(third)
+    with pytest.raises(ZeroDivisionError), session.intermediates(spark):
+        last = session.settle(rows, "last")
+        raise ZeroDivisionError
+    assert not there(last) and there(session.settle(rows))
