@@ -17,6 +17,8 @@ MARKS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistan
 BEGIN, NEXT, ROLE, TEXT, ROLE_END = "<s>", "[+]", "[ROLE]", "[TEXT]", "[/ROLE]"
 _REST = r"(?:/?(?:SYS|INST|ROLE)|OUT|TEXT|\+)\]|/?s>"
 LEARNED = "assistant"
+#: Elements of an array that are summed or cut in one go.
+RUN = 64
 
 
 def _escaped(text: str) -> str:
@@ -32,6 +34,50 @@ def _by_role(role: str, which: int, other: str) -> str:
     return f"CASE {role} {cases} ELSE {other} END"
 
 
+def _runs(array: str, size: int) -> str:
+    """The array's elements in consecutive runs of ``size``; none for an empty array."""
+    first = f"filter(sequence(0, size({array}) div {size}), c -> c * {size} < size({array}))"
+    return f"transform({first}, c -> slice({array}, c * {size} + 1, {size}))"
+
+
+def _placed(pieces: str) -> str:
+    """Places (start, end) of the learned texts: running sums inside runs, then over the runs.
+
+    An array grown element by element is copied each time, so sums over one run stay short.
+    """
+    place = "struct<start:bigint,end:bigint,learned:boolean>"
+    run = f"struct<at:bigint,places:array<{place}>>"
+    inside = f"""transform({_runs(pieces, RUN)}, g -> aggregate(g,
+        CAST(named_struct('at', 0, 'places', array()) AS {run}),
+        (s, p) -> CAST(named_struct('at', s.at + p.before + p.long + p.after,
+            'places', concat(s.places, array(named_struct('start', s.at + p.before,
+                'end', s.at + p.before + p.long, 'learned', p.learned)))) AS {run})))"""
+    begins = f"""aggregate(transform(runs, g -> g.at),
+        CAST(named_struct('at', {len(BEGIN)}, 'begins', array()) AS struct<at:bigint,begins:array<bigint>>),
+        (s, n) -> CAST(named_struct('at', s.at + n, 'begins', concat(s.begins, array(s.at)))
+            AS struct<at:bigint,begins:array<bigint>>)).begins"""
+    return f"""flatten(transform(array({inside}), runs -> transform(
+        filter(flatten(zip_with(runs, {begins}, (g, b) -> transform(g.places,
+            x -> named_struct('start', x.start + b, 'end', x.end + b, 'learned', x.learned)))), x -> x.learned),
+        x -> named_struct('start', x.start, 'end', x.end))))"""
+
+
+def _cut(text: str, spans: str) -> str:
+    """The texts under ascending spans, by stretches of stretches.
+
+    A place in a string is found by counting from its start, so a long string is cut into
+    stretches before single spans are cut.
+    """
+    stretches = f"array(named_struct('at', CAST(0 AS BIGINT), 'text', {text}, 'spans', {spans}))"
+    for size in (RUN * RUN, RUN):
+        stretches = f"""flatten(transform({stretches}, g -> transform({_runs('g.spans', size)}, r -> named_struct(
+            'at', r[0].start,
+            'text', substr(g.text, CAST(r[0].start - g.at + 1 AS INT), CAST(r[size(r) - 1].end - r[0].start AS INT)),
+            'spans', r))))"""
+    return f"""flatten(transform({stretches}, g -> transform(g.spans,
+        s -> substr(g.text, CAST(s.start - g.at + 1 AS INT), CAST(s.end - s.start AS INT)))))"""
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: ``(conv_id, formatted, loss_spans)``.
 
@@ -43,8 +89,6 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     opened = _by_role("b.role", 0, f"concat('{ROLE}', {_escaped('b.role')}, '{TEXT}')")
     closed = _by_role("b.role", 1, f"'{ROLE_END}'")
-    spans = "array<struct<start:bigint,end:bigint>>"
-    state = f"struct<at:bigint,spans:{spans}>"
     return (
         turns.select(
             "conv_id",
@@ -79,23 +123,22 @@ def format_chats(turns: DataFrame) -> DataFrame:
                     'open', {opened}, 'body', array_join(b.texts, '{NEXT}'), 'close', {closed}))"""
             ),
         )
+        .withColumn(
+            "pieces",
+            F.expr(
+                f"""flatten(transform(written, w -> transform(w.texts, (t, i) -> named_struct(
+                    'learned', w.role = '{LEARNED}',
+                    'before', CAST(IF(i = 0, length(w.open), {len(NEXT)}) AS BIGINT),
+                    'long', CAST(length(t) AS BIGINT),
+                    'after', CAST(IF(i = size(w.texts) - 1, length(w.close), 0) AS BIGINT)))))"""
+            ),
+        )
         .select(
             "conv_id",
             F.expr(
                 f"concat('{BEGIN}', array_join(transform(written, w -> concat(w.open, w.body, w.close)), ''))"
             ).alias("formatted"),
-            F.expr(
-                f"""aggregate(written,
-                    CAST(named_struct('at', {len(BEGIN)}, 'spans', array()) AS {state}),
-                    (s, w) -> CAST(named_struct(
-                        'at', s.at + length(w.open) + length(w.body) + length(w.close),
-                        'spans', IF(w.role = '{LEARNED}', aggregate(w.texts,
-                            CAST(named_struct('at', s.at + length(w.open), 'spans', s.spans) AS {state}),
-                            (a, t) -> CAST(named_struct('at', a.at + length(t) + {len(NEXT)},
-                                'spans', concat(a.spans, array(named_struct(
-                                    'start', a.at, 'end', a.at + length(t))))) AS {state})).spans,
-                            s.spans)) AS {state})).spans"""
-            ).alias("loss_spans"),
+            F.expr(_placed("pieces")).alias("loss_spans"),
         )
     )
 
@@ -115,12 +158,8 @@ def read_chats(chats: DataFrame) -> DataFrame:
     skipped = f"({len(ROLE) + len(TEXT)} + length({named}))"
     other = f"substr(p, {skipped} + 1, length(p) - {skipped} - {len(ROLE_END)})"
     return (
-        chats.withColumn(
-            "_parts",
-            F.expr(
-                rf"slice(split(formatted, r'(?=\[(?:SYS|INST|OUT|ROLE)\])'), 2, greatest(0, size(split(formatted, r'(?=\[(?:SYS|INST|OUT|ROLE)\])')) - 1))"
-            ),
-        )
+        chats.withColumn("_split", F.expr(r"split(formatted, r'(?=\[(?:SYS|INST|OUT|ROLE)\])')"))
+        .withColumn("_parts", F.expr("slice(_split, 2, greatest(0, size(_split) - 1))"))
         .withColumn(
             "turns",
             F.expr(
@@ -134,9 +173,8 @@ def read_chats(chats: DataFrame) -> DataFrame:
         .withColumn(
             "loss_text",
             F.expr(
-                f"""array_join(transform(loss_spans,
-                    s -> {_unescaped('substr(formatted, CAST(s.start + 1 AS INT), CAST(s.end - s.start AS INT))')}), '')"""
+                f"array_join(transform({_cut('formatted', 'loss_spans')}, x -> {_unescaped('x')}), '')"
             ),
         )
-        .drop("_parts")
+        .drop("_parts", "_split")
     )

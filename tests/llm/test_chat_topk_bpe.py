@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,29 @@ def test_chat_merges_neighbours_and_takes_them_apart(spark):
     assert [got[1].formatted[s.start : s.end] for s in got[1].loss_spans] == ["c", "d"]
 
 
+def test_chat_of_very_many_turns(spark):
+    """Time follows the turns: with sums or cuts from the start this takes many minutes."""
+    turns = spark.range(200_000).selectExpr(
+        "1 AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('[OUT] turn ', id) AS text"
+    )
+    started = time.monotonic()
+    got = chat.read_chats(chat.format_chats(turns)).selectExpr(
+        "size(turns) AS n", "sha2(loss_text, 256) AS loss", "size(loss_spans) AS spans"
+    ).collect()[0]
+    assert time.monotonic() - started < 60
+    learned = "".join(f"[OUT] turn {i}" for i in range(200_000) if i % 3)
+    assert got.n == 200_000 and got.spans == 133_333
+    assert got.loss == hashlib.sha256(learned.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("turns", [63, 64, 65, 4095, 4096, 4097, 8193])
+def test_chat_spans_at_the_ends_of_runs(spark, turns):
+    rows = [(1, i, "assistant" if i % 5 else "user", f"é{i}") for i in range(turns)]
+    got = _read(spark, rows)[1]
+    assert [got.formatted[s.start : s.end] for s in got.loss_spans] == [t for _, _, r, t in rows if r == "assistant"]
+    assert got.loss_text == "".join(t for _, _, r, t in rows if r == "assistant")
+
+
 def test_chat_awkward_rows(spark):
     rows = [(1, 1, "user", None), (1, None, None, "first"), (1, 1, "user", None), (None, 0, "user", "lost")]
     got = _read(spark, rows)
