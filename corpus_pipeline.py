@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, jaccard, mixing, pii, quality
 from spectraloom.llm.queries import TOKENIZER, WEIGHTS, levels
-from spectraloom.session import new_path, settle
+from spectraloom.session import intermediates, new_path, settle, settle_outside
 
 #: Near-duplicate stage: words of a shingle and similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -31,10 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat a doc_id one stays; rows without an id are in no group and stay.
     """
-    classes = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    first = settle(classes.where("doc_id = component_id").groupBy("doc_id").count(), "first")
-    once = settle(first.where("count = 1").select("doc_id"), "once")
-    more = settle(first.where("count > 1").select("doc_id"), "more")  # as a rule none: whole rows move once
+    with intermediates(spark):
+        classes = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+        first = settle(classes.where("doc_id = component_id").groupBy("doc_id").count(), "first")
+        once = settle_outside(first.where("count = 1").select("doc_id"), "once")
+        more = settle_outside(first.where("count > 1").select("doc_id"), "more")  # as a rule none: whole rows move once
     return (
         docs.join(once, "doc_id", "left_semi")
         .unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm.common import slices, words_of
 from spectraloom.llm.graph import components
-from spectraloom.session import settle
+from spectraloom.session import intermediates, settle, settle_outside
 
 WORDS_KEPT = 300_000
 SKETCH_BITS = 2048
@@ -374,72 +374,95 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Other columns of ``docs`` are ignored.  An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    sets = settle(_shingled(docs, k, percent), "sets")
-    named = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("doc"))
-    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a number for each set
-    reps = (
-        sets.join(classes, (sets.key == classes.key) & (sets.doc_id == classes.doc))
-        .select("rep", "doc", sets.key, "n", "lead", "sketch")
-        .dropDuplicates(["rep"])
-    )
-    reps = settle(reps, "reps")
-
-    # entries that only one set holds say nothing; sets left with too few can have no link
-    least = f"(({percent} * n + 99) div 100)"  # the smallest partner decides how many it must share
-    share = F.expr(f"greatest(1, ({least} - ({percent} * {least} + 99) div 100) div 2)")
-    entry = reps.select("rep", F.explode("lead").alias("token"))
-    shared = entry.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    hits = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
-    busy = settle(hits.join(reps.select("rep", "n"), "rep").where(F.col("hits") >= share).select("rep"), "busy")
-
-    lead = F.expr(f"slice(lead, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
-    near = settle(_passed(reps, busy), "near")
-    rows = near.select("rep", "n", F.posexplode(lead).alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    rows = (
-        rows.withColumn("_m", F.count(F.lit(1)).over(by_token))
-        .where("_m > 1")
-        .withColumn("_at", F.row_number().over(by_token.orderBy("n", "rep")) - 1)
-        .withColumn("block", F.expr(f"cast(_at div {LIST_BLOCK} as int)"))
-        .withColumn("_blocks", F.expr(f"cast((_m - 1) div {LIST_BLOCK} as int)"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks"))))
-        .select(
-            "token",
-            F.least("block", "_other").alias("lo"),
-            F.greatest("block", "_other").alias("hi"),
-            "block",
-            F.col("n").cast("bigint").alias("n"),
-            F.col("pos").cast("bigint").alias("pos"),
-            "rep",
+    with intermediates(docs.sparkSession):
+        sets, classes, ties = _candidates(docs, k, percent)
+        links = _links(docs, classes, ties, k, percent)
+        return settle_outside(_components_of_rows(sets, classes, links), "joined")
+
+
+def _candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Narrow rows ``(doc_id, n, key)``, classes of equal sets ``(key, doc, rep)``, ties to verify.
+
+    First hashes and sketches are wide; they are deleted once the next table has taken them over.
+    """
+    spark = docs.sparkSession
+    with intermediates(spark):
+        with intermediates(spark):
+            wide = settle(_shingled(docs, k, percent), "wide")
+            sets = wide.select("doc_id", "n", "key")
+            classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"))
+            classes = classes.withColumn("rep", F.monotonically_increasing_id())  # a number for each set
+            classes = settle_outside(classes, "classes", blocks=2)
+            one_of_class = wide.withColumnRenamed("doc_id", "doc").join(classes, ["key", "doc"])
+            one_of_class = one_of_class.dropDuplicates(["key", "doc"])  # dealt as the join is: no second shuffle
+            reps = settle_outside(one_of_class.select("rep", "n", "lead", "sketch"), "reps")
+            sets = settle_outside(sets, "sets", blocks=2)
+
+        # entries that only one set holds say nothing; sets left with too few can have no link
+        least = f"(({percent} * n + 99) div 100)"  # the smallest partner decides how many it must share
+        share = F.expr(f"greatest(1, ({least} - ({percent} * {least} + 99) div 100) div 2)")
+        entry = reps.select("rep", F.explode("lead").alias("token"))
+        shared = entry.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+        hits = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("hits"))
+        busy = settle(hits.join(reps.select("rep", "n"), "rep").where(F.col("hits") >= share).select("rep"), "busy")
+
+        lead = F.expr(f"slice(lead, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
+        near = settle(_passed(reps, busy), "near")
+        rows = near.select("rep", "n", F.posexplode(lead).alias("pos", "token"))
+        by_token = Window.partitionBy("token")
+        rows = (
+            rows.withColumn("_m", F.count(F.lit(1)).over(by_token))
+            .where("_m > 1")
+            .withColumn("_at", F.row_number().over(by_token.orderBy("n", "rep")) - 1)
+            .withColumn("block", F.expr(f"cast(_at div {LIST_BLOCK} as int)"))
+            .withColumn("_blocks", F.expr(f"cast((_m - 1) div {LIST_BLOCK} as int)"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks"))))
+            .select(
+                "token",
+                F.least("block", "_other").alias("lo"),
+                F.greatest("block", "_other").alias("hi"),
+                "block",
+                F.col("n").cast("bigint").alias("n"),
+                F.col("pos").cast("bigint").alias("pos"),
+                "rep",
+            )
+            .join(near.select("rep", "sketch"), "rep")
+            .repartition("token", "lo", "hi")
+            .sortWithinPartitions("token", "lo", "hi", "n", "rep")
         )
-        .join(near.select("rep", "sketch"), "rep")
-        .repartition("token", "lo", "hi")
-        .sortWithinPartitions("token", "lo", "hi", "n", "rep")
-    )
-    ties = settle(_list_ties(rows, percent), "ties")
+        ties = settle_outside(_list_ties(rows, percent), "ties")
+    return sets, classes, ties
 
-    clusters = settle(components(ties), "clusters")
-    wanted = clusters.join(reps.select(F.col("rep").alias("node"), "doc", "key"), "node").select(
-        F.col("node").alias("rep"), "doc", "key"
-    )
-    held = settle(_contents(docs, settle(wanted, "wanted"), k), "contents")
-    pairs = ties.join(held.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(
-        held.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b"
-    )
-    links = settle(_verified(pairs.select("a", "b", "x", "y"), percent), "links")
-    pieces = settle(_pieces(clusters, components(links)), "pieces")
-    open_ = pieces.groupBy("cluster").agg(F.min("piece").alias("p"), F.max("piece").alias("q"))
-    open_ = open_.where("p <> q").select("cluster")
-    unresolved = pieces.join(open_, "cluster", "left_semi").join(held, "rep")
-    more = settle(_cluster_links(unresolved, percent), "links")
+
+def _links(docs: DataFrame, classes: DataFrame, ties: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes that hold every cluster together, verified on whole sets."""
+    with intermediates(docs.sparkSession):
+        clusters = settle(components(ties), "clusters")
+        wanted = clusters.join(classes.withColumnRenamed("rep", "node"), "node").select(
+            F.col("node").alias("rep"), "doc", "key"
+        )
+        held = settle(_contents(docs, settle(wanted, "wanted"), k), "contents")
+        pairs = ties.join(held.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(
+            held.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b"
+        )
+        links = settle(_verified(pairs.select("a", "b", "x", "y"), percent), "links")
+        pieces = settle(_pieces(clusters, components(links)), "pieces")
+        open_ = pieces.groupBy("cluster").agg(F.min("piece").alias("p"), F.max("piece").alias("q"))
+        open_ = open_.where("p <> q").select("cluster")
+        unresolved = pieces.join(open_, "cluster", "left_semi").join(held, "rep")
+        more = _cluster_links(unresolved, percent)
+        return settle_outside(links.unionByName(more), "links")
+
+
+def _components_of_rows(sets: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each row with the smallest doc_id of its component."""
     # rows of one id with different texts (as a rule none) tie their sets together
     several = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("p"), F.max("key").alias("q"))
     several = settle(several.where("p <> q").select("doc_id"), "several")
-    own = named.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct()
+    own = sets.where("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "key").distinct()
     own = settle(own.join(classes.select("key", "rep"), "key"), "own")
     same = own.groupBy("doc_id").agg(F.min("rep").alias("a")).join(own, "doc_id").select("a", F.col("rep").alias("b"))
-    final = settle(components(links.unionByName(more).unionByName(same)), "final")
+    final = settle(components(links.unionByName(same)), "final")
     linked = classes.join(final.withColumnRenamed("node", "rep"), "rep")
     lowest = linked.groupBy("component").agg(F.min("doc").alias("low"))
     linked = linked.join(lowest, "component").select("key", "low")
