@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,10 @@ def serpentine_number(row: Column, col: Column, n_cols: int) -> Column:
     return row.cast("bigint") * n_cols + across + 1
 
 
-def serpentine_sparse(cells: DataFrame, name: str = "number") -> DataFrame:
-    """N3 on a grid with holes: positions among the cells that exist."""
+def serpentine_sparse(cells: DataFrame, name: str = "number", keys: Sequence[str] = ()) -> DataFrame:
+    """N3 on a grid with holes: positions among the cells that exist, per grid named by ``keys``."""
     keyed = cells.withColumn("_across", F.when(F.col("row") % 2 == 0, -F.col("col")).otherwise(F.col("col")))
-    return row_ordinals(keyed, [], ["row", "_across"], name).drop("_across")
+    return row_ordinals(keyed, list(keys), ["row", "_across"], name).drop("_across")
 
 
 def tile_lines(files: DataFrame, positions: DataFrame) -> DataFrame:

@@ -14,8 +14,7 @@ from spectraloom.plans.q_bands import wide_bands
 from spectraloom.plans.registry import query
 from spectraloom.session import settle
 
-#: Bands of the feature table with SQL; models take all bands and, as in the workflow, five folds.
-SHOWN = ["amideI", "ch2", "po2_1080"]
+#: All bands and, as in the workflow, five folds.
 BANDS = [band for band, *_ in BAND_LIBRARY]
 N_FOLDS = 5
 
@@ -58,15 +57,15 @@ def m1(spark, sf_dir):
 
 
 _FEATS = ", ".join(
-    r(f"{e} FILTER (band = '{b}')" if "quantile" not in e else e.replace("F_", f"FILTER (band = '{b}')"), f"{b}_{t}")
-    for b in SHOWN
+    r(f"{e} FILTER (band = '{b}')" if "quantile" not in e else e.replace("F_", f"FILTER (band = '{b}')"), f'"{b}_{t}"')
+    for b in BANDS
     for t, e in (("med", "median(value)"), ("iqr", "quantile_cont(value, 0.75) F_ - quantile_cont(value, 0.25) F_"), ("mean", "avg(value)"), ("std", "stddev_pop(value)"))
 )
 
 
 @query("m2_feature_table", sql("bandpx", f"SELECT sample_id AS unit_id, {_FEATS} FROM bandpx GROUP BY 1"))
 def m2(spark, sf_dir):
-    out = M.feature_table(band_values(spark, sf_dir), ["unit_id"], "band", SHOWN)
+    out = M.feature_table(band_values(spark, sf_dir), ["unit_id"], "band", BANDS)
     return out.select("unit_id", *rounded(*[c for c in out.columns if c != "unit_id"]))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spectraloom.catalog import BAND_LIBRARY, ratio_list
 from spectraloom.operators import bands as B
 from spectraloom.operators import mosaic as N
 from spectraloom.operators import patches as P
@@ -101,7 +102,9 @@ def l4(spark, sf_dir):
     ).select("r0", "c0", "length", *rounded("weighted"))
 
 
-SHOWN = ["amideI", "amideII", "ch2", "ch3"]
+BANDS = [band for band, *_ in BAND_LIBRARY]
+RATIOS = ratio_list()
+_SHOWN = ", ".join(r(f'"{b}"', f'"{b}"') for b in BANDS)
 
 
 def band_pixels(spark, sf_dir):
@@ -110,30 +113,31 @@ def band_pixels(spark, sf_dir):
 
 @query(
     "l5_patch_features",
-    sql("bandpx", f"""SELECT sample_id, r0, c0, {', '.join(r(b, b) for b in SHOWN)}, {r('least(ch2 / ch3, 1.05)', 'ch2_ch3')} FROM (SELECT sample_id, CAST(row // 5 * 5 AS INT) AS r0, CAST(col // 5 * 5 AS INT) AS c0,
-        {', '.join(f"avg(value) FILTER (band = '{b}' AND value - 0.35 > 0) AS {b}" for b in SHOWN)} FROM bandpx GROUP BY 1, 2, 3) WHERE {' AND '.join(f'{b} IS NOT NULL' for b in SHOWN)}""").replace(
+    sql("bandpx", f"""SELECT sample_id, r0, c0, {_SHOWN}, {', '.join(r(f'least("{n}" / "{d}", 1.05)', f'"{name}"') for name, n, d in RATIOS)} FROM (SELECT sample_id, CAST(row // 5 * 5 AS INT) AS r0, CAST(col // 5 * 5 AS INT) AS c0,
+        {', '.join(f"avg(value) FILTER (band = '{b}' AND value - 0.35 > 0) AS \"{b}\"" for b in BANDS)} FROM bandpx GROUP BY 1, 2, 3) WHERE {' AND '.join(f'"{b}" IS NOT NULL' for b in BANDS)}""").replace(
         "avg(value) FILTER", "avg(value - 0.35) FILTER"),
 )
 def l5(spark, sf_dir):
     wide = band_pixels(spark, sf_dir)
-    lowered = wide.select("sample_id", "row", "col", *[(F.col(f"b_{b}") - 0.35).alias(f"b_{b}") for b in SHOWN])
+    lowered = wide.select("sample_id", "row", "col", *[(F.col(f"b_{b}") - 0.35).alias(f"b_{b}") for b in BANDS])
     tiled = P.tile_of(lowered, 5, 5)
-    out = P.patch_features(tiled, ["sample_id", "r0", "c0"], SHOWN, [("ch2_ch3", "ch2", "ch3")], 1.05)
-    return out.select("sample_id", "r0", "c0", *rounded(*SHOWN, "ch2_ch3"))
+    out = P.patch_features(tiled, ["sample_id", "r0", "c0"], BANDS, RATIOS, 1.05)
+    return out.select("sample_id", "r0", "c0", *rounded(*BANDS, *[name for name, _, _ in RATIOS]))
 
 
 @query(
     "l6_patch_dataset",
-    sql("bandpx", f"""SELECT printf('%s_%s_p%02d', side, sample_id, patch_no) AS patch_id, label, row, col, {r('value', 'amideI')} FROM (
+    sql("bandpx", f"""SELECT printf('%s_%s_p%02d', side, sample_id, patch_no) AS patch_id, label, row, col, {_SHOWN} FROM (
         SELECT *, row_number() OVER (PARTITION BY side, sample_id, patch_no ORDER BY md5(concat_ws('|', 'patch-pixels', side, sample_id, row, col)), side, sample_id, row, col) AS rn FROM
-        (SELECT x.*, patch_no FROM (SELECT side, sample_id, row, col, value, CAST(grp = 'B' AS INT) AS label, row // 6 * 6 AS r0, col // 12 * 12 AS c0 FROM bandpx WHERE band = 'amideI') x JOIN
+        (SELECT x.*, patch_no FROM (SELECT side, sample_id, row, col, {', '.join(f"max(value) FILTER (band = '{b}') AS \"{b}\"" for b in BANDS)}, CAST(grp = 'B' AS INT) AS label, row // 6 * 6 AS r0, col // 12 * 12 AS c0 FROM bandpx GROUP BY side, sample_id, row, col, grp) x JOIN
           (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, sample_id ORDER BY n DESC, r0, c0) AS rank, row_number() OVER (PARTITION BY side, sample_id ORDER BY r0, c0) AS patch_no
             FROM (SELECT side, sample_id, row // 6 * 6 AS r0, col // 12 * 12 AS c0, count(*) AS n FROM bandpx WHERE band = 'amideI' GROUP BY ALL) WHERE n >= 2) WHERE rank <= 3) USING (side, sample_id, r0, c0))) WHERE rn <= 4"""),
 )
 def l6(spark, sf_dir):
     wide = settle(band_pixels(spark, sf_dir), "bands")
     out = P.patch_dataset(wide, 6, 12, 2, 3, 4)
-    return out.withColumn("amideI", F.col("b_amideI")).select("patch_id", "label", "row", "col", *rounded("amideI"))
+    named = out.select("patch_id", "label", "row", "col", *[F.col(f"b_{b}").alias(b) for b in BANDS])
+    return named.select("patch_id", "label", "row", "col", *rounded(*BANDS))
 
 
 # ---- mosaics --------------------------------------------------------------------
@@ -190,12 +194,12 @@ def n2(spark, sf_dir):
 
 @query(
     "n3_serpentine_numbering",
-    sql("raster", """SELECT row, col, CAST(row AS BIGINT) * 100 + CASE WHEN row % 2 = 0 THEN 99 - col ELSE col END + 1 AS full_number,
-        row_number() OVER (ORDER BY row, CASE WHEN row % 2 = 0 THEN -col ELSE col END) AS sparse_number FROM raster WHERE sample_id = 'click'"""),
+    sql("raster", """SELECT sample_id, row, col, CAST(row AS BIGINT) * 100 + CASE WHEN row % 2 = 0 THEN 99 - col ELSE col END + 1 AS full_number,
+        row_number() OVER (PARTITION BY sample_id ORDER BY row, CASE WHEN row % 2 = 0 THEN -col ELSE col END) AS sparse_number FROM raster"""),
 )
 def n3(spark, sf_dir):
-    cells = X.raster(spark, sf_dir).where(F.col("sample_id") == "click").select("row", "col")
-    out = N.serpentine_sparse(cells, "sparse_number")
+    cells = X.raster(spark, sf_dir).select("sample_id", "row", "col")
+    out = N.serpentine_sparse(cells, "sparse_number", ["sample_id"])
     return out.withColumn("full_number", N.serpentine_number(F.col("row"), F.col("col"), 100))
 
 

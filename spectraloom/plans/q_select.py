@@ -290,12 +290,12 @@ def b11(spark, sf_dir):
 
 @query(
     "g1_pixel_labels",
-    sql("spectra clusters", """SELECT sample_id, cluster, count(*) AS n FROM spectra JOIN clusters USING (sample_id, row, col)
-        WHERE side = 'LEFT' GROUP BY 1, 2"""),
+    sql("spectra clusters", """SELECT side, sample_id, cluster, count(*) AS n FROM spectra JOIN clusters USING (sample_id, row, col)
+        GROUP BY 1, 2, 3"""),
 )
 def g1(spark, sf_dir):
-    left = X.spectra(spark, sf_dir).where(F.col("side") == "LEFT")
-    return S.label_pixels(left, X.clusters(spark, sf_dir)).groupBy("sample_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    labelled = S.label_pixels(X.spectra(spark, sf_dir), X.clusters(spark, sf_dir))
+    return labelled.groupBy("side", "sample_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
