@@ -333,14 +333,33 @@ def _bounds(words: DataFrame, total: int) -> list[tuple[bytes, ...]]:
     return sorted(set(bounds))
 
 
-def _unique_rows(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different rows and the sums of their weights."""
-    key = columns[0]
-    for c in columns[1:]:
-        _, key = np.unique(key, return_inverse=True)
-        key = key * (int(c.max(initial=0)) + 1) + c
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
-    return [c[at] for c in columns], np.bincount(back, weight, len(at)).astype(np.int64)
+def _row_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One integer a row, in the order of the rows and equal for equal ones.
+
+    Columns share the integer as long as their spans fit; else what is packed so far is numbered.
+    """
+    key, span = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        low = int(c.min()) if len(c) else 0
+        wide = int(c.max(initial=0)) - low + 1
+        if span * wide >= 1 << 62:
+            _, key = np.unique(key, return_inverse=True)
+            span = int(key.max(initial=0)) + 1
+        key, span = key * wide + (c - low), span * wide
+    return key
+
+
+def _unique_rows(columns: list[np.ndarray], weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows in order and the sums of their weights (each 1 where none are given)."""
+    key = _row_keys(columns)
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    if weight is None:
+        sums = np.diff(np.append(starts, len(key)))
+    else:
+        sums = np.add.reduceat(weight[order], starts) if len(starts) else weight
+    return [c[order[starts]] for c in columns], sums.astype(np.int64)
 
 
 class _Ids(dict):
@@ -391,7 +410,7 @@ class _Shard:
             at = np.flatnonzero(fits)
             if len(at):
                 columns = [np.full(len(at), code, np.int64)] + [own[at + j] for j in range(n)]
-                self.found[n].append(_unique_rows(columns, np.ones(len(at))))
+                self.found[n].append(_unique_rows(columns))
 
     def full(self) -> bool:
         for n, parts in self.found.items():
@@ -406,19 +425,20 @@ class _Shard:
 
     def machines(self) -> Iterator[tuple[int, int, Machine]]:
         """(order, prefix range, transducer) of what was counted; then the shard is empty."""
-        words = self.ids.words
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         for n in self.orders:
             if not self.found[n]:
                 continue
             columns, weight = self._joined(n)
-            columns = [rank[c] for c in columns]
-            by = np.lexsort(columns[::-1])
+            met = np.unique(np.concatenate(columns))  # few of the shard's words
+            spelt = [self.ids.words[i] for i in met.tolist()]
+            order = sorted(range(len(spelt)), key=spelt.__getitem__)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = [spelt[i] for i in order]
+            columns = [rank[np.searchsorted(met, c)] for c in columns]
+            by = np.argsort(_row_keys(columns))
             columns, weight = [c[by] for c in columns], weight[by]
-            word = lambda r: words[order[r]]
-            key = lambda i: tuple(word(c[i]) for c in columns[:3])
+            key = lambda i: tuple(words[c[i]] for c in columns[:3])
             cuts = [bisect.bisect_left(range(len(weight)), b, key=key) for b in self.bounds]
             edges = [0, *cuts, len(weight)]
             for r, (lo, hi) in enumerate(zip(edges, edges[1:])):
@@ -426,7 +446,7 @@ class _Shard:
                     part = [c[lo:hi] for c in columns]
                     used, back = np.unique(np.concatenate(part), return_inverse=True)
                     local = back.reshape(len(part), -1)
-                    yield n, r, build([word(u) for u in used.tolist()], list(local), weight[lo:hi])
+                    yield n, r, build([words[u] for u in used.tolist()], list(local), weight[lo:hi])
         self.clear()
 
 
