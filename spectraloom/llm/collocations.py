@@ -19,7 +19,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +105,11 @@ class Machine:
 
 
 class _Register:
-    """States by their arcs; equal ones are one."""
+    """States by their arcs; equal ones are one.  Last states may be ranges of rows."""
 
     def __init__(self):
-        self.known: dict[tuple, int] = {}
-        self.states: list[tuple] = []
+        self.known: dict[tuple | bytes, int] = {}
+        self.states: list[tuple | range] = []
 
     def state(self, arcs: list[tuple]) -> int:
         key = tuple(arcs)
@@ -119,6 +119,33 @@ class _Register:
             self.states.append(key)
         return found
 
+    def last_state(self, arcs: bytes, rows: range) -> int:
+        found = self.known.get(arcs)
+        if found is None:
+            found = self.known[arcs] = len(self.states)
+            self.states.append(rows)
+        return found
+
+
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every stretch, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def _assembled(words: list[bytes], states: list[tuple | range], last: np.ndarray, weight: np.ndarray) -> Machine:
+    """The machine of a register whose last states are ranges of rows of ``last`` and ``weight``."""
+    size = np.array([len(s) for s in states], np.int64)
+    first = np.append(0, np.cumsum(size))
+    ends = np.array([type(s) is range for s in states], bool)
+    arcs = np.empty((3, int(first[-1])), np.int64)
+    rows = _stretches(np.array([s.start for s in states if type(s) is range], np.int64), size[ends])
+    at = _stretches(first[:-1][ends], size[ends])
+    arcs[0, at], arcs[1, at], arcs[2, at] = last[rows], weight[rows], -1
+    flat = chain.from_iterable(chain.from_iterable(s for s in states if type(s) is tuple))
+    at = _stretches(first[:-1][~ends], size[~ends])
+    arcs[:, at] = np.fromiter(flat, np.int64, 3 * len(at)).reshape(-1, 3).T
+    return Machine(words, first, *arcs)
+
 
 def build(words: list[bytes], columns: list[np.ndarray], weight: np.ndarray) -> Machine:
     """The transducer of sorted different n-grams of one length, added one after the other.
@@ -136,7 +163,8 @@ def build(words: list[bytes], columns: list[np.ndarray], weight: np.ndarray) ->
         same = same & (c[1:] == c[:-1])
         shared[1:] += same
     starts = np.append(0, np.flatnonzero(shared[1:] < depth - 1) + 1)
-    last, count = columns[-1].tolist(), weight.tolist()
+    last, weight = columns[-1].astype(np.int64), weight.astype(np.int64)
+    spelt = np.stack([last, weight], 1).tobytes()  # 16 bytes an arc
     open_: list[list[tuple]] = [[] for _ in inner]
     before: tuple | None = None
     prefixes = zip(*(c[starts].tolist() for c in inner))
@@ -145,56 +173,73 @@ def build(words: list[bytes], columns: list[np.ndarray], weight: np.ndarray) ->
             for d in range(depth - 2, keep, -1):
                 open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
                 open_[d] = []
-        arcs = list(zip(last[lo:hi], count[lo:hi], repeat(-1)))  # all n-grams that differ in the last word only
-        open_[-1].append((row[-1], 0, register.state(arcs)))
+        # all n-grams that differ in the last word only
+        open_[-1].append((row[-1], 0, register.last_state(spelt[16 * lo : 16 * hi], range(lo, hi))))
         before = row
     for d in range(depth - 2, 0, -1):
         open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
     register.states.append(tuple(open_[0]))
-    return Machine.of_states(words, register.states)
+    return _assembled(words, register.states, last, weight)
 
 
 def unite(machines: list[Machine], least: int = 1) -> tuple[Machine, int]:
     """One transducer with the sums of the weights, without those below ``least``; and their total."""
+    machines = [m for m in machines if len(m.first) > 1]
     words = sorted(set().union(*(m.words for m in machines)))
+    if not words:
+        return Machine.of_states(words, []), 0
     place = {w: i for i, w in enumerate(words)}
-    flat = []
+    label = np.concatenate([np.array([place[w] for w in m.words] + [0], np.int64)[m.label] for m in machines])
+    weight = np.concatenate([m.weight for m in machines])
+    flat, offset = [], 0
+    labels = label.tolist()
     for m in machines:
-        own = np.array([place[w] for w in m.words] + [0], np.int64)
-        flat.append((m.first.tolist(), own[m.label].tolist(), m.weight.tolist(), m.target.tolist()))
-    register, total = _Register(), 0
+        flat.append(((m.first + offset).tolist(), m.target.tolist(), offset))
+        offset += len(m.label)
+    ends: list[tuple[int, int, int]] = []  # what a last state is summed up from: its number, first arc, arcs
 
-    def merged(states: list[tuple[int, int]]) -> list[tuple]:
-        nonlocal total
-        sums: dict[int, int] = {}
+    def met(states: list[tuple[int, int]], number: Iterator[int]):
+        """The states that spell one prefix: a number if they are last ones, else what follows by word."""
         below: dict[int, list[tuple[int, int]]] = {}
+        found = None
         for m, s in states:
-            first, label, weight, target = flat[m]
+            first, target, at = flat[m]
             lo, hi = first[s], first[s + 1]
-            if lo < hi and target[lo] < 0:  # all paths have one length
-                if sums:
-                    for x, w in zip(label[lo:hi], weight[lo:hi]):
-                        sums[x] = sums.get(x, 0) + w
-                else:
-                    sums = dict(zip(label[lo:hi], weight[lo:hi]))
+            if lo < hi and target[lo - at] < 0:  # all paths have one length
+                if found is None:
+                    found = next(number)
+                ends.append((found, lo, hi - lo))
             else:
-                for x, t in zip(label[lo:hi], target[lo:hi]):
+                for x, t in zip(labels[lo:hi], target[lo - at : hi - at]):
                     below.setdefault(x, []).append((m, t))
-        total += sum(sums.values())
-        arcs = [(x, w, -1) for x, w in sums.items() if w >= least]
-        for x, kids in below.items():
-            inner = merged(kids)
-            if inner:
+        return found if found is not None else [(x, met(below[x], number)) for x in sorted(below)]
+
+    root = met([(m, len(f[0]) - 2) for m, f in enumerate(flat)], count())
+    number, start, size = np.array(ends, np.int64).reshape(-1, 3).T
+    arcs = _stretches(start, size)
+    (number, last), sums = _unique_rows([np.repeat(number, size), label[arcs]], weight[arcs])
+    total, enough = int(sums.sum()), sums >= least
+    number, last, sums = number[enough], last[enough], sums[enough]
+    bounds = np.searchsorted(number, np.arange(len(ends) + 1)).tolist()
+    spelt = np.stack([last, sums], 1).tobytes()
+    register = _Register()
+
+    def kept(follow: list) -> list[tuple]:
+        arcs = []
+        for x, node in follow:
+            if isinstance(node, int):
+                lo, hi = bounds[node], bounds[node + 1]
+                if lo < hi:
+                    arcs.append((x, 0, register.last_state(spelt[16 * lo : 16 * hi], range(lo, hi))))
+            elif inner := kept(node):
                 arcs.append((x, 0, register.state(inner)))
-        arcs.sort()
         return arcs
 
-    register.states.append(tuple(merged([(m, len(f[0]) - 2) for m, f in enumerate(flat) if len(f[0]) > 1])))
-    states = register.states
-    used = sorted({a[0] for s in states for a in s})
-    place = {x: i for i, x in enumerate(used)}
-    states = [tuple((place[x], w, t) for x, w, t in s) for s in states]
-    return Machine.of_states([words[x] for x in used], states), total
+    register.states.append(tuple(kept(root)))
+    machine = _assembled(words, register.states, last, sums)
+    used = np.unique(machine.label)
+    machine.words, machine.label = [words[x] for x in used.tolist()], np.searchsorted(used, machine.label)
+    return machine, total
 
 
 def compose(asked: Machine, counts: Machine) -> Iterator[tuple[tuple[bytes, ...], int]]:
