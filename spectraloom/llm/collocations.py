@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spectraloom.llm.common import slices
 from spectraloom.session import settle
 
-NGRAMS_KEPT = 400_000
+NGRAMS_KEPT = 250_000
 WORDS_KEPT = 300_000
 ARCS_AT_ONCE = 300_000
 SIEVE_BITS = 1 << 24
@@ -390,7 +390,10 @@ def _row_keys(columns: list[np.ndarray]) -> np.ndarray:
         if span * wide >= 1 << 62:
             _, key = np.unique(key, return_inverse=True)
             span = int(key.max(initial=0)) + 1
-        key, span = key * wide + (c - low), span * wide
+        key *= wide
+        key += c
+        key -= low
+        span *= wide
     return key
 
 
@@ -434,7 +437,7 @@ class _Shard:
 
     def add(self, lang: bytes, texts: list[bytes | None]) -> None:
         words = tokens_of(texts)
-        own = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        own = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
         code, known = self.ids[lang], self.ids.words
         if len(self.hashes) < len(known):
             more = [_hash(w) for w in known[len(self.hashes) :]]
@@ -454,7 +457,7 @@ class _Shard:
                 fits &= together[j : j + len(fits)]
             at = np.flatnonzero(fits)
             if len(at):
-                columns = [np.full(len(at), code, np.int64)] + [own[at + j] for j in range(n)]
+                columns = [np.full(len(at), code, np.int32)] + [own[at + j] for j in range(n)]
                 self.found[n].append(_unique_rows(columns))
 
     def full(self) -> bool:
@@ -474,10 +477,11 @@ class _Shard:
             if not self.found[n]:
                 continue
             columns, weight = self._joined(n)
+            self.found[n] = []
             met = np.unique(np.concatenate(columns))  # few of the shard's words
             spelt = [self.ids.words[i] for i in met.tolist()]
             order = sorted(range(len(spelt)), key=spelt.__getitem__)
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             words = [spelt[i] for i in order]
             columns = [rank[np.searchsorted(met, c)] for c in columns]
