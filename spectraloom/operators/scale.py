@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions.arrays import is_finite
 from spectraloom.session import settle
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 1_000
 
 
 def exact_quantiles(
