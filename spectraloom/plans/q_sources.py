@@ -117,7 +117,8 @@ def a5(spark, sf_dir):
     )
     folder = new_path(spark, "rasters")
     write_raster_files(px, folder)
-    channels = {c: rasters.scan_rasters(spark, folder, s) for c, s in rasters.SUFFIXES.items()}
+    files = cubes.list_files(spark, folder, "*.asc")
+    channels = {c: settle(rasters.scan_rasters(spark, folder, s, files=files), "channel") for c, s in rasters.SUFFIXES.items()}
     out = rasters.zip_rasters(channels, ["sample_id"])
     return out.select("sample_id", "file_ord", "pix", *rounded("a1", "a2", "tm"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator, Mapping
+from fnmatch import fnmatchcase
 from urllib.parse import quote
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.schemas import BACKGROUNDS, SPECTRA
+from spectraloom.session import settle
 
 # fixed values: file names and arrays of the published inputs
 CUBE_FILES, CUBE_NAME, CUBE_ARRAY = "masked_cube_*.npz", r"masked_cube_(.+)\.npz$", "data"
@@ -29,14 +31,42 @@ BLOCK_VALUES = 4_000_000
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Paths only: without the content column no file is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "length")
-    )
+    """``(path, length)`` of the files below a folder whose names fit the pattern; hidden ones are left out.
+
+    Folders are listed in tasks, a level of the tree at a time; neither paths nor a task for
+    every folder reach the driver.
+    """
+
+    def look(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, inner = filesystem_of(path)
+                head = path.removesuffix(inner) or "file:"
+                info = fs.get_file_info(inner)
+                found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(inner))
+                found = [f for f in found if f.base_name[:1] != "." and (f.base_name[:1] != "_" or "=" in f.base_name)]
+                found = [f for f in found if not f.is_file or fnmatchcase(f.base_name, pattern)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([head + f.path for f in found], pa.string()),
+                        pa.array([f.size for f in found], pa.int64()),
+                        pa.array([not f.is_file for f in found], pa.bool_()),
+                    ],
+                    names=["path", "length", "is_dir"],
+                )
+
+    folders, files = spark.range(1).select(F.lit(folder).alias("path")), None
+    while files is None or folders.take(1):
+        level = settle(spread(folders).mapInArrow(look, "path string, length bigint, is_dir boolean"), "listed")
+        found = level.where("NOT is_dir").select("path", "length")
+        files = found if files is None else files.unionByName(found)
+        folders = level.where("is_dir").select("path")
+    return files
+
+
+def spread(files: DataFrame, *keys: str) -> DataFrame:
+    """Paths are few bytes for much work, so their number of tasks is set, not left to adaptive merging."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(keys or ["path"]))
 
 
 def filesystem_of(path: str) -> tuple[pafs.FileSystem, str]:
@@ -126,7 +156,7 @@ def scan_cubes(
                     with z.open(f"{key}.npy") as stream:
                         yield from _pixels(sample, side, _row_blocks(stream, path))
 
-    return files.repartition("path").mapInArrow(read, SPECTRA)
+    return spread(files).mapInArrow(read, SPECTRA)
 
 
 def scan_raw_cubes(spark: SparkSession, folder: str, side: str = "RIGHT", rows_per_task: int = 64) -> DataFrame:
@@ -145,7 +175,7 @@ def scan_raw_cubes(spark: SparkSession, folder: str, side: str = "RIGHT", rows_p
                 starts = np.arange(0, shape[0], rows_per_task)
                 yield pd.DataFrame({"path": path, "sample_id": sample, "start": starts})
 
-    parts = files.mapInPandas(ranges, "path string, sample_id string, start long").repartition("path", "start")
+    parts = spread(spread(files).mapInPandas(ranges, "path string, sample_id string, start long"), "path", "start")
 
     def read(batches):
         for batch in batches:
@@ -225,7 +255,7 @@ def scan_clusters(
                             "col": (at[s] % w).astype(np.int32), "cluster": labels[s].astype(np.int32),
                         })
 
-    return files.repartition("path").mapInPandas(read, "sample_id string, row int, col int, cluster int")
+    return spread(files).mapInPandas(read, "sample_id string, row int, col int, cluster int")
 
 
 def scan_backgrounds(spark: SparkSession, folder: str, patterns: list[str] = BACKGROUND_FILES) -> DataFrame:
@@ -254,4 +284,4 @@ def scan_backgrounds(spark: SparkSession, folder: str, patterns: list[str] = BAC
                     raise ValueError(f"{path}: no 1-D numeric vector")
                 yield pd.DataFrame({"sample_id": [sid], "priority": [rank], "spectrum": [usable[0].astype("float64")]})
 
-    return listed.repartition("path").mapInPandas(read, BACKGROUNDS)
+    return spread(listed).mapInPandas(read, BACKGROUNDS)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.arrays import null_if_not_finite
-from spectraloom.sources.cubes import list_files
+from spectraloom.sources.cubes import list_files, open_path, spread
 
 # fixed values: layout of the exported text matrices
 HEADER_LINES = 6
 UNPARSABLE = 9999
+FILES_AT_ONCE = 16
 SUFFIXES = {"a1": "_740_a1.asc", "a2": "_740_a2.asc", "tm": "_740_color coded value.asc"}
 
 
@@ -21,35 +23,38 @@ def folder_number(path: Column) -> Column:
     return F.coalesce(F.regexp_extract(path, r"/S_([^/_]*)[^/]*/[^/]+$", 1).try_cast("int"), F.lit(UNPARSABLE))
 
 
-def scan_rasters(spark: SparkSession, folder: str, suffix: str, header: int = HEADER_LINES) -> DataFrame:
+def scan_rasters(
+    spark: SparkSession, folder: str, suffix: str, header: int = HEADER_LINES, files: DataFrame | None = None
+) -> DataFrame:
     """A5: text matrices under ``{sample}/S_<n>/*{suffix}`` as (sample_id, file_ord, pix, v).
 
     ``file_ord`` counts a sample's files from 0 by folder number, folders without one last,
     then by path.  Pixels are numbered row by row, NaN becomes NULL.  One file is one field
-    of view, so a file is read as one record to keep its line order.
+    of view, so a file is read as one record to keep its line order.  ``files`` is the
+    folder's list where several suffixes share it.
     """
-    listed = (
-        list_files(spark, folder, f"*{suffix}")
-        .select(F.url_decode("path").alias("path"))
-        .where(F.col("path").rlike(r"/S_[^/]*/[^/]+$"))
-        .withColumn("sample_id", F.regexp_extract("path", r"([^/]+)/S_[^/]*/[^/]+$", 1))
-    )
+    files = list_files(spark, folder, f"*{suffix}") if files is None else files.where(F.endswith("path", F.lit(suffix)))
+    listed = files.select(
+        "path", F.regexp_extract("path", r"([^/]+)/S_[^/]*/[^/]+$", 1).alias("sample_id")
+    ).where(F.col("path").rlike(r"/S_[^/]*/[^/]+$"))
     place = Window.partitionBy("sample_id").orderBy(folder_number(F.col("path")), "path")
     listed = listed.withColumn("file_ord", F.row_number().over(place) - 1)
-    raw = (
-        spark.read.option("pathGlobFilter", f"*{suffix}")
-        .option("recursiveFileLookup", "true")
-        .text(folder, wholetext=True)
-        .select(F.url_decode(F.col("_metadata.file_path")).alias("path"), "value")
-        .where(F.col("path").rlike(r"/S_[^/]*/[^/]+$"))
-    )
+
+    def read(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FILES_AT_ONCE):
+                part = batch.slice(lo, FILES_AT_ONCE)
+                texts = []
+                for path in part.column("path").to_pylist():
+                    with open_path(path) as stream:
+                        texts.append(stream.read().decode("utf-8", "replace"))
+                columns = [part.column("sample_id"), part.column("file_ord"), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["sample_id", "file_ord", "value"])
+
+    raw = spread(listed).mapInArrow(read, "sample_id string, file_ord int, value string")
     lines = F.slice(F.split(F.rtrim("value"), r"\r?\n"), F.lit(header + 1), F.greatest(F.size(F.split(F.rtrim("value"), r"\r?\n")) - header, F.lit(0)))
     numbers = F.flatten(F.transform(lines, lambda x: F.split(F.trim(x), r"\s+")))
-    bare = F.regexp_replace("path", "^file:/*", "file:/")
-    named = raw.withColumn("_at", bare).join(
-        listed.select("sample_id", "file_ord", bare.alias("_at")), "_at"
-    )
-    pixels = named.select(
+    pixels = raw.select(
         "sample_id",
         "file_ord",
         F.posexplode(F.filter(numbers, lambda x: x != "")).alias("pix", "_t"),

@@ -138,3 +138,21 @@ def test_table_sink_writes_missing_as_empty(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "t").glob("*.csv"))
     assert "b,\n" in text
     assert sorted(map(tuple, sinks.read_table(spark, str(tmp_path / "t"), df.schema).collect())) == [("a", 0.5), ("b", None)]
+
+
+def test_folders_are_listed_in_a_set_number_of_tasks(spark, tmp_path):
+    """A listing by the driver starts a task, and sends its result, for every folder."""
+    for i in range(40):
+        (tmp_path / "wt" / f"S_{i}").mkdir(parents=True)
+        (tmp_path / "wt" / f"S_{i}" / "a b%20.asc").write_text("h\n" * 6 + f"{i} {i}\n")
+    (tmp_path / "wt" / "S_0" / "_b.asc").write_text("hidden")
+    (tmp_path / "wt" / ".c").mkdir()
+    (tmp_path / "wt" / ".c" / "d.asc").write_text("hidden")
+    group = f"listing-{tmp_path}"
+    spark.sparkContext.setJobGroup(group, "listing")
+    rows = rasters.scan_rasters(spark, str(tmp_path), ".asc").orderBy("file_ord", "pix").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r.file_ord, r.v) for r in rows] == [(i, float(i)) for i in range(40) for _ in range(2)]
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) < 40
