@@ -7,7 +7,9 @@ totals (a few rows) are summed up, and only then is work done inside a slice.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from spectraloom.functions.arrays import is_finite
 from spectraloom.session import settle
 
 SKETCH_ACCURACY = 1_000
+#: Rows up to which a group is sorted as a whole; a sketch of a small group holds all its values anyway.
+SMALL_GROUP = 5_000
 
 
 def exact_quantiles(
@@ -24,10 +28,12 @@ def exact_quantiles(
     value: Column,
     probs: Mapping[str, float],
     accuracy: int = SKETCH_ACCURACY,
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Linearly interpolated quantiles of the finite values per group, exact at any size.
 
-    Count and a quantile sketch are taken in one aggregation.  The sketch brackets each
+    Groups of at most ``small`` rows are sorted, however many they are.  In the others
+    count and a quantile sketch are taken in one aggregation.  The sketch brackets each
     wanted rank, a second aggregation keeps only the values inside the brackets (counts
     elsewhere), and the rank is read off there.  A rank the sketch failed to bracket gets
     its bucket in a further pass.
@@ -36,8 +42,66 @@ def exact_quantiles(
     join with it broadcasts, so the pixels it is joined to need not be shuffled.
     """
     keys = list(keys)
-    values = df.where(is_finite(value)).select(*keys, value.cast("double").alias("_v"))
-    return settle(_bracketed_quantiles(values, keys, probs, accuracy), "quantiles")
+    values = df.select(*keys, value.cast("double").alias("_v"))
+    return _quantiles_by_size(
+        values, keys, small,
+        lambda part: _sorted_quantiles(part, keys, {"": F.col("_v")}, probs),
+        lambda part: _bracketed_quantiles(part.where(is_finite(F.col("_v"))), keys, probs, accuracy),
+    )
+
+
+def joint_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float], small: int = SMALL_GROUP
+) -> DataFrame:
+    """``exact_quantiles`` of several columns, named ``{prob}_{column}``; NULL where a group has no finite value."""
+    keys = list(keys)
+
+    def bracketed(part: DataFrame) -> DataFrame:
+        entries = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]
+        long = part.select(*keys, F.inline(F.array(*entries))).where(is_finite(F.col("_v")))
+        return _bracketed_quantiles(long, [*keys, "_c"], probs).groupBy(*keys).agg(
+            *[F.max(F.when(F.col("_c") == c, F.col(name))).alias(f"{name}_{c}") for c in columns for name in probs]
+        )
+
+    return _quantiles_by_size(
+        df, keys, small,
+        lambda part: _sorted_quantiles(part, keys, {f"_{c}": F.col(c).cast("double") for c in columns}, probs),
+        bracketed,
+    )
+
+
+def _quantiles_by_size(
+    df: DataFrame, keys: list[str], small: int,
+    of_small: Callable[[DataFrame], DataFrame], of_large: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    rows = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    # rows bound the finite values from above, and are counted without computing any
+    sizes = settle(rows.groupBy(*keys).agg((F.count(F.lit(1)) > small).alias("_large")), "sizes")
+    large = sizes.where("_large").select(*keys)
+    if not large.take(1):
+        return settle(of_small(rows), "quantiles")
+    if not sizes.where("NOT _large").take(1):
+        return settle(of_large(rows), "quantiles")
+    large = settle(large, "large")
+    found = of_large(rows.join(large, keys, "left_semi"))
+    return settle(found.unionByName(of_small(rows.join(large, keys, "left_anti"))), "quantiles")
+
+
+def _sorted_quantiles(df: DataFrame, keys: list[str], values: Mapping[str, Column], probs: Mapping[str, float]) -> DataFrame:
+    """Every group's finite values as one sorted array; groups without any are left out."""
+    finite = [F.when(is_finite(v), v).alias(f"_v{i}") for i, v in enumerate(values.values())]
+    keyed = ["_hash", *keys]  # one number tells most groups apart where rows are sorted by group
+    held = df.select(F.xxhash64(*keys).alias("_hash"), *keys, *finite).groupBy(*keyed).agg(
+        *[F.sort_array(F.collect_list(f"_v{i}")).alias(f"_v{i}") for i in range(len(finite))]
+    )
+    out = []
+    for i, suffix in enumerate(values):
+        v = F.col(f"_v{i}")
+        for name, p in probs.items():
+            at = F.lit(float(p)) * (F.size(v) - 1)
+            lo, hi = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+            out.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"{name}{suffix}"))
+    return held.where(reduce(or_, [F.size(f"_v{i}") > 0 for i in range(len(finite))])).select(*keys, *out)
 
 
 def _bracketed_quantiles(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.catalog import DEN_FLOOR, DEN_PERCENTILE, N_CLUSTERS, NUM_FLOOR, NUM_PERCENTILE, Axis
 from spectraloom.functions.arrays import all_finite, is_finite, l2_norm, max_abs, pick
-from spectraloom.operators.scale import exact_quantiles
+from spectraloom.operators.scale import exact_quantiles, joint_quantiles
 from spectraloom.session import settle
 
 PIXEL = ["sample_id", "row", "col"]
@@ -161,20 +161,7 @@ def trim_joint(
     rows: DataFrame, columns: Sequence[str], keys: Sequence[str], lower: float = 0.025, upper: float = 0.975
 ) -> DataFrame:
     """Rows whose every column lies in its own closed percentile interval."""
-    long = rows.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
-        ).alias("_e"),
-    ).select(*keys, F.col("_e.c").alias("_c"), F.col("_e.v").alias("_v"))
-    bounds = exact_quantiles(long, [*keys, "_c"], F.col("_v"), {"_lo": lower, "_hi": upper})
-    wide = bounds.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_c") == c, F.col(edge))).alias(f"{edge}_{c}")
-            for c in columns
-            for edge in ("_lo", "_hi")
-        ]
-    )
+    wide = joint_quantiles(rows, keys, columns, {"_lo": lower, "_hi": upper})
     kept = rows.join(wide, list(keys))
     for c in columns:
         kept = kept.where(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))

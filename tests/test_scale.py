@@ -46,6 +46,38 @@ def test_quantiles_match_numpy(skewed, accuracy):
             assert out.loc[g, name] == pytest.approx(np.percentile(v, 100 * p), rel=1e-12), (g, name)
 
 
+@pytest.mark.parametrize("small", [0, 200, 1 << 40])
+def test_quantiles_of_small_and_large_groups(skewed, small):
+    """Groups are sorted, bracketed or both, by their size; rows without a key are in no group."""
+    df, pdf = skewed
+    df = df.unionByName(df.limit(3).withColumn("g", F.lit(None).cast("string")))
+    out = scale.exact_quantiles(df, ["g"], F.col("v"), PROBS, small=small).toPandas().set_index("g")
+    assert len(out) == pdf[np.isfinite(pdf.v)].g.nunique()
+    for g, part in pdf.groupby("g"):
+        v = part.v[np.isfinite(part.v)]
+        for name, p in PROBS.items():
+            assert out.loc[g, name] == pytest.approx(np.percentile(v, 100 * p), rel=1e-12), (g, name)
+
+
+@pytest.mark.parametrize("small", [0, 200, 1 << 40])
+def test_joint_quantiles(skewed, small):
+    df, pdf = skewed
+    empty = df.limit(1).select(F.lit("e").alias("g"), F.lit(float("nan")).alias("v"), "a", "id")
+    df = df.unionByName(empty).withColumn("w", -F.col("id"))
+    out = scale.joint_quantiles(df, ["g"], ["v", "w"], PROBS, small=small).toPandas().set_index("g")
+    assert np.isnan(out.loc["e", "q50_v"]) and out.loc["e", "q50_w"] <= 0
+    for g, part in pdf.groupby("g"):
+        for c, v in (("v", part.v[np.isfinite(part.v)]), ("w", -part.id)):
+            for name, p in PROBS.items():
+                assert out.loc[g, f"{name}_{c}"] == pytest.approx(np.percentile(v, 100 * p), rel=1e-12), (g, name, c)
+
+
+def test_small_groups_get_no_sketches(skewed, monkeypatch):
+    """A sketch for each of very many small groups took most of the time."""
+    monkeypatch.setattr(scale, "_bracketed_quantiles", lambda *a: pytest.fail("sketched"))
+    assert scale.exact_quantiles(skewed[0], ["g"], F.col("v"), PROBS).count() > 1
+
+
 def test_quantiles_survive_a_bad_sketch(skewed, monkeypatch):
     """A coarse sketch misses its ranks; the further pass must still give exact values."""
     df, pdf = skewed
