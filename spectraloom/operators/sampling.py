@@ -121,23 +121,16 @@ def fixed_bags(
 ) -> DataFrame:
     """Exactly ``size`` rows per group: without replacement, or with it when short.
 
-    Result: keys, ``slot`` 1..size, payload.  The kept rows are few (at most
-    ``size`` per group), so slots are dealt by a window over them.
+    Result: keys, ``slot`` 1..size, payload.  The kept rows of a group, at most ``size``,
+    become one sorted array, from which the slots are read where it lies.
     """
     keys = list(keys)
-    bag = take_hashed(
-        df.select(*keys, *dict.fromkeys([*ids, *payload])), keys, hash_key(salt, *ids), ids, size
-    )
-    deal = Window.partitionBy(*keys).orderBy(hash_key(salt, *ids), *ids)
-    dealt = settle(
-        bag.withColumn("_at", F.row_number().over(deal)).withColumn(
-            "_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        ),
-        "bag",
-    )
-    slots = dealt.select(*keys, "_n").distinct().select(
-        *keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("slot")
-    )
-    again = F.pmod(hex_to_long(hash_key(f"{salt}-again", *keys, "slot")), F.col("_n")) + 1
-    asked = slots.withColumn("_at", F.when(F.col("_n") >= size, F.col("slot").cast("bigint")).otherwise(again))
-    return asked.drop("_n").join(dealt.drop("_n"), [*keys, "_at"]).select(*keys, "slot", *payload)
+    columns = list(dict.fromkeys([*ids, *payload]))
+    bag = take_hashed(df.select(*dict.fromkeys([*keys, *columns])), keys, hash_key(salt, *ids), ids, size)
+    entry = F.struct(hash_key(salt, *ids).alias("_hash"), *columns)
+    bags = bag.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_bag"))
+    slots = bags.select(*keys, "_bag", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("slot"))
+    n = F.size("_bag")
+    again = F.pmod(hex_to_long(hash_key(f"{salt}-again", *keys, "slot")), n) + 1
+    drawn = F.element_at("_bag", F.when(n >= size, F.col("slot")).otherwise(again.cast("int")))
+    return slots.select(*keys, "slot", *[drawn[c].alias(c) for c in payload])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom import session
 from spectraloom.functions.arrays import hash_key
-from spectraloom.operators import scale
+from spectraloom.operators import sampling, scale
 from spectraloom.operators.classify import holdout_splits, holdout_tests, training_thresholds
 from spectraloom.operators.stats import preference_exact, rank_counts
 
@@ -100,6 +100,29 @@ def test_hashed_take_equals_sort_and_limit(skewed, k):
     assert sorted(zip(got.g, got.id)) == sorted(zip(want.g, want.id))
 
 
+@pytest.mark.parametrize("size", [3, 2000])
+def test_bags_are_read_where_their_rows_lie(skewed, size):
+    """Slots, many times the groups, were joined to the rows; the estimate still was that of the groups."""
+    df, pdf = skewed
+    df = df.unionByName(df.limit(3).withColumn("g", F.lit(None).cast("string")))
+    bags = sampling.fixed_bags(df, ["g"], ["id"], size, ["v", "id"])
+    plan = bags._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("Exchange")
+    got = bags.toPandas()
+    assert len(got) == size * pdf.g.nunique()
+    import hashlib
+
+    digest = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    for g, part in pdf.groupby("g"):
+        kept = sorted(part.id, key=lambda i: digest("bag", i))[:size]
+        n = len(kept)
+        again = [int(digest("bag-again", g, s)[:8], 16) % n for s in range(1, size + 1)]
+        rows = got[got.g == g].sort_values("slot")
+        assert list(rows.slot) == list(range(1, size + 1))
+        assert list(rows.id) == (kept if n == size else [kept[i] for i in again])
+        assert rows.v.fillna(-1).tolist() == part.set_index("id").v.loc[list(rows.id)].fillna(-1).tolist()
+
+
 @pytest.mark.parametrize("together", [False, True])
 def test_running_totals(skewed, together):
     df, pdf = skewed
