@@ -21,52 +21,58 @@ from spectraloom.session import settle
 
 
 # ---- thresholds and features ------------------------------------------------
-def training_thresholds(bands: DataFrame, tests: DataFrame, cells: int = 64) -> DataFrame:
+#: Rows (values per unit) up to which a cell is read by every split that asks for it.
+OPEN_ROWS = 64
+#: Parts into which a larger cell is cut.
+PARTS = 16
+
+
+def training_thresholds(bands: DataFrame, tests: DataFrame, cells: int = 64, open_rows: int = OPEN_ROWS) -> DataFrame:
     """M1: guard thresholds per (split, band) from the units a split does not test.
 
     ``bands`` is (unit_id, band, value), ``tests`` is (split_id, unit_id).  Hundreds
     of splits share nearly all their pixels, so the pixels are not copied per split:
     every band is cut at fixed values into cells, a split's cell counts are the sums
-    of its units' counts, and only the cells that hold a wanted rank are opened.
+    of its units' counts, and only the cells that hold a wanted rank are opened.  Cells
+    of more than ``open_rows`` rows are cut again, so what a split reads does not grow
+    with the pixels.
     """
     values = bands.where(is_finite(F.col("value"))).select("unit_id", "band", F.col("value").alias("_v"))
-    marks = [i / cells for i in range(1, cells)]
-    edges = settle(values.groupBy("band").agg(F.percentile_approx("_v", marks, 10 * cells).alias("_edge")), "edges")
-    at = F.size(F.filter("_edge", lambda e: e < F.col("_v")))
-    placed = values.join(edges, "band").select("unit_id", "band", at.alias("_cell"), "_v")
-    counts = settle(placed.groupBy("band", "unit_id", "_cell").agg(F.count(F.lit(1)).alias("_c")), "cells")
+    placed = _placed(values.withColumns({"_in": F.lit(0).cast("bigint"), "_c": F.lit(1).cast("bigint")}), cells)
+    counts = settle(_cell_counts(placed), "cells")
     roles = settle(split_roles(counts.select("unit_id").distinct(), tests).where("role = 'train'").drop("role"), "train")
-    order = Window.partitionBy("split_id", "band").orderBy("_cell")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = (
-        counts.join(roles, "unit_id")
-        .groupBy("split_id", "band", "_cell")
-        .agg(F.sum("_c").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(upto))
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy("split_id", "band")))
-    )
+    held = counts.join(roles, "unit_id")
+    sizes = held.groupBy("split_id", "band").agg(F.sum("_c").alias("_n"))
     asks = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_n") - 1)).alias("at"))
+            F.struct(F.lit(name).alias("_name"), (F.lit(p) * (F.col("_n") - 1)).alias("at"))
             for name, p in (("num", NUM_PERCENTILE), ("den", DEN_PERCENTILE))
         ]
     )
-    wanted = (
-        summed.withColumn("_ask", F.explode(asks))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_ask.at"), F.ceil("_ask.at")))))
-        .where((F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto")))
-        .select(
-            "split_id", "band", "_cell", F.col("_ask.name").alias("_name"),
-            (F.col("_ask.at") - F.floor("_ask.at")).alias("_frac"), "_rank",
-            (F.col("_upto") - F.col("_c")).alias("_before"),
-        )
+    asked = sizes.select("split_id", "band", F.inline(asks)).select(
+        "split_id", "band", F.lit(0).cast("bigint").alias("_cell"), "_name", (F.col("at") - F.floor("at")).alias("_frac"),
+        F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("_rank"), F.lit(0).cast("bigint").alias("_before"),
     )
-    wanted = settle(wanted, "ranks")
-    # values of an opened cell as counts per unit, so a split reads each value once
-    opened = placed.join(wanted.select("band", "_cell").distinct(), ["band", "_cell"], "left_semi").groupBy(
-        "band", "_cell", "unit_id", "_v"
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    needed = wanted.select("split_id", "band", "_cell").distinct()
+    wanted = settle(_ranks_in_cells(asked, held), "ranks")
+    while True:
+        # values of an opened cell as counts per unit, so a split reads each value once
+        needed = settle(wanted.select("split_id", "band", "_cell").distinct(), "needed")
+        opened = settle(
+            placed.join(needed.select("band", "_cell").distinct(), ["band", "_cell"], "left_semi")
+            .groupBy("band", "_cell", "unit_id", "_v")
+            .agg(F.sum("_c").alias("_c")),
+            "opened",
+        )
+        sized = opened.groupBy("band", "_cell").agg(F.count(F.lit(1)).alias("rows"), (F.min("_v") < F.max("_v")).alias("several"))
+        if not sized.where(F.col("several") & (F.col("rows") > open_rows)).take(1):
+            break
+        placed = _placed(opened.withColumnRenamed("_cell", "_in"), PARTS)
+        held = (
+            settle(_cell_counts(placed), "cells")
+            .join(needed.withColumnRenamed("_cell", "_in"), ["band", "_in"])
+            .join(roles, ["split_id", "unit_id"], "left_semi")
+        )
+        wanted = settle(_ranks_in_cells(wanted, held), "ranks")
     inside = (
         opened.join(needed, ["band", "_cell"])
         .join(roles, ["split_id", "unit_id"], "left_semi")
@@ -87,6 +93,48 @@ def training_thresholds(bands: DataFrame, tests: DataFrame, cells: int = 64) ->
     )
 
 
+def _placed(values: DataFrame, cells: int) -> DataFrame:
+    """``values`` (band, _in, unit_id, _v, _c) with the ``_cell`` of each inside its cell ``_in``.
+
+    The lowest value is a cut of its own: a cell of several values always falls apart.
+    """
+    marks = [i / cells for i in range(1, cells)]
+    edges = settle(
+        values.groupBy("band", "_in").agg(
+            F.min("_v").alias("_low"), F.percentile_approx("_v", marks, 10 * cells).alias("_marks")
+        ).select("band", "_in", F.array_prepend("_marks", F.col("_low")).alias("_edge")),
+        "edges",
+    )
+    at = F.size(F.filter("_edge", lambda e: e < F.col("_v")))
+    cell = F.col("_in") * (cells + 1) + at
+    return values.join(edges, ["band", "_in"]).select("band", "_in", cell.alias("_cell"), "unit_id", "_v", "_c")
+
+
+def _cell_counts(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("band", "_in", "unit_id", "_cell").agg(F.sum("_c").alias("_c"))
+
+
+def _ranks_in_cells(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """``wanted`` ranks (split, band, _cell, ..., _before), each moved to the cell inside its cell that holds it.
+
+    ``held`` has the counts of each split's training units.
+    """
+    outer = wanted.withColumnRenamed("_cell", "_in")
+    order = Window.partitionBy("split_id", "band", "_in").orderBy("_cell")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = (
+        held.groupBy("split_id", "band", "_in", "_cell")
+        .agg(F.sum("_c").alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(upto))
+    )
+    rank, before = F.col("_rank"), F.col("_before") + F.col("_upto") - F.col("_c")
+    return (
+        outer.join(summed, ["split_id", "band", "_in"])
+        .where((rank >= before) & (rank < F.col("_before") + F.col("_upto")))
+        .select("split_id", "band", "_cell", "_name", "_frac", "_rank", before.alias("_before"))
+    )
+
+
 def feature_table(
     values: DataFrame, ids: Sequence[str], item: str, items: Sequence[str], value: str = "value"
 ) -> DataFrame:

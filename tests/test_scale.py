@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom import session
 from spectraloom.functions.arrays import hash_key
-from spectraloom.operators import sampling, scale
+from spectraloom.operators import classify, sampling, scale
 from spectraloom.operators.classify import holdout_splits, holdout_tests, training_thresholds
 from spectraloom.operators.stats import preference_exact, rank_counts
 
@@ -166,6 +166,33 @@ def test_training_thresholds_equal_numpy_per_split(spark):
         assert r.den_thr == pytest.approx(max(np.percentile(v, 3), 1e-2))
 
 
+def test_training_thresholds_open_few_values(spark, monkeypatch):
+    """What a split reads stays bounded: one cell of 64 held ever more values, each copied for every split."""
+    rng = np.random.default_rng(5)
+    ties = [0.5] * 3000 + [0.25] + [7.0] * 2000
+    v = np.concatenate([rng.gamma(2, 1, 15_000), ties])
+    rows = pd.DataFrame({"unit_id": [f"u{i % 6}" for i in range(len(v))], "band": "p", "value": rng.permutation(v)})
+    units = spark.createDataFrame([(f"u{i}", int(i > 2)) for i in range(6)], "unit_id string, label int")
+    splits, opened = holdout_splits(units), []
+
+    def settled(df, label="settled"):
+        out = session.settle(df, label)
+        if label == "opened":
+            cells = out.groupBy("band", "_cell").agg(F.count("_v").alias("n"), F.countDistinct("_v").alias("d"))
+            opened.append(max(r.n for r in cells.collect() if r.d > 1))
+        return out
+
+    monkeypatch.setattr(classify, "settle", settled)
+    out = training_thresholds(spark.createDataFrame(rows), holdout_tests(splits)).toPandas()
+    assert len(opened) > 1 and opened[-1] <= 64 < opened[0]
+    tests = {r.split_id: {r.a1, r.a2, r.b1, r.b2} for r in splits.collect()}
+    assert len(out) == len(tests) == 9
+    for r in out.itertuples():
+        v = rows[~rows.unit_id.isin(tests[r.split_id])].value
+        assert r.num_thr == pytest.approx(max(np.percentile(v, 15), 1e-4), rel=1e-12)
+        assert r.den_thr == pytest.approx(max(np.percentile(v, 3), 1e-2), rel=1e-12)
+
+
 def test_shared_folder_is_taken_from_the_session(spark):
     from spectraloom.session import settle, shared_folder
 
