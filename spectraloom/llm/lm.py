@@ -4,35 +4,41 @@ Words, pairs of word classes (a word of up to four bytes is its own class, longe
 class by ending and length) and word bigrams and trigrams (as 64-bit hashes) are counted, apart
 for a deleted part of the training documents.  Each order's maximum-likelihood estimate is mixed
 with the next lower one; the mixture weight depends on how often the context was seen, one
-weight per power of two, learned by expectation-maximisation on the deleted part's counts:
+weight per power of two, learned by expectation-maximisation on the deleted part's tokens:
 
     PC(w | h)   = P1(w) * (lambda * C(class w | class h) / P1(class w) + 1 - lambda)
     P2(w | h)   = lambda2 * c(h w) / c(h) + (1 - lambda2) * PC(w | h)
     P3(w | g h) = lambda3 * c(g h w) / c(g h) + (1 - lambda3) * P2(w | h)
 
 P1 is the additive unigram over all known words and one unknown, so P sums to at most 1.  All
-counts are in the model.  Words, pairs, contexts and n-grams above a relative frequency are sent
-to the tasks; at most RELATIVE of each can exist, whatever the size of the corpus.  All others
-are joined: the log of an estimate over the lower one is a part of the context plus a part of
-the n-gram, zero where unseen, so a row needs sums over its keys only.
+counts are in the model.
+
+Texts are cut into blocks of about BLOCK_TOKENS tokens, each of one part.  A block sends each distinct word, then
+each distinct key, once, to the task of the word's or key's range of hashes, whatever its
+frequency; that task adds up and answers with the totals alone, in the order in which they were
+asked.  So no table of n-grams is written, nothing is looked up row by row, and every later
+step (weights, scores) finds the counts of its tokens beside them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import remainder, slices, words_of
-from spectraloom.session import settle
+from spectraloom.llm.common import remainder, slices
+from spectraloom.session import intermediates, settle, settle_outside, shuffles_deleted
 
 RELATIVE = 1_000_000
 HELD_MODULUS = 11
@@ -40,11 +46,14 @@ CLASS_BITS = 31
 START, END = 0, 1
 END_WORD = b"\n"  # no word holds white space
 WORDS_KEPT = 300_000
-PAIRS_KEPT = 2_000_000
+BLOCK_TOKENS = 1_000_000
+KEYS_AT_ONCE = 3_000_000
+TURNS = 4  # all keys are counted, a quarter of the hashes after the other; a power of two
 STEPS = 200
 BUCKETS = 41
 _MASK = (1 << CLASS_BITS) - 1
-_START_HASH, _END_HASH, _TRIGRAM = 1, 2, 3
+_START_HASH, _END_HASH, _TRIGRAM, _PAIR, _CLASS, _CLASS_WORDS = range(1, 7)
+_MAIN, _DELETED, _HELD_OUT = range(3)
 
 
 class _Classes(dict):
@@ -58,31 +67,6 @@ class _Classes(dict):
         return value
 
 
-def pair_keys(texts: list[list[bytes]], known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(context, class) of every token, text after text, ends included; and tokens per text."""
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    now = np.empty(int(size.sum()), np.int64)
-    at = 0
-    for words, n in zip(texts, size.tolist()):
-        now[at : at + n - 1] = np.fromiter(map(known.__getitem__, words), np.int64, n - 1)
-        now[at + n - 1] = END
-        at += n
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[np.cumsum(size) - size] = START
-    return (before << CLASS_BITS) | now, size
-
-
-class _Hashes(dict):
-    """64-bit hash of a word, remembered; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two hashes in order (uint64)."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
@@ -91,160 +75,282 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_keys(texts: list[list[bytes]], known: dict) -> tuple[np.ndarray, ...]:
-    """(context, word, bigram, trigram, first) of every token, laid out as in ``pair_keys``.
+def _pack(values: np.ndarray) -> bytes:
+    """Bytes of the numbers, compressed place by place."""
+    places = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(places.T).tobytes())
 
-    ``first`` marks the first token of a text, which has no trigram.
-    """
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    now = np.empty(int(size.sum()), np.uint64)
-    at = 0
-    for words, n in zip(texts, size.tolist()):
-        now[at : at + n - 1] = np.fromiter(map(known.__getitem__, words), np.uint64, n - 1)
-        now[at + n - 1] = _END_HASH
-        at += n
-    first = np.zeros(len(now), bool)
-    first[np.cumsum(size) - size] = True
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[first] = _START_HASH
-    two = _mixed(before, now)
-    three = np.zeros_like(two)
-    three[1:] = _mixed(two[:-1] + np.uint64(_TRIGRAM), now[1:])
-    return before.view(np.int64), now.view(np.int64), two.view(np.int64), three.view(np.int64), first
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """``(key, left, right, pair, main, held)`` of every word bigram and trigram of ``docs``.
-
-    A bigram's left and right are its words, pair its classes; a trigram's are its bigrams.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, known = _Classes(), _Hashes()
-        for batch in slices(batches):
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            pair, size = pair_keys(texts, classes)
-            before, now, two, three, first = ngram_keys(texts, known)
-            held = np.repeat(np.array(batch.column("deleted").to_pylist(), bool), size)
-            later = np.flatnonzero(~first)
-            for key, left, right, pairs, part in (
-                (two, before, now, pair, held),
-                (three[later], two[later - 1], two[later], None, held[later]),
-            ):
-                keys, at, back = np.unique(key, return_index=True, return_inverse=True)
-                both = np.bincount(back, minlength=len(keys)).astype(np.int64)
-                apart = np.bincount(back, part, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys, pa.int64()),
-                        pa.array(left[at], pa.int64()),
-                        pa.array(right[at], pa.int64()),
-                        pa.nulls(len(keys), pa.int64()) if pairs is None else pa.array(pairs[at], pa.int64()),
-                        pa.array(both - apart),
-                        pa.array(apart),
-                    ],
-                    names=["key", "left", "right", "pair", "main", "held"],
-                )
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(places.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    counted = docs.select(F.col("text").cast("binary").alias("text"), "deleted").mapInArrow(
-        run, "key bigint, left bigint, right bigint, pair bigint, main bigint, held bigint"
-    )
-    return counted.groupBy("key").agg(
-        *[F.min(c).alias(c) for c in ("left", "right", "pair")], F.sum("main").alias("main"), F.sum("held").alias("held")
-    )
+
+def _joined(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """``(word, cls, pair, main, held)``: counts of words (pair null) and class pairs (word null).
+def _parted(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
 
-    ``docs`` has text and a boolean ``deleted``; deleted rows count as ``held``.
+
+def _words_and_sizes(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, A-Z lower-cased, and the number of words of each; see ``words_of``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
+    words, of = lists.flatten().view(pa.binary()), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty word
+    return words.filter(full), np.bincount(of.filter(full).to_numpy(), minlength=len(texts))
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Blocks of ``docs`` (doc_id, text, kind), each of one kind and with its words numbered.
+
+    A block holds whole texts; every text ends with END_WORD, number 0.
     """
+    most = BLOCK_TOKENS
+
+    def row(block: int, kind: int, parts: list[tuple[pa.Array, pa.Array, np.ndarray]], known: _Classes) -> pa.RecordBatch:
+        size = np.concatenate([p[2] for p in parts])
+        numbered = pa.concat_arrays([p[1] for p in parts]).dictionary_encode()
+        words = [END_WORD, *numbered.dictionary.to_pylist()]
+        ids = np.zeros(int(size.sum()) + len(size), np.int32)
+        ends = np.cumsum(size + 1) - 1
+        is_word = np.ones(len(ids), bool)
+        is_word[ends] = False
+        ids[is_word] = numbered.indices.to_numpy() + 1
+        cls = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        cls[0] = END
+        lists = (pa.concat_arrays([p[0] for p in parts]), pa.array(size + 1))
+        cells = [_pack(ids), _joined(words), _pack(cls)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()),
+                pa.array([kind], pa.int32()),
+                *(pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), x) for x in lists),
+                *(pa.array([x], pa.binary()) for x in cells),
+                *(pa.array([x], pa.int64()) for x in (len(ids), len(words))),
+            ],
+            names=["block", "kind", "doc_id", "size", "ids", "words", "cls", "tokens", "distinct"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         known = _Classes()
-        words: Counter = Counter()
-        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: dict[int, list] = {}
+        for batch in slices(batches, 200):
+            for kind in pc.unique(batch.column("kind")).to_pylist():
+                part = batch.filter(pc.equal(batch.column("kind"), kind))
+                waiting.setdefault(kind, []).append((part.column("doc_id"), *_words_and_sizes(part.column("text"))))
+                if sum(len(p[1]) + len(p[2]) for p in waiting[kind]) >= most:
+                    yield row(block, kind, waiting.pop(kind), known)
+                    block += 1
+        for kind, parts in waiting.items():
+            yield row(block, kind, parts, known)
+            block += 1
+
+    return docs.select("doc_id", "kind", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run,
+        "block bigint, kind int, doc_id array<bigint>, size array<bigint>, ids binary, words binary, cls binary, tokens bigint, distinct bigint",
+    )
 
-        def merged() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            keys, back = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-            main, held = (np.bincount(back, np.concatenate([p[i] for p in pairs])) for i in (1, 2))
-            return [(keys, main.astype(np.int64), held.astype(np.int64))]
 
-        def rows(word, cls, pair, main, held) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(word, pa.binary()),
-                    pa.array(cls, pa.int64()),
-                    pa.array(pair, pa.int64()),
-                    pa.array(main, pa.int64()),
-                    pa.array(held, pa.int64()),
-                ],
-                names=["word", "cls", "pair", "main", "held"],
-            )
+class _Block:
+    """A block's tokens, decoded from its row."""
+
+    def __init__(self, row: dict):
+        self.doc_id, self.kind = row["doc_id"], row["kind"]
+        self.size = np.array(row["size"], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.words = _parted(row["words"])
+        self.ids, self.cls = _unpack(row["ids"], np.int32), _unpack(row["cls"], np.int32).astype(np.int64)
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.start] = True
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
+        self.hashes[0] = _END_HASH
+        self.order = np.argsort(self.hashes, kind="stable")  # in which words are asked
+        self.count = np.bincount(self.ids, minlength=len(self.words))
+
+    def back(self, answers: list[dict], names: tuple[str, ...]) -> list[np.ndarray]:
+        """The answers, by ascending hash."""
+        kinds = {"main": np.int64, "held": np.int64, "owner": np.uint8}
+        return [np.concatenate([_unpack(a[n], kinds[n]) for a in answers]) for n in names]
+
+    def word_totals(self, answers: list[dict]) -> list[np.ndarray]:
+        """Main and deleted counts of each word, and whether this block stands for it."""
+        out = []
+        for values in self.back(answers, ("main", "held", "owner")):
+            out.append(np.empty_like(values))
+            out[-1][self.order] = values
+        return out
+
+    def before(self, values: np.ndarray, start) -> np.ndarray:
+        """The values one token earlier, ``start`` at the beginning of a text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = start
+        return out
+
+    def class_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending keys of the classes and of their numbers of words, their order before
+        sorting, and the number of each word's class (last: START's)."""
+        found, of = np.unique(np.append(self.cls, START), return_inverse=True)
+        keys = np.concatenate([_mixed(found.view(np.uint64), np.uint64(x)) for x in (_CLASS, _CLASS_WORDS)])
+        order = np.argsort(keys)
+        return keys[order], order, of
+
+    def pairs(self) -> np.ndarray:
+        now = self.cls[self.ids]
+        return (self.before(now, START) << CLASS_BITS) | now
+
+    def keys(self) -> np.ndarray:
+        """Keys of the class pairs, then the bigrams, then the trigrams (none of a first token)."""
+        word = self.hashes[self.ids]
+        two = _mixed(self.before(word, _START_HASH), word)
+        three = _mixed(two[:-1] + np.uint64(_TRIGRAM), word[1:])[~self.first[1:]]
+        return np.concatenate([_mixed(self.pairs().view(np.uint64), np.uint64(_PAIR)), two, three])
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+
+
+def _within(keys: np.ndarray, first: np.uint64, last: np.uint64) -> np.ndarray:
+    return keys[(keys >= first) & (keys <= last)]
+
+
+def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts the keys, and the sorted keys.
+
+    Sorted with their positions in the low bits, which is several times faster than argsort.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    packed = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():  # keys that differ in the low bits only
+        again = np.argsort(ordered, kind="stable")
+        order, ordered = order[again], ordered[again]
+    return order, ordered
+
+
+def _spread(values: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The value of each key from those of the distinct keys, which begin at ``at`` in ``order``."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(at, len(order))))
+    return out
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+_ASKED = "bucket int, block bigint, kind int, asked binary, n binary"
+_ANSWER = "block bigint, bucket int, main binary, held binary, owner binary, tokens bigint, words bigint"
 
-        def flush_words() -> Iterator[pa.RecordBatch]:
-            items = list(words.items())
-            words.clear()
-            for start in range(0, len(items), 50_000):
-                part = items[start : start + 50_000]
-                n = len(part)
-                cls = [END if w == END_WORD else known[w] for w, _ in part]
-                yield rows([w for w, _ in part], cls, [None] * n, [c for _, c in part], [0] * n)
-
-        def flush_pairs() -> Iterator[pa.RecordBatch]:
-            for keys, main, held in merged() if pairs else ():
-                for start in range(0, len(keys), 50_000):
-                    stop = start + 50_000
-                    n = len(keys[start:stop])
-                    yield rows([None] * n, [None] * n, keys[start:stop], main[start:stop], held[start:stop])
-            pairs.clear()
-
-        for batch in slices(batches):
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            deleted = batch.column("deleted").to_pylist()
-            for t in texts:
-                words.update(t)
-            words[END_WORD] += len(texts)
-            for part in (False, True):
-                chosen = [t for t, d in zip(texts, deleted) if d is part]
-                if chosen:
-                    keys, n = np.unique(pair_keys(chosen, known)[0], return_counts=True)
-                    zero = np.zeros_like(n)
-                    pairs.append((keys, zero, n) if part else (keys, n, zero))
-            if len(words) > WORDS_KEPT:
-                yield from flush_words()
-            if sum(len(p[0]) for p in pairs) > PAIRS_KEPT:
-                pairs = merged()
-                if len(pairs[0][0]) > PAIRS_KEPT // 2:
-                    yield from flush_pairs()
-        yield from flush_words()
-        yield from flush_pairs()
-
-    counted = docs.select(F.col("text").cast("binary").alias("text"), "deleted").mapInArrow(
-        run, "word binary, cls bigint, pair bigint, main bigint, held bigint"
+
+def _bits(entries: int) -> int:
+    """Bits of a hash that number its range, so that a range gets about KEYS_AT_ONCE entries.
+
+    No range lies in two turns.
+    """
+    return max(TURNS.bit_length() - 1, 1, int(np.ceil(np.log2(max(1, entries) / KEYS_AT_ONCE))))
+
+
+def _asked(row: dict, bits: int, hashes: np.ndarray, asked: Callable[[int, int], bytes], n: np.ndarray) -> pa.RecordBatch:
+    """A row for each range of the ascending hashes."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    starts = _starts(bucket)
+    cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[starts], pa.int32()),
+            pa.array([row["block"]] * len(cuts), pa.int64()),
+            pa.array([row["kind"]] * len(cuts), pa.int32()),
+            pa.array([asked(a, b) for a, b in cuts], pa.binary()),
+            pa.array([_pack(n[a:b].astype(np.int32)) for a, b in cuts], pa.binary()),
+        ],
+        names=["bucket", "block", "kind", "asked", "n"],
     )
-    return counted.groupBy("word", "cls", "pair").agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
 
 
-@dataclass
-class Model:
-    """What scoring needs in every task; each table has at most RELATIVE entries."""
+def _ask_words(blocks: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            b = _Block(row)
+            words = [b.words[i] for i in b.order.tolist()]
+            yield _asked(row, bits, b.hashes[b.order], lambda x, y: _joined(words[x:y]), b.count[b.order])
 
-    tokens: int  # N
-    words: int  # V
-    common: dict[bytes, int]  # counts of words above the relative frequency
-    contexts: np.ndarray
-    context_log: np.ndarray  # log10(1 - lambda) of each frequent context
-    pairs: np.ndarray
-    pair_log: np.ndarray  # log10 of the mixture's factor of each frequent pair
-    grams: np.ndarray
-    gram_log: np.ndarray  # part of each frequent word bigram and trigram
-    context_rest: list[float]  # log10(1 - lambda2) of a word by the bucket of its count
-    starts: int  # training texts
+    return blocks.mapInArrow(run, _ASKED)
+
+
+def _ask_keys(blocks: DataFrame, bits: int, turn: int) -> DataFrame:
+    """The keys of one of TURNS parts of the ranges."""
+    first, last = (np.uint64((x << 64) // TURNS - (x > turn)) for x in (turn, turn + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            b = _Block(row)
+            keys = _within(b.keys(), first, last)
+            keys.sort()
+            at = _starts(keys)
+            n, keys = np.diff(np.append(at, len(keys))), keys[at]
+            more, order, of = b.class_keys()
+            owner = np.append(b.word_totals(row["answers"])[2], 0)
+            counts = [np.bincount(of, x) for x in (np.append(b.count, len(b.size)), owner)]
+            inside = (more >= first) & (more <= last)
+            more, counted = more[inside], np.concatenate(counts)[order][inside]
+            where = np.searchsorted(keys, more)
+            keys, n = np.insert(keys, where, more), np.insert(n, where, counted)
+            if len(keys):
+                yield _asked(row, bits, keys, lambda x, y, keys=keys: _pack(np.diff(keys[x:y], prepend=np.uint64(0))), n)
+
+    return blocks.mapInArrow(run, _ASKED)
+
+
+def _answered(asked: DataFrame, words: bool) -> DataFrame:
+    """Totals of what the blocks ask for, in the order of each; of every trained word one block is the owner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_pylist()
+        parts = [_parted(d) if words else np.cumsum(_unpack(d, np.uint64)) for d in table.column("asked").to_pylist()]
+        ends = np.cumsum([len(p) for p in parts])
+        if words:
+            code = pa.array(chain.from_iterable(parts), pa.binary()).dictionary_encode().indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            at = _starts(code[order])
+        else:
+            order, ordered = _order(np.concatenate(parts))
+            at = _starts(ordered)
+        counts = [_unpack(d, np.int32).astype(np.int64) for d in table.column("n").to_pylist()]
+        totals = []
+        for kind in (_MAIN, _DELETED):
+            n = np.concatenate([c if k == kind else np.zeros_like(c) for c, k in zip(counts, kinds)])
+            totals.append(_spread(np.add.reduceat(n[order], at), order, at))
+        owner = np.zeros(len(order), np.uint8)
+        if words:
+            trained = np.flatnonzero(np.repeat(np.array(kinds) != _HELD_OUT, [len(p) for p in parts]))
+            owner[trained[np.unique(code[trained], return_index=True)[1]]] = 1
+        split = [np.split(x, ends[:-1]) for x in (*totals, owner)]
+        return pa.table(
+            {
+                "block": table.column("block"),
+                "bucket": table.column("bucket"),
+                **{name: pa.array([_pack(x) for x in s], pa.binary()) for name, s in zip(("main", "held", "owner"), split)},
+                "tokens": pa.array([int((m + h)[o > 0].sum()) for m, h, o in zip(*split)], pa.int64()),
+                "words": pa.array([int(o.sum()) for o in split[2]], pa.int64()),
+            }
+        )
+
+    return asked.groupBy("bucket").applyInArrow(run, _ANSWER)
 
-    def rest(self, count: int) -> float:
-        return self.context_rest[min(BUCKETS - 1, (count + 1).bit_length() - 1)]
+
+def _beside(blocks: DataFrame, answers: DataFrame, name: str, *fields: str) -> DataFrame:
+    """The blocks with their answers as a list, by ascending range."""
+    lists = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", *fields))).alias(name))
+    return blocks.join(lists, "block")
 
 
 def weights(histogram: list[tuple[int, float | None, int]]) -> dict[int, float]:
@@ -271,11 +377,10 @@ def _by_bucket(values: list[float], count) -> Column:
 
 
 def _steps(table: DataFrame, context: Column, ratio: Column) -> list[float]:
-    """Mixture weight of every bucket of ``context`` from the deleted part's counts."""
+    """Mixture weight of every bucket of ``context`` from the deleted part's tokens."""
     histogram = (
-        table.where("held > 0")
-        .groupBy(_bucket(context).alias("bucket"), F.round(F.log(ratio) * 20).alias("step"))
-        .agg(F.sum("held").alias("n"))
+        table.groupBy(_bucket(context).alias("bucket"), F.round(F.log(ratio) * 20).alias("step"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .collect()  # buckets x steps of a logarithm: bounded
     )
     found = weights([(r[0], None if r[1] is None else float(np.exp(r[1] / 20)), r[2]) for r in histogram])
@@ -285,151 +390,160 @@ def _steps(table: DataFrame, context: Column, ratio: Column) -> list[float]:
     return share
 
 
-def _ngrams(docs: DataFrame, pairs: DataFrame, n: int, v: int) -> tuple[DataFrame, list[float]]:
-    """``(key, value, sent)`` of all word bigrams and trigrams, and the weights lambda2.
+class _Counted(_Block):
+    """A block with the counts of all its tokens; ``_main`` without the deleted part, for its blocks only."""
+
+    def __init__(self, row: dict, tokens: int, words: int):
+        super().__init__(row)
+        total = tokens + words + 1
+        order, keys = _order(self.keys())
+        at = _starts(keys)
+        more, class_order, of = self.class_keys()
+        where = np.searchsorted(keys[at], more) + np.arange(len(more))
+        word_main, word_held, self.owner = self.word_totals(row["answers"])
+        main, held = self.back(row["totals"], ("main", "held"))
+
+        def parts(values: np.ndarray) -> list[np.ndarray]:
+            """Of classes and their numbers of words, of each token's pair, bigram and trigram."""
+            classes = np.empty(len(more), np.int64)
+            classes[class_order] = values[where]
+            found = _spread(np.delete(values, where), order, at)
+            three = np.zeros(len(self.ids), np.int64)
+            three[~self.first] = found[2 * len(self.ids) :]
+            return [*(x[of] for x in np.split(classes, 2)), *np.split(found[: 2 * len(self.ids)], 2), three]
+
+        self.word_all = word_main + word_held
+        self.c = self.word_all[self.ids]
+        self.p1 = (self.c + 1) / total
+        cls, cls_words, self.pair_all, self.two_all, self.three_all = parts(main + held)
+        self.q = ((cls + cls_words + 1) / total)[self.ids]  # of the token's class
+        self.h_all = self.before(cls[self.ids], cls[-1])  # of the class before
+        self.l_all = self.before(self.c, cls[-1])  # of the word before
+        self.g_all = self.before(self.two_all, 0)  # of the two before
+        if self.kind == _DELETED:
+            cls, _, self.pair_main, self.two_main, self.three_main = parts(main)
+            self.h_main = self.before(cls[self.ids], cls[-1])
+            self.l_main = self.before(word_main[self.ids], cls[-1])
+            self.g_main = self.before(self.two_main, 0)
+
+
+def _deleted(blocks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+    """The main part's counts of every token of the deleted part."""
+    columns = ("h_all", "h_main", "pair_main", "l_main", "two_main", "g_main", "three_main", "p1", "q", "first")
 
-    ``pairs`` has the factor of every class pair, with and without the deleted part.  A bigram's
-    value holds its part as the context of the next word.
-    """
-    counts = settle(count_ngrams(docs), "ngrams")
-    both = F.col("main") + F.col("held")
-    two = counts.where("pair IS NOT NULL").select("key", "left", "right", "pair", "main", "held", both.alias("both"))
-    left = two.groupBy("left").agg(F.sum("main").alias("l_main"), F.sum("both").alias("l_both"))
-    right = two.groupBy("right").agg(((F.sum("both") + 1) / (n + v + 1)).alias("p1"))
-    bigrams = settle(
-        two.join(settle(left, "left"), "left")
-        .join(settle(right, "right"), "right")
-        .join(pairs, "pair")
-        .select(
-            "key", "right", "main", "held", "both", "l_main", "l_both",
-            (F.col("p1") * F.col("factor")).alias("pc"), (F.col("p1") * F.col("factor_main")).alias("pc_main"),
-        ),
-        "bigrams",
-    )
-    ratio = F.when(F.col("main") > 0, F.col("main") / F.col("l_main"))
-    second = _steps(bigrams, F.col("l_main"), ratio / F.col("pc_main"))
-    share, share_main = _by_bucket(second, F.col("l_both")), _by_bucket(second, F.col("l_main"))
-    low = (1 - share) * F.col("pc")
-    known = bigrams.select(
-        "key", "right", "main", "both",
-        (share * F.col("both") / F.col("l_both") + low).alias("p2"),
-        (share_main * F.coalesce(ratio, F.lit(0.0)) + (1 - share_main) * F.col("pc_main")).alias("p2_main"),
-        F.log10(share * F.col("both") / F.col("l_both") / low + 1).alias("part"),
-    )
-    three = settle(
-        counts.where("pair IS NULL").select("key", "left", "right", "main", "held", both.alias("both"))
-        .join(known.select(F.col("key").alias("left"), F.col("main").alias("l_main"), F.col("both").alias("l_both")), "left")
-        .join(known.select(F.col("key").alias("right"), "p2", "p2_main"), "right")
-        .select("key", "main", "held", "both", "l_main", "l_both", "p2", "p2_main"),
-        "trigrams",
-    )
-    third = _steps(three, F.col("l_main"), ratio / F.col("p2_main"))
-    share = _by_bucket(third, F.col("l_both"))
-    following = F.when(F.col("right") == _END_HASH, 0.0).otherwise(F.log10(1 - _by_bucket(third, F.col("both"))))
-    sent = (F.col("both") * RELATIVE >= n).alias("sent")
-    parts = known.select("key", (F.col("part") + following).alias("value"), sent).unionByName(
-        three.select(
-            "key", F.log10(share * F.col("both") / F.col("l_both") / (1 - share) / F.col("p2") + 1).alias("value"), sent
-        )
-    )
-    return parts, second
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            b = _Counted(row, n, v)
+            for start in range(0, len(b.ids), 50_000):
+                stop = start + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(getattr(b, c)[start:stop]) for c in columns], names=list(columns))
 
+    kinds = ["bigint"] * 7 + ["double"] * 2 + ["boolean"]
+    chosen = blocks.where(F.col("kind") == _DELETED)
+    counted = _beside(chosen, answers.join(chosen.select("block"), "block", "left_semi"), "totals", "main", "held")
+    return counted.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
 
-def context_key(h):
-    """Key of a context among the keys of pairs, which are not negative."""
-    return -h - 1
 
+def _learned(deleted: DataFrame) -> tuple[list[float], list[float], list[float]]:
+    """Weights lambda, lambda2 and lambda3 of every bucket."""
 
-def _learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """Model, ``(word, c)`` of all words and ``(key, value)`` of all keys that are not sent.
+    def seen(count: str, of: str) -> Column:
+        return F.when(F.col(count) > 0, F.col(count) / F.col(of))
 
-    A pair's value is added to its context's, which unseen pairs get alone.
-    """
-    spark = docs.sparkSession
-    parted = docs.select("text", (remainder(F.col("doc_id"), HELD_MODULUS) == 0).alias("deleted"))
-    counts = settle(count_tokens(parted), "counts")
-    words = counts.where("word IS NOT NULL").select("word", "cls", F.col("main").alias("c"))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    often = words.where(F.col("c") * RELATIVE >= n).select("word", "c").toArrow()
-    common = dict(zip(often.column("word").to_pylist(), often.column("c").to_pylist()))
-
-    classes = words.groupBy("cls").agg(((F.sum("c") + F.count(F.lit(1)) + 1) / (n + v + 1)).alias("q"))
-    kept = counts.where("pair IS NOT NULL").select(
-        F.expr(f"shiftright(pair, {CLASS_BITS})").alias("h"),
-        F.expr(f"pair & {_MASK}L").alias("cls"),
-        "pair",
-        "main",
-        "held",
-    )
-    contexts = settle(
-        kept.groupBy("h").agg(F.sum("main").alias("h_main"), F.sum(F.col("main") + F.col("held")).alias("h_all")),
-        "contexts",
-    )
-    bucket = F.least(F.lit(40), F.floor(F.log2(F.col("h_all") + 1))).cast("int").alias("bucket")
-    joined = settle(
-        kept.join(contexts, "h")
-        .join(settle(classes, "classes"), "cls")
-        .select("h", "pair", "main", "held", "h_main", "h_all", "q", bucket),
-        "pairs",
-    )
-    ratio = F.when(F.col("main") > 0, F.col("main") / F.col("h_main") / F.col("q"))
-    histogram = (
-        joined.where("held > 0")
-        .groupBy("bucket", F.round(F.log(ratio) * 20).alias("step"))
-        .agg(F.sum("held").alias("n"))
-        .collect()  # buckets x steps of a logarithm: bounded
-    )
-    share = weights([(r[0], None if r[1] is None else float(np.exp(r[1] / 20)), r[2]) for r in histogram])
-    shares = spark.createDataFrame([(b, share.get(b, 0.0)) for b in range(41)], "bucket int, share double")
-    total = F.col("main") + F.col("held")
-
-    def mixed(count: Column, of: str) -> Column:
-        return F.col("share") * count / F.col(of) / F.col("q") + 1 - F.col("share")
-
-    shared = joined.join(F.broadcast(shares), "bucket")
-    grams, second = _ngrams(
-        parted,
-        shared.select(
-            "pair",
-            mixed(total, "h_all").alias("factor"),
-            F.coalesce(F.when(F.col("h_main") > 0, mixed(F.col("main"), "h_main")), 1 - F.col("share")).alias("factor_main"),
-        ),
-        n,
-        v,
-    )
-    rest = F.log10(1 - F.col("share"))
-    factors = shared.select(
-        F.col("pair").alias("key"),
-        F.log10(mixed(total, "h_all")).alias("factor"),
-        rest.alias("rest"),
-        (total * RELATIVE >= n).alias("sent"),
-    )
-    seen = (
-        contexts.select("h", "h_all", bucket).join(F.broadcast(shares), "bucket")
-        .select("h", rest.alias("rest"), (F.col("h_all") * RELATIVE >= n).alias("sent"))
-    )
+    one = _steps(deleted, F.col("h_all"), seen("pair_main", "h_main") / F.col("q"))
+    share = _by_bucket(one, F.col("h_all"))
+    pc = F.col("p1") * (share * F.coalesce(seen("pair_main", "h_main") / F.col("q"), F.lit(0.0)) + 1 - share)
+    two = _steps(deleted, F.col("l_main"), seen("two_main", "l_main") / pc)
+    share = _by_bucket(two, F.col("l_main"))
+    p2 = share * F.coalesce(seen("two_main", "l_main"), F.lit(0.0)) + (1 - share) * pc
+    three = _steps(deleted.where("NOT first"), F.col("g_main"), seen("three_main", "g_main") / p2)
+    return one, two, three
 
-    def by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, value = (table.column(i).to_numpy() for i in (0, 1))
-        order = np.argsort(key)
-        return key[order].astype(np.int64), value[order].astype(np.float64)
 
-    others = (
-        factors.where("NOT sent").select("key", (F.col("factor") - F.col("rest")).alias("value"))
-        .unionByName(seen.where("NOT sent").select(context_key(F.col("h")).alias("key"), F.col("rest").alias("value")))
-        .unionByName(grams.where("NOT sent").select("key", "value"))
-    )
-    sent = by_key(seen.where("sent").select("h", "rest").toArrow()), by_key(
-        factors.where("sent").select("key", "factor").toArrow()
-    ), by_key(grams.where("sent").select("key", "value").toArrow())
-    starts = words.where(F.col("word") == F.lit(END_WORD)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    left = [float(np.log10(1 - x)) for x in second]
-    return Model(int(n), int(v), common, *sent[0], *sent[1], *sent[2], left, starts), words.select("word", "c"), others
+@dataclass
+class Model:
+    tokens: int  # N
+    words: int  # V
+    shares: tuple[list[float], list[float], list[float]]  # of class pairs, bigrams, trigrams
+    #: Classes seen as context and class pairs of at least one in RELATIVE tokens; filled by ``learn``
+    contexts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    context_log: np.ndarray = field(default_factory=lambda: np.empty(0))  # log10(1 - lambda)
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    pair_log: np.ndarray = field(default_factory=lambda: np.empty(0))  # log10 of the factor on P1
+
+    def share(self, order: int, context: np.ndarray) -> np.ndarray:
+        bucket = np.minimum(BUCKETS - 1, np.frexp((context + 1).astype(np.float64))[1] - 1)
+        return np.where(context > 0, np.array(self.shares[order])[bucket], 0.0)
+
+    def factor(self, b: _Counted) -> np.ndarray:
+        """PC over P1 of every token."""
+        share = self.share(0, b.h_all)
+        return share * b.pair_all / np.maximum(b.h_all, 1) / b.q + 1 - share
+
+    def logs(self, b: _Counted) -> np.ndarray:
+        """log10 P3 of every token."""
+        share = self.share(1, b.l_all)
+        p = share * b.two_all / np.maximum(b.l_all, 1) + (1 - share) * b.p1 * self.factor(b)
+        share = self.share(2, b.g_all)
+        return np.log10(share * b.three_all / np.maximum(b.g_all, 1) + (1 - share) * p)
+
+
+def _counts(docs: DataFrame) -> tuple[DataFrame, Model]:
+    """The blocks of ``docs`` (doc_id, text, held_out) with all counts, and the model."""
+    spark = docs.sparkSession
+    kind = F.when(F.col("held_out"), _HELD_OUT).when(remainder(F.col("doc_id"), HELD_MODULUS) == 0, _DELETED)
+    parted = docs.select("doc_id", "text", kind.otherwise(_MAIN).cast("int").alias("kind"))
+    with shuffles_deleted(spark):
+        with intermediates(spark):
+            blocks = settle(blocks_of(parted), "blocks")
+            tokens, distinct = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct")]).first()
+            answers = settle(_answered(_ask_words(blocks, _bits(distinct)), True), "words")
+            n, v = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words")]).first()
+            worded = settle_outside(_beside(blocks, answers, "answers", "main", "held", "owner"), "worded")
+        bits = _bits(2 * tokens)
+        turns = [settle(_answered(_ask_keys(worded, bits, turn), False), "keys") for turn in range(TURNS)]
+        answers = reduce(DataFrame.union, turns)
+        with intermediates(spark):
+            shares = _learned(settle(_deleted(worded, answers, n, v), "deleted"))
+    return _beside(worded, answers, "totals", "main", "held"), Model(int(n), int(v), shares)
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """Model and the table ``(word, c)`` of all word counts, from all given documents."""
-    return _learn(docs)[:2]
+    """Model and the table ``(word, c)`` of all word counts, from all given documents.
+
+    The model holds the frequent contexts and class pairs; at most RELATIVE of each can exist.
+    """
+    counted, model = _counts(docs.select("doc_id", "text", F.lit(False).alias("held_out")))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            b = _Counted(row, model.tokens, model.words)
+            at = np.flatnonzero(b.owner)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b.words[i] for i in at.tolist()], pa.binary()), pa.array(b.word_all[at], pa.int64())],
+                names=["word", "c"],
+            )
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            b = _Counted(row, model.tokens, model.words)
+            pairs = b.pairs()
+            rest, factor = np.log10(1 - model.share(0, b.h_all)), np.log10(model.factor(b))
+            for pair, key, value, count in ((False, pairs >> CLASS_BITS, rest, b.h_all), (True, pairs, factor, b.pair_all)):
+                key, at = np.unique(key, return_index=True)
+                often = count[at] * RELATIVE >= model.tokens
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(often.sum()), pair)), pa.array(key[often]), pa.array(value[at][often])],
+                    names=["pair", "key", "value"],
+                )
+
+    sent = counted.mapInArrow(logs, "pair boolean, key bigint, value double").dropDuplicates(["pair", "key"])
+    tables = []
+    for pair in (False, True):
+        table = sent.where(F.col("pair") == pair).sort("key").select("key", "value").toArrow()
+        tables += [table.column("key").to_numpy(), table.column("value").to_numpy()]
+    found = Model(model.tokens, model.words, model.shares, *tables)
+    return found, counted.mapInArrow(words, "word binary, c bigint")
 
 
 def _looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -440,113 +554,28 @@ def _looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.nd
     return np.where(table[at] == keys, values[at], np.nan)
 
 
-def _key_lists(keys: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
-    """Each row's keys with their counts in it, as lists."""
-    order = np.lexsort((keys, row))
-    keys, row = keys[order], row[order]
-    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])][: len(keys)])
-    tf = np.diff(np.append(first, len(keys)))
-    ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=rows))])
-    pairs = pa.StructArray.from_arrays([pa.array(keys[first], pa.int64()), pa.array(tf, pa.int64())], ["key", "tf"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-
-
-def _known_part(docs: DataFrame, model: Model) -> DataFrame:
-    """What the shipped tables can tell of every row, and the words and keys they do not hold."""
-    ship = docs.sparkSession.sparkContext.broadcast(model)
+def score(counted: DataFrame, model: Model) -> DataFrame:
+    """Scores of every text in the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known, hashes = ship.value, _Classes(), _Hashes()
-        total = np.log10(m.tokens + m.words + 1)
-        logs = {w: float(np.log10(c + 1) - total) for w, c in m.common.items()}
-        rests = {w: m.rest(c) for w, c in m.common.items()}
-        end, start = logs.get(END_WORD), m.rest(m.starts) if m.starts else 0.0
-        for batch in slices(batches, 500):
-            texts = [words_of(t) for t in batch.column("text").to_pylist()]
-            keys, size = pair_keys(texts, known)
-            factor = _looked_up(keys, m.pairs, m.pair_log)
-            lacking = np.isnan(factor)
-            before = keys[lacking] >> CLASS_BITS
-            factor[lacking] = _looked_up(before, m.contexts, m.context_log)
-            unsent = np.isnan(factor[lacking])
-            at = np.repeat(np.arange(len(size)), size)[lacking]
-            *_, two, three, first = ngram_keys(texts, hashes)
-            row = np.repeat(np.arange(len(size)), size)
-            grams, owner = np.concatenate([two, three[~first]]), np.concatenate([row, row[~first]])
-            part = _looked_up(grams, m.grams, m.gram_log)
-            other = np.isnan(part)
-            asked = np.concatenate([keys[lacking], context_key(before[unsent]), grams[other]])
-            at = np.concatenate([at, at[unsent], owner[other]])
-            gain = np.add.reduceat(np.nan_to_num(factor, nan=0.0), np.cumsum(size) - size)
-            gain += start + np.bincount(owner[~other], part[~other], len(size))
-            gain += [sum(map(rests.get, words, repeat(0.0))) for words in texts]
-            base, seen, rare = [], [], []
-            for words in texts:
-                found = np.fromiter(map(logs.get, words, repeat(np.nan)), np.float64, len(words))
-                missing = np.flatnonzero(np.isnan(found))
-                rest = Counter([words[i] for i in missing])
-                if end is None:
-                    rest[END_WORD] += 1
-                base.append(float(np.nansum(found)) + (end or 0.0))
-                seen.append(len(words) - len(missing) + (end is not None))
-                rare.append([{"word": w, "tf": n} for w, n in rest.items()])
+        for row in _rows_of(batches):
+            b = _Counted(row, model.tokens, model.words)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(size, pa.int64()),
-                    pa.array(seen, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(gain, pa.float64()),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
-                    _key_lists(asked, at, len(size)),
+                    pa.array(b.doc_id, pa.int64()),
+                    pa.array(np.full(len(b.size), b.kind == _HELD_OUT)),
+                    pa.array(b.size),
+                    pa.array(np.add.reduceat((b.c > 0).astype(np.int64), b.start)),
+                    pa.array(np.full(len(b.size), model.tokens)),
+                    pa.array(np.add.reduceat(np.log10(b.p1), b.start)),
+                    pa.array(np.add.reduceat(model.logs(b), b.start)),
                 ],
-                names=["row", "doc_id", "held_out", "n_tokens", "seen", "base", "gain", "rare", "asked"],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return docs.mapInArrow(
+    return counted.mapInArrow(
         run,
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, seen bigint, base double, gain double, rare array<struct<word:binary,tf:bigint>>, asked array<struct<key:bigint,tf:bigint>>",
-    )
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, others: DataFrame) -> DataFrame:
-    """Scores of every row of ``docs`` (doc_id, text, held_out)."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.col("text").cast("binary").alias("text")
-    )
-    part = settle(_known_part(rows, model), "scored")  # pins the row numbers
-    total = float(np.log10(model.tokens + model.words + 1))
-    rest = (
-        part.select("row", F.explode("rare").alias("r"))
-        .select("row", "r.word", "r.tf")
-        .join(counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("tf") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(total))).alias("rest"),
-            F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rest_seen"),
-            F.sum(
-                F.when((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD)), F.col("tf") * _by_bucket(model.context_rest, F.col("c")))
-            ).alias("rest_gain"),
-        )
-    )
-    more = (
-        part.select("row", F.explode("asked").alias("a"))
-        .select("row", "a.key", "a.tf")
-        .join(others, "key")
-        .groupBy("row")
-        .agg(F.sum(F.col("tf") * F.col("value")).alias("more"))
-    )
-    base = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return part.drop("rare", "asked").join(rest, "row", "left").join(more, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("seen") + F.coalesce("rest_seen", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain") + F.coalesce("rest_gain", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
+        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
 
 
@@ -557,5 +586,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Repeated rows are counted and scored as often as they occur.  Without training rows every
     base score is 0; an empty table gives an empty table.
     """
-    split = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
-    return score(split, *_learn(split.where("NOT held_out")))
+    return score(*_counts(docs.select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))))

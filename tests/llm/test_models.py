@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from brute import AWKWARD, WORD, awkward, lower, nothing
+from spectraloom import session
 from spectraloom.llm import lm, toxicity
+from spectraloom.llm.common import words_of
 from spectraloom.llm.queries import op4_toxicity, op5_lm_scores
 
 SF = "/root/testdata/sf0.01"
@@ -150,3 +152,38 @@ def test_lm_awkward_rows(spark):
     )
     assert {r.train_tokens for r in got} == {n}
     assert lm.lm_scores(nothing(spark)).collect() == []
+
+
+def test_lm_tables_stay_below_the_input(spark, tmp_path, monkeypatch):
+    """Counting and scoring leave no table of n-grams behind."""
+    monkeypatch.setattr(session, "new_path", lambda _, label: str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert lm.lm_scores(docs).count() == 1000
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert 0 < sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.5 * text
+
+
+def test_lm_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    """Small blocks, many ranges of hashes: the same counts, so the same scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    want = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 5000)
+    monkeypatch.setattr(lm, "KEYS_AT_ONCE", 20_000)
+    got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.lm_scores(docs).collect()}
+    assert want.keys() == got.keys()
+    assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-6) for k in want)
+
+
+def test_lm_splits_words_as_other_operators():
+    texts = [None, "", " ", "A  b\tC\n", "\x0bx\x0cy\r ", "\x1cz \x85 \xa0É ÀB", "Ünï  CODE\x00q", "word"]
+    words, size = lm._words_and_sizes(lm.pa.array([None if t is None else t.encode() for t in texts], lm.pa.binary()))
+    want = [words_of(None if t is None else t.encode()) for t in texts]
+    assert size.tolist() == list(map(len, want)) and words.to_pylist() == sum(want, [])
+
+
+def test_lm_order_of_keys_that_agree_in_their_high_bits():
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2), np.arange(300, dtype=np.uint64)[::-1]])
+    keys = np.concatenate([keys, keys[::3]])
+    order, ordered = lm._order(keys)
+    assert (np.sort(keys) == ordered).all() and (keys[order] == ordered).all() and len(set(order.tolist())) == len(keys)
