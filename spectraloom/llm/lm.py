@@ -46,7 +46,7 @@ CLASS_BITS = 31
 START, END = 0, 1
 END_WORD = b"\n"  # no word holds white space
 WORDS_KEPT = 300_000
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 KEYS_AT_ONCE = 3_000_000
 TURNS = 4  # all keys are counted, a quarter of the hashes after the other; a power of two
 STEPS = 200
