@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, jaccard, mixing, pii, quality
 from spectraloom.llm.queries import TOKENIZER, WEIGHTS, levels
-from spectraloom.session import intermediates, new_path, settle, settle_outside
+from spectraloom.llm.sieve import rows_without
+from spectraloom.session import intermediates, new_path, settle_outside, shuffles_deleted
 
 #: Near-duplicate stage: words of a shingle and similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -21,9 +22,10 @@ MIX_PERCENT, MIX_EPOCHS = 95, 1
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; rows of one doc_id are judged together."""
-    kept = quality.judge(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("kept")
-    ids = kept.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    with shuffles_deleted(spark):
+        judged = quality.judge(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
+        failed = settle_outside(judged.where("NOT coalesce(kept, false)").select("doc_id"), "failed")
+        return rows_without(docs, failed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat a doc_id one stays; rows without an id are in no group and stay.
     """
-    with intermediates(spark):
-        classes = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-        first = settle(classes.where("doc_id = component_id").groupBy("doc_id").count(), "first")
-        once = settle_outside(first.where("count = 1").select("doc_id"), "once")
-        more = settle_outside(first.where("count > 1").select("doc_id"), "more")  # as a rule none: whole rows move once
-    return (
-        docs.join(once, "doc_id", "left_semi")
-        .unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        .unionByName(docs.where("doc_id IS NULL"))
-    )
+    with shuffles_deleted(spark):
+        with intermediates(spark):
+            classes = jaccard.jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+            ids = classes.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+            fewer = settle_outside(ids.where("doc_id <> first OR doc_id = first AND n > 1"), "fewer")
+            more = settle_outside(fewer.where("doc_id = first").select("doc_id"), "more")  # as a rule none
+        others = rows_without(docs, fewer.select("doc_id"))
+    return others.unionByName(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that fill each source's budget."""
-    chosen = mixing.mix(docs, levels(), WEIGHTS, MIX_PERCENT, MIX_EPOCHS).select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
+    with shuffles_deleted(spark):
+        chosen = mixing.mix(docs, levels(), WEIGHTS, MIX_PERCENT, MIX_EPOCHS).select(F.col("doc_id").alias("_id"))
+        ids = docs.select("doc_id").distinct()
+        left = ids.join(chosen, ids["doc_id"].eqNullSafe(chosen["_id"]), "left_anti")
+        return rows_without(docs, settle_outside(left, "left"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm.common import slices, words_of
 from spectraloom.llm.graph import components
-from spectraloom.session import intermediates, settle, settle_outside
+from spectraloom.session import intermediates, settle, settle_outside, shuffles_deleted
 
 WORDS_KEPT = 300_000
 SKETCH_BITS = 2048
@@ -374,7 +374,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Other columns of ``docs`` are ignored.  An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    with intermediates(docs.sparkSession):
+    with shuffles_deleted(docs.sparkSession), intermediates(docs.sparkSession):
         sets, classes, ties = _candidates(docs, k, percent)
         links = _links(docs, classes, ties, k, percent)
         return settle_outside(_components_of_rows(sets, classes, links), "joined")

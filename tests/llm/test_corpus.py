@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import AWKWARD, WORD, awkward, components, nothing, repeated_words
-from spectraloom.llm import mixing, pii, quality, shards
+from spectraloom.llm import mixing, pii, quality, shards, sieve
 from spectraloom.llm.queries import WEIGHTS, levels, op7_pii, op9_sharding, op10_quality_rules
+from spectraloom.session import new_path
 
 SF = "/root/testdata/sf0.01"
 
@@ -281,6 +282,57 @@ def test_pipeline_stages_take_awkward_rows(spark):
         assert stage(spark, nothing(spark), SF).collect() == []
 
 
+def _moved(plan, column):
+    """Rows with ``column`` that the shuffles of a plan have moved."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _moved(plan.executedPlan(), column)
+    if plan.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+        return _moved(plan.plan(), column)
+    names = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" and column in names else 0
+    return own + sum(_moved(plan.children().apply(i), column) for i in range(plan.children().size()))
+
+
+def test_pipeline_stages_leave_kept_texts_where_they_are(spark):
+    rng = random.Random(9)
+    words = "the of and to in a is that house river stone garden letter winter street people water".split()
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "s"]) for _ in range(60)) for _ in range(500)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts + texts[:20] + ["x"] * 20)]
+    path = new_path(spark, "docs")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(path)
+    docs, before = spark.read.parquet(path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage, kept in ((corpus_pipeline.quality_rules, 520), (corpus_pipeline.near_duplicates, 501), (corpus_pipeline.source_mixing, None)):
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert kept is None or len(got) == kept
+            assert _moved(out._jdf.queryExecution().executedPlan(), "text") <= len(rows) - len(got) + 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 24])
+def test_rows_without_some_ids(spark, monkeypatch, bits):
+    """A crowded bitmap costs a join, no row; null ids and repeated rows are told apart like others."""
+    monkeypatch.setattr(sieve, "BITS", bits)
+    rows = [(None if i % 50 == 0 else i % 300, f"t{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for gone in (set(), {None, 7}, {1, 2, 299, 5000}, {r[0] for r in rows}):
+        removed = spark.createDataFrame([(i,) for i in gone], "doc_id bigint")
+        got = sieve.rows_without(docs, removed).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if r[0] not in gone)
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """One row stays of an id that repeats, none of an id in another's class, all without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (3, a), (4, a), (4, b), (5, c), (5, c), (5, ""), (None, a), (None, a), (8, ""), (8, ""), (9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, [3, 5, None, None, 8, 9]))
+
+
 def test_very_many_spans_in_one_text():
     """Time grows with the text: each candidate looks at its own code points only."""
     text = " ".join(f"call 555-{i % 9000 + 1000} now" for i in range(50_000))
