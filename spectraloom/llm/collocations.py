@@ -6,10 +6,11 @@ n-gram and the weight of its last arc is the count.  States with equal arcs are
 1. Words are counted; a bounded sample of the frequent ones cuts the space of all n-grams into
    prefix ranges, hot first words by their second word.
 2. Every shard counts its word pairs, then its triples and quadruples, sorts them and builds a
-   transducer per prefix range, one n-gram after the other.  An n-gram is only counted where all
-   its words (pairs) may be frequent; two Bloom filters of fixed size tell that without a miss.
-3. The transducers of one range meet in one task, which unites them state by state and adds up the
-   weights.  What is too rare is cut off; the rest are the candidates.
+   transducer per prefix range, those of many ranges at once and depth by depth.  An n-gram is only
+   counted where all its words (pairs) may be frequent; two Bloom filters of bounded size tell that
+   without a miss.
+3. The transducers of one range meet in one task, which unites them state by state, depth by depth,
+   and adds up the weights.  What is too rare is cut off; the rest are the candidates.
 4. To look up the two parts of every cut of every candidate, the parts are dealt to their prefix
    ranges, form an acceptor there, and are composed with the range's transducer.
 """
@@ -17,12 +18,13 @@ n-gram and the weight of its last arc is the count.  States with equal arcs are
 from __future__ import annotations
 
 import bisect
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, count
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -33,68 +35,92 @@ from spectraloom.session import settle
 
 NGRAMS_KEPT = 250_000
 WORDS_KEPT = 300_000
-ARCS_AT_ONCE = 300_000
-SIEVE_BITS = 1 << 24
+ARCS_AT_ONCE = 400_000
+ROWS_AT_ONCE = 50_000
+SIEVE_BITS, MOST_SIEVE_BITS = 1 << 24, 1 << 27
 MOST_RANGES = 4096
-RANGE_TOKENS = 500_000
+RANGE_TOKENS = 1_000_000
 SAMPLED_WORDS = 4096
 BOUND_BYTES = 64
 REQUESTS = 100_000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1000
 #: Ends a piece; UTF-8 text has no such byte.
 BREAK = b"\xff"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
-    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(_BREAKS)
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz " + BREAK * len(_BREAKS)
 )
 _MACHINE = "machine binary"
 
 
-def tokens_of(texts: list[bytes | None]) -> list[bytes]:
-    """Words of all texts, A-Z lower-cased, with a break between pieces and between texts."""
-    return BREAK.join(t for t in texts if t).translate(_TABLE).replace(BREAK, b" \xff ").split()
+def words_in(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, A-Z lower-cased, and the number of the piece that each is in."""
+    data = BREAK.join(t for t in texts if t).translate(_TABLE)
+    codes = np.frombuffer(data, np.uint8)
+    breaks = codes == BREAK[0]
+    inside = np.zeros(len(codes) + 2, bool)
+    np.logical_not(breaks | (codes == 32), out=inside[1:-1])
+    starts, ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    spelt = data.translate(None, b" " + BREAK)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(spelt)])
+    return words, np.cumsum(breaks, dtype=np.int32)[starts]
+
+
+def _coded(known: pa.Array, more: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """``known`` different words with the new ones after them, and the places of ``more`` in that."""
+    coded = pa.concat_arrays([known, *more]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()[len(known) :]
 
 
 class Machine:
     """A weighted acyclic automaton; the last state is the root, target -1 ends a path."""
 
     def __init__(self, words, first, label, weight, target):
-        self.words = words
+        self.words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
         self.first, self.label, self.weight, self.target = first, label, weight, target
 
     @classmethod
-    def of_states(cls, words: list[bytes], states: list[tuple]) -> Machine:
-        first = np.cumsum([0] + [len(s) for s in states])
-        arcs = np.fromiter(chain.from_iterable(chain.from_iterable(states)), np.int64, 3 * int(first[-1])).reshape(-1, 3)
-        return cls(words, first, *arcs.T)
+    def empty(cls) -> Machine:
+        none = np.empty(0, np.int64)
+        return cls([], np.zeros(1, np.int64), none, none, none)
 
     def packed(self) -> bytes:
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        head = np.array([len(sizes), len(self.first), len(self.label)], np.int64)
-        ints = [x.astype(np.int32).tobytes() for x in (sizes, np.diff(self.first, prepend=0), self.label, self.target)]
-        whole = b"".join([head.tobytes(), self.weight.astype(np.int64).tobytes(), *ints, *self.words])
-        return zstandard.ZstdCompressor(level=1).compress(whole)
+        ends, spelt = np.zeros(1, np.int32), b""
+        if len(self.words):
+            _, offsets, data = self.words.buffers()
+            ends = np.frombuffer(offsets, np.int32, len(self.words) + 1, 4 * self.words.offset)
+            spelt = memoryview(data)[int(ends[0]) : int(ends[-1])]
+        head = np.array([len(self.words), len(self.first), len(self.label)], np.int64)
+        ints = (ends[1:] - ends[:-1], self.first[1:] - self.first[:-1], self.label, self.target)
+        parts = [head.tobytes(), self.weight.astype(np.int64).tobytes(), *(x.astype(np.int32).tobytes() for x in ints), spelt]
+        return _compressor().compress(b"".join(parts))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Machine:
-        data = zstandard.ZstdDecompressor().decompress(data)
+        data = _decompressor().decompress(data)
         n_words, n_first, n_arcs = np.frombuffer(data, np.int64, 3).tolist()
         weight, at = np.frombuffer(data, np.int64, n_arcs, 24), 24 + 8 * n_arcs
         parts = []
-        for n in (n_words, n_first, n_arcs, n_arcs):
-            parts.append(np.frombuffer(data, np.int32, n, at).astype(np.int64))
+        for n in (n_words, n_first - 1, n_arcs, n_arcs):
+            parts.append(np.frombuffer(data, np.int32, n, at))
             at += 4 * n
-        sizes, first, label, target = parts
-        ends = (at + np.cumsum(sizes)).tolist()
-        words = [data[a:b] for a, b in zip([at, *ends], ends)]
-        return cls(words, np.cumsum(first), label, weight, target)
+        sizes, states, label, target = parts
+        ends, first = np.zeros(n_words + 1, np.int32), np.zeros(n_first, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        np.cumsum(states, out=first[1:])
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(data).slice(at)]
+        return cls(pa.Array.from_buffers(pa.binary(), n_words, buffers), first, label, weight, target)
 
     def paths(self) -> Iterator[tuple[tuple[bytes, ...], int]]:
         """Every n-gram with its weight, in order."""
         first, label, weight, target = (x.tolist() for x in (self.first, self.label, self.weight, self.target))
+        words = self.words.to_pylist()
 
         def walk(state: int, before: tuple) -> Iterator:
             for k in range(first[state], first[state + 1]):
-                path = (*before, self.words[label[k]])
+                path = (*before, words[label[k]])
                 if target[k] < 0:
                     yield path, weight[k]
                 else:
@@ -104,27 +130,14 @@ class Machine:
             yield from walk(len(first) - 2, ())
 
 
-class _Register:
-    """States by their arcs; equal ones are one.  Last states may be ranges of rows."""
+@lru_cache(maxsize=1)  # a worker makes very many small machines
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
 
-    def __init__(self):
-        self.known: dict[tuple | bytes, int] = {}
-        self.states: list[tuple | range] = []
 
-    def state(self, arcs: list[tuple]) -> int:
-        key = tuple(arcs)
-        found = self.known.get(key)
-        if found is None:
-            found = self.known[key] = len(self.states)
-            self.states.append(key)
-        return found
-
-    def last_state(self, arcs: bytes, rows: range) -> int:
-        found = self.known.get(arcs)
-        if found is None:
-            found = self.known[arcs] = len(self.states)
-            self.states.append(rows)
-        return found
+@lru_cache(maxsize=1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -132,114 +145,119 @@ def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-def _assembled(words: list[bytes], states: list[tuple | range], last: np.ndarray, weight: np.ndarray) -> Machine:
-    """The machine of a register whose last states are ranges of rows of ``last`` and ``weight``."""
-    size = np.array([len(s) for s in states], np.int64)
-    first = np.append(0, np.cumsum(size))
-    ends = np.array([type(s) is range for s in states], bool)
-    arcs = np.empty((3, int(first[-1])), np.int64)
-    rows = _stretches(np.array([s.start for s in states if type(s) is range], np.int64), size[ends])
-    at = _stretches(first[:-1][ends], size[ends])
-    arcs[0, at], arcs[1, at], arcs[2, at] = last[rows], weight[rows], -1
-    flat = chain.from_iterable(chain.from_iterable(s for s in states if type(s) is tuple))
-    at = _stretches(first[:-1][~ends], size[~ends])
-    arcs[:, at] = np.fromiter(flat, np.int64, 3 * len(at)).reshape(-1, 3).T
-    return Machine(words, first, *arcs)
+def _register(start: np.ndarray, size: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every state the first one of its owner that has equal arcs.
 
+    A state's arcs are rows ``start`` to ``start + size`` of ``a`` and ``b``.  Hashes bring equal
+    states together, then all arcs are compared: states that only share a hash stay apart.
+    """
+    key = np.add.reduceat(_mixed(a.astype(np.uint64), b.astype(np.uint64)), start)
+    key = _mixed(key, owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64))
+    by = np.argsort(key, kind="stable")
+    new = np.append(True, key[by[1:]] != key[by[:-1]])
+    found = np.empty(len(by), np.int64)
+    found[by] = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    others = np.flatnonzero(found != np.arange(len(found)))
+    like = found[others]
+    unequal = (size[others] != size[like]) | (owner[others] != owner[like])
+    found[others[unequal]] = others[unequal]
+    others, like = others[~unequal], like[~unequal]
+    x, y = _stretches(start[others], size[others]), _stretches(start[like], size[others])
+    unequal = np.unique(np.repeat(others, size[others])[(a[x] != a[y]) | (b[x] != b[y])])
+    found[unequal] = unequal
+    return found
+
+
+def _transducers(words: pa.Array, columns: list[np.ndarray], weight: np.ndarray, edges: np.ndarray) -> list[Machine]:
+    """The transducers of stretches of sorted different n-grams, all built at once.
+
+    Stretch i, not an empty one, goes from row ``edges[i]`` to ``edges[i + 1]``.  The states of one
+    depth are the different prefixes of that length.  From the deepest up, those with equal arcs
+    become one; their numbers are the targets one word higher.
+    """
+    n, ranges = len(weight), len(edges) - 1
+    owner = np.repeat(np.arange(ranges), np.diff(edges))
+    new = np.zeros(n, bool)
+    new[edges[:-1]] = True
+    starts = [edges[:-1]]
+    for c in columns[:-1]:
+        new[1:] |= c[1:] != c[:-1]
+        starts.append(np.flatnonzero(new))
+    label, value, target = columns[-1].astype(np.int64), weight.astype(np.int64), np.full(n, -1)
+    start, bound = starts[-1], n
+    levels, below = [], np.zeros(ranges, np.int64)  # states of each range in the deeper levels
+    for d in range(len(columns) - 1, -1, -1):
+        size, own = np.diff(np.append(start, bound)), owner[starts[d]]
+        found = _register(start, size, own, label, value if d == len(columns) - 1 else target)
+        states = np.unique(found)
+        arcs = _stretches(start[states], size[states])
+        levels.append((own[states], size[states], label[arcs], value[arcs], target[arcs]))
+        if d:
+            number = np.searchsorted(states, found)
+            number += below[own] - np.searchsorted(own[states], np.arange(ranges))[own]
+            below = below + np.bincount(own[states], minlength=ranges)
+            label, value, target = columns[d - 1][starts[d]].astype(np.int64), np.zeros(len(starts[d]), np.int64), number
+            start, bound = np.searchsorted(starts[d], starts[d - 1]), len(starts[d])
+    own, size, label, value, target = (np.concatenate(x) for x in zip(*levels))
+    by = np.argsort(own, kind="stable")  # within a range the deepest states first
+    at = _stretches((np.cumsum(size) - size)[by], size[by])
+    label, value, target, arc_owner = label[at], value[at], target[at], np.repeat(own[by], size[by])
+    first = np.append(0, np.cumsum(size[by]))
+    used, label = np.unique(arc_owner * len(words) + label, return_inverse=True)
+    spelt = words.take(pa.array(used % len(words)))
+    w = np.searchsorted(used, np.arange(ranges + 1) * len(words))
+    s = np.searchsorted(own[by], np.arange(ranges + 1))
+    label -= w[arc_owner]
+    label, target = label.astype(np.int32), target.astype(np.int32)
+    out = []
+    for (w0, w1), (s0, s1) in zip(pairwise(w.tolist()), pairwise(s.tolist())):
+        own_first = first[s0 : s1 + 1]
+        lo, hi = int(own_first[0]), int(own_first[-1])
+        out.append(Machine(spelt.slice(w0, w1 - w0), own_first - lo, label[lo:hi], value[lo:hi], target[lo:hi]))
+    return out
 
-def build(words: list[bytes], columns: list[np.ndarray], weight: np.ndarray) -> Machine:
-    """The transducer of sorted different n-grams of one length, added one after the other.
 
-    ``columns`` holds indices into the sorted ``words``.  Whatever the next n-gram does not share
-    with the one before it can get no more arcs and goes to the register.
-    """
-    register, depth = _Register(), len(columns)
+def build(words: list[bytes] | pa.Array, columns: list[np.ndarray], weight: np.ndarray) -> Machine:
+    """The transducer of sorted different n-grams of one length; ``columns`` index the sorted ``words``."""
     if not len(weight):
-        return Machine.of_states(words, [])
-    inner = columns[:-1]
-    shared = np.zeros(len(weight), np.int64)  # leading words in common with the n-gram before
-    same = np.ones(len(weight) - 1, bool)
-    for c in inner:
-        same = same & (c[1:] == c[:-1])
-        shared[1:] += same
-    starts = np.append(0, np.flatnonzero(shared[1:] < depth - 1) + 1)
-    last, weight = columns[-1].astype(np.int64), weight.astype(np.int64)
-    spelt = np.stack([last, weight], 1).tobytes()  # 16 bytes an arc
-    open_: list[list[tuple]] = [[] for _ in inner]
-    before: tuple | None = None
-    prefixes = zip(*(c[starts].tolist() for c in inner))
-    for row, keep, lo, hi in zip(prefixes, shared[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(last)]):
-        if before is not None:
-            for d in range(depth - 2, keep, -1):
-                open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
-                open_[d] = []
-        # all n-grams that differ in the last word only
-        open_[-1].append((row[-1], 0, register.last_state(spelt[16 * lo : 16 * hi], range(lo, hi))))
-        before = row
-    for d in range(depth - 2, 0, -1):
-        open_[d - 1].append((before[d - 1], 0, register.state(open_[d])))
-    register.states.append(tuple(open_[0]))
-    return _assembled(words, register.states, last, weight)
+        return Machine.empty()
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    return _transducers(words, columns, weight, np.array([0, len(weight)]))[0]
 
 
 def unite(machines: list[Machine], least: int = 1) -> tuple[Machine, int]:
-    """One transducer with the sums of the weights, without those below ``least``; and their total."""
+    """One transducer with the sums of the weights, without those below ``least``; and their total.
+
+    All machines are walked together, word by word: the states that spell one prefix follow each
+    other up to the last ones, whose arcs are summed up.
+    """
     machines = [m for m in machines if len(m.first) > 1]
-    words = sorted(set().union(*(m.words for m in machines)))
-    if not words:
-        return Machine.of_states(words, []), 0
-    place = {w: i for i, w in enumerate(words)}
-    label = np.concatenate([np.array([place[w] for w in m.words] + [0], np.int64)[m.label] for m in machines])
-    weight = np.concatenate([m.weight for m in machines])
-    flat, offset = [], 0
-    labels = label.tolist()
-    for m in machines:
-        flat.append(((m.first + offset).tolist(), m.target.tolist(), offset))
-        offset += len(m.label)
-    ends: list[tuple[int, int, int]] = []  # what a last state is summed up from: its number, first arc, arcs
-
-    def met(states: list[tuple[int, int]], number: Iterator[int]):
-        """The states that spell one prefix: a number if they are last ones, else what follows by word."""
-        below: dict[int, list[tuple[int, int]]] = {}
-        found = None
-        for m, s in states:
-            first, target, at = flat[m]
-            lo, hi = first[s], first[s + 1]
-            if lo < hi and target[lo - at] < 0:  # all paths have one length
-                if found is None:
-                    found = next(number)
-                ends.append((found, lo, hi - lo))
-            else:
-                for x, t in zip(labels[lo:hi], target[lo - at : hi - at]):
-                    below.setdefault(x, []).append((m, t))
-        return found if found is not None else [(x, met(below[x], number)) for x in sorted(below)]
-
-    root = met([(m, len(f[0]) - 2) for m, f in enumerate(flat)], count())
-    number, start, size = np.array(ends, np.int64).reshape(-1, 3).T
-    arcs = _stretches(start, size)
-    (number, last), sums = _unique_rows([np.repeat(number, size), label[arcs]], weight[arcs])
+    if not machines:
+        return Machine.empty(), 0
+    words, place = _ranked(pa.concat_arrays([m.words for m in machines]))
+    ends = np.cumsum([[0, 0, 0], *([len(m.words), len(m.first) - 1, len(m.label)] for m in machines)], 0)
+    base, arcs_of = ends[:-1], np.diff(ends[:, 2])
+    label = place[np.concatenate([m.label for m in machines]) + np.repeat(base[:, 0], arcs_of)]
+    weight, target = (np.concatenate(x) for x in zip(*((m.weight, m.target) for m in machines)))
+    inner = target >= 0
+    target = target + np.where(inner, np.repeat(base[:, 1], arcs_of), 0)
+    start = np.concatenate([m.first[:-1] + b for m, b in zip(machines, base[:, 2].tolist())])
+    size = np.concatenate([m.first[1:] - m.first[:-1] for m in machines])
+    state = ends[1:, 1] - 1
+    prefix, columns = np.zeros(len(state), np.int64), []
+    while True:
+        arcs = _stretches(start[state], size[state])
+        if not len(arcs):
+            return Machine.empty(), 0
+        prefix, follow = np.repeat(prefix, size[state]), label[arcs]
+        if not inner[arcs[0]]:  # all paths have one length
+            break
+        (before, last), prefix = _numbered([prefix, follow])
+        columns, state = [*(c[before] for c in columns), last], target[arcs]
+    (prefix, last), sums = _unique_rows([prefix, follow], weight[arcs])
     total, enough = int(sums.sum()), sums >= least
-    number, last, sums = number[enough], last[enough], sums[enough]
-    bounds = np.searchsorted(number, np.arange(len(ends) + 1)).tolist()
-    spelt = np.stack([last, sums], 1).tobytes()
-    register = _Register()
-
-    def kept(follow: list) -> list[tuple]:
-        arcs = []
-        for x, node in follow:
-            if isinstance(node, int):
-                lo, hi = bounds[node], bounds[node + 1]
-                if lo < hi:
-                    arcs.append((x, 0, register.last_state(spelt[16 * lo : 16 * hi], range(lo, hi))))
-            elif inner := kept(node):
-                arcs.append((x, 0, register.state(inner)))
-        return arcs
-
-    register.states.append(tuple(kept(root)))
-    machine = _assembled(words, register.states, last, sums)
-    used = np.unique(machine.label)
-    machine.words, machine.label = [words[x] for x in used.tolist()], np.searchsorted(used, machine.label)
-    return machine, total
+    prefix, last = prefix[enough], last[enough]
+    return build(words, [*(c[prefix] for c in columns), last], sums[enough]), total
 
 
 def compose(asked: Machine, counts: Machine) -> Iterator[tuple[tuple[bytes, ...], int]]:
@@ -247,7 +265,8 @@ def compose(asked: Machine, counts: Machine) -> Iterator[tuple[tuple[bytes, ...]
     arcs_of = []
     for m in (asked, counts):
         first, label, weight, target = (x.tolist() for x in (m.first, m.label, m.weight, m.target))
-        arcs_of.append((first, [m.words[x] for x in label], weight, target))
+        words = m.words.to_pylist()
+        arcs_of.append((first, [words[x] for x in label], weight, target))
     (first_a, word_a, _, to_a), (first_c, word_c, weight_c, to_c) = arcs_of
 
     def walk(a: int, c: int, before: tuple) -> Iterator:
@@ -277,19 +296,24 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & np.uint64(SIEVE_BITS - 1)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64)
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    last = np.uint64(bits - 1)
+    return (hashes & last).astype(np.int64), (hashes >> np.uint64(37) & last).astype(np.int64)
 
 
 def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), bool)
-    for p in _places(hashes):
+    for p in _places(hashes, 64 * len(bits)):
         out &= (bits[p >> 6] >> (p & 63)) & 1 == 1
     return out
 
 
 def _sieve(counts: DataFrame, order: int):
-    """Bloom filter of the n-grams (lang and words) of one order, of fixed size."""
+    """Bloom filter of the n-grams (lang and words) of one order; at least ``SIEVE_BITS``.
+
+    It is made with ``MOST_SIEVE_BITS`` and folded to the size at which an eighth of the bits is set
+    at most, so that what it lets through by chance does not grow with the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,17 +322,21 @@ def _sieve(counts: DataFrame, order: int):
             key = hashes[:, 0]
             for j in range(order):
                 key = _mixed(key, hashes[:, j + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(key)), pa.int64())], names=["p"])
+            places = np.concatenate(_places(key, MOST_SIEVE_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], names=["p"])
 
     bits = (
         counts.select("gram").mapInArrow(run, "p bigint")
         .groupBy(F.expr("p div 64").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-        .toArrow()  # at most SIEVE_BITS / 64 rows
+        .toArrow()  # at most MOST_SIEVE_BITS / 64 rows
     )
-    bitmap = np.zeros(SIEVE_BITS // 64, np.int64)
+    bitmap = np.zeros(MOST_SIEVE_BITS // 64, np.int64)
     bitmap[bits.column("w").to_numpy()] = bits.column("bits").to_numpy()
-    return counts.sparkSession.sparkContext.broadcast(bitmap)
+    size, found = SIEVE_BITS, int(np.bitwise_count(bitmap.view(np.uint64)).sum())
+    while size < min(8 * found, MOST_SIEVE_BITS):
+        size *= 2
+    return counts.sparkSession.sparkContext.broadcast(np.bitwise_or.reduce(bitmap.reshape(-1, size // 64)))
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes | None]]]:
@@ -322,29 +350,24 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """``(lang, word, f)`` of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, Counter] = {}
+        counts: dict[bytes, tuple[pa.Array, np.ndarray]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, own in counts.items():
-                items = list(own.items())
-                for lo in range(0, len(items), 50_000):
-                    part = items[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(part), pa.binary()),
-                            pa.array([w for w, _ in part], pa.binary()),
-                            pa.array([c for _, c in part], pa.int64()),
-                        ],
-                        names=["lang", "word", "f"],
-                    )
+            for lang, (words, f) in counts.items():
+                for lo in range(0, len(words), 50_000):
+                    part = words.slice(lo, 50_000)
+                    columns = [pa.array([lang] * len(part), pa.binary()), part, pa.array(f[lo : lo + 50_000])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "f"])
             counts.clear()
 
         for batch in slices(batches):
             for lang, texts in _by_lang(batch):
-                own = counts.setdefault(lang, Counter())
-                own.update(tokens_of(texts))
-                own.pop(BREAK, None)
-            if sum(map(len, counts.values())) > WORDS_KEPT:
+                words, before = counts.get(lang, (pa.array([], pa.binary()), np.empty(0, np.int64)))
+                words, numbers = _coded(words, [words_in(texts)[0]])
+                f = np.bincount(numbers, minlength=len(words))
+                f[: len(before)] += before
+                counts[lang] = words, f
+            if sum(len(f) for _, f in counts.values()) > WORDS_KEPT:
                 yield from flush()
         yield from flush()
 
@@ -410,17 +433,54 @@ def _unique_rows(columns: list[np.ndarray], weight: np.ndarray | None = None) ->
     return [c[order[starts]] for c in columns], sums.astype(np.int64)
 
 
-class _Ids(dict):
-    """Number of a word, given when it is first met; 0 is the break."""
+def _numbered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows in order, and every row's number among them."""
+    key = _row_keys(columns)
+    order = np.argsort(key)
+    new = np.append(True, np.diff(key[order]) != 0)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return [c[order[new]] for c in columns], number
+
+
+def _ranked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Different words in bytewise order, and every word's place among them."""
+    coded = words.dictionary_encode()
+    by = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(by), np.int64)
+    rank[by.to_numpy()] = np.arange(len(by))
+    return coded.dictionary.take(by), rank[coded.indices.to_numpy()]
+
+
+def _cuts(words: list[bytes], columns: list[np.ndarray], bounds: list[tuple[bytes, ...]]) -> np.ndarray:
+    """The first of the sorted rows that is not below each bound, compared by the words it has."""
+    lead = columns[0].astype(np.int64) * (len(words) + 1) + columns[1]
+    out = np.empty(len(bounds), np.int64)
+    for i, bound in enumerate(bounds):
+        at = [bisect.bisect_left(words, w) for w in bound]
+        met = [a < len(words) and words[a] == w for a, w in zip(at, bound)]
+        low = at[0] * (len(words) + 1) + (at[1] if met[0] else 0)
+        out[i] = np.searchsorted(lead, low)
+        if len(bound) > 2 and met[0] and met[1]:
+            stop = np.searchsorted(lead, low + 1)
+            out[i] = stop if len(columns) < 3 else out[i] + np.searchsorted(columns[2][out[i] : stop], at[2])
+    return out
 
-    def __init__(self):
-        super().__init__({BREAK: 0})
-        self.words = [BREAK]
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self.words)
-        self.words.append(word)
-        return found
+def _by_range(
+    words: pa.Array, columns: list[np.ndarray], weight: np.ndarray, bounds: list[tuple[bytes, ...]]
+) -> Iterator[tuple[int, Machine]]:
+    """(prefix range, transducer) of sorted n-grams, range by range."""
+    edges = np.concatenate([[0], _cuts(words.to_pylist(), columns, bounds), [len(weight)]])
+    ranges = np.flatnonzero(edges[1:] > edges[:-1])
+    edges = np.append(edges[ranges], len(weight))
+    lo = 0
+    while lo < len(ranges):  # a bounded number of rows at once, one range at least
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + ROWS_AT_ONCE, "right")) - 1)
+        rows = slice(edges[lo], edges[hi])
+        part = [c[rows] for c in columns]
+        yield from zip(ranges[lo:hi].tolist(), _transducers(words, part, weight[rows], edges[lo : hi + 1] - edges[lo]))
+        lo = hi
 
 
 class _Shard:
@@ -431,26 +491,47 @@ class _Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.ids = _Ids()
+        self.words = pa.array([], pa.binary())  # every word has its place as number
         self.hashes = np.empty(0, np.uint64)
+        self.single: dict[int, np.ndarray] = {}  # by lang: hash of every word with it,
+        self.often: dict[int, np.ndarray] = {}  # and whether the sieve has it
         self.found: dict[int, list[tuple[list[np.ndarray], np.ndarray]]] = {n: [] for n in self.orders}
 
+    def _with_lang(self, code: int) -> tuple[np.ndarray, np.ndarray]:
+        single = self.single.get(code, self.hashes[:0])
+        often = self.often.get(code, np.empty(0, bool))
+        if len(single) < len(self.hashes):
+            more = self.hashes[len(single) :]
+            more = _mixed(np.full(len(more), self.hashes[code], np.uint64), more)
+            single = self.single[code] = np.concatenate([single, more])
+            if self.orders == (2,):
+                often = self.often[code] = np.concatenate([often, _hit(self.bits, more)])
+        return single, often
+
     def add(self, lang: bytes, texts: list[bytes | None]) -> None:
-        words = tokens_of(texts)
-        own = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-        code, known = self.ids[lang], self.ids.words
-        if len(self.hashes) < len(known):
-            more = [_hash(w) for w in known[len(self.hashes) :]]
-            self.hashes = np.concatenate([self.hashes, np.array(more, np.uint64)])
-        h = self.hashes[own]
-        single = _mixed(np.full(len(h), self.hashes[code], np.uint64), h)
-        together = (own[1:] > 0) & (own[:-1] > 0)
-        at = np.flatnonzero(together)
+        self.add_all([(lang, texts)])
+
+    def add_all(self, groups: Iterable[tuple[bytes, list[bytes | None]]]) -> None:
+        """Counts the texts of each lang."""
+        langs, texts = zip(*groups)
+        met = [words_in(t) for t in texts]
+        self.words, numbers = _coded(self.words, [pa.array(langs, pa.binary()), *(words for words, _ in met)])
+        more = [_hash(w) for w in self.words.slice(len(self.hashes)).to_pylist()]
+        self.hashes = np.concatenate([self.hashes, np.array(more, np.uint64)])
+        at = len(langs)
+        for code, (words, piece) in zip(numbers[:at].tolist(), met):
+            self._count(code, numbers[at : at + len(words)], piece)
+            at += len(words)
+
+    def _count(self, code: int, own: np.ndarray, piece: np.ndarray) -> None:
+        single, often = self._with_lang(code)
+        together = piece[1:] == piece[:-1]
         if self.orders == (2,):
-            often = _hit(self.bits, single)
-            together[at] = often[at] & often[at + 1]
+            often = often[own]
+            together &= often[1:] & often[:-1]
         else:
-            together[at] = _hit(self.bits, _mixed(single[at], h[at + 1]))
+            at = np.flatnonzero(together)
+            together[at] = _hit(self.bits, _mixed(single[own[at]], self.hashes[own[at + 1]]))
         for n in self.orders:
             fits = together[: max(0, len(own) - n + 1)].copy()
             for j in range(1, n - 1):
@@ -464,7 +545,7 @@ class _Shard:
         for n, parts in self.found.items():
             if len(parts) > 1 and sum(len(p[1]) for p in parts) > 2 * NGRAMS_KEPT:
                 self.found[n] = [self._joined(n)]
-        return len(self.ids) > WORDS_KEPT or sum(len(p[0][1]) for p in self.found.values() if p) > NGRAMS_KEPT
+        return len(self.words) > WORDS_KEPT or sum(len(p[0][1]) for p in self.found.values() if p) > NGRAMS_KEPT
 
     def _joined(self, n: int) -> tuple[list[np.ndarray], np.ndarray]:
         parts = self.found[n]
@@ -478,29 +559,36 @@ class _Shard:
                 continue
             columns, weight = self._joined(n)
             self.found[n] = []
-            met = np.unique(np.concatenate(columns))  # few of the shard's words
-            spelt = [self.ids.words[i] for i in met.tolist()]
-            order = sorted(range(len(spelt)), key=spelt.__getitem__)
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order))
-            words = [spelt[i] for i in order]
-            columns = [rank[np.searchsorted(met, c)] for c in columns]
+            rank = np.zeros(len(self.words), np.int32)
+            for c in columns:
+                rank[c] = 1
+            met = np.flatnonzero(rank)  # few of the shard's words
+            words, place = _ranked(self.words.take(pa.array(met)))
+            rank[met] = place
+            columns = [rank[c] for c in columns]
             by = np.argsort(_row_keys(columns))
             columns, weight = [c[by] for c in columns], weight[by]
-            key = lambda i: tuple(words[c[i]] for c in columns[:3])
-            cuts = [bisect.bisect_left(range(len(weight)), b, key=key) for b in self.bounds]
-            edges = [0, *cuts, len(weight)]
-            for r, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                if lo < hi:
-                    part = [c[lo:hi] for c in columns]
-                    used, back = np.unique(np.concatenate(part), return_inverse=True)
-                    local = back.reshape(len(part), -1)
-                    yield n, r, build([words[u] for u in used.tolist()], list(local), weight[lo:hi])
-        self.clear()
-
-
-def _machine_batch(n: int, at: int, machine: Machine) -> pa.RecordBatch:
-    columns = [pa.array([n], pa.int32()), pa.array([at], pa.int32()), pa.array([machine.packed()], pa.binary())]
+            for r, machine in _by_range(words, columns, weight, self.bounds):
+                yield n, r, machine
+        if len(self.words) > WORDS_KEPT // 2:
+            self.clear()
+
+
+def _machine_batches(machines: Iterable[tuple[int, int, Machine]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``(n, range, machine)``, many small machines in a batch."""
+    rows, size = [], 0
+    for n, at, machine in machines:
+        rows.append((n, at, machine.packed()))
+        size += len(rows[-1][2])
+        if size > BATCH_BYTES or len(rows) >= BATCH_ROWS:
+            yield _machine_batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _machine_batch(rows)
+
+
+def _machine_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))]
     return pa.RecordBatch.from_arrays(columns, names=["n", "range", "machine"])
 
 
@@ -510,13 +598,10 @@ def _ngram_machines(docs: DataFrame, orders: tuple[int, ...], bits, bounds) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(orders, bits.value, bounds.value)
         for batch in slices(batches, 500):
-            for lang, texts in _by_lang(batch):
-                shard.add(lang, texts)
+            shard.add_all(_by_lang(batch))
             if shard.full():
-                for row in shard.machines():
-                    yield _machine_batch(*row)
-        for row in shard.machines():
-            yield _machine_batch(*row)
+                yield from _machine_batches(shard.machines())
+        yield from _machine_batches(shard.machines())
 
     return docs.mapInArrow(run, f"n int, range int, {_MACHINE}")
 
@@ -527,13 +612,12 @@ def _word_machines(words: DataFrame, bounds) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "f"))))
-            ranges = [bisect.bisect_right(bounds.value, r[:2]) for r in rows]
-            for r in sorted(set(ranges)):
-                part = rows[bisect.bisect_left(ranges, r) : bisect.bisect_right(ranges, r)]
-                known = sorted({w for row in part for w in row[:2]})
+            if rows:
+                known = sorted({w for row in rows for w in row[:2]})
                 place = {w: i for i, w in enumerate(known)}
-                columns = [np.array([place[row[j]] for row in part]) for j in (0, 1)]
-                yield _machine_batch(1, r, build(known, columns, np.array([row[2] for row in part], np.int64)))
+                columns = [np.array([place[row[j]] for row in rows]) for j in (0, 1)]
+                weight = np.array([row[2] for row in rows], np.int64)
+                yield from _machine_batches((1, r, m) for r, m in _by_range(pa.array(known, pa.binary()), columns, weight, bounds.value))
 
     return words.mapInArrow(run, f"n int, range int, {_MACHINE}")
 
@@ -541,23 +625,25 @@ def _word_machines(words: DataFrame, bounds) -> DataFrame:
 def _united(machines: DataFrame, least: int) -> DataFrame:
     """One transducer for each order and prefix range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Machine]]:
         held: list[Machine] = []
         arcs, now = 0, None
         for batch in batches:
-            for n, at, packed in zip(*(batch.column(c) for c in ("n", "range", "machine"))):
-                key = n.as_py(), at.as_py()
-                if key != now:
+            for n, at, packed in zip(batch.column("n").to_pylist(), batch.column("range").to_pylist(), batch.column("machine")):
+                if (n, at) != now:
                     if held:
-                        yield _machine_batch(*now, unite(held, least)[0])
-                    held, arcs, now = [], 0, key
+                        yield *now, unite(held, least)[0]
+                    held, arcs, now = [], 0, (n, at)
                 held.append(Machine.unpacked(packed.as_py()))
                 arcs += len(held[-1].label)
                 if arcs > ARCS_AT_ONCE and len(held) > 1:
                     held = [unite(held)[0]]
                     arcs = len(held[0].label) // 2  # grows until as much has come again
         if held:
-            yield _machine_batch(*now, unite(held, least)[0])
+            yield *now, unite(held, least)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _machine_batches(united(batches))
 
     dealt = machines.repartition("n", "range").sortWithinPartitions("n", "range")
     return dealt.mapInArrow(run, f"n int, range int, {_MACHINE}")
@@ -603,15 +689,20 @@ def _parts(candidates: DataFrame, bounds) -> DataFrame:
     return candidates.select("gram").mapInArrow(run, _ASKED)
 
 
-def _looked_up(asked: DataFrame, machines: DataFrame) -> DataFrame:
-    """``(gram, k, side, f)``: the parts' counts, by composition within their prefix range.
+def _dealt(asked: DataFrame, machines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``salt``: ranges in which very many parts are asked for, and only they, go to several tasks."""
+    number = asked.groupBy("n", "range").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= REQUESTS)
+    hot = F.broadcast(number.select("n", "range", F.expr(f"c div {REQUESTS}").alias("last")))  # few rows
+    asked, machines = (x.join(hot, ["n", "range"], "left").withColumn("last", F.coalesce("last", F.lit(0))) for x in (asked, machines))
+    return (
+        asked.withColumn("salt", F.pmod(F.xxhash64("gram", "k"), F.col("last") + 1)).drop("last"),
+        machines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).drop("last"),
+    )
 
-    Ranges in which very many parts are asked for are dealt to several tasks.
-    """
-    most = asked.groupBy("n", "range").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    salts = 1 + most // REQUESTS
-    salted = asked.withColumn("salt", F.pmod(F.xxhash64("gram", "k"), F.lit(salts)))
-    copies = machines.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+
+def _looked_up(asked: DataFrame, machines: DataFrame) -> DataFrame:
+    """``(gram, k, side, f)``: the parts' counts, by composition within their prefix range."""
+    salted, copies = _dealt(asked, machines)
 
     def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
         parts = [tuple(p) for p in rows.column("part").to_pylist()]

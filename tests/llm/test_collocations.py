@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,3 +125,53 @@ def test_awkward_rows(spark):
     got = collocations.collocations(awkward(spark), 30).collect()
     assert sorted(map(tuple, got)) == _plain(rows, 30, 80, 2000) and got
     assert collocations.collocations(nothing(spark)).count() == 0
+
+
+def _calls(work) -> int:
+    """Calls that Python makes, of its own functions and of others."""
+    n = 0
+
+    def seen(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_many_ranges_and_ngrams_take_few_calls():
+    """Arrays are worked on as a whole: neither an n-gram nor a range's share of them has its own loop."""
+    rng = random.Random(5)
+    names = [f"w{i}".encode() for i in range(400)]
+    bounds = [(b"en", w) for w in sorted(names)[1:]]
+    shard = collocations._Shard((2,), np.full(collocations.SIEVE_BITS // 64, -1, np.int64), bounds)
+    text = b" ".join(rng.choices(names, k=60_000))
+    shard.add(b"en", [text])
+    out = []
+    assert _calls(lambda: out.extend((n, r, m.packed()) for n, r, m in shard.machines())) < 60 * len(names)
+    assert [r for _, r, _ in out] == list(range(len(names)))
+    words = text.split()
+    want = Counter((b"en", *pair) for pair in zip(words, words[1:]))
+    assert [p for _, _, m in out for p in Machine.unpacked(m).paths()] == sorted(want.items())
+    machines = [_machine({(rng.choice(names), rng.choice(names), b"x"): 1 + i % 9 for i in range(5000)}) for _ in range(4)]
+    assert _calls(lambda: out.append(unite(machines))) < 1000
+    total = Counter()
+    for m in machines:
+        total.update(dict(m.paths()))
+    assert list(out[-1][0].paths()) == sorted(total.items())
+
+
+def test_only_hot_ranges_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "REQUESTS", 10)
+    asked = spark.createDataFrame(
+        [([b"en", b"x"], i, 0, 1, int(i >= 45), [b"en"]) for i in range(50)], collocations._ASKED
+    )
+    machines = spark.createDataFrame([(1, r, b"") for r in range(20)], "n int, range int, machine binary")
+    salted, copies = (x.collect() for x in collocations._dealt(asked, machines))
+    assert len(salted) == 50 and len(copies) == 20 + 4
+    keys = {(r.n, r.range, r.salt) for r in copies}
+    assert len(keys) == len(copies) and {(r.n, r.range, r.salt) for r in salted} <= keys
