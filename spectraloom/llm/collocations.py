@@ -40,7 +40,7 @@ ROWS_AT_ONCE = 50_000
 SIEVE_BITS, MOST_SIEVE_BITS = 1 << 24, 1 << 27
 MOST_RANGES = 4096
 RANGE_TOKENS = 1_000_000
-SAMPLED_WORDS = 4096
+SAMPLED_WORDS = 16_384
 BOUND_BYTES = 64
 REQUESTS = 100_000
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 1000
@@ -375,24 +375,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _bounds(words: DataFrame, total: int) -> list[tuple[bytes, ...]]:
-    """Where the prefix ranges begin; a bounded sample only balances them."""
-    ranges = min(MOST_RANGES, max(8, total // RANGE_TOKENS))
-    cut = [F.substring("lang", 1, BOUND_BYTES).alias("lang"), F.substring("word", 1, BOUND_BYTES).alias("word"), "f"]
-    heavy = words.where(F.col("f") * MOST_RANGES >= total).select(*cut).toArrow().to_pylist()  # at most MOST_RANGES rows
-    light = words.where(F.col("f") * MOST_RANGES < total).orderBy(F.xxhash64("lang", "word")).limit(SAMPLED_WORDS)
-    light = light.select(*cut).toArrow().to_pylist()
-    rest = max(0, total - sum(r["f"] for r in heavy)) / max(1, len(light))
-    points = [((r["lang"], r["word"]), rest) for r in light]
-    for lang in {r["lang"] for r in heavy}:
-        second = sorted(r["word"] for r in heavy if r["lang"] == lang)
-        second = second[:: max(1, len(second) // 64)]
-        for r in heavy:
-            if r["lang"] == lang:
-                points.append(((lang, r["word"]), r["f"] / (len(second) + 1)))
-                points += [((lang, r["word"], u), r["f"] / (len(second) + 1)) for u in second]
-    points.sort()
-    bounds, weight, step = [], 0.0, max(1.0, sum(w for _, w in points)) / ranges
+def _evenly(points: list[tuple], parts: int) -> list:
+    """Keys that cut sorted (key, weight) pairs into so many parts of about one weight."""
+    bounds, weight, step = [], 0.0, max(1.0, sum(w for _, w in points)) / parts
     for key, w in points:
         weight += w
         if weight >= step:
@@ -401,6 +386,31 @@ def _bounds(words: DataFrame, total: int) -> list[tuple[bytes, ...]]:
     return sorted(set(bounds))
 
 
+def _bounds(words: DataFrame, total: int) -> list[tuple[bytes, ...]]:
+    """Where the prefix ranges begin; a bounded sample only balances them."""
+    ranges = min(MOST_RANGES, max(8, total // RANGE_TOKENS))
+    cut = [F.substring("lang", 1, BOUND_BYTES).alias("lang"), F.substring("word", 1, BOUND_BYTES).alias("word"), "f"]
+    heavy = words.where(F.col("f") * MOST_RANGES >= total).select(*cut).toArrow().to_pylist()  # at most MOST_RANGES rows
+    light = words.where(F.col("f") * MOST_RANGES < total)
+    chance = (F.shiftrightunsigned(F.xxhash64("lang", "word"), 11) + 0.5) / float(1 << 53)
+    light = light.select(*cut, (F.col("f") / chance).alias("priority")).orderBy(F.desc("priority")).limit(SAMPLED_WORDS)
+    light = light.toArrow().to_pylist()
+    # a word that is drawn stands for as many tokens as the last one drawn, at least
+    rest = light[-1]["priority"] if len(light) == SAMPLED_WORDS else 0
+    light = [r | {"f": max(r["f"], rest)} for r in light]
+    points = [((r["lang"], r["word"]), r["f"]) for r in light]
+    known: dict[bytes, list[tuple[bytes, float]]] = {}
+    for r in heavy + light:
+        known.setdefault(r["lang"], []).append((r["word"], r["f"]))
+    seconds = {lang: _evenly(sorted(known[lang]), 64) for lang in {r["lang"] for r in heavy}}
+    for r in heavy:
+        second = seconds[r["lang"]]
+        points.append(((r["lang"], r["word"]), r["f"] / (len(second) + 1)))
+        points += [((r["lang"], r["word"], u), r["f"] / (len(second) + 1)) for u in second]
+    points.sort()
+    return _evenly(points, ranges)
+
+
 def _row_keys(columns: list[np.ndarray]) -> np.ndarray:
     """One integer a row, in the order of the rows and equal for equal ones.
 
@@ -622,28 +632,30 @@ def _word_machines(words: DataFrame, bounds) -> DataFrame:
     return words.mapInArrow(run, f"n int, range int, {_MACHINE}")
 
 
+def _unite_all(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[tuple[int, int, Machine]]:
+    """(order, prefix range, transducer) of rows that are sorted by order and range."""
+    held: list[Machine] = []
+    arcs, most, now = 0, ARCS_AT_ONCE, None
+    for batch in batches:
+        for n, at, packed in zip(batch.column("n").to_pylist(), batch.column("range").to_pylist(), batch.column("machine")):
+            if (n, at) != now:
+                if held:
+                    yield *now, unite(held, least)[0]
+                held, arcs, most, now = [], 0, ARCS_AT_ONCE, (n, at)
+            held.append(Machine.unpacked(packed.as_py()))
+            arcs += len(held[-1].label)
+            if arcs > most and len(held) > 1:
+                held, arcs = [unite(held)[0]], 0
+                most = max(ARCS_AT_ONCE, len(held[0].label))  # until as much has come again
+    if held:
+        yield *now, unite(held, least)[0]
+
+
 def _united(machines: DataFrame, least: int) -> DataFrame:
     """One transducer for each order and prefix range."""
 
-    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Machine]]:
-        held: list[Machine] = []
-        arcs, now = 0, None
-        for batch in batches:
-            for n, at, packed in zip(batch.column("n").to_pylist(), batch.column("range").to_pylist(), batch.column("machine")):
-                if (n, at) != now:
-                    if held:
-                        yield *now, unite(held, least)[0]
-                    held, arcs, now = [], 0, (n, at)
-                held.append(Machine.unpacked(packed.as_py()))
-                arcs += len(held[-1].label)
-                if arcs > ARCS_AT_ONCE and len(held) > 1:
-                    held = [unite(held)[0]]
-                    arcs = len(held[0].label) // 2  # grows until as much has come again
-        if held:
-            yield *now, unite(held, least)[0]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _machine_batches(united(batches))
+        return _machine_batches(_unite_all(batches, least))
 
     dealt = machines.repartition("n", "range").sortWithinPartitions("n", "range")
     return dealt.mapInArrow(run, f"n int, range int, {_MACHINE}")

@@ -1,5 +1,6 @@
 """Count transducers against dictionaries, and the mined phrases against plain counting."""
 
+import bisect
 import random
 import re
 import sys
@@ -175,3 +176,25 @@ def test_only_hot_ranges_are_copied(spark, monkeypatch):
     assert len(salted) == 50 and len(copies) == 20 + 4
     keys = {(r.n, r.range, r.salt) for r in copies}
     assert len(keys) == len(copies) and {(r.n, r.range, r.salt) for r in salted} <= keys
+
+
+def test_a_large_range_is_not_united_again_for_every_shard(monkeypatch):
+    monkeypatch.setattr(collocations, "ARCS_AT_ONCE", 50)
+    taken = []
+    monkeypatch.setattr(collocations, "unite", lambda machines, least=1: taken.append(len(machines)) or unite(machines, least))
+    parts = [{(b"en", b"a%d" % i, b"b%d" % j): i + j + 1 for j in range(5)} for i in range(400)]
+    rows = [(2, 7, _machine(p).packed()) for p in parts]
+    ((n, at, whole),) = collocations._unite_all([collocations._machine_batch(rows)], 1)
+    assert (n, at) == (2, 7) and list(whole.paths()) == sorted((g, c) for p in parts for g, c in p.items())
+    assert len(taken) < 20
+
+
+def test_ranges_are_balanced(spark):
+    """Words that are just not hot weigh as much as they occur."""
+    words = [(b"en", b"w%05d" % i, 5000 if 2000 <= i < 2400 else 30 + i % 20) for i in range(40_000)]
+    frame = spark.createDataFrame(words, "lang binary, word binary, f bigint")
+    bounds = collocations._bounds(frame, 21_000_000)
+    share = Counter()
+    for lang, word, f in words:
+        share[bisect.bisect_right(bounds, (lang, word))] += f
+    assert len(bounds) >= 20 and max(share.values()) < 2 * sum(f for _, _, f in words) / len(bounds)
